@@ -1 +1,94 @@
-"""Registered job queries (hierarchy, changes, quality, workflow, stream cores)."""
+"""Registered job queries: hierarchy walks, change application, data quality, the
+transfer workflow and the batch cores of the stream jobs. Same registry as the catalog."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import hierarchy as H
+from ..sources.adapters import ADAPTER_SQL, with_views_recursive
+from .catalog import AS_OF, D, ORACLE, QUERIES, dates_as_timestamps, domain, register
+
+
+def register_sql(name: str, sql: str):
+    """Attach an oracle SQL that is already complete (own WITH clause)."""
+    def deco(fn):
+        register(name)(fn)
+        ORACLE[name] = sql
+        return fn
+    return deco
+
+
+# ====================================================================== hierarchy
+_TREE_CTE = """tree AS (
+  SELECT id, asset_id, parent_id, name, 0 AS depth, id AS root_id,
+         CAST(id AS VARCHAR) AS path_ids, name AS path_names
+  FROM bom_items WHERE parent_id IS NULL
+  UNION ALL
+  SELECT b.id, b.asset_id, b.parent_id, b.name, t.depth + 1, t.root_id,
+         t.path_ids || '/' || CAST(b.id AS VARCHAR), t.path_names || ' / ' || b.name
+  FROM bom_items b JOIN tree t ON b.parent_id = t.id AND b.asset_id = t.asset_id)"""
+
+
+def _tree(d) -> DataFrame:
+    return H.bom_tree(d.bom_items)
+
+
+@register_sql("bom_tree", with_views_recursive(_TREE_CTE, "SELECT * FROM tree", ["bom_items"]))
+def q_bom_tree(spark, d):
+    t = _tree(d)
+    return t.orderBy("asset_id", "sort_path").drop("sort_path")
+
+
+@register_sql("bom_tree_summary", with_views_recursive(_TREE_CTE, """
+SELECT b.asset_id, CAST(COUNT(*) AS BIGINT) AS total,
+  CAST(COUNT(*) FILTER (WHERE b.item_type = 'Serialized') AS BIGINT) AS serialized,
+  CAST(COUNT(*) FILTER (WHERE b.item_type = 'Bulk') AS BIGINT) AS bulk,
+  CAST(COUNT(*) FILTER (WHERE b.status = 'On Order') AS BIGINT) AS on_order,
+  CAST(COALESCE(SUM(b.quantity * b.unit_cost_usd), 0) AS DECIMAL(38,2)) AS total_cost,
+  CAST(COUNT(t.id) AS BIGINT) AS in_tree
+FROM bom_items b LEFT JOIN tree t ON t.id = b.id
+GROUP BY b.asset_id""", ["bom_items"]))
+def q_bom_tree_summary(spark, d):
+    return H.bom_tree_summary(d.bom_items, _tree(d))
+
+
+_SUB_CTE = """sub AS (
+  SELECT id AS seed_id, id, 0 AS depth FROM bom_items WHERE status = 'Obsolete'
+  UNION ALL
+  SELECT s.seed_id, b.id, s.depth + 1
+  FROM bom_items b JOIN sub s ON b.parent_id = s.id
+  WHERE b.id <> s.seed_id)"""
+
+
+def _subtree(d) -> DataFrame:
+    """Delete requests: every Obsolete item, with its whole subtree."""
+    items = d.bom_items
+    return H.subtree(items, items.where(F.col("status") == "Obsolete"))
+
+
+@register_sql("bom_subtree", with_views_recursive(_SUB_CTE, "SELECT * FROM sub", ["bom_items"]))
+def q_bom_subtree(spark, d):
+    return _subtree(d)
+
+
+@register_sql("bom_subtree_counts", with_views_recursive(_SUB_CTE, """
+SELECT seed_id, CAST(COUNT(*) AS BIGINT) AS delete_count, MAX(depth) AS max_depth
+FROM sub GROUP BY seed_id""", ["bom_items"]))
+def q_bom_subtree_counts(spark, d):
+    return H.subtree_counts(_subtree(d))
+
+
+@register_sql("bom_subtree_cost", with_views_recursive(_TREE_CTE + """,
+clos AS (
+  SELECT id AS anc, id AS node, asset_id FROM tree
+  UNION ALL
+  SELECT c.anc, b.id, b.asset_id FROM clos c JOIN bom_items b ON b.parent_id = c.node AND b.asset_id = c.asset_id)""", """
+SELECT t.id, t.asset_id, t.depth,
+  CAST(SUM(b.quantity * b.unit_cost_usd) AS DECIMAL(38,2)) AS subtree_cost,
+  CAST(COUNT(*) AS BIGINT) AS subtree_size
+FROM clos c JOIN bom_items b ON b.id = c.node JOIN tree t ON t.id = c.anc
+GROUP BY t.id, t.asset_id, t.depth""", ["bom_items"]))
+def q_bom_subtree_cost(spark, d):
+    return H.subtree_cost(d.bom_items, _tree(d))

@@ -336,3 +336,9 @@ def with_views(sql: str, names: list[str]) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS (\n{ADAPTER_SQL[n]}\n)" for n in names)
     return f"WITH {ctes}\n{sql}"
+
+
+def with_views_recursive(recursive_ctes: str, sql: str, names: list[str]) -> str:
+    """``WITH RECURSIVE <adapter views>, <recursive_ctes> <sql>`` for the tree oracles."""
+    ctes = ",\n".join(f"{n} AS (\n{ADAPTER_SQL[n]}\n)" for n in names)
+    return f"WITH RECURSIVE {ctes},\n{recursive_ctes}\n{sql}"
