@@ -92,3 +92,435 @@ FROM clos c JOIN bom_items b ON b.id = c.node JOIN tree t ON t.id = c.anc
 GROUP BY t.id, t.asset_id, t.depth""", ["bom_items"]))
 def q_bom_subtree_cost(spark, d):
     return H.subtree_cost(d.bom_items, _tree(d))
+
+
+# ====================================================================== changes
+import datetime as _dt  # noqa: E402
+
+from ..functions import status as S  # noqa: E402
+from ..operators import changes as C  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..operators import workflow as W  # noqa: E402
+from ..sources.adapters import with_views_and  # noqa: E402
+from ..sources.schemas import ENUMS, FOREIGN_KEYS  # noqa: E402
+from ..streaming import cores as K  # noqa: E402
+
+NOW = _dt.datetime(1998, 6, 1)
+TS = "TIMESTAMP '1998-06-01 00:00:00'"
+WRITE = "('Admin','Asset Manager','Operations Manager','Editor')"
+PATCH_COLS = ["status", "location", "value_usd"]
+
+
+def _patched(d):
+    return C.patch_update(d.assets, d.asset_patches, PATCH_COLS, key_cols=["id", "asset_id"],
+                          now=F.lit(NOW))
+
+
+_PATCH_CTES = f"""ok AS (
+  SELECT p.*, a.id AS _id FROM asset_patches p
+  JOIN assets a ON CAST(a.id AS STRING) = p.key OR a.asset_id = p.key
+  WHERE p.role IN {WRITE}),
+f AS (
+  SELECT _id,
+    arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status,
+    arg_max(location, seq) FILTER (WHERE location IS NOT NULL) AS location,
+    arg_max(value_usd, seq) FILTER (WHERE value_usd IS NOT NULL) AS value_usd
+  FROM ok GROUP BY _id)"""
+
+
+@register_sql("patch_update", with_views_and(_PATCH_CTES + f"""
+SELECT a.id, a.asset_id, a.name, a.category, a.rig_id, a.company_id, a.contract_id,
+  COALESCE(f.location, a.location) AS location, COALESCE(f.status, a.status) AS status,
+  COALESCE(f.value_usd, a.value_usd) AS value_usd,
+  CASE WHEN f._id IS NOT NULL THEN {TS} END AS updated_at
+FROM assets a LEFT JOIN f ON f._id = a.id""", ["assets", "asset_patches"]))
+def q_patch_update(spark, d):
+    return _patched(d)["table"]
+
+
+@register_sql("patch_rejected", with_views_and(f"""r AS (
+  SELECT p.*, CASE WHEN p.role NOT IN {WRITE} THEN 'role'
+    WHEN NOT EXISTS (SELECT 1 FROM assets a WHERE CAST(a.id AS STRING) = p.key OR a.asset_id = p.key)
+    THEN 'not_found' END AS reason
+  FROM asset_patches p)
+SELECT * FROM r WHERE reason IS NOT NULL""", ["assets", "asset_patches"]))
+def q_patch_rejected(spark, d):
+    return _patched(d)["rejected"]
+
+
+_CHANGED = ("(COALESCE(f.status, a.status) IS DISTINCT FROM a.status "
+            "OR COALESCE(f.location, a.location) IS DISTINCT FROM a.location "
+            "OR COALESCE(f.value_usd, a.value_usd) IS DISTINCT FROM a.value_usd)")
+
+
+@register_sql("capture_changes", with_views_and(_PATCH_CTES + f"""
+SELECT a.id AS asset_id, 'Updated' AS action, {_CHANGED} AS changed
+FROM assets a JOIN f ON f._id = a.id""", ["assets", "asset_patches"]))
+def q_capture_changes(spark, d):
+    r = _patched(d)
+    new = r["table"].drop("updated_at")
+    ch = C.capture_changes(d.assets, new, "id", touched=r["touched"])
+    return ch.select("asset_id", "action", (F.coalesce(F.col("old_values") != F.col("new_values"),
+                                                       F.lit(True))).alias("changed"))
+
+
+@register_sql("audit_changes", with_views_and(_PATCH_CTES + f"""
+SELECT 'assets' AS table_name, a.id AS record_id, 'UPDATE' AS action
+FROM assets a JOIN f ON f._id = a.id WHERE {_CHANGED}""", ["assets", "asset_patches"]))
+def q_audit_changes(spark, d):
+    new = _patched(d)["table"].drop("updated_at")
+    return C.audit_changes(d.assets, new, "assets").select("table_name", "record_id", "action")
+
+
+_ASSET_RULES = (f"p.role IN {WRITE} AND p.asset_id IS NOT NULL AND length(trim(p.asset_id)) > 0 "
+                "AND p.name IS NOT NULL AND length(trim(p.name)) > 0 AND p.category IN ("
+                + ",".join(f"'{v}'" for v in ENUMS[("assets", "category")]) + ")")
+
+
+@register_sql("insert_ignore", with_views_and(f"""acc AS (SELECT * FROM asset_creates p WHERE {_ASSET_RULES}),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS rn FROM acc) x
+          WHERE rn = 1),
+new AS (SELECT f.id, f.asset_id, f.name, f.category, 'Active' AS status, CAST(0 AS DECIMAL(18,2)) AS value_usd
+        FROM first f WHERE NOT EXISTS (SELECT 1 FROM assets a WHERE a.asset_id = f.asset_id))
+SELECT id, asset_id, name, category, rig_id, company_id, contract_id, location, status, value_usd FROM assets
+UNION ALL
+SELECT id, asset_id, name, category, NULL, NULL, NULL, NULL, status, value_usd FROM new""",
+                                            ["assets", "asset_creates"]))
+def q_insert_ignore(spark, d):
+    acc = Q.validate_commands(d.asset_creates, "asset_create")["accepted"].drop("role")
+    batch = C.with_defaults(acc, {"status": "Active", "value_usd": F.lit(0).cast("decimal(18,2)")})
+    return C.insert_ignore(d.assets, batch, "asset_id")
+
+
+@register_sql("validate_commands", with_views_and(f"""v AS (
+SELECT p.seq, concat_ws(',',
+  CASE WHEN NOT COALESCE(p.role IN {WRITE}, false) THEN 'role' END,
+  CASE WHEN NOT COALESCE(p.asset_id IS NOT NULL AND length(trim(p.asset_id)) > 0, false) THEN 'asset_id' END,
+  CASE WHEN NOT COALESCE(p.name IS NOT NULL AND length(trim(p.name)) > 0, false) THEN 'name' END,
+  CASE WHEN NOT COALESCE(p.category IN ({",".join(f"'{v}'" for v in ENUMS[("assets", "category")])}), false)
+       THEN 'category' END) AS reasons
+FROM asset_creates p)
+SELECT seq, reasons, reasons = '' AS accepted FROM v""", ["asset_creates"]))
+def q_validate_commands(spark, d):
+    t = Q.tag_commands(d.asset_creates, "asset_create")
+    return t.select("seq", F.array_join("reasons", ",").alias("reasons"),
+                    (F.size("reasons") == 0).alias("accepted"))
+
+
+@register_sql("unique_violations", with_views_and("""u AS (
+SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM assets a WHERE a.asset_id = c.asset_id) THEN 'exists'
+  WHEN c.seq <> (SELECT min(c2.seq) FROM asset_creates c2 WHERE c2.asset_id = c.asset_id)
+  THEN 'duplicate_in_batch' END AS reason
+FROM asset_creates c)
+SELECT * FROM u WHERE reason IS NOT NULL""", ["assets", "asset_creates"]))
+def q_unique_violations(spark, d):
+    return Q.unique_violations(d.assets, d.asset_creates, "asset_id")
+
+
+_FK_TABLES = {"companies": "companies", "rigs": "rigs", "contracts": "contracts", "assets": "assets",
+              "asset_history": "asset_history", "bom_items": "bom_items", "certificates": "certificates",
+              "maintenance_schedules": "schedules", "work_orders": "work_orders",
+              "transfers": "transfers", "users": "users", "notifications": "notifications"}
+# Fixed value: the foreign-key columns each adapter view carries.
+_FK_COLS = {"rigs": ["company_id"], "contracts": ["company_id", "rig_id"],
+            "assets": ["company_id", "rig_id", "contract_id"], "asset_history": ["asset_id", "changed_by"],
+            "bom_items": ["asset_id", "parent_id"], "certificates": ["asset_id", "rig_id"],
+            "maintenance_schedules": ["asset_id"], "work_orders": ["asset_id"],
+            "transfers": ["asset_id", "dest_rig_id"], "notifications": ["user_id"]}
+
+
+def _orphan_sql() -> str:
+    parts = []
+    for child, fk, parent, _ in FOREIGN_KEYS:
+        if child in _FK_COLS and parent in _FK_TABLES and fk in _FK_COLS[child]:
+            parts.append(f"SELECT '{child}' AS child_table, '{fk}' AS fk, '{parent}' AS parent_table, "
+                         f"CAST(c.id AS STRING) AS child_id, CAST(c.{fk} AS STRING) AS missing_key "
+                         f"FROM {child} c WHERE c.{fk} IS NOT NULL AND NOT EXISTS "
+                         f"(SELECT 1 FROM {parent} p WHERE p.id = c.{fk})")
+    views = sorted(set(_FK_TABLES))
+    from ..sources.adapters import with_views
+    return with_views("\nUNION ALL\n".join(parts), views)
+
+
+ORACLE_ORPHANS = _orphan_sql()
+
+
+@register_sql("orphans", ORACLE_ORPHANS)
+def q_orphans(spark, d):
+    tables = {name: getattr(d, attr) for name, attr in _FK_TABLES.items()}
+    return Q.orphan_report(tables)
+
+
+def _assets_rule_sql() -> str:
+    cat = ",".join(f"'{v}'" for v in ENUMS[("assets", "category")])
+    st = ",".join(f"'{v}'" for v in ENUMS[("assets", "status")])
+    from ..sources.adapters import with_views
+    return with_views(f"""SELECT * FROM (
+SELECT a.*, concat_ws(',',
+  CASE WHEN NOT COALESCE(a.category IN ({cat}), true) THEN 'category_allowed' END,
+  CASE WHEN NOT COALESCE(a.status IN ({st}), true) THEN 'status_allowed' END,
+  CASE WHEN NOT COALESCE(a.value_usd >= 0, true) THEN 'value_usd_non_negative' END) AS violations
+FROM assets a) x WHERE violations <> ''""", ["assets"])
+
+
+@register_sql("check_violations", _assets_rule_sql())
+def q_check_violations(spark, d):
+    v = Q.check_violations(d.assets, "assets")
+    return v.withColumn("violations", F.array_join("violations", ","))
+
+
+# ---------------------------------------------------------------- J4
+_INACTIVE = "SELECT id FROM assets WHERE status = 'Inactive'"
+
+
+def _cascade(d):
+    tables = {"assets": d.assets, "maintenance_schedules": d.schedules, "bom_items": d.bom_items,
+              "certificates": d.certificates, "asset_history": d.asset_history,
+              "transfers": d.transfers, "work_orders": d.work_orders}
+    return C.delete_cascade(tables, "assets", d.assets.where(F.col("status") == "Inactive"))
+
+
+@register_sql("delete_cascade", with_views_and(f"""del AS ({_INACTIVE})
+SELECT * FROM maintenance_schedules WHERE asset_id NOT IN (SELECT id FROM del)""",
+                                                ["assets", "maintenance_schedules"]))
+def q_delete_cascade(spark, d):
+    return _cascade(d)["maintenance_schedules"]
+
+
+@register_sql("delete_cascade_bom", with_views_recursive(f"""gone AS (
+  SELECT b.id FROM bom_items b WHERE b.asset_id IN ({_INACTIVE})
+  UNION
+  SELECT c.id FROM bom_items c JOIN gone g ON c.parent_id = g.id)""",
+    "SELECT * FROM bom_items WHERE id NOT IN (SELECT id FROM gone)", ["assets", "bom_items"]))
+def q_delete_cascade_bom(spark, d):
+    return _cascade(d)["bom_items"]
+
+
+@register_sql("delete_set_null", with_views_and("""del AS (SELECT id FROM contracts WHERE status = 'Terminated')
+SELECT a.id, a.asset_id, a.name, a.category, a.rig_id, a.company_id,
+  CASE WHEN a.contract_id IN (SELECT id FROM del) THEN NULL ELSE a.contract_id END AS contract_id,
+  a.location, a.status, a.value_usd
+FROM assets a""", ["assets", "contracts"]))
+def q_delete_set_null(spark, d):
+    out = C.delete_cascade({"contracts": d.contracts, "assets": d.assets}, "contracts",
+                           d.contracts.where(F.col("status") == "Terminated"))
+    return out["assets"]
+
+
+# ---------------------------------------------------------------- J6
+_COMPLETE_CTES = """c AS (
+  SELECT c.*, s.id AS _id, s.frequency_days AS _freq FROM completions c
+  LEFT JOIN maintenance_schedules s ON CAST(s.id AS STRING) = c.schedule_key OR s.pm_id = c.schedule_key),
+ok AS (
+  SELECT *, COALESCE(next_due_date, completion_date + _freq) AS nd FROM c
+  WHERE _id IS NOT NULL AND completion_date IS NOT NULL AND completed_by IS NOT NULL
+    AND trim(completed_by) <> ''),
+last AS (SELECT _id, arg_max(completion_date, seq) AS done, arg_max(nd, seq) AS due FROM ok GROUP BY _id)"""
+
+
+def _completed(d):
+    return C.complete_maintenance(d.schedules, d.completions)
+
+
+@register_sql("complete_maintenance_schedules", with_views_and(_COMPLETE_CTES + """
+SELECT s.id, s.pm_id, s.asset_id, s.task_type, s.priority, s.frequency_days,
+  CASE WHEN l._id IS NOT NULL THEN l.due ELSE s.next_due_date END AS next_due_date, s.alert_days,
+  CASE WHEN l._id IS NOT NULL THEN 'Scheduled' ELSE s.status END AS status,
+  l.done AS last_done_date
+FROM maintenance_schedules s LEFT JOIN last l ON l._id = s.id""", ["maintenance_schedules", "completions"]))
+def q_complete_schedules(spark, d):
+    return _completed(d)["schedules"]
+
+
+@register_sql("complete_maintenance_logs", with_views_and(_COMPLETE_CTES + """
+SELECT seq, _id AS schedule_id, completion_date, completed_by, actual_hours, nd AS next_due_date FROM ok""",
+                                                           ["maintenance_schedules", "completions"]))
+def q_complete_logs(spark, d):
+    return _completed(d)["logs"]
+
+
+@register_sql("complete_maintenance_rejected", with_views_and(_COMPLETE_CTES + """
+SELECT seq, schedule_key AS key, CASE WHEN _id IS NULL THEN 'not_found' ELSE 'missing_fields' END AS reason
+FROM c WHERE _id IS NULL OR completion_date IS NULL OR completed_by IS NULL OR trim(completed_by) = ''""",
+                                                               ["maintenance_schedules", "completions"]))
+def q_complete_rejected(spark, d):
+    return _completed(d)["rejected"]
+
+
+# ---------------------------------------------------------------- J13 / J14 / J15
+@register_sql("certificate_refresh", with_views_and(f"""x AS (SELECT 1)
+SELECT id, asset_id, rig_id, expiry_date,
+  CASE WHEN expiry_date IS NULL OR status = 'Revoked' THEN status
+       WHEN expiry_date < {D} THEN 'Expired'
+       WHEN expiry_date <= {D} + 30 THEN 'Expiring' ELSE 'Valid' END AS status
+FROM certificates""", ["certificates"]))
+def q_certificate_refresh(spark, d):
+    return C.refresh_certificate_status(d.certificates, AS_OF)
+
+
+@register_sql("mark_read_all", with_views_and("""r AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click')
+SELECT n.id, n.user_id, n.entity_type, n.entity_id,
+  CASE WHEN n.user_id IN (SELECT user_id FROM r) OR (n.user_id IS NULL AND EXISTS (SELECT 1 FROM r))
+       THEN true ELSE n.is_read END AS is_read, n.created_at
+FROM notifications n""", ["notifications"]))
+def q_mark_read_all(spark, d):
+    req = d.t.events.where(F.col("event_type") == "click").select("user_id")
+    return C.mark_read_all(d.notifications, req)
+
+
+@register_sql("clear_read", with_views_and("""r AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+SELECT n.* FROM notifications n
+WHERE NOT COALESCE((n.user_id IN (SELECT user_id FROM r) OR (n.user_id IS NULL AND EXISTS (SELECT 1 FROM r)))
+                   AND n.is_read, false)""", ["notifications"]))
+def q_clear_read(spark, d):
+    req = d.t.events.where(F.col("event_type") == "purchase").select("user_id")
+    return C.clear_read(d.notifications, req)
+
+
+@register_sql("last_login", with_views_and("""l AS (SELECT user_id, max(ts) AS ts FROM events
+                                           WHERE event_type = 'signup' GROUP BY user_id)
+SELECT u.*, l.ts AS last_login FROM users u LEFT JOIN l ON l.user_id = u.id""", ["users"]))
+def q_last_login(spark, d):
+    logins = d.t.events.where(F.col("event_type") == "signup").select("user_id", "ts")
+    return C.touch_last_login(d.users, logins)
+
+
+# ====================================================================== workflow
+_NEW_STATE = """CASE WHEN e.pre IS NOT NULL OR s.state = 'Removed' THEN NULL
+  WHEN e.stage = 'ops' AND s.state = 'Pending' THEN
+       CASE e.action WHEN 'approve' THEN 'Ops Approved' WHEN 'reject' THEN 'Rejected' ELSE 'On Hold' END
+  WHEN e.stage = 'mgr' AND s.state = 'Ops Approved' THEN
+       CASE e.action WHEN 'approve' THEN 'Completed' WHEN 'reject' THEN 'Rejected' ELSE 'On Hold' END
+  WHEN e.stage = 'cancel' AND s.state IN ('Pending', 'On Hold') THEN 'Removed' END"""
+
+# The oracle replays every transfer's events one by one (a recursive step per event):
+# an independent, sequential statement of the state machine.
+_SIM_CTES = f"""ev AS (
+  SELECT d.*, row_number() OVER (PARTITION BY transfer_key ORDER BY seq) AS k,
+    CASE WHEN NOT COALESCE(CASE stage WHEN 'ops' THEN actor_role IN ('Admin','Operations Manager')
+                                      WHEN 'mgr' THEN actor_role IN ('Admin','Asset Manager')
+                                      ELSE actor_role IN {WRITE} END, false) THEN 'role'
+         WHEN stage <> 'cancel' AND NOT COALESCE(action IN ('approve','reject','hold'), false) THEN 'action'
+         WHEN stage <> 'cancel' AND COALESCE(length(trim(comment)), 0) = 0 THEN 'comment' END AS pre
+  FROM decisions d),
+sim AS (
+  SELECT t.id AS tid, CAST(0 AS BIGINT) AS k, t.status AS state, CAST(NULL AS BIGINT) AS seq,
+         CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS actor_role,
+         CAST(NULL AS TIMESTAMP) AS ts, false AS accepted, CAST(NULL AS VARCHAR) AS reason,
+         CAST(NULL AS VARCHAR) AS state_at
+  FROM transfers t
+  UNION ALL
+  SELECT s.tid, e.k, COALESCE({_NEW_STATE}, s.state), e.seq, e.stage, e.action, e.actor_role, e.ts,
+         ({_NEW_STATE}) IS NOT NULL,
+         CASE WHEN ({_NEW_STATE}) IS NOT NULL THEN NULL WHEN e.pre IS NOT NULL THEN e.pre
+              WHEN s.state = 'Removed' THEN 'not_found' ELSE 'status' END,
+         CASE WHEN ({_NEW_STATE}) IS NULL THEN s.state END
+  FROM sim s JOIN ev e ON e.transfer_key = s.tid AND e.k = s.k + 1)"""
+
+
+def _fold(d):
+    dec = d.decisions
+    return W.fold_decisions(d.transfers, dec)
+
+
+@register_sql("transfer_final_state", with_views_recursive(_SIM_CTES + """,
+fin AS (SELECT tid, arg_max(state, k) AS status FROM sim GROUP BY tid),
+acc AS (SELECT * FROM sim WHERE accepted)""", """
+SELECT t.id AS transfer_key, t.status AS initial_status, f.status,
+  o.seq AS ops_seq, o.action AS ops_action, o.actor_role AS ops_role, CAST(o.ts AS DATE) AS ops_date,
+  m.seq AS mgr_seq, m.action AS mgr_action, m.actor_role AS mgr_role, CAST(m.ts AS DATE) AS mgr_date,
+  c.seq AS cancel_seq
+FROM transfers t JOIN fin f ON f.tid = t.id
+LEFT JOIN acc o ON o.tid = t.id AND o.stage = 'ops'
+LEFT JOIN acc m ON m.tid = t.id AND m.stage = 'mgr'
+LEFT JOIN acc c ON c.tid = t.id AND c.stage = 'cancel'""", ["transfers", "decisions"]))
+def q_transfer_final_state(spark, d):
+    st = _fold(d)["state"]
+    return st.select("transfer_key", "initial_status", "status", "ops_seq", "ops_action", "ops_role",
+                     "ops_date", "mgr_seq", "mgr_action", "mgr_role", "mgr_date", "cancel_seq")
+
+
+@register_sql("transfer_rejected_commands", with_views_recursive(_SIM_CTES, """
+SELECT seq, tid AS transfer_key, stage, action, reason, state_at FROM sim WHERE k > 0 AND NOT accepted""",
+                                                                 ["transfers", "decisions"]))
+def q_transfer_rejected(spark, d):
+    ev = _fold(d)["events"]
+    return ev.where(~F.col("accepted")).select("seq", "transfer_key", "stage", "action", "reason", "state_at")
+
+
+@register_sql("apply_transfers", with_views_recursive(_SIM_CTES + """,
+fin AS (SELECT tid, arg_max(state, k) AS status, max(seq) FILTER (WHERE accepted AND stage = 'mgr') AS mseq
+        FROM sim GROUP BY tid),
+mv AS (SELECT t.asset_id, arg_max(t.destination, f.mseq) AS dest, arg_max(t.dest_rig_id, f.mseq) AS drig
+       FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' GROUP BY t.asset_id)""", """
+SELECT a.id, a.asset_id, a.name, a.category, COALESCE(mv.drig, a.rig_id) AS rig_id, a.company_id,
+  a.contract_id, CASE WHEN mv.asset_id IS NOT NULL THEN mv.dest ELSE a.location END AS location,
+  a.status, a.value_usd
+FROM assets a LEFT JOIN mv ON mv.asset_id = a.id""", ["transfers", "decisions", "assets"]))
+def q_apply_transfers(spark, d):
+    st = _fold(d)["state"]
+    return W.apply_transfers(d.assets, d.transfers, st)["assets"]
+
+
+@register_sql("ops_approval_notices", with_views_recursive(_SIM_CTES, """
+SELECT 'info' AS type, 'user-tie' AS icon, 'Transfer Awaiting Final Approval' AS title,
+  'Transfer ' || t.transfer_id || ' approved by Ops Manager – needs your final decision' AS description,
+  'transfer' AS entity_type, s.tid AS entity_id, u.id AS user_id
+FROM sim s JOIN transfers t ON t.id = s.tid JOIN users u ON u.role IN ('Admin', 'Asset Manager')
+WHERE s.accepted AND s.stage = 'ops' AND s.action = 'approve'""", ["transfers", "decisions", "users"]))
+def q_ops_approval_notices(spark, d):
+    st = _fold(d)["state"]
+    return W.ops_approval_notices(st, d.transfers, d.users)
+
+
+@register_sql("cancel_transfers", with_views_and(f"""x AS (SELECT 1)
+SELECT * FROM transfers t WHERE NOT (t.status IN ('Pending', 'On Hold') AND EXISTS (
+  SELECT 1 FROM decisions d WHERE d.stage = 'cancel' AND d.transfer_key = t.id AND d.actor_role IN {WRITE}))""",
+                                                  ["transfers", "decisions"]))
+def q_cancel_transfers(spark, d):
+    req = d.decisions.where(F.col("stage") == "cancel").select(
+        F.col("transfer_key").cast("string").alias("key"), "actor_role")
+    return W.cancel_transfers(d.transfers, req)["transfers"]
+
+
+@register_sql("submit_transfers", with_views_and(f"""v AS (
+  SELECT * FROM submissions WHERE actor_role IN {WRITE}
+    AND transfer_id IS NOT NULL AND length(trim(transfer_id)) > 0
+    AND asset_key IS NOT NULL AND length(trim(asset_key)) > 0
+    AND destination IS NOT NULL AND length(trim(destination)) > 0
+    AND reason IS NOT NULL AND length(trim(reason)) > 0
+    AND priority IN ('Critical','High','Normal','Low'))
+SELECT v.transfer_id, a.id AS asset_id, a.location AS current_location, v.destination, v.priority,
+  'Field to Field' AS transfer_type, v.reason, {D} AS request_date, 'Pending' AS status
+FROM v JOIN assets a ON CAST(a.id AS STRING) = v.asset_key OR a.asset_id = v.asset_key""",
+                                                  ["submissions", "assets"]))
+def q_submit_transfers(spark, d):
+    out = W.submit_transfers(d.submissions, d.assets, d.users, AS_OF)["transfers"]
+    return out.select("transfer_id", "asset_id", "current_location", "destination", "priority",
+                      "transfer_type", "reason", "request_date", "status")
+
+
+# ====================================================================== stream cores (batch form)
+@register_sql("history_dedup", """
+SELECT DISTINCT user_id AS asset_id, CASE WHEN event_type = 'signup' THEN 'Created' ELSE 'Updated' END AS action,
+  date_trunc('hour', ts) AS changed_at FROM events""")
+def q_history_dedup(spark, d):
+    return K.dedup_changes(K.change_rows(d.t.events))
+
+
+_WINDOW_SQL = """
+SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
+  time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end,
+  user_id AS client, CAST(COUNT(*) AS BIGINT) AS requests,
+  CAST(COUNT(*) FILTER (WHERE event_type = 'signup') AS BIGINT) AS sign_ins
+FROM events GROUP BY 1, 2, 3"""
+
+
+@register_sql("quota_window_counts", _WINDOW_SQL)
+def q_quota_window_counts(spark, d):
+    return K.window_counts(d.access_log)
+
+
+@register_sql("quota_breaches", f"SELECT * FROM ({_WINDOW_SQL}) w WHERE requests > 200 OR sign_ins > 20")
+def q_quota_breaches(spark, d):
+    return K.quota_breaches(K.window_counts(d.access_log))

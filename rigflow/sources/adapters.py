@@ -258,6 +258,59 @@ class Domain:
                   "Viewer").alias("actor_role"),
         )
 
+    # ---- command batches derived from events (their size grows with the data)
+    def _actor(self, e: Column) -> Column:
+        return _case(e % 4, [(0, "Admin"), (1, "Asset Manager"), (2, "Editor")], "Viewer")
+
+    def _asset_key(self, e: Column, u: Column) -> Column:
+        return F.when(e % 2 == 0, u.cast("string")).otherwise(
+            F.concat(F.lit("AST-"), _lpad(u + 1400, 6)))
+
+    @cached_property
+    def asset_patches(self) -> DataFrame:
+        e, u, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
+        return self.t.events.select(
+            e.alias("seq"), self._asset_key(e, u).alias("key"), self._actor(e).alias("role"),
+            _case(et, [("error", "Maintenance"), ("purchase", "Active")], None).alias("status"),
+            F.when(et == "view", F.concat(F.lit("Yard "), (u % 7).cast("string"))).alias("location"),
+            F.when(et == "signup", (F.col("value") * 100).cast("decimal(18,2)")).alias("value_usd"))
+
+    @cached_property
+    def asset_creates(self) -> DataFrame:
+        e, u, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
+        return self.t.events.select(
+            e.alias("seq"), (u * 11 + 1000000).alias("id"),
+            F.concat(F.lit("AST-"), _lpad(u * 11, 6)).alias("asset_id"),
+            F.when(e % 10 == 0, F.lit(" ")).otherwise(F.concat(F.lit("New asset "), e.cast("string"))).alias("name"),
+            _case(et, [("signup", "Other"), ("click", "Transportation")], "Bogus").alias("category"),
+            self._actor(e).alias("role"))
+
+    @cached_property
+    def completions(self) -> DataFrame:
+        e, u = F.col("event_id"), F.col("user_id")
+        ev = self.t.events.where(F.col("event_type") == "purchase")
+        return ev.select(
+            e.alias("seq"),
+            F.when(e % 2 == 0, u.cast("string"))
+             .otherwise(F.concat(F.lit("PM-"), _lpad(u + 14900, 7))).alias("schedule_key"),
+            F.col("ts").cast("date").alias("completion_date"),
+            F.when(e % 9 == 0, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("tech-"), (e % 13).cast("string"))).alias("completed_by"),
+            F.col("value").cast("decimal(6,2)").alias("actual_hours"),
+            F.when(e % 3 == 0, F.date_add(F.col("ts").cast("date"), 45)).alias("next_due_date"))
+
+    @cached_property
+    def submissions(self) -> DataFrame:
+        e, u = F.col("event_id"), F.col("user_id")
+        ev = self.t.events.where(F.col("event_type") == "view")
+        return ev.select(
+            e.alias("seq"), F.concat(F.lit("TRQ-"), e.cast("string")).alias("transfer_id"),
+            self._asset_key(e, u).alias("asset_key"),
+            F.concat(F.lit("Site "), (u % 25).cast("string")).alias("destination"),
+            F.when(e % 7 == 0, F.lit("")).otherwise(F.lit("relocation")).alias("reason"),
+            _case(e % 5, [(0, "Critical"), (1, "High"), (2, "Normal"), (3, "Low")], "Urgent").alias("priority"),
+            self._actor(e).alias("actor_role"))
+
     @cached_property
     def access_log(self) -> DataFrame:
         return self.t.events.select("ts", F.col("user_id").alias("client"),
@@ -330,6 +383,34 @@ FROM orders WHERE o_orderkey % 3 = 0""",
 }
 
 
+_ACTOR = "CASE event_id % 4 WHEN 0 THEN 'Admin' WHEN 1 THEN 'Asset Manager' WHEN 2 THEN 'Editor' ELSE 'Viewer' END"
+_AKEY = ("CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) "
+         "ELSE concat('AST-', lpad(CAST(user_id + 1400 AS STRING), 6, '0')) END")
+ADAPTER_SQL.update({
+    "asset_patches": f"""SELECT event_id AS seq, {_AKEY} AS key, {_ACTOR} AS role,
+       CASE event_type WHEN 'error' THEN 'Maintenance' WHEN 'purchase' THEN 'Active' END AS status,
+       CASE WHEN event_type = 'view' THEN concat('Yard ', CAST(user_id % 7 AS STRING)) END AS location,
+       CASE WHEN event_type = 'signup' THEN CAST(value * 100 AS DECIMAL(18,2)) END AS value_usd FROM events""",
+    "asset_creates": f"""SELECT event_id AS seq, user_id * 11 + 1000000 AS id,
+       concat('AST-', lpad(CAST(user_id * 11 AS STRING), 6, '0')) AS asset_id,
+       CASE WHEN event_id % 10 = 0 THEN ' ' ELSE concat('New asset ', CAST(event_id AS STRING)) END AS name,
+       CASE event_type WHEN 'signup' THEN 'Other' WHEN 'click' THEN 'Transportation' ELSE 'Bogus' END AS category,
+       {_ACTOR} AS role FROM events""",
+    "completions": """SELECT event_id AS seq,
+       CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING)
+            ELSE concat('PM-', lpad(CAST(user_id + 14900 AS STRING), 7, '0')) END AS schedule_key,
+       CAST(ts AS DATE) AS completion_date,
+       CASE WHEN event_id % 9 = 0 THEN NULL ELSE concat('tech-', CAST(event_id % 13 AS STRING)) END AS completed_by,
+       CAST(value AS DECIMAL(6,2)) AS actual_hours,
+       CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) + 45 END AS next_due_date
+FROM events WHERE event_type = 'purchase'""",
+    "submissions": f"""SELECT event_id AS seq, concat('TRQ-', CAST(event_id AS STRING)) AS transfer_id,
+       {_AKEY} AS asset_key, concat('Site ', CAST(user_id % 25 AS STRING)) AS destination,
+       CASE WHEN event_id % 7 = 0 THEN '' ELSE 'relocation' END AS reason,
+       CASE event_id % 5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Normal' WHEN 3 THEN 'Low' ELSE 'Urgent' END AS priority,
+       {_ACTOR} AS actor_role FROM events WHERE event_type = 'view'""",
+})
+
 def with_views(sql: str, names: list[str]) -> str:
     """Prefix ``sql`` with the named adapter views as CTEs."""
     if not names:
@@ -342,3 +423,9 @@ def with_views_recursive(recursive_ctes: str, sql: str, names: list[str]) -> str
     """``WITH RECURSIVE <adapter views>, <recursive_ctes> <sql>`` for the tree oracles."""
     ctes = ",\n".join(f"{n} AS (\n{ADAPTER_SQL[n]}\n)" for n in names)
     return f"WITH RECURSIVE {ctes},\n{recursive_ctes}\n{sql}"
+
+
+def with_views_and(body: str, names: list[str]) -> str:
+    """``WITH <adapter views>, <body>`` where ``body`` continues the CTE list."""
+    ctes = ",\n".join(f"{n} AS (\n{ADAPTER_SQL[n]}\n)" for n in names)
+    return f"WITH {ctes},\n{body}"
