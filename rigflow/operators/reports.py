@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import status as S
 from . import enrich as E
 
-ZERO = F.lit(0).cast("bigint")
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
 
 
 def _cnt(pred: Column) -> Column:
@@ -23,7 +24,7 @@ def _cnt(pred: Column) -> Column:
 
 
 def _z(c: str) -> Column:
-    return F.coalesce(F.col(c), ZERO).alias(c)
+    return F.coalesce(F.col(c), _zero()).alias(c)
 
 
 def _money_sum(col: str) -> Column:
@@ -95,14 +96,14 @@ def schedules_per_rig(assets: DataFrame, schedules: DataFrame, as_of=None) -> Da
     pa = schedules_per_asset(schedules, as_of)
     a = assets.select(F.col("id").alias("_id"), F.col("rig_id").alias("_rig")).where(F.col("_rig").isNotNull())
     j = a.join(pa, a["_id"] == pa["_ka"], "left")
-    n = F.coalesce(F.col("n_sched"), ZERO)
+    n = F.coalesce(F.col("n_sched"), _zero())
     return (j.groupBy(F.col("_rig").alias("_k"))
             .agg(F.count("*").alias("asset_count_distinct"),
                  F.sum(F.greatest(n, F.lit(1).cast("bigint"))).cast("bigint").alias("asset_count_fanout"),
                  F.sum(n).cast("bigint").alias("total_tasks"),
-                 F.sum(F.coalesce("n_overdue", ZERO)).cast("bigint").alias("overdue"),
-                 F.sum(F.coalesce("n_due_soon", ZERO)).cast("bigint").alias("due_soon"),
-                 F.sum(F.coalesce("n_completed", ZERO)).cast("bigint").alias("completed")))
+                 F.sum(F.coalesce("n_overdue", _zero())).cast("bigint").alias("overdue"),
+                 F.sum(F.coalesce("n_due_soon", _zero())).cast("bigint").alias("due_soon"),
+                 F.sum(F.coalesce("n_completed", _zero())).cast("bigint").alias("completed")))
 
 
 def _rigs_with(rigs: DataFrame, per_rig: DataFrame, cols: list[str]) -> DataFrame:
@@ -137,7 +138,7 @@ def rig_list(rigs: DataFrame, companies: DataFrame, assets: DataFrame, schedules
     r = E.rig_detail(rigs, companies)
     out = r.join(per, r["id"] == per["_k"], "left").drop("_k")
     for c in ("asset_count", "pm_count", "overdue_pm"):
-        out = out.withColumn(c, F.coalesce(F.col(c), ZERO))
+        out = out.withColumn(c, F.coalesce(F.col(c), _zero()))
     return out.orderBy("rig_id")
 
 
@@ -155,7 +156,7 @@ def company_list(companies: DataFrame, contracts: DataFrame, rigs: DataFrame,
     for df, name in ((contracts, "contract_count"), (rigs, "rig_count"), (assets, "asset_count")):
         p = per(df, name)
         out = out.join(p, out["id"] == p[f"_k_{name}"], "left").drop(f"_k_{name}")
-        out = out.withColumn(name, F.coalesce(F.col(name), ZERO))
+        out = out.withColumn(name, F.coalesce(F.col(name), _zero()))
     return out.orderBy("name")
 
 
@@ -180,7 +181,7 @@ def maintenance_list(schedules: DataFrame, assets: DataFrame, rigs: DataFrame, l
     out = E.enrich_maintenance(schedules, assets, rigs, as_of, keep=S.CLOSED)
     lc = logs_per_schedule(logs)
     out = (out.join(lc, out["id"] == lc["_k_l"], "left").drop("_k_l")
-           .withColumn("log_count", F.coalesce(F.col("log_count"), ZERO)))
+           .withColumn("log_count", F.coalesce(F.col("log_count"), _zero())))
     return out.orderBy(S.urgency_rank(as_of=as_of), F.col("next_due_date").asc_nulls_last(), "id")
 
 
@@ -363,5 +364,5 @@ def notification_counts(notifs: DataFrame, users: DataFrame) -> DataFrame:
     out = u.join(own, u["user_id"] == own["_k_u"], "left")
     return out.select(
         "user_id",
-        (F.coalesce("_own", ZERO) + s.getField("broadcast_total")).alias("visible"),
-        (F.coalesce("_own_unread", ZERO) + s.getField("broadcast_unread")).alias("unread"))
+        (F.coalesce("_own", _zero()) + s.getField("broadcast_total")).alias("visible"),
+        (F.coalesce("_own_unread", _zero()) + s.getField("broadcast_unread")).alias("unread"))
