@@ -27,8 +27,10 @@ def page(df: DataFrame, order: list[Column | str], page_no: int = 1, limit: int
 
 
 def with_total(df: DataFrame) -> DataFrame:
-    """Add ``total``: the full match count beside each row (``count(*) OVER ()``)."""
-    return df.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    """Add ``total``: the full match count beside each row. The count is a scalar
+    subquery (partial counts per task, one merge), not ``count(*) OVER ()``, which would
+    move every row into a single partition."""
+    return df.withColumn("total", df.select(F.count(F.lit(1))).scalar())
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,

@@ -366,3 +366,26 @@ def notification_counts(notifs: DataFrame, users: DataFrame) -> DataFrame:
         "user_id",
         (F.coalesce("_own", _zero()) + s.getField("broadcast_total")).alias("visible"),
         (F.coalesce("_own_unread", _zero()) + s.getField("broadcast_unread")).alias("unread"))
+
+
+# ------------------------------------------------------------------ A5 dashboard document
+def dashboard_document(spark: SparkSession, assets, rigs, contracts, schedules, transfers, notifs,
+                       companies, as_of=None, k: int = 10) -> DataFrame:
+    """A5 re-aimed: the dashboard's nested reply as rows of one frame, one row per item:
+    ``section`` (kpis / byRig / upcomingMaintenance / expiringContracts), ``item_key``,
+    ``ord`` (the section's order) and ``payload`` (the item as JSON). Sections are never
+    gathered into one row, so a section of any size stays distributed; ``write.json``
+    writes it from the tasks."""
+    kpis = dashboard_kpis(spark, assets, rigs, contracts, schedules, transfers, notifs, as_of)
+    kp = kpis.select(F.lit("kpis").alias("section"), F.lit("all").alias("item_key"),
+                     F.lit(0).cast("bigint").alias("ord"), F.to_json(F.struct(*kpis.columns)).alias("payload"))
+    br = dashboard_by_rig(rigs, assets, schedules, as_of)
+    by = br.select(F.lit("byRig").alias("section"), F.col("rig_id").alias("item_key"),
+                   F.lit(None).cast("bigint").alias("ord"), F.to_json(F.struct(*br.columns)).alias("payload"))
+    up = upcoming_maintenance(schedules, assets, rigs, as_of, k)
+    u = up.select(F.lit("upcomingMaintenance").alias("section"), F.col("pm_id").alias("item_key"),
+                  F.lit(None).cast("bigint").alias("ord"), F.to_json(F.struct(*up.columns)).alias("payload"))
+    ec = contracts_lapsing(contracts, companies, rigs, as_of)
+    c = ec.select(F.lit("expiringContracts").alias("section"), F.col("contract_no").alias("item_key"),
+                  F.lit(None).cast("bigint").alias("ord"), F.to_json(F.struct(*ec.columns)).alias("payload"))
+    return kp.unionByName(by).unionByName(u).unionByName(c)

@@ -18,9 +18,12 @@ moment. No per-row Python, no loop over data.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Who may decide at each stage, and the action → status maps.
 STAGE_ROLES = {
     "ops": ("Admin", "Operations Manager"),
@@ -33,6 +36,11 @@ MGR_RESULT = {"approve": "Completed", "reject": "Rejected", "hold": "On Hold"}
 REMOVED = "Removed"
 
 
+def _ckpt(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _case(col: Column, mapping: dict) -> Column:
     out = None
     for k, v in mapping.items():
@@ -89,6 +97,8 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
     found = F.col("_tk").isNotNull()
     valid = ev.where(found & F.col("pre_reason").isNull()).select(
         F.col("transfer_key").alias("_t"), "seq", "stage", "action", "comment", "actor_role", "actor_id", "ts")
+    # read by all three rounds: kept once (recomputed from lineage if an executor is lost)
+    valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
 
     state = known.select(F.col("_tk").alias("_t"), F.col("s0").alias("state"),
                          F.lit(None).cast("bigint").alias("last_seq"))
@@ -109,9 +119,12 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
                           F.when(F.col("_s").isNotNull(), _transition(F.col("state"), F.col("_st"), F.col("_a")))
                            .otherwise(F.col("state")).alias("state"),
                           F.coalesce(F.col("_s"), F.col("last_seq")).alias("last_seq"))
-        accepted.append(step)
+        # one row per transfer: materialised each round so lineage stays one round deep
+        state = _ckpt(state)
+        accepted.append(_ckpt(step))
 
     acc = accepted[0].unionByName(accepted[1]).unionByName(accepted[2])
+    valid.unpersist()
     # state after each accepted event, to place rejected events in time
     chain = acc.select("_t", "seq", "round", "stage", "action")
     per = (chain.groupBy("_t")

@@ -311,6 +311,13 @@ class Domain:
             _case(e % 5, [(0, "Critical"), (1, "High"), (2, "Normal"), (3, "Low")], "Urgent").alias("priority"),
             self._actor(e).alias("actor_role"))
 
+    @cached_property
+    def sessions(self) -> DataFrame:
+        """Sign-in sessions: one per signup event, valid for seven days."""
+        ev = self.t.events.where(F.col("event_type") == "signup")
+        return ev.select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"),
+                         (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+
     @cached_property
     def access_log(self) -> DataFrame:
         return self.t.events.select("ts", F.col("user_id").alias("client"),
@@ -380,6 +387,8 @@ FROM orders WHERE o_orderkey % 3 = 0""",
        CASE WHEN event_id % 10 = 0 THEN ' ' ELSE 'ok' END AS comment,
        CASE event_id % 4 WHEN 0 THEN 'Admin' WHEN 1 THEN 'Asset Manager' WHEN 2 THEN 'Operations Manager' ELSE 'Viewer' END AS actor_role FROM events""",
     "access_log": """SELECT ts, user_id AS client, event_type AS path FROM events""",
+    "sessions": """SELECT event_id AS id, user_id, ts AS created_at, ts + INTERVAL 7 DAYS AS expires_at
+FROM events WHERE event_type = 'signup'""",
 }
 
 
