@@ -1,11 +1,14 @@
 """Bill-of-material hierarchy: tree levels, outline order, subtrees and cost roll-ups.
 
 The walk is a frontier loop: one equi-join of the current level with the child edges per
-level, until a level is empty. The edge table is checkpointed once (reliable checkpoint
-in the folder of ``spark.checkpoint.dir``) and every level is checkpointed, so lineage
-stays one level deep and a lost executor recomputes at most one join. The number of
-jobs grows with the tree depth, not with the data. A hot parent (many children) is a
-skewed join key on the edge side, which AQE's skew-join splitting handles.
+level, until a level is empty. The edge table is written once, and every fourth level is
+written too (Parquet tables in the folder of ``spark.checkpoint.dir``, row count observed
+during the write); levels in between are cached and counted. Each level costs one job,
+and a lost executor recomputes at most four level joins. The number of
+jobs grows with the tree depth, not with the data. Each level's frontier is counted once
+materialised; under ``BROADCAST_ROWS`` it is broadcast into the edge scan (the edges never
+move), above it the level is a shuffle join where a hot parent is a skewed key that AQE's
+skew-join splitting handles.
 
 Semantics kept from the source:
 - tree: roots are items with a NULL parent; children are looked up inside the same
@@ -16,10 +19,11 @@ Semantics kept from the source:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 MAX_DEPTH = 10_000
 
@@ -29,7 +33,28 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+# Every CUT_EVERY-th level is written to the checkpoint folder (lineage cut); the levels
+# between are cached (memory, spilling to disk) and counted in the same single job.
+CUT_EVERY = 4
+
+
+def _keep(df: DataFrame, depth: int, name: str) -> tuple[DataFrame, int]:
+    if depth % CUT_EVERY == 0:
+        return materialize(df, name)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count()
+
+
+# A frontier is broadcast to the edge scan only when its exact row count (known after it
+# is materialised) is under this bound; beyond it the level is a shuffle join.
+BROADCAST_ROWS = 2_000_000
+
+
+def _side(level: DataFrame, rows: int, bound: int) -> DataFrame:
+    return F.broadcast(level) if rows <= bound else level
+
+
+def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every node reachable from a root, per asset.
 
     Columns: id, asset_id, parent_id, name, depth, root_id, path_ids ('/'-joined ids from
@@ -37,18 +62,19 @@ def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     root: ordering by (asset_id, sort_path) is the nested document's order, siblings by
     name), and the item's remaining columns are left out (join back on id).
     """
-    base = items.select("id", "asset_id", "parent_id", "name")
-    edges = _ckpt(base.where(F.col("parent_id").isNotNull()))
+    # the items are read (and derived) once: edges and roots both come from this table
+    base, _ = materialize(items.select("id", "asset_id", "parent_id", "name"), "nodes")
+    edges = base.where(F.col("parent_id").isNotNull())
     level = base.where(F.col("parent_id").isNull()).select(
         "id", "asset_id", "parent_id", "name", F.lit(0).alias("depth"), F.col("id").alias("root_id"),
         F.col("id").cast("string").alias("path_ids"), F.col("name").alias("path_names"),
         F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i"))).alias("sort_path"))
-    level = _ckpt(level)
+    level, rows = _keep(level, 0, "level")
     levels = [level]
     depth = 0
-    while depth < max_depth:
-        f = level.select(F.col("id").alias("_p"), F.col("asset_id").alias("_a"), "depth", "root_id",
-                         "path_ids", "path_names", "sort_path")
+    while depth < max_depth and rows > 0:
+        f = _side(level.select(F.col("id").alias("_p"), F.col("asset_id").alias("_a"), "depth", "root_id",
+                               "path_ids", "path_names", "sort_path"), rows, broadcast_rows)
         nxt = edges.join(f, (edges["parent_id"] == f["_p"]) & (edges["asset_id"] == f["_a"]), "inner")
         nxt = nxt.select(
             "id", "asset_id", "parent_id", "name", (F.col("depth") + 1).alias("depth"), "root_id",
@@ -56,8 +82,8 @@ def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             F.concat_ws(" / ", "path_names", "name").alias("path_names"),
             F.concat(F.col("sort_path"), F.array(F.struct(F.col("name").alias("n"),
                                                           F.col("id").alias("i")))).alias("sort_path"))
-        nxt = _ckpt(nxt)
-        if nxt.isEmpty():
+        nxt, rows = _keep(nxt, depth + 1, "level")
+        if rows == 0:
             break
         levels.append(nxt)
         level = nxt
@@ -93,26 +119,26 @@ def bom_tree_summary(items: DataFrame, tree: DataFrame | None = None) -> DataFra
 
 
 def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
-            max_depth: int = MAX_DEPTH) -> DataFrame:
+            max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every descendant of each seed item (the seed itself at depth 0), following
     parent links across the whole table. Columns: seed_id, id, depth.
 
     Every item has one parent, so a walk can only come back to a node it has seen by
     returning to its own seed (the seed lies on a cycle); that is the one stop needed.
     """
-    edges = _ckpt(items.select("id", "parent_id").where(F.col("parent_id").isNotNull()))
-    level = _ckpt(seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
-                  .join(items.select("id"), F.col("seed_id") == F.col("id"), "inner")
-                  .select("seed_id", "id", F.lit(0).alias("depth")))
+    edges, _ = materialize(items.select("id", "parent_id").where(F.col("parent_id").isNotNull()), "edges")
+    level, rows = materialize(seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
+                              .join(items.select("id"), F.col("seed_id") == F.col("id"), "inner")
+                              .select("seed_id", "id", F.lit(0).alias("depth")), "seeds")
     levels = [level]
     depth = 0
-    while depth < max_depth:
-        f = level.select("seed_id", F.col("id").alias("_p"), "depth")
+    while depth < max_depth and rows > 0:
+        f = _side(level.select("seed_id", F.col("id").alias("_p"), "depth"), rows, broadcast_rows)
         nxt = (edges.join(f, edges["parent_id"] == f["_p"], "inner")
                .where(F.col("id") != F.col("seed_id"))
                .select("seed_id", "id", (F.col("depth") + 1).alias("depth")))
-        nxt = _ckpt(nxt)
-        if nxt.isEmpty():
+        nxt, rows = _keep(nxt, depth + 1, "level")
+        if rows == 0:
             break
         levels.append(nxt)
         level = nxt

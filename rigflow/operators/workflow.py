@@ -119,12 +119,11 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
                           F.when(F.col("_s").isNotNull(), _transition(F.col("state"), F.col("_st"), F.col("_a")))
                            .otherwise(F.col("state")).alias("state"),
                           F.coalesce(F.col("_s"), F.col("last_seq")).alias("last_seq"))
-        # one row per transfer: materialised each round so lineage stays one round deep
-        state = _ckpt(state)
-        accepted.append(_ckpt(step))
+        # one row per transfer; cached so the next round and the final joins reuse it
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        accepted.append(step.persist(StorageLevel.MEMORY_AND_DISK))
 
     acc = accepted[0].unionByName(accepted[1]).unionByName(accepted[2])
-    valid.unpersist()
     # state after each accepted event, to place rejected events in time
     chain = acc.select("_t", "seq", "round", "stage", "action")
     per = (chain.groupBy("_t")
@@ -247,14 +246,23 @@ def cancel_transfers(transfers: DataFrame, requests: DataFrame, key_cols: list[s
     return {"transfers": table, "rejected": r.where(F.col("reason").isNotNull()).drop("_sid", "_st")}
 
 
-def notify_role(messages: DataFrame, users: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+def notify_role(messages: DataFrame, users: DataFrame, roles: tuple[str, ...],
+                salts: int | None = None) -> DataFrame:
     """One notice per (message, user whose role is in ``roles``), users active or not.
 
-    An equi-join on role: each message is tagged with the target roles (a short fixed list)
-    and joined to users by role, so only real recipients are paired."""
-    m = messages.withColumn("_role", F.explode(F.array(*[F.lit(r) for r in roles])))
-    u = users.select(F.col("id").alias("user_id"), F.col("role").alias("_urole"))
-    return m.join(u, m["_role"] == u["_urole"], "inner").drop("_role", "_urole")
+    An equi-join on (role, salt): a role has few distinct values, so joining on it alone
+    would send every recipient of a role to one task once the users side is too big to
+    broadcast. Users are spread over ``salts`` buckets by a hash of their id and every
+    message is copied once per bucket; each (message, user) pair still meets exactly once.
+    """
+    n = salts or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = (messages.withColumn("_role", F.explode(F.array(*[F.lit(r) for r in roles])))
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
+    u = (users.where(F.col("role").isin(*roles))
+         .select(F.col("id").alias("user_id"), F.col("role").alias("_urole"),
+                 F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_usalt")))
+    cond = (m["_role"] == u["_urole"]) & (m["_salt"] == u["_usalt"])
+    return m.join(u, cond, "inner").drop("_role", "_urole", "_salt", "_usalt")
 
 
 def ops_approval_notices(state: DataFrame, transfers: DataFrame, users: DataFrame, key: str = "id") -> DataFrame:

@@ -5,10 +5,11 @@ Nothing here creates global state; operators take DataFrames and return DataFram
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings this library relies on. AQE re-plans joins from runtime sizes (a size-checked
 # broadcast with sort-merge beyond it), coalesces small shuffle partitions and splits
@@ -21,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -55,3 +57,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="rigflow-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def materialize(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+    """Write ``df`` as a Parquet table under the checkpoint folder and read it back.
+
+    One job: the row count is observed while writing (``Observation``), so no second pass.
+    The returned frame's lineage starts at the written files (a lost executor never
+    recomputes what came before), and Spark sizes it from the real file sizes.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/rigflow-{name}-{uuid.uuid4().hex}"
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    rows = int(obs.get["n"])
+    return spark.read.parquet(path), rows
