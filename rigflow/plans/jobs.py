@@ -524,3 +524,29 @@ def q_quota_window_counts(spark, d):
 @register_sql("quota_breaches", f"SELECT * FROM ({_WINDOW_SQL}) w WHERE requests > 200 OR sign_ins > 20")
 def q_quota_breaches(spark, d):
     return K.quota_breaches(K.window_counts(d.access_log))
+
+
+@register_sql("mark_read", with_views_and("""r AS (SELECT DISTINCT event_id AS id FROM events WHERE event_type = 'view')
+SELECT n.id, n.user_id, n.entity_type, n.entity_id,
+  CASE WHEN n.id IN (SELECT id FROM r) THEN true ELSE n.is_read END AS is_read, n.created_at
+FROM notifications n""", ["notifications"]))
+def q_mark_read(spark, d):
+    ids = d.t.events.where(F.col("event_type") == "view").select(F.col("event_id").alias("id"))
+    return C.mark_read(d.notifications, ids)
+
+
+_DEL_REQ = """SELECT event_id AS id,
+  CASE WHEN event_id % 2 = 0 THEN user_id ELSE (user_id + 1) % 150 END AS user_id
+FROM events WHERE event_type = 'error'"""
+
+
+@register_sql("delete_notifications", with_views_and(f"""r AS ({_DEL_REQ})
+SELECT n.* FROM notifications n
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = n.id AND (n.user_id IS NULL OR n.user_id = r.user_id))""",
+                                                      ["notifications"]))
+def q_delete_notifications(spark, d):
+    e = d.t.events.where(F.col("event_type") == "error")
+    req = e.select(F.col("event_id").alias("id"),
+                   F.when(F.col("event_id") % 2 == 0, F.col("user_id"))
+                    .otherwise((F.col("user_id") + 1) % 150).alias("user_id"))
+    return C.delete_notifications(d.notifications, req)
