@@ -88,3 +88,24 @@ def test_apply_state_and_notices(spark):
                                   "id string, role string")
     n = W.ops_approval_notices(res["state"], tdf, users)
     assert sorted(r.user_id for r in n.collect()) == ["U1", "U2"]
+
+
+def test_salted_role_fan_out_pairs_each_recipient_once(spark):
+    users = spark.createDataFrame([(f"U{i}", "Admin" if i % 10 else "Viewer") for i in range(500)],
+                                  "id string, role string")
+    msgs = spark.createDataFrame([(f"M{j}",) for j in range(7)], "entity_id string")
+    out = W.notify_role(msgs, users, ("Admin", "Asset Manager"), salts=5)
+    pairs = [(r.entity_id, r.user_id) for r in out.collect()]
+    assert len(pairs) == len(set(pairs)) == 7 * 450
+
+
+def test_hot_transfer_fold(spark):
+    """One transfer carries most events: the grouped fold still picks the first valid ones."""
+    rows = [(i, "HOT", "mgr", "approve", "ok", "Admin") for i in range(1, 3000)]
+    rows[1500] = (1501, "HOT", "ops", "approve", "ok", "Admin")
+    rows += [(5000, "COLD", "cancel", None, None, "Editor")]
+    tdf = spark.createDataFrame([("HOT", "Pending"), ("COLD", "Pending")], "id string, status string")
+    ddf = spark.createDataFrame(rows, "seq long, transfer_key string, stage string, action string, "
+                                      "comment string, actor_role string")
+    st = {r.transfer_key: (r.status, r.ops_seq, r.mgr_seq) for r in W.fold_decisions(tdf, ddf)["state"].collect()}
+    assert st["HOT"] == ("Completed", 1501, 1502) and st["COLD"][0] == W.REMOVED
