@@ -550,3 +550,29 @@ def q_delete_notifications(spark, d):
                    F.when(F.col("event_id") % 2 == 0, F.col("user_id"))
                     .otherwise((F.col("user_id") + 1) % 150).alias("user_id"))
     return C.delete_notifications(d.notifications, req)
+
+
+@register_sql("with_defaults", with_views_and(f"""acc AS (SELECT * FROM asset_creates p WHERE {_ASSET_RULES})
+SELECT seq, id, asset_id, name, category, 'Active' AS status, CAST(0 AS DECIMAL(18,2)) AS value_usd,
+  'Site unknown' AS location FROM acc""", ["asset_creates"]))
+def q_with_defaults(spark, d):
+    acc = Q.validate_commands(d.asset_creates, "asset_create")["accepted"].drop("role")
+    return C.with_defaults(acc, {"status": "Active", "value_usd": F.lit(0).cast("decimal(18,2)"),
+                                 "location": "Site unknown"})
+
+
+@register_sql("submit_transfer_notices", with_views_and(f"""v AS (
+  SELECT * FROM submissions WHERE actor_role IN {WRITE}
+    AND transfer_id IS NOT NULL AND length(trim(transfer_id)) > 0
+    AND asset_key IS NOT NULL AND length(trim(asset_key)) > 0
+    AND destination IS NOT NULL AND length(trim(destination)) > 0
+    AND reason IS NOT NULL AND length(trim(reason)) > 0
+    AND priority IN ('Critical','High','Normal','Low')),
+ok AS (SELECT v.* FROM v WHERE EXISTS (SELECT 1 FROM assets a
+       WHERE CAST(a.id AS STRING) = v.asset_key OR a.asset_id = v.asset_key))
+SELECT 'info' AS type, 'exchange-alt' AS icon, 'New Transfer Request' AS title,
+  'Transfer request ' || ok.transfer_id || ' submitted for your review' AS description,
+  'transfer' AS entity_type, ok.transfer_id AS entity_id, u.id AS user_id
+FROM ok JOIN users u ON u.role = 'Operations Manager'""", ["submissions", "assets", "users"]))
+def q_submit_transfer_notices(spark, d):
+    return W.submit_transfers(d.submissions, d.assets, d.users, AS_OF)["notices"]

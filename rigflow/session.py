@@ -26,6 +26,30 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_tb: float, executors: int, cores_per_executor: int = 4,
+                 target_partition_mb: int = 256) -> dict[str, str]:
+    """Starting settings for a large cluster run (pass as ``extra`` or to spark-submit).
+
+    Shuffle partitions are sized so a partition holds ~``target_partition_mb`` of the input
+    (upper bound; AQE coalesces small ones and splits skewed ones at run time), scans read
+    ~``target_partition_mb`` per task, and the broadcast threshold stays fixed, so only sides
+    whose measured size is under it are broadcast.
+    """
+    total_mb = input_tb * 1024 * 1024
+    parts = max(executors * cores_per_executor * 2, int(total_mb / target_partition_mb))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{target_partition_mb * 2}m",
+        "spark.sql.files.maxPartitionBytes": f"{target_partition_mb}m",
+        "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "rigflow", extra: dict | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster, pass the cluster's own settings."""
