@@ -94,3 +94,31 @@ def test_completion_stream_writes_alerts(spark, scratch):
     assert s.next_due_date == dt.date(2025, 2, 17)
     a = spark.read.parquet(os.path.join(scratch, "o", "alerts")).first()
     assert (a.total_tasks, a.due_soon, a.overdue) == (1, 0, 0)
+
+
+def test_stateful_workflow_stream_equals_batch_fold(spark, scratch):
+    import random
+    rnd = random.Random(3)
+    transfers = spark.createDataFrame([(f"T{i}", rnd.choice(["Pending", "Pending", "Ops Approved", "On Hold"]))
+                                       for i in range(40)], "id string, status string")
+    rows, seq = [], 0
+    for _ in range(400):
+        seq += 1
+        rows.append((seq, f"T{rnd.randrange(42)}", rnd.choice(["ops", "mgr", "cancel"]),
+                     rnd.choice(["approve", "reject", "hold"]), rnd.choice(["ok", " "]),
+                     rnd.choice(["Admin", "Asset Manager", "Operations Manager", "Editor", "Viewer"])))
+    schema = "seq long, transfer_key string, stage string, action string, comment string, actor_role string"
+    src = os.path.join(scratch, "dec")
+    for part in range(4):
+        spark.createDataFrame(rows[part * 100:(part + 1) * 100], schema).coalesce(1).write.parquet(
+            os.path.join(src, f"p{part}"))
+    stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    out = os.path.join(scratch, "tws")
+    q = (J.transfer_state_stream(stream, transfers).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(scratch, "ck5")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.seq: (r.accepted, r.reason) for r in spark.read.parquet(out).collect()}
+    batch = W.fold_decisions(transfers, spark.createDataFrame(rows, schema))["events"]
+    want = {r.seq: (r.accepted, r.reason) for r in batch.collect()}
+    assert got == want
