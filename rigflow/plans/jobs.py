@@ -576,3 +576,38 @@ SELECT 'info' AS type, 'exchange-alt' AS icon, 'New Transfer Request' AS title,
 FROM ok JOIN users u ON u.role = 'Operations Manager'""", ["submissions", "assets", "users"]))
 def q_submit_transfer_notices(spark, d):
     return W.submit_transfers(d.submissions, d.assets, d.users, AS_OF)["notices"]
+
+
+# ====================================================================== output convention
+# Oracle result columns of type DATE, cast to TIMESTAMP like the Spark side
+# (``dates_as_timestamps``), so both engines return the same column types.
+ORACLE_DATE_COLUMNS = {
+    "contract_list": ["start_date", "end_date"],
+    "contracts_enriched": ["start_date", "end_date"],
+    "contracts_expiring_30": ["start_date", "end_date"],
+    "contracts_lapsing": ["end_date"],
+    "maintenance_list": ["next_due_date"],
+    "maintenance_overdue": ["next_due_date"],
+    "maintenance_due_soon": ["next_due_date"],
+    "maintenance_stored_status": ["next_due_date"],
+    "maintenance_by_urgency_page": ["next_due_date"],
+    "maintenance_enriched": ["next_due_date", "today"],
+    "maintenance_alerts": ["next_due_date"],
+    "upcoming_maintenance": ["next_due_date"],
+    "assets_enriched": ["contract_end_date"],
+    "transfers_enriched": ["request_date"],
+    "transfers_page": ["request_date"],
+    "certificates_enriched": ["expiry_date"],
+    "schedule_logs": ["next_due_date", "log_completion_date"],
+    "delete_cascade": ["next_due_date"],
+    "complete_maintenance_schedules": ["next_due_date", "last_done_date"],
+    "complete_maintenance_logs": ["completion_date", "next_due_date"],
+    "certificate_refresh": ["expiry_date"],
+    "transfer_final_state": ["ops_date", "mgr_date"],
+    "cancel_transfers": ["request_date"],
+    "submit_transfers": ["request_date"],
+}
+
+for _name, _cols in ORACLE_DATE_COLUMNS.items():
+    _rep = ", ".join(f"CAST({c} AS TIMESTAMP) AS {c}" for c in _cols)
+    ORACLE[_name] = f"SELECT * REPLACE ({_rep}) FROM (\n{ORACLE[_name]}\n) _q"
