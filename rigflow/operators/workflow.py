@@ -104,7 +104,9 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
                          F.lit(None).cast("bigint").alias("last_seq"))
     accepted = []
     for rnd in (1, 2, 3):
-        cand = valid.join(state, "_t", "inner").where(
+        # only transfers still able to accept an event meet the event stream
+        live = state.where(F.col("state").isin("Pending", "Ops Approved", "On Hold"))
+        cand = valid.join(live, "_t", "inner").where(
             _allowed(F.col("state")) & (F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))))
         first = (cand.groupBy("_t")
                  .agg(F.min(F.struct("seq", "stage", "action", "comment", "actor_role", "actor_id", "ts"))
