@@ -133,15 +133,22 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "id"
 
 def orphan_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
     """Every dangling reference across the given tables: (child_table, fk, parent_table,
-    child_id, missing_key)."""
-    parts = []
+    child_id, missing_key). References are grouped by parent table: the union of all
+    references to one parent meets that parent's keys in a single anti join."""
+    by_parent: dict[str, list[DataFrame]] = {}
     for child, fk, parent, _ in fks:
         if child in tables and parent in tables and fk in tables[child].columns:
-            o = orphans(tables[child], fk, tables[parent])
-            parts.append(o.select(F.lit(child).alias("child_table"), F.lit(fk).alias("fk"),
-                                  F.lit(parent).alias("parent_table"),
-                                  F.col("id").cast("string").alias("child_id"),
-                                  F.col(fk).cast("string").alias("missing_key")))
+            refs = tables[child].where(F.col(fk).isNotNull()).select(
+                F.lit(child).alias("child_table"), F.lit(fk).alias("fk"), F.lit(parent).alias("parent_table"),
+                F.col("id").cast("string").alias("child_id"), F.col(fk).alias("_ref"))
+            by_parent.setdefault(parent, []).append(refs)
+    parts = []
+    for parent, refs in by_parent.items():
+        r = reduce(lambda a, b: a.unionByName(b), refs)
+        keys = tables[parent].select(F.col("id").alias("_pk"))
+        parts.append(r.join(keys, r["_ref"] == keys["_pk"], "left_anti")
+                     .select("child_table", "fk", "parent_table", "child_id",
+                             F.col("_ref").cast("string").alias("missing_key")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
