@@ -23,16 +23,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import materialize
 
 MAX_DEPTH = 10_000
 
 
-def _ckpt(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 # Every CUT_EVERY-th level is written to the checkpoint folder (lineage cut); the levels
 # between are cached (memory, spilling to disk) and counted in the same single job.
 CUT_EVERY = 4
@@ -45,6 +40,17 @@ def _keep(df: DataFrame, depth: int, name: str) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+def _finish(levels: list[DataFrame], name: str) -> DataFrame:
+    """All levels as one written table; the cached levels are released."""
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    result, _ = materialize(out, name)
+    for lv in levels:
+        lv.unpersist()
+    return result
+
+
 # A frontier is broadcast to the edge scan only when its exact row count (known after it
 # is materialised) is under this bound; beyond it the level is a shuffle join.
 BROADCAST_ROWS = 2_000_000
@@ -88,10 +94,7 @@ def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH, broadcast_rows: int =
         levels.append(nxt)
         level = nxt
         depth += 1
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    return _finish(levels, "tree")
 
 
 def bom_outline(items: DataFrame) -> DataFrame:
@@ -143,10 +146,7 @@ def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
         levels.append(nxt)
         level = nxt
         depth += 1
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    return _finish(levels, "subtree")
 
 
 def subtree_counts(sub: DataFrame) -> DataFrame:

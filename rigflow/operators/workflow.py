@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 # Who may decide at each stage, and the action → status maps.
 STAGE_ROLES = {
@@ -36,11 +36,6 @@ MGR_RESULT = {"approve": "Completed", "reject": "Rejected", "hold": "On Hold"}
 REMOVED = "Removed"
 
 
-def _ckpt(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _case(col: Column, mapping: dict) -> Column:
     out = None
     for k, v in mapping.items():
@@ -102,28 +97,27 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
 
     state = known.select(F.col("_tk").alias("_t"), F.col("s0").alias("state"),
                          F.lit(None).cast("bigint").alias("last_seq"))
+    ecols = ["seq", "stage", "action", "comment", "actor_role", "actor_id", "ts"]
     accepted = []
     for rnd in (1, 2, 3):
         # only transfers still able to accept an event meet the event stream
         live = state.where(F.col("state").isin("Pending", "Ops Approved", "On Hold"))
-        cand = valid.join(live, "_t", "inner").where(
+        cand = valid.join(live.select("_t", "state", "last_seq"), "_t", "inner").where(
             _allowed(F.col("state")) & (F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))))
-        first = (cand.groupBy("_t")
-                 .agg(F.min(F.struct("seq", "stage", "action", "comment", "actor_role", "actor_id", "ts"))
-                      .alias("e")))
-        step = first.select("_t", F.col("e.seq").alias("seq"), F.col("e.stage").alias("stage"),
-                            F.col("e.action").alias("action"), F.col("e.comment").alias("comment"),
-                            F.col("e.actor_role").alias("actor_role"), F.col("e.actor_id").alias("actor_id"),
-                            F.col("e.ts").alias("ts"), F.lit(rnd).alias("round"))
-        st = state.join(step.select("_t", F.col("seq").alias("_s"), F.col("stage").alias("_st"),
-                                    F.col("action").alias("_a")), "_t", "left")
-        state = st.select("_t",
-                          F.when(F.col("_s").isNotNull(), _transition(F.col("state"), F.col("_st"), F.col("_a")))
-                           .otherwise(F.col("state")).alias("state"),
-                          F.coalesce(F.col("_s"), F.col("last_seq")).alias("last_seq"))
-        # one row per transfer; cached so the next round and the final joins reuse it
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        accepted.append(step.persist(StorageLevel.MEMORY_AND_DISK))
+        first = cand.groupBy("_t").agg(F.min(F.struct(*ecols)).alias("e"))
+        st = state.select("_t", "state", "last_seq").join(first, "_t", "left")
+        hit = F.col("e").isNotNull()
+        # one small table per round: every transfer's state after it, plus the event the
+        # round accepted (written once, so the next round and the final joins read files)
+        state, _ = materialize(st.select(
+            "_t",
+            F.when(hit, _transition(F.col("state"), F.col("e.stage"), F.col("e.action")))
+             .otherwise(F.col("state")).alias("state"),
+            F.coalesce(F.col("e.seq"), F.col("last_seq")).alias("last_seq"),
+            *[F.col(f"e.{c}").alias(f"e_{c}") for c in ecols]), f"round{rnd}")
+        accepted.append(state.where(F.col("e_seq").isNotNull()).select(
+            "_t", *[F.col(f"e_{c}").alias(c) for c in ecols], F.lit(rnd).alias("round")))
+    valid.unpersist()
 
     acc = accepted[0].unionByName(accepted[1]).unionByName(accepted[2])
     # state after each accepted event, to place rejected events in time
