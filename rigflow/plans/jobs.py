@@ -31,8 +31,17 @@ _TREE_CTE = """tree AS (
   FROM bom_items b JOIN tree t ON b.parent_id = t.id AND b.asset_id = t.asset_id)"""
 
 
+def _items(d) -> DataFrame:
+    """The BOM items, derived once per query run and read back from a written table
+    (the derivation ranks orders per customer; several hierarchy steps read the items)."""
+    from ..session import materialize
+    if not hasattr(d, "_items_table"):
+        d._items_table = materialize(d.bom_items, "items")[0]
+    return d._items_table
+
+
 def _tree(d) -> DataFrame:
-    return H.bom_tree(d.bom_items)
+    return H.bom_tree(_items(d))
 
 
 @register_sql("bom_tree", with_views_recursive(_TREE_CTE, "SELECT * FROM tree", ["bom_items"]))
@@ -51,7 +60,7 @@ SELECT b.asset_id, CAST(COUNT(*) AS BIGINT) AS total,
 FROM bom_items b LEFT JOIN tree t ON t.id = b.id
 GROUP BY b.asset_id""", ["bom_items"]))
 def q_bom_tree_summary(spark, d):
-    return H.bom_tree_summary(d.bom_items, _tree(d))
+    return H.bom_tree_summary(_items(d), _tree(d))
 
 
 _SUB_CTE = """sub AS (
@@ -64,7 +73,7 @@ _SUB_CTE = """sub AS (
 
 def _subtree(d) -> DataFrame:
     """Delete requests: every Obsolete item, with its whole subtree."""
-    items = d.bom_items
+    items = _items(d)
     return H.subtree(items, items.where(F.col("status") == "Obsolete"))
 
 
@@ -91,7 +100,7 @@ SELECT t.id, t.asset_id, t.depth,
 FROM clos c JOIN bom_items b ON b.id = c.node JOIN tree t ON t.id = c.anc
 GROUP BY t.id, t.asset_id, t.depth""", ["bom_items"]))
 def q_bom_subtree_cost(spark, d):
-    return H.subtree_cost(d.bom_items, _tree(d))
+    return H.subtree_cost(_items(d), _tree(d))
 
 
 # ====================================================================== changes
@@ -273,10 +282,13 @@ def q_check_violations(spark, d):
 _INACTIVE = "SELECT id FROM assets WHERE status = 'Inactive'"
 
 
-def _cascade(d):
-    tables = {"assets": d.assets, "maintenance_schedules": d.schedules, "bom_items": d.bom_items,
-              "certificates": d.certificates, "asset_history": d.asset_history,
-              "transfers": d.transfers, "work_orders": d.work_orders}
+def _cascade(d, with_bom: bool):
+    """Delete the Inactive assets and apply the foreign-key effects. The BOM (whose
+    self-reference needs a subtree walk) is included only when its result is asked for."""
+    tables = {"assets": d.assets, "maintenance_schedules": d.schedules, "certificates": d.certificates,
+              "asset_history": d.asset_history, "transfers": d.transfers, "work_orders": d.work_orders}
+    if with_bom:
+        tables["bom_items"] = _items(d)
     return C.delete_cascade(tables, "assets", d.assets.where(F.col("status") == "Inactive"))
 
 
@@ -284,7 +296,7 @@ def _cascade(d):
 SELECT * FROM maintenance_schedules WHERE asset_id NOT IN (SELECT id FROM del)""",
                                                 ["assets", "maintenance_schedules"]))
 def q_delete_cascade(spark, d):
-    return _cascade(d)["maintenance_schedules"]
+    return _cascade(d, with_bom=False)["maintenance_schedules"]
 
 
 @register_sql("delete_cascade_bom", with_views_recursive(f"""gone AS (
@@ -293,7 +305,7 @@ def q_delete_cascade(spark, d):
   SELECT c.id FROM bom_items c JOIN gone g ON c.parent_id = g.id)""",
     "SELECT * FROM bom_items WHERE id NOT IN (SELECT id FROM gone)", ["assets", "bom_items"]))
 def q_delete_cascade_bom(spark, d):
-    return _cascade(d)["bom_items"]
+    return _cascade(d, with_bom=True)["bom_items"]
 
 
 @register_sql("delete_set_null", with_views_and("""del AS (SELECT id FROM contracts WHERE status = 'Terminated')
