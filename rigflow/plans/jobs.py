@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
-from ..sources.adapters import ADAPTER_SQL, with_views_recursive
-from .catalog import AS_OF, D, ORACLE, QUERIES, dates_as_timestamps, domain, register
+from ..sources.adapters import with_views_recursive
+from .catalog import AS_OF, D, ORACLE, register
 
 
 def register_sql(name: str, sql: str):
@@ -106,7 +106,6 @@ def q_bom_subtree_cost(spark, d):
 # ====================================================================== changes
 import datetime as _dt  # noqa: E402
 
-from ..functions import status as S  # noqa: E402
 from ..operators import changes as C  # noqa: E402
 from ..operators import quality as Q  # noqa: E402
 from ..operators import workflow as W  # noqa: E402
