@@ -194,3 +194,77 @@ def transfer_state_stream(decisions: DataFrame, transfers: DataFrame, key: str =
     return ev.groupBy("transfer_key").transformWithStateInPandas(
         statefulProcessor=transfer_state_processor(), outputStructType=TRANSFER_EVENT_OUT,
         outputMode="Append", timeMode="None", initialState=init)
+
+
+# ------------------------------------------------------------------ K3, stateful form
+COMPLETION_OUT = ("seq long, schedule_key string, schedule_id string, accepted boolean, reason string, "
+                  "completion_date date, completed_by string, next_due_date date, status_after string")
+
+
+def completion_state_processor():
+    """Per schedule: frequency, next due, last done and status in the state store. Each
+    completion (in ``seq`` order within a micro-batch) becomes a log row and moves the
+    schedule forward; unknown schedules and incomplete completions are rejected."""
+    import datetime as dt
+
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class ScheduleState(StatefulProcessor):
+        def init(self, handle):
+            self.sched = handle.getValueState(
+                "schedule", "frequency_days int, next_due_date date, last_done_date date, status string")
+
+        def handleInitialState(self, key, initialState, timerValues):
+            r = initialState.iloc[0]
+            self.sched.update((int(r["frequency_days"]), r["next_due_date"], r["last_done_date"], r["status"]))
+
+        def handleInputRows(self, key, rows, timerValues):
+            ev = pd.concat(list(rows), ignore_index=True).sort_values("seq")
+            cur = self.sched.get() if self.sched.exists() else None
+            out = []
+            for r in ev.itertuples(index=False):
+                done, by = r.completion_date, r.completed_by
+                if cur is None:
+                    out.append((int(r.seq), r.schedule_key, None, False, "not_found", done, by, None, None))
+                    continue
+                if done is None or pd.isna(done) or by is None or not str(by).strip():
+                    out.append((int(r.seq), r.schedule_key, key[0], False, "missing_fields", done, by, None, cur[3]))
+                    continue
+                if isinstance(done, pd.Timestamp):
+                    done = done.date()
+                given = r.next_due_date
+                nxt = (given.date() if isinstance(given, pd.Timestamp) else given) \
+                    if given is not None and not pd.isna(given) else done + dt.timedelta(days=int(cur[0]))
+                cur = (cur[0], nxt, done, "Scheduled")
+                out.append((int(r.seq), r.schedule_key, key[0], True, None, done, by, nxt, "Scheduled"))
+            if cur is not None:
+                self.sched.update(cur)
+            yield pd.DataFrame(out, columns=["seq", "schedule_key", "schedule_id", "accepted", "reason",
+                                             "completion_date", "completed_by", "next_due_date",
+                                             "status_after"])
+
+        def close(self):
+            pass
+
+    return ScheduleState()
+
+
+def completion_state_stream(completions: DataFrame, schedules: DataFrame) -> DataFrame:
+    """K3 low-latency form. The key-or-code reference is resolved by a stream–static left
+    join with a key map (two rows per schedule: its id and its code); unresolved keys are
+    grouped under their own key, find no state and are rejected. Needs RocksDB state."""
+    spark = completions.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    keymap = (schedules.select(F.col("id").cast("string").alias("_key"), F.col("id").cast("string").alias("_sid"))
+              .unionByName(schedules.select(F.col("pm_id").alias("_key"), F.col("id").cast("string").alias("_sid"))))
+    c = completions.join(keymap, completions["schedule_key"] == keymap["_key"], "left")
+    c = c.withColumn("_gk", F.coalesce(F.col("_sid"), F.concat(F.lit("?"), F.col("schedule_key"))))
+    ev = c.select("_gk", F.col("seq").cast("long"), "schedule_key", "completion_date", "completed_by",
+                  "next_due_date")
+    init = schedules.select(F.col("id").cast("string").alias("_gk"), "frequency_days", "next_due_date",
+                            (F.col("last_done_date") if "last_done_date" in schedules.columns
+                             else F.lit(None).cast("date")).alias("last_done_date"), "status").groupBy("_gk")
+    return ev.groupBy("_gk").transformWithStateInPandas(
+        statefulProcessor=completion_state_processor(), outputStructType=COMPLETION_OUT,
+        outputMode="Append", timeMode="None", initialState=init)

@@ -122,3 +122,24 @@ def test_stateful_workflow_stream_equals_batch_fold(spark, scratch):
     batch = W.fold_decisions(transfers, spark.createDataFrame(rows, schema))["events"]
     want = {r.seq: (r.accepted, r.reason) for r in batch.collect()}
     assert got == want
+
+
+def test_stateful_completion_stream_equals_batch(spark, scratch):
+    d = __import__("rigflow.plans.catalog", fromlist=["domain"]).domain(spark, SMOKE)
+    schedules = d.schedules
+    comps = d.completions
+    src = os.path.join(scratch, "comp")
+    comps.where(F.col("seq") < 500).write.parquet(os.path.join(src, "a"))
+    comps.where(F.col("seq") >= 500).write.parquet(os.path.join(src, "b"))
+    stream = (spark.readStream.schema(comps.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    out = os.path.join(scratch, "cs")
+    q = (J.completion_state_stream(stream, schedules).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(scratch, "ck6")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    batch = C.complete_maintenance(schedules, comps)
+    logs = {(r.seq, str(r.schedule_id), r.next_due_date) for r in batch["logs"].collect()}
+    assert {(r.seq, r.schedule_id, r.next_due_date) for r in got.where("accepted").collect()} == logs
+    rej = {(r.seq, r.reason) for r in batch["rejected"].collect()}
+    assert {(r.seq, r.reason) for r in got.where("NOT accepted").collect()} == rej
