@@ -40,6 +40,15 @@ def _keep(df: DataFrame, depth: int, name: str) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+class DepthLimitExceeded(RuntimeError):
+    """A walk still had a frontier after ``max_depth`` levels (a chain longer than the cap)."""
+
+
+def _check_depth(rows: int, depth: int, max_depth: int) -> None:
+    if rows > 0 and depth >= max_depth:
+        raise DepthLimitExceeded(f"{rows} items still below depth {max_depth}; raise max_depth")
+
+
 def _finish(levels: list[DataFrame], name: str) -> DataFrame:
     """All levels as one written table; the cached levels are released."""
     out = levels[0]
@@ -94,6 +103,7 @@ def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH, broadcast_rows: int =
         levels.append(nxt)
         level = nxt
         depth += 1
+    _check_depth(rows, depth, max_depth)
     return _finish(levels, "tree")
 
 
@@ -146,6 +156,7 @@ def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
         levels.append(nxt)
         level = nxt
         depth += 1
+    _check_depth(rows, depth, max_depth)
     return _finish(levels, "subtree")
 
 

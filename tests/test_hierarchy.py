@@ -71,3 +71,8 @@ def test_subtree_cost_and_summary(items):
     s = {r.asset_id: r for r in H.bom_tree_summary(items).collect()}
     assert s["A"].total == 8 and s["A"].in_tree == 4 and s["A"].on_order == 1
     assert s["B"].total == 2 and s["B"].in_tree == 1
+
+
+def test_depth_cap_reports(items):
+    with pytest.raises(H.DepthLimitExceeded):
+        H.bom_tree(items, max_depth=1)
