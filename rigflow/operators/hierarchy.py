@@ -69,16 +69,21 @@ def _side(level: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(level) if rows <= bound else level
 
 
-def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS,
+             items_written: bool = False) -> DataFrame:
     """Every node reachable from a root, per asset.
 
     Columns: id, asset_id, parent_id, name, depth, root_id, path_ids ('/'-joined ids from
     the root), path_names (' / '-joined names), sort_path (array of (name, id) from the
     root: ordering by (asset_id, sort_path) is the nested document's order, siblings by
     name), and the item's remaining columns are left out (join back on id).
+    ``items_written``: the items are already a written table (not re-derived per level),
+    so they are not written again.
     """
     # the items are read (and derived) once: edges and roots both come from this table
-    base, _ = materialize(items.select("id", "asset_id", "parent_id", "name"), "nodes")
+    base = items.select("id", "asset_id", "parent_id", "name")
+    if not items_written:
+        base, _ = materialize(base, "nodes")
     edges = base.where(F.col("parent_id").isNotNull())
     level = base.where(F.col("parent_id").isNull()).select(
         "id", "asset_id", "parent_id", "name", F.lit(0).alias("depth"), F.col("id").alias("root_id"),
@@ -132,14 +137,17 @@ def bom_tree_summary(items: DataFrame, tree: DataFrame | None = None) -> DataFra
 
 
 def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
-            max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+            max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS,
+            items_written: bool = False) -> DataFrame:
     """Every descendant of each seed item (the seed itself at depth 0), following
     parent links across the whole table. Columns: seed_id, id, depth.
 
     Every item has one parent, so a walk can only come back to a node it has seen by
     returning to its own seed (the seed lies on a cycle); that is the one stop needed.
     """
-    edges, _ = materialize(items.select("id", "parent_id").where(F.col("parent_id").isNotNull()), "edges")
+    edges = items.select("id", "parent_id").where(F.col("parent_id").isNotNull())
+    if not items_written:
+        edges, _ = materialize(edges, "edges")
     level, rows = materialize(seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
                               .join(items.select("id"), F.col("seed_id") == F.col("id"), "inner")
                               .select("seed_id", "id", F.lit(0).alias("depth")), "seeds")

@@ -41,7 +41,7 @@ def _items(d) -> DataFrame:
 
 
 def _tree(d) -> DataFrame:
-    return H.bom_tree(_items(d))
+    return H.bom_tree(_items(d), items_written=True)
 
 
 @register_sql("bom_tree", with_views_recursive(_TREE_CTE, "SELECT * FROM tree", ["bom_items"]))
@@ -74,7 +74,7 @@ _SUB_CTE = """sub AS (
 def _subtree(d) -> DataFrame:
     """Delete requests: every Obsolete item, with its whole subtree."""
     items = _items(d)
-    return H.subtree(items, items.where(F.col("status") == "Obsolete"))
+    return H.subtree(items, items.where(F.col("status") == "Obsolete"), items_written=True)
 
 
 @register_sql("bom_subtree", with_views_recursive(_SUB_CTE, "SELECT * FROM sub", ["bom_items"]))
