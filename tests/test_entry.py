@@ -30,13 +30,20 @@ def test_all_queries_match_oracle_at_smoke_scale(spark):
         p = f"{SMOKE}/{t}.parquet"
         if os.path.exists(p):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-    bad = []
+    from tools.type_check import spark_type
+    bad, bad_types = [], []
     sqls = E.oracle_sql()
     for name, fn in E.queries().items():
         if name not in sqls:
             continue
-        s_cols, s_rows = frame_rows(fn(spark, SMOKE).toPandas())
+        df = fn(spark, SMOKE)
+        s_cols, s_rows = frame_rows(df.toPandas())
         o_cols, o_rows = frame_rows(con.execute(sqls[name]).fetchdf())
         if s_cols != o_cols or digest(s_rows) != digest(o_rows):
             bad.append(name)
-    assert bad == []
+        rel = con.sql(sqls[name])
+        s_types = {f.name: spark_type(f.dataType.simpleString()) for f in df.schema.fields}
+        o_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        if s_types != o_types:
+            bad_types.append(name)
+    assert bad == [] and bad_types == []
