@@ -378,8 +378,10 @@ def dashboard_document(spark: SparkSession, assets, rigs, contracts, schedules,
     gathered into one row, so a section of any size stays distributed; ``write.json``
     writes it from the tasks."""
     kpis = dashboard_kpis(spark, assets, rigs, contracts, schedules, transfers, notifs, as_of)
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generated_at")
     kp = kpis.select(F.lit("kpis").alias("section"), F.lit("all").alias("item_key"),
-                     F.lit(0).cast("bigint").alias("ord"), F.to_json(F.struct(*kpis.columns)).alias("payload"))
+                     F.lit(0).cast("bigint").alias("ord"),
+                     F.to_json(F.struct(*kpis.columns, stamp)).alias("payload"))
     br = dashboard_by_rig(rigs, assets, schedules, as_of)
     by = br.select(F.lit("byRig").alias("section"), F.col("rig_id").alias("item_key"),
                    F.lit(None).cast("bigint").alias("ord"), F.to_json(F.struct(*br.columns)).alias("payload"))

@@ -284,6 +284,11 @@ def submit_transfers(submissions: DataFrame, assets: DataFrame, users: DataFrame
     from ..functions.status import as_of_col
     from .changes import resolve_keys
     from .quality import validate_commands
+    from ..functions.status import null_if_empty
+    # optional fields: an empty value means "not given" (stored as NULL)
+    for c in ("dest_rig_id", "dest_company_id", "instructions", "required_date"):
+        if c in submissions.columns:
+            submissions = submissions.withColumn(c, null_if_empty(c))
     v = validate_commands(submissions, "transfer_create", action="create", role_col="actor_role")
     acc = resolve_keys(v["accepted"].withColumnRenamed("asset_key", "key"), assets, ["id", "asset_id"])
     loc = assets.select(F.col("id").alias("_aid"), F.col("location").alias("current_location"))

@@ -61,3 +61,8 @@ def test_days_until_and_window(spark):
     df = spark.createDataFrame([(AS_OF + dt.timedelta(days=30),), (AS_OF + dt.timedelta(days=31),)], "d date")
     assert [r.x for r in df.select(S.days_until("d", AS_OF).alias("x")).collect()] == [30, 31]
     assert [r.x for r in df.select(S.in_window("d", AS_OF, 30).alias("x")).collect()] == [True, False]
+
+
+def test_null_if_empty(spark):
+    df = spark.createDataFrame([("",), ("0",), ("R1",), (None,)], "x string")
+    assert [r.y for r in df.select(S.null_if_empty("x").alias("y")).collect()] == [None, None, "R1", None]
