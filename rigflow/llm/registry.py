@@ -1,13 +1,18 @@
 """Queries of the text operators, and their DuckDB SQL where SQL can express them."""
 
 from rigflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from rigflow.llm.language_id import op2_language_id
+from rigflow.llm.mixing import OP6_SQL, op6_mixing
 from rigflow.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_mixing": op6_mixing,
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op6_mixing": OP6_SQL,
 }

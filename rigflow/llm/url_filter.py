@@ -98,20 +98,16 @@ def url_filter(urls: DataFrame, rules: list[Rule], default: str = "allow") -> Da
     # the tokens that rules have are few: their counts are summed within each task first
     seen = base.select(F.explode(F.array_intersect(_tokens(text), names)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     seen, _ = materialize(seen, "url-tokens")
-    best = F.lit(None).cast("struct<length:int,name:string,action:string>")
-    blocks = range(0, len(rules), BLOCK)
+    blocks = [f"_index{at}" for at in range(0, len(rules), BLOCK)]
     # (a subquery must be a column before a lambda may use it)
-    base = base.withColumns({f"_index{at}": _index(_rule_frame(spark, rules[at:at + BLOCK]), seen).scalar() for at in blocks})
-    for at in blocks:
-        index = F.col(f"_index{at}")
-        fetched = F.flatten(F.filter(F.transform(_tokens(text), lambda t: index[t]), lambda x: x.isNotNull()))
-        fitting = F.filter(fetched, lambda r: F.rlike(text, r["pattern"]))
-        # the longest, then the smaller name
-        ranked = F.array_sort(fitting, lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-        top = F.try_element_at(ranked, F.lit(1))
-        found = F.when(top.isNotNull(), F.struct(top["length"].alias("length"), top["name"].alias("name"), top["action"].alias("action")))
-        best = F.when(best.isNull() | (found["length"] > best["length"]) | ((found["length"] == best["length"]) & (found["name"] < best["name"])), found).otherwise(best)
-    base = base.withColumn("_best", best).drop(*(f"_index{at}" for at in blocks))
+    base = base.withColumns({name: _index(_rule_frame(spark, rules[k * BLOCK:(k + 1) * BLOCK]), seen).scalar() for k, name in enumerate(blocks)})
+    fetched = [F.flatten(F.filter(F.transform(_tokens(text), F.col(name).__getitem__), lambda x: x.isNotNull())) for name in blocks]
+    if not fetched:
+        return base.withColumns({"rule": F.lit(None).cast("string"), "pattern": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    fitting = F.filter(F.concat(*fetched), lambda r: F.rlike(text, r["pattern"]))
+    # the longest, then the smaller name
+    best = F.try_element_at(F.array_sort(fitting, lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)), F.lit(1))
+    base = base.withColumn("_best", best).drop(*blocks)
     return base.withColumns({
         "rule": F.when(F.col("_best.length") > 0, F.col("_best.name")),
         "pattern": F.when(F.col("_best.length") == 0, F.col("_best.name")),
