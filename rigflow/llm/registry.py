@@ -3,12 +3,14 @@
 from rigflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from rigflow.llm.language_id import op2_language_id
 from rigflow.llm.mixing import OP6_SQL, op6_mixing
+from rigflow.llm.near_dedup import op4_near_dedup
 from rigflow.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
 }
 ORACLE = {
