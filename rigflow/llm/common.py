@@ -20,6 +20,14 @@ def load(spark, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    names = {c.lower() for c in df.columns}
+    while base.lower() in names:
+        base = f"_{base}"
+    return base
+
+
 def fold(key: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key's text leaves ``remainder``; false for a null key."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import ASCII_SPACE, attach_group
+from rigflow.llm.common import ASCII_SPACE, attach_group, free_name
 from rigflow.session import ensure_checkpoint_dir, materialize
 
 
@@ -78,10 +78,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    same = docs.withColumn("_digest", digest(F.col("text")))
-    found = same.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")))
-    return found.dropDuplicates(["_kept_id", "_kept_digest"]).select(*docs.columns)
+    kept_id, kept_digest, own = (free_name(docs, n) for n in ("kept_id", "kept_digest", "own_digest"))
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest))
+    same = docs.withColumn(own, digest(F.col("text")))
+    found = same.join(kept, same["doc_id"].eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)))
+    return found.dropDuplicates([kept_id, kept_digest]).select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir):

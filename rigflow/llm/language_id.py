@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import fold, hash_sample, sample_rate, text_slices
+from rigflow.llm.common import fold, free_name, hash_sample, sample_rate, text_slices
 
 SAMPLE = 20_000        # labelled documents learned from
 BUCKETS = 1 << 14      # hashed n-grams
@@ -259,9 +259,11 @@ def label_column(spark, model: Model, text):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and spans; row by row, without a shuffle."""
+    """``docs`` with lang_pred, score and spans (in place of columns so named); row by row, without a shuffle."""
     found = label_column(docs.sparkSession, model, F.col("text"))
-    return docs.withColumn("_lid", found).withColumns({"lang_pred": F.col("_lid.lang"), "score": F.col("_lid.score"), "spans": F.col("_lid.spans")}).drop("_lid")
+    name = free_name(docs, "found")
+    out = docs.withColumn(name, found)
+    return out.withColumns({"lang_pred": F.col(name)["lang"], "score": F.col(name)["score"], "spans": F.col(name)["spans"]}).drop(name)
 
 
 def train_fold(docs: DataFrame) -> Model:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import attach_group, byte_words, components, text_slices
+from rigflow.llm.common import attach_group, byte_words, components, free_name, text_slices
 from rigflow.session import materialize
 
 WORDS = 5
@@ -246,8 +246,9 @@ def _join(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stays, and those without a doc_id."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    kept_id = free_name(docs, "kept_id")
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, docs["doc_id"] == F.col(kept_id), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_near_dedup(spark, sf_dir):

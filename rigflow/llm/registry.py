@@ -1,9 +1,11 @@
 """Queries of the text operators, and their DuckDB SQL where SQL can express them."""
 
+import corpus_pipeline
 from rigflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from rigflow.llm.language_id import op2_language_id
 from rigflow.llm.mixing import OP6_SQL, op6_mixing
 from rigflow.llm.near_dedup import op4_near_dedup
+from rigflow.llm.sentencepiece_codec import op10_sentencepiece
 from rigflow.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
+    "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
