@@ -6,6 +6,7 @@ from rigflow.llm.language_id import op2_language_id
 from rigflow.llm.mixing import OP6_SQL, op6_mixing
 from rigflow.llm.near_dedup import op4_near_dedup
 from rigflow.llm.sentencepiece_codec import op10_sentencepiece
+from rigflow.llm.toxicity import op8_toxicity
 from rigflow.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
