@@ -1,10 +1,12 @@
 """Queries of the text operators, and their DuckDB SQL where SQL can express them."""
 
 import corpus_pipeline
+from rigflow.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from rigflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from rigflow.llm.language_id import op2_language_id
 from rigflow.llm.mixing import OP6_SQL, op6_mixing
 from rigflow.llm.near_dedup import op4_near_dedup
+from rigflow.llm.secrets import op9_secrets
 from rigflow.llm.sentencepiece_codec import op10_sentencepiece
 from rigflow.llm.toxicity import op8_toxicity
 from rigflow.llm.url_filter import OP1_SQL, op1_url_filter
@@ -15,7 +17,9 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_sentencepiece": op10_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
@@ -23,4 +27,5 @@ ORACLE = {
     "op1_url_filter": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op6_mixing": OP6_SQL,
+    "op7_embedding_dedup": OP7_SQL,
 }

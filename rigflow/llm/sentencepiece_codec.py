@@ -26,6 +26,7 @@ import heapq
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -301,7 +302,7 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("string")
-    def text(pieces: "pd.Series") -> "pd.Series":  # noqa: F821
+    def text(pieces: pd.Series) -> pd.Series:
         return pieces.map(lambda p: None if p is None else Encoder(shared.value).decode(p))
 
     return encoded.withColumn("text", text("pieces"))
