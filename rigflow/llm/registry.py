@@ -6,6 +6,7 @@ from rigflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from rigflow.llm.language_id import op2_language_id
 from rigflow.llm.mixing import OP6_SQL, op6_mixing
 from rigflow.llm.near_dedup import op4_near_dedup
+from rigflow.llm.recurrent_lm import op5_lm_score
 from rigflow.llm.secrets import op9_secrets
 from rigflow.llm.sentencepiece_codec import op10_sentencepiece
 from rigflow.llm.toxicity import op8_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_mixing": op6_mixing,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
