@@ -3,15 +3,18 @@
 Each document's distinct 5-word shingles are hashed to 64 bits; ``BANDS`` x ``ROWS`` MinHash
 samples are banded for candidates, and folded into a parity bitmap (odd sketch) of ``BITS``
 bits, whose XOR population count estimates the similarity of a candidate pair.  Pairs whose
-estimate is clearly too low (``LOOSE``, over five standard deviations under the limit) are left
-out; all others are confirmed on their full sets.
-
-Documents with equal sets form one class, and only classes go on.  Within a band's bucket no
-pairs are emitted: each member is paired with the bucket's hubs, a fixed number of members.  What
-confirmed links join counts as one from then on, and buckets that still hold members of
-different components give their hubs up and go round again, until no bucket holds
-two components among members not yet compared.  So no candidate pair goes unanswered, and each
-round is linear in the rows left; a bucket with a third of all rows is only a splittable join.
+estimate is clearly too low (``LOOSE``, some five standard deviations under the limit) are left
+out.  A second parity bitmap, of the whole set and in step with its size, gives a bound: no more
+bits can differ than shingles do, so a pair with more differing bits than the limit allows is
+out for certain.  All others are confirmed on their full sets.
+
+Documents with equal sets form one class, and only classes go on.  First each class is compared
+with one hub: of the most popular members of its buckets, the one it shares most bands with.
+That joins most of what belongs together, in one pair for each class.  Buckets that then hold
+one component are settled.  In the others all members of different components are compared,
+inside tasks that hold two tiles of at most ``TILE`` members, and only pairs that pass both
+bitmaps come out; so no candidate pair goes unanswered and none is emitted needlessly.  (A bucket
+of very many members that are nearly but not similar enough costs time by its square, in tiles.)
 
 At 200 samples a pair at the limit of 0.75 shares no band with probability (1 - 0.75^5)^40,
 2 in 100,000, and less above it.
@@ -37,8 +40,8 @@ WORDS = 5
 PER_CENT = 75
 BANDS, ROWS = 40, 5
 BITS = 512
-LOOSE = 0.5
-HUBS = (2, 16, 16, 64)       # members of a bucket that all others are compared with, by round
+LOOSE = 0.55
+TILE = 512
 CACHE = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
@@ -113,16 +116,52 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     at *= _MIX
     at = (at >> np.uint64(64 - int(np.log2(BITS)))).astype(np.int64)
     counts = np.bincount((np.arange(n)[:, None] * BITS + at).ravel(), minlength=n * BITS).reshape(n, BITS) & 1
-    return np.packbits(counts.astype(np.uint8), axis=1).view(np.int64).reshape(n, BITS // 64)
-
-
-def estimate(odd_bits):
-    """Column: similarity from the number of differing bits of two odd sketches."""
-    part = F.greatest(F.lit(1.0) - 2.0 * odd_bits / BITS, F.lit(1.0 / BITS))
-    return F.lit(1.0) + F.lit(BITS / (4.0 * BANDS * ROWS)) * F.log(part)
-
-
-_SKETCHED = "doc_id long, n_shingles long, same binary, bands array<long>, sketch array<long>"
+    return np.packbits(counts.astype(np.uint8), axis=1).view(np.uint64).reshape(n, BITS // 64)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Parity bitmap of a whole set, of at least four bits for each shingle: a power of two, so
+    that a longer bitmap folds onto a shorter one by XOR of its halves."""
+    bits = 1 << max(8, int(4 * len(s)).bit_length())
+    at = ((s * _PLACES[1]) >> np.uint64(64 - int(bits).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    """A bitmap at ``size`` bytes.  Bits are placed by the hash's high bits, so folding takes neighbours together."""
+    x = np.frombuffer(bitmap, np.uint8)
+    while len(x) > size:
+        bits = np.unpackbits(x)
+        x = np.packbits(bits[0::2] ^ bits[1::2])
+    return x
+
+
+def plausible(u: np.ndarray, v: np.ndarray, n: np.ndarray, sketches: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
+    """Which index pairs (u, v) the two bitmaps do not rule out.  ``sketches`` are uint64 rows."""
+    odd = np.empty(len(u))
+    for lo in range(0, len(u), 1 << 18):
+        w = slice(lo, lo + (1 << 18))
+        odd[w] = np.bitwise_count(sketches[u[w]] ^ sketches[v[w]]).sum(axis=1, dtype=np.int64)
+    part = np.maximum(1 - 2 * odd / BITS, 1 / BITS)
+    ok = np.flatnonzero(1 + BITS / (4 * BANDS * ROWS) * np.log(part) >= LOOSE)
+    keep = np.zeros(len(u), bool)
+    sizes = np.fromiter(map(len, bitmaps), np.int64, len(bitmaps))
+    level = np.minimum(sizes[u[ok]], sizes[v[ok]])
+    for size in np.unique(level):
+        at = ok[level == size]
+        used, place = np.unique(np.concatenate([u[at], v[at]]), return_inverse=True)
+        rows = np.stack([_folded(bitmaps[i], size) for i in used]).view(np.uint64)
+        x, y = place[:len(at)], place[len(at):]
+        step = max(1, (1 << 21) // rows.shape[1])
+        for lo in range(0, len(at), step):
+            w = slice(lo, lo + step)
+            differ = np.bitwise_count(rows[x[w]] ^ rows[y[w]]).sum(axis=1, dtype=np.int64)
+            # similar enough means at most (|a| + |b|) / 7 different shingles at 75 per cent
+            keep[at[w]] = (100 + PER_CENT) * differ <= (100 - PER_CENT) * (n[u[at[w]]] + n[v[at[w]]])
+    return keep
+
+
+_SKETCHED = "doc_id long, n_shingles long, same binary, bands array<long>, sketch binary, parity binary"
 _SETS = "id long, shingles array<long>"
 
 
@@ -139,13 +178,14 @@ def _sketch(batches):
             sets = [shingles(t, hashes) for t in texts[lo:hi]]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
-            bands, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), BITS // 64), np.int64)
+            bands, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), BITS // 64), np.uint64)
             if len(full):
                 samples = minhashes([sets[i] for i in full])
                 bands[full], sketch[full] = band_keys(samples), odd_sketches(samples)
             same = [xxhash.xxh3_128_digest(s.tobytes(), seed=len(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), pa.array(same, pa.binary()), _lists(bands), _lists(sketch)],
-                                             ["doc_id", "n_shingles", "same", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), pa.array(same, pa.binary()), _lists(bands),
+                                              pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([parity(x) for x in sets], pa.binary())],
+                                             ["doc_id", "n_shingles", "same", "bands", "sketch", "parity"])
 
 
 def _sets(batches):
@@ -174,65 +214,103 @@ def _labelled(frame: DataFrame, labels: DataFrame | None, id_: str, name: str) -
     return frame.join(labels.select(F.col("id").alias(id_), F.col("component").alias("_c")), id_, "left").withColumn(name, F.coalesce("_c", id_)).drop("_c")
 
 
-def _candidates(stars: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct pairs (u < v) whose sketches do not rule them out, with their estimate."""
-    pairs = stars.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).where("u < v").distinct()
-    a = sketches.select(F.col("id").alias("u"), F.col("sketch").alias("ku"))
-    b = sketches.select(F.col("id").alias("v"), F.col("sketch").alias("kv"))
-    bits = F.aggregate(F.zip_with("ku", "kv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return materialize(pairs.join(a, "u").join(b, "v").withColumn("similar", estimate(bits)).where(F.col("similar") >= LOOSE).select("u", "v", "similar"), "candidates")[0]
+def _check_pairs(batches):
+    """Rows of a pair with both sides' bitmaps: the pairs not ruled out."""
+    for b in batches:
+        n = b.num_rows
+        both = lambda x, y: b.column(x).to_pylist() + b.column(y).to_pylist()
+        sketches = np.frombuffer(b"".join(both("ku", "kv")), np.uint64).reshape(-1, BITS // 64)
+        sizes = np.array(both("nu", "nv"), np.int64)
+        keep = pa.array(plausible(np.arange(n), np.arange(n, 2 * n), sizes, sketches, both("pu", "pv")))
+        yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
+
+
+def _check_tiles(batches):
+    """Sorted rows of (key, i, j): the pairs of different components, one of each tile, not ruled out."""
+    held: list[pa.RecordBatch] = []
+
+    def compare(rows: pa.Table):
+        c = rows.column("c").to_numpy()
+        if len(c) < 2 or c.min() == c.max():
+            return None
+        ids, tile, n = (rows.column(x).to_numpy() for x in ("id", "tile", "n"))
+        u, v = np.nonzero((c[:, None] != c[None, :]) & (ids[:, None] < ids[None, :]) & ((tile[:, None] != tile[None, :]) | (rows.column("i")[0] == rows.column("j")[0])))
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        keep = plausible(u, v, n, sketches, rows.column("parity").to_pylist())
+        return ids[u[keep]], ids[v[keep]]
+
+    def groups(rows: pa.Table, last: bool):
+        """Whole groups at the front of ``rows``, and what is left."""
+        at = np.stack([rows.column(x).to_numpy() for x in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1), rows.num_rows]
+        found = [g for a, b in zip(cuts, cuts[1:] if last else cuts[1:-1]) if (g := compare(rows.slice(a, b - a))) is not None]
+        pairs = [np.concatenate([g[k] for g in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+        seen = np.unique(np.stack(pairs), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(seen[0]), pa.array(seen[1])], ["u", "v"]), rows.slice(cuts[-2]) if not last else None
+
+    for b in batches:
+        held.append(b)
+        out, rest = groups(pa.Table.from_batches(held).combine_chunks(), False)
+        held = rest.to_batches()
+        yield out
+    if held:
+        yield groups(pa.Table.from_batches(held).combine_chunks(), True)[0]
+
+
+def _link(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) that the bitmaps do not rule out and the full sets confirm."""
+    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("parity").alias(f"p{x}"))
+    checked, _ = materialize(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_check_pairs, "u long, v long"), "checked")
+    return _confirm(checked, sets)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     sketched, total = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCHED), "sketched")
     named = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes, n = materialize(named.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")), "classes")
-    members = named.join(classes, (F.col("doc_id") == F.col("id")) & (named["same"] == classes["same"])).select("id", "bands", "sketch")
-    members, _ = materialize(members, "members")
-    sketches = members.select("id", "sketch")
-    entries = members.select("id", F.explode("bands").alias("key"))
-    left, rows = materialize(_shared(entries, 0), "buckets")
-    labels = None
-    if rows:
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(left.select("id").distinct(), "id", "left_semi")
-        sets, _ = materialize(texts.mapInArrow(_sets, _SETS), "sets")
-    turn = 0
-    while rows:
-        found = _candidates(left.select("id", F.explode("hubs").alias("hub")), sketches)
-        if turn == 0:
-            # the likeliest partner of each document first: it joins most of what belongs together
-            best = found.groupBy("v").agg(F.max_by("u", "similar").alias("u"))
-            labels = _join(_confirm(best, sets), None)
-        apart = _labelled(_labelled(found, labels, "u", "cu"), labels, "v", "cv").where("cu <> cv")
-        labels = _join(_confirm(apart, sets), labels)
-        # the hubs of a bucket are compared with all of it; the others go round again
-        turn += 1
-        rest = left.where(~F.array_contains("hubs", F.col("id"))).select("id", "key")
-        left, rows = materialize(_shared(_labelled(rest, labels, "id", "c"), turn), "buckets")
-    if labels is None:
-        named_classes = classes.withColumn("component_id", F.col("id"))
-    else:
-        named_classes = _labelled(classes, labels, "id", "component_id")
-    named_classes, _ = materialize(named_classes.select("same", "size", "component_id"), "class-components")
-    linked = attach_group(named, named_classes, "same", "size", total).select("doc_id", "n_shingles", "component_id")
+    classes, _ = materialize(named.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")), "classes")
+    # (a document's bands go on once for each class)
+    own = classes.select(F.col("id").alias("doc_id"), "same")
+    entries = named.select("doc_id", "same", "bands").join(own, ["doc_id", "same"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    entries, _ = materialize(entries, "entries")
+    several = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
+    shared, rows = materialize(entries.join(several, "key", "left_semi"), "shared")
+    labels = _components_of(docs, named, shared) if rows else None
+    of_class, _ = materialize(_labelled(classes, labels, "id", "component_id").select("same", "size", "component_id"), "class-components")
+    linked = attach_group(named, of_class, "same", "size", total).select("doc_id", "n_shingles", "component_id")
     alone = sketched.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _shared(entries: DataFrame, turn: int) -> DataFrame:
-    """The entries (id, key, perhaps component c) of buckets that still hold something to compare,
-    with the bucket's hubs: its smallest and largest id at first, later up to HUBS[turn] of it,
-    the smallest of each hash class (a fixed number of minima, so partial sums stay small)."""
-    n = HUBS[min(turn, len(HUBS) - 1)]
-    of = [F.min("id"), F.max("id")] if n == 2 else [F.min(F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(n)) == h, F.col("id"))) for h in range(n)]
-    c = "c" if "c" in entries.columns else "id"
-    hubs = entries.groupBy("key").agg(F.array_compact(F.array(*of)).alias("hubs"), F.min(c).alias("c0"), F.max(c).alias("c1")).where("c0 <> c1")
-    return entries.select("id", "key").join(hubs.select("key", "hubs"), "key")
+def _components_of(docs: DataFrame, named: DataFrame, shared: DataFrame) -> DataFrame | None:
+    """Labels (id, component) of the documents of ``shared`` (id, key) that link with another."""
+    ids, _ = materialize(shared.select("id").distinct(), "shared-ids")
+    sketches, _ = materialize(named.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "parity").join(ids, "id", "left_semi"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    sets, _ = materialize(texts.mapInArrow(_sets, _SETS), "sets")
+
+    sizes = shared.groupBy("key").agg(F.count("*").alias("members"))
+    popular, _ = materialize(shared.join(sizes, "key").groupBy("id").agg(F.sum("members").alias("weight")), "popular")
+    hubs = shared.join(popular, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+    votes = shared.join(hubs, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("hub")).alias("minus"))).alias("top"))
+    labels = _join(_link(best.select(F.col("id").alias("u"), (-F.col("top.minus")).alias("v")), sketches, sets), None)
+
+    named_entries = _labelled(shared, labels, "id", "c")
+    open_ = named_entries.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("members")).where("a <> b")
+    open_ = open_.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+    left, rows = materialize(named_entries.join(open_, "key").withColumn("tile", F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int")), "open-buckets")
+    if not rows:
+        return labels
+    sent = left.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    sent = sent.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).select("key", "i", "j", "tile", "id", "c", "n", "sketch", "parity")
+    pairs = sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_check_tiles, "u long, v long")
+    pairs, _ = materialize(pairs.distinct(), "open-pairs")
+    return _join(_confirm(pairs, sets), labels)
 
 
 def _join(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-    """Labels after more links: the links join what they had joined before."""
+    """Labels after more links: the links join what had been joined before."""
     if links.isEmpty():
         return labels
     if labels is None:
