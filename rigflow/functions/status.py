@@ -128,6 +128,10 @@ def initials(full_name="full_name") -> Column:
 
 
 def null_if_empty(c) -> Column:
-    """``x || null``: empty strings (and 0 for numbers) become NULL."""
+    """``x || null``: an empty text, a numeric zero or NaN, and false become NULL; the text "0" stays."""
     col = _c(c)
-    return F.when(col.cast("string").isin("", "0"), F.lit(None)).otherwise(col)
+    kind = F.typeof(col)
+    number = kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    value = col.try_cast("double")
+    return F.when((number & ((value == 0) | F.isnan(value))) | (kind.isin("string") & (col.cast("string") == ""))
+                  | (kind.isin("boolean") & (col.cast("string") == "false")), F.lit(None)).otherwise(col)

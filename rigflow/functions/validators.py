@@ -21,7 +21,8 @@ def is_in(c: str, values) -> Column:
 
 
 def is_date(c: str) -> Column:
-    return F.try_to_date(F.col(c).cast("string"), "yyyy-MM-dd").isNotNull()
+    text = F.col(c).cast("string")
+    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyy/MM/dd")).isNotNull()
 
 
 def is_int(c: str, min_value: int | None = None) -> Column:
@@ -34,7 +35,7 @@ def is_int(c: str, min_value: int | None = None) -> Column:
 
 def is_float(c: str, min_value: float | None = None) -> Column:
     v = F.trim(F.col(c).cast("string")).try_cast("double")
-    ok = v.isNotNull()
+    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     if min_value is not None:
         ok = ok & (v >= min_value)
     return ok

@@ -7,8 +7,6 @@ partially map-side, so a hot key never gathers its commands in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,14 +67,14 @@ def patch_update(base: DataFrame, patches: DataFrame, cols: list[str], key_cols:
                  role_col: str | None = "role", now: Column | None = None) -> dict[str, DataFrame]:
     """COALESCE partial update of ``base`` by a batch of ``patches``.
 
-    ``patches``: seq, key (matches any of ``key_cols``), optional role, and nullable
-    columns ``cols``. Returns ``{"table": new base, "rejected": commands with reason,
+    ``patches``: seq, key (matches any of ``key_cols``), the role column (a NULL role may
+    not write; pass ``role_col=None`` where no role applies), and nullable columns ``cols``. Returns ``{"table": new base, "rejected": commands with reason,
     "touched": ids updated}``. Every matched id gets ``updated_at = now`` even when no value
     changes (as the source's trigger does). A NULL in a patch keeps the old value.
     """
     key_cols = key_cols or ["id"]
     p = resolve_keys(patches, base, key_cols)
-    role_ok = F.col(role_col).isin(*WRITE_ROLES) if role_col and role_col in p.columns else F.lit(True)
+    role_ok = F.coalesce(F.col(role_col).isin(*WRITE_ROLES), F.lit(False)) if role_col else F.lit(True)
     p = p.withColumn("reason", F.when(~role_ok, "role").when(F.col("_id").isNull(), "not_found"))
     ok = p.where(F.col("reason").isNull())
     folded = fold_patches(ok, "_id", cols)
@@ -101,17 +99,27 @@ def patch_update(base: DataFrame, patches: DataFrame, cols: list[str], key_cols:
 
 
 # ------------------------------------------------------------------ J4
+def check_delete_role(requests: DataFrame, role_col: str = "role") -> dict[str, DataFrame]:
+    """Delete requests split by the role that asks: only DELETE_ROLES may (NULL may not)."""
+    ok = F.coalesce(F.col(role_col).isin(*DELETE_ROLES), F.lit(False))
+    return {"accepted": requests.where(ok), "rejected": requests.where(~ok).withColumn("reason", F.lit("role"))}
+
+
 def delete_keys(base: DataFrame, keys: DataFrame, col: str = "id", key: str = "id") -> DataFrame:
     return B.member_of(base, keys, col, key, keep=False)
 
 
 def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame, key: str = "id",
-                   fks=FOREIGN_KEYS) -> dict[str, DataFrame]:
+                   fks=FOREIGN_KEYS, complete: bool = True) -> dict[str, DataFrame]:
     """Delete ``keys`` from ``table`` and apply the foreign-key effects to the other
     tables: CASCADE removes child rows (and, recursively, their children), SET NULL
     clears the reference. Walks the FK graph (tables, not rows) breadth first; a
     self-reference (BOM parent) removes whole subtrees.
 
+    Every table that refers to a deleted row must be given; ``complete=False`` says that
+    those not given have no such rows. Children without an id of their own (they have no
+    children) are deleted by their foreign key.
+
     Returns the new frames of every table touched; deleted-key frames are semi-joins, so
     nothing is collected.
     """
@@ -123,13 +131,21 @@ def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame, ke
         parent = queue.pop(0)
         dk = deleted[parent]
         for child, fk, ptable, action in fks:
-            if ptable != parent or child not in out or fk not in out[child].columns:
+            if ptable != parent:
+                continue
+            if child not in out:
+                if complete:
+                    raise ValueError(f"{child} refers to {parent} and is not given")
+                continue
+            if fk not in out[child].columns:      # a frame without the column holds no such reference
                 continue
             cdf = out[child]
             if action == "CASCADE":
-                if child == parent:  # self reference: the whole subtree of each deleted row
-                    sub = H.subtree(cdf, dk, seed_col="id").select("id").dropDuplicates()
-                    gone = sub
+                if "id" not in cdf.columns:
+                    out[child] = delete_keys(cdf, dk, fk)
+                    continue
+                if child == parent:  # self reference: everything below the deleted rows
+                    gone = H.reachable(cdf, dk)
                 else:
                     gone = B.member_of(cdf, dk, fk, "id").select("id")
                 prev = deleted.get(child)
@@ -152,8 +168,14 @@ def capture_changes(old: DataFrame, new: DataFrame, key: str = "id", touched: Da
                     only_changed: bool = False, changed_by: Column | None = None,
                     now: Column | None = None) -> DataFrame:
     """History rows between two versions of a table: Created (only new), Deleted (only
-    old) and Updated (in both: every touched key, or only where a value differs when
-    ``only_changed``). Old and new rows are written as JSON text."""
+    old) and Updated (in both; only where a value differs with ``only_changed``). With
+    ``touched`` (the keys that commands named) only those keys are looked at. Old and new
+    rows are written as JSON text."""
+    if touched is not None:
+        # only the touched rows of either version are turned into JSON and meet
+        t = touched.select(F.col(key).alias("_t")).dropDuplicates()
+        old = old.join(t, old[key] == t["_t"], "left_semi")
+        new = new.join(t, new[key] == t["_t"], "left_semi")
     o = old.select(F.col(key).alias("_k"), F.to_json(F.struct(*old.columns)).alias("old_values"))
     n = new.select(F.col(key).alias("_k2"), F.to_json(F.struct(*new.columns)).alias("new_values"))
     j = o.join(n, o["_k"] == n["_k2"], "full_outer")
@@ -161,14 +183,7 @@ def capture_changes(old: DataFrame, new: DataFrame, key: str = "id", touched: Da
     action = (F.when(F.col("_k").isNull(), "Created").when(F.col("_k2").isNull(), "Deleted")
                .otherwise("Updated"))
     rows = j.select(k.alias("asset_id"), action.alias("action"), "old_values", "new_values")
-    if touched is not None:
-        t = touched.select(F.col(key).alias("_t")).dropDuplicates()
-        rows = rows.join(t, rows["asset_id"] == t["_t"], "left")
-        keep = (F.col("action") != "Updated") | F.col("_t").isNotNull()
-        if only_changed:
-            keep = keep & ((F.col("action") != "Updated") | (F.col("old_values") != F.col("new_values")))
-        rows = rows.where(keep).drop("_t")
-    else:
+    if only_changed:
         rows = rows.where((F.col("action") != "Updated") | (F.col("old_values") != F.col("new_values")))
     rows = rows.withColumn("changed_by", changed_by if changed_by is not None else F.lit(None))
     return rows.withColumn("created_at", now if now is not None else F.current_timestamp())
@@ -177,7 +192,7 @@ def capture_changes(old: DataFrame, new: DataFrame, key: str = "id", touched: Da
 def audit_changes(old: DataFrame, new: DataFrame, table_name: str, key: str = "id") -> DataFrame:
     """Audit-log shape of ``capture_changes``: INSERT / UPDATE / DELETE with old/new data,
     only where something differs."""
-    ch = capture_changes(old, new, key)
+    ch = capture_changes(old, new, key, only_changed=True)
     return ch.select(F.lit(table_name).alias("table_name"), F.col("asset_id").alias("record_id"),
                      F.when(F.col("action") == "Created", "INSERT")
                       .when(F.col("action") == "Deleted", "DELETE").otherwise("UPDATE").alias("action"),
@@ -186,9 +201,11 @@ def audit_changes(old: DataFrame, new: DataFrame, table_name: str, key: str = "i
 
 # ------------------------------------------------------------------ J6
 def complete_maintenance(schedules: DataFrame, completions: DataFrame,
-                         key_cols: list[str] | None = None) -> dict[str, DataFrame]:
+                         key_cols: list[str] | None = None, role_col: str | None = None) -> dict[str, DataFrame]:
     """Apply maintenance completions.
 
+    With ``role_col``, a completion needs a writing role (NULL is none) and is rejected first.
+
     Each valid completion (schedule found, completion_date and completed_by given) adds a
     log row whose next_due_date is the given one or completion_date + frequency_days. The
     schedule takes the last completion by ``seq``: last_done_date, next_due_date, and status
@@ -198,7 +215,10 @@ def complete_maintenance(schedules: DataFrame, completions: DataFrame,
     c = resolve_keys(completions.withColumnRenamed("schedule_key", "key"), schedules, key_cols)
     c = c.withColumn("reason", F.when(F.col("_id").isNull(), "not_found")
                      .when(F.col("completion_date").isNull() | F.col("completed_by").isNull()
-                           | (F.trim(F.col("completed_by")) == ""), "missing_fields"))
+                           | (F.col("completed_by") == ""), "missing_fields"))
+    if role_col:
+        c = c.withColumn("reason", F.when(~F.coalesce(F.col(role_col).isin(*WRITE_ROLES), F.lit(False)), "role")
+                         .otherwise(F.col("reason")))
     ok = c.where(F.col("reason").isNull())
     freq = schedules.select(F.col("id").alias("_sid"), F.col("frequency_days").alias("_freq"))
     ok = ok.join(freq, ok["_id"] == freq["_sid"], "inner").drop("_sid")
@@ -283,7 +303,3 @@ def touch_last_login(users: DataFrame, logins: DataFrame, user_col: str = "user_
     new = F.greatest(cur, F.col("_ts"))
     out = j.withColumn("last_login", new) if "last_login" in users.columns else j.withColumn("last_login", F.col("_ts"))
     return out.drop("_u", "_ts")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

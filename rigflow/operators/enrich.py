@@ -88,8 +88,7 @@ def enrich_maintenance(schedules: DataFrame, assets: DataFrame, rigs: DataFrame,
 def enrich_transfers(transfers: DataFrame, assets: DataFrame, rigs: DataFrame,
                      companies: DataFrame, users: DataFrame) -> DataFrame:
     """transfers ⟕ assets ⟕ rigs (source) ⟕ rigs (destination) ⟕ companies ⟕ users ×3.
-    Role-playing dimensions are separate projections; roles whose key column the
-    transfer frame lacks are skipped."""
+    Role-playing dimensions are separate projections."""
     labels = asset_labels(assets, rigs, rig_map={"name": "rig_name"},
                           asset_map={"name": "asset_name", "asset_id": "asset_code",
                                      "location": "asset_current_location"})
@@ -100,8 +99,7 @@ def enrich_transfers(transfers: DataFrame, assets: DataFrame, rigs: DataFrame,
              ("ops_approved_by", users, {"full_name": "ops_approver_name"}, "ou"),
              ("mgr_approved_by", users, {"full_name": "mgr_approver_name"}, "mu")]
     for fk, d, m, tag in roles:
-        if fk in out.columns:
-            out = left_join_dim(out, fk, dim(d, "id", m, tag), tag)
+        out = left_join_dim(out, fk, dim(d, "id", m, tag), tag)
     return out
 
 

@@ -22,14 +22,11 @@ def filter_by(df: DataFrame, **kv) -> DataFrame:
 
 def search(df: DataFrame, term: str | None, cols: list[str]) -> DataFrame:
     """Case-insensitive substring match ORed over ``cols`` (LIKE without escaping: ``%``
-    and ``_`` in the term are wildcards, as in the source). Missing columns are skipped."""
+    and ``_`` in the term are wildcards, as in the source). A missing column raises."""
     if not term:
         return df
     pattern = f"%{term.lower()}%"
-    present = [c for c in cols if c in df.columns]
-    conds = [F.lower(F.col(c)).like(pattern) for c in present]
-    if not conds:
-        return df.limit(0)
+    conds = [F.lower(df[c]).like(pattern) for c in cols]
     return df.where(reduce(lambda a, b: a | b, conds))
 
 
@@ -70,24 +67,12 @@ def filter_live_status(df: DataFrame, status: str | None, as_of=None, due="next_
     return df.where(F.col(status_col) == status)
 
 
-def in_date_window(df: DataFrame, col: str, as_of=None, days: int = 30) -> DataFrame:
-    return df.where(S.in_window(col, as_of, days))
-
-
-def unread(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("is_read"))
-
-
 def unexpired(df: DataFrame, col: str = "expires_at", now=None) -> DataFrame:
     """Rows still valid at ``now`` (``col > now``)."""
     n = F.current_timestamp() if now is None else (now if isinstance(now, Column) else F.lit(now))
     return df.where(F.col(col) > n)
 
 
-def active_only(df: DataFrame, status_col: str = "status") -> DataFrame:
-    return df.where(F.col(status_col) == "Active")
-
-
 def member_of(df: DataFrame, keys: DataFrame, col: str, key: str = "id", keep: bool = True) -> DataFrame:
     """``col = ANY(keys)`` as a semi join (``keep=False``: anti join)."""
     k = keys.select(F.col(key).alias("_m")).dropDuplicates()

@@ -1,14 +1,14 @@
 """Bill-of-material hierarchy: tree levels, outline order, subtrees and cost roll-ups.
 
 The walk is a frontier loop: one equi-join of the current level with the child edges per
-level, until a level is empty. The edge table is written once, and every fourth level is
-written too (Parquet tables in the folder of ``spark.checkpoint.dir``, row count observed
-during the write); levels in between are cached and counted. Each level costs one job,
-and a lost executor recomputes at most four level joins. The number of
-jobs grows with the tree depth, not with the data. Each level's frontier is counted once
-materialised; under ``BROADCAST_ROWS`` it is broadcast into the edge scan (the edges never
-move), above it the level is a shuffle join where a hot parent is a skewed key that AQE's
-skew-join splitting handles.
+level, until a level is empty (a walk from NULL parents cannot meet a cycle, a subtree walk
+stops at its seed, and a reachability walk at what it has seen, so there is no depth cap).
+The edge table is written once, and every fourth level is written too (Parquet tables in the
+folder of ``spark.checkpoint.dir``, row count observed during the write); levels in between
+are cached and counted. Each level costs one job, and a lost executor recomputes at most four
+level joins. The number of jobs grows with the tree depth, not with the data. Spark chooses
+each level's join from measured sizes; a hot parent is a skewed key that AQE splits. A level
+carries ids only, unless paths are asked for.
 
 Semantics kept from the source:
 - tree: roots are items with a NULL parent; children are looked up inside the same
@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_DEPTH = 10_000
-
-
 # Every CUT_EVERY-th level is written to the checkpoint folder (lineage cut); the levels
 # between are cached (memory, spilling to disk) and counted in the same single job.
 CUT_EVERY = 4
@@ -40,15 +37,6 @@ def _keep(df: DataFrame, depth: int, name: str) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
-class DepthLimitExceeded(RuntimeError):
-    """A walk still had a frontier after ``max_depth`` levels (a chain longer than the cap)."""
-
-
-def _check_depth(rows: int, depth: int, max_depth: int) -> None:
-    if rows > 0 and depth >= max_depth:
-        raise DepthLimitExceeded(f"{rows} items still below depth {max_depth}; raise max_depth")
-
-
 def _finish(levels: list[DataFrame], name: str) -> DataFrame:
     """All levels as one written table; the cached levels are released."""
     out = levels[0]
@@ -60,23 +48,13 @@ def _finish(levels: list[DataFrame], name: str) -> DataFrame:
     return result
 
 
-# A frontier is broadcast to the edge scan only when its exact row count (known after it
-# is materialised) is under this bound; beyond it the level is a shuffle join.
-BROADCAST_ROWS = 2_000_000
-
-
-def _side(level: DataFrame, rows: int, bound: int) -> DataFrame:
-    return F.broadcast(level) if rows <= bound else level
-
-
-def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS,
-             items_written: bool = False) -> DataFrame:
+def bom_tree(items: DataFrame, items_written: bool = False, paths: bool = True) -> DataFrame:
     """Every node reachable from a root, per asset.
 
-    Columns: id, asset_id, parent_id, name, depth, root_id, path_ids ('/'-joined ids from
-    the root), path_names (' / '-joined names), sort_path (array of (name, id) from the
-    root: ordering by (asset_id, sort_path) is the nested document's order, siblings by
-    name), and the item's remaining columns are left out (join back on id).
+    Columns: id, asset_id, parent_id, name, depth, root_id and, with ``paths``, path_ids
+    ('/'-joined ids from the root), path_names (' / '-joined names) and sort_path (array of
+    (name, id) from the root: ordering by (asset_id, sort_path) is the nested document's
+    order, siblings by name). The item's remaining columns are left out (join back on id).
     ``items_written``: the items are already a written table (not re-derived per level),
     so they are not written again.
     """
@@ -85,30 +63,22 @@ def bom_tree(items: DataFrame, max_depth: int = MAX_DEPTH, broadcast_rows: int =
     if not items_written:
         base, _ = materialize(base, "nodes")
     edges = base.where(F.col("parent_id").isNotNull())
-    level = base.where(F.col("parent_id").isNull()).select(
-        "id", "asset_id", "parent_id", "name", F.lit(0).alias("depth"), F.col("id").alias("root_id"),
-        F.col("id").cast("string").alias("path_ids"), F.col("name").alias("path_names"),
-        F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i"))).alias("sort_path"))
-    level, rows = _keep(level, 0, "level")
+    step = F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i")))
+    start = {"depth": F.lit(0), "root_id": F.col("id")}
+    if paths:
+        start |= {"path_ids": F.col("id").cast("string"), "path_names": F.col("name"), "sort_path": step}
+    more = {"depth": F.col("depth") + 1, "root_id": F.col("root_id")}
+    if paths:
+        more |= {"path_ids": F.concat_ws("/", "path_ids", F.col("id").cast("string")),
+                 "path_names": F.concat_ws(" / ", "path_names", "name"), "sort_path": F.concat(F.col("sort_path"), step)}
+    level, rows = _keep(base.where(F.col("parent_id").isNull()).withColumns(start), 0, "level")
     levels = [level]
-    depth = 0
-    while depth < max_depth and rows > 0:
-        f = _side(level.select(F.col("id").alias("_p"), F.col("asset_id").alias("_a"), "depth", "root_id",
-                               "path_ids", "path_names", "sort_path"), rows, broadcast_rows)
+    while rows:
+        f = level.select(F.col("id").alias("_p"), F.col("asset_id").alias("_a"), *start)
         nxt = edges.join(f, (edges["parent_id"] == f["_p"]) & (edges["asset_id"] == f["_a"]), "inner")
-        nxt = nxt.select(
-            "id", "asset_id", "parent_id", "name", (F.col("depth") + 1).alias("depth"), "root_id",
-            F.concat_ws("/", "path_ids", F.col("id").cast("string")).alias("path_ids"),
-            F.concat_ws(" / ", "path_names", "name").alias("path_names"),
-            F.concat(F.col("sort_path"), F.array(F.struct(F.col("name").alias("n"),
-                                                          F.col("id").alias("i")))).alias("sort_path"))
-        nxt, rows = _keep(nxt, depth + 1, "level")
-        if rows == 0:
-            break
-        levels.append(nxt)
-        level = nxt
-        depth += 1
-    _check_depth(rows, depth, max_depth)
+        level, rows = _keep(nxt.select("id", "asset_id", "parent_id", "name", *[c.alias(n) for n, c in more.items()]),
+                            len(levels), "level")
+        levels.append(level)
     return _finish(levels, "tree")
 
 
@@ -130,20 +100,20 @@ def bom_tree_summary(items: DataFrame, tree: DataFrame | None = None) -> DataFra
                 F.count_if(F.col("status") == "On Order").cast("bigint").alias("on_order"),
                 F.coalesce(F.sum(F.col("quantity") * F.col("unit_cost_usd")), F.lit(0))
                  .cast("decimal(38,2)").alias("total_cost")))
-    t = tree if tree is not None else bom_tree(items)
+    t = tree if tree is not None else bom_tree(items, paths=False)
     reach = t.groupBy(F.col("asset_id").alias("_a")).agg(F.count("*").alias("in_tree"))
     return (per.join(reach, per["asset_id"] == reach["_a"], "left").drop("_a")
             .withColumn("in_tree", F.coalesce("in_tree", F.lit(0).cast("bigint"))))
 
 
 def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
-            max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS,
             items_written: bool = False) -> DataFrame:
     """Every descendant of each seed item (the seed itself at depth 0), following
     parent links across the whole table. Columns: seed_id, id, depth.
 
     Every item has one parent, so a walk can only come back to a node it has seen by
     returning to its own seed (the seed lies on a cycle); that is the one stop needed.
+    Where only the set of items below is wanted, ``reachable`` does without the seed.
     """
     edges = items.select("id", "parent_id").where(F.col("parent_id").isNotNull())
     if not items_written:
@@ -152,22 +122,32 @@ def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
                               .join(items.select("id"), F.col("seed_id") == F.col("id"), "inner")
                               .select("seed_id", "id", F.lit(0).alias("depth")), "seeds")
     levels = [level]
-    depth = 0
-    while depth < max_depth and rows > 0:
-        f = _side(level.select("seed_id", F.col("id").alias("_p"), "depth"), rows, broadcast_rows)
+    while rows:
+        f = level.select("seed_id", F.col("id").alias("_p"), "depth")
         nxt = (edges.join(f, edges["parent_id"] == f["_p"], "inner")
                .where(F.col("id") != F.col("seed_id"))
                .select("seed_id", "id", (F.col("depth") + 1).alias("depth")))
-        nxt, rows = _keep(nxt, depth + 1, "level")
-        if rows == 0:
-            break
-        levels.append(nxt)
-        level = nxt
-        depth += 1
-    _check_depth(rows, depth, max_depth)
+        level, rows = _keep(nxt, len(levels), "level")
+        levels.append(level)
     return _finish(levels, "subtree")
 
 
+def reachable(items: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The ids of ``seeds`` (id) and of every item below one of them, each once: a frontier of
+    ids less what has been seen, so nested seeds are walked once."""
+    edges, _ = materialize(items.select("id", "parent_id").where(F.col("parent_id").isNotNull()), "edges")
+    seen, rows = materialize(seeds.select("id").dropDuplicates(), "seen")
+    level, levels = seen, 1
+    while rows:
+        below = edges.join(level.select(F.col("id").alias("_p")), F.col("parent_id") == F.col("_p")).select("id").dropDuplicates()
+        level, rows = materialize(below.join(seen.select(F.col("id").alias("_s")), F.col("id") == F.col("_s"), "left_anti"), "level")
+        seen = seen.unionByName(level)
+        levels += 1
+        if levels % CUT_EVERY == 0:
+            seen, _ = materialize(seen, "seen")
+    return seen
+
+
 def subtree_counts(sub: DataFrame) -> DataFrame:
     """Per seed: how many items a delete of the seed removes (itself + descendants)."""
     return sub.groupBy("seed_id").agg(F.count("*").alias("delete_count"),
@@ -175,16 +155,29 @@ def subtree_counts(sub: DataFrame) -> DataFrame:
 
 
 def subtree_cost(items: DataFrame, tree: DataFrame | None = None) -> DataFrame:
-    """For every node in the tree, the cost Σ quantity × unit cost of its subtree.
-
-    Each node contributes its line cost to every ancestor on its path (the path is at
-    most depth long), then a grouped sum per ancestor (partial aggregation map-side)."""
-    t = tree if tree is not None else bom_tree(items)
-    cost = items.select(F.col("id").alias("_i"),
-                        (F.col("quantity") * F.col("unit_cost_usd")).alias("line_cost"))
-    tc = t.join(cost, t["id"] == cost["_i"], "inner")
-    anc = tc.select(F.explode(F.split("path_ids", "/")).alias("anc"), "line_cost")
-    agg = anc.groupBy("anc").agg(F.sum("line_cost").cast("decimal(38,2)").alias("subtree_cost"),
-                                 F.count("*").alias("subtree_size"))
-    return (t.select("id", "asset_id", "depth")
-            .join(agg, F.col("id").cast("string") == F.col("anc"), "inner").drop("anc"))
+    """For every node in the tree, the cost Σ quantity × unit cost of its subtree and the
+    subtree's size: bottom up, one grouped sum of the children per level."""
+    t = tree if tree is not None else bom_tree(items, paths=False)
+    cost = items.select(F.col("id").alias("_i"), (F.col("quantity") * F.col("unit_cost_usd")).alias("_own"))
+    nodes, _ = materialize(t.join(cost, t["id"] == cost["_i"], "inner").select("id", "asset_id", "parent_id", "depth", "_own"), "costed")
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    done, below = [], None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        level = nodes.where(F.col("depth") == depth)
+        own = F.coalesce("_own", F.lit(0))
+        if below is None:
+            level = level.withColumns({"subtree_cost": own.cast("decimal(38,2)"), "subtree_size": F.lit(1).cast("bigint")})
+        else:
+            sums = below.groupBy(F.col("parent_id").alias("_p"), F.col("asset_id").alias("_a")).agg(
+                F.sum("subtree_cost").alias("_cost"), F.sum("subtree_size").alias("_size"))
+            level = level.join(sums, (level["id"] == sums["_p"]) & (level["asset_id"] == sums["_a"]), "left").withColumns({
+                "subtree_cost": (own + F.coalesce("_cost", F.lit(0))).cast("decimal(38,2)"),
+                "subtree_size": F.lit(1) + F.coalesce("_size", F.lit(0))})
+        below, _ = materialize(level.select("id", "asset_id", "parent_id", "depth", "subtree_cost", "subtree_size"), "level-cost")
+        done.append(below)
+    if not done:
+        return nodes.select("id", "asset_id", "depth", F.lit(0).cast("decimal(38,2)").alias("subtree_cost"), F.lit(0).cast("bigint").alias("subtree_size"))
+    out = done[0]
+    for level in done[1:]:
+        out = out.unionByName(level)
+    return out.select("id", "asset_id", "depth", "subtree_cost", "subtree_size")

@@ -26,11 +26,10 @@ def page(df: DataFrame, order: list[Column | str], page_no: int = 1, limit: int
     return out.limit(int(limit))
 
 
-def with_total(df: DataFrame) -> DataFrame:
-    """Add ``total``: the full match count beside each row. The count is a scalar
-    subquery (partial counts per task, one merge), not ``count(*) OVER ()``, which would
-    move every row into a single partition."""
-    return df.withColumn("total", df.select(F.count(F.lit(1))).scalar())
+def total(df: DataFrame) -> Column:
+    """The number of rows of ``df`` as a scalar subquery (partial counts per task, one merge),
+    not ``count(*) OVER ()``, which would move every row into a single partition."""
+    return df.select(F.count(F.lit(1))).scalar()
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
@@ -41,22 +40,32 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
 
 
 # ------------------------------------------------------------------ lists with pages
-def assets_page(assets_enriched: DataFrame, page_no: int = 1, limit: int = 100) -> DataFrame:
-    """Asset list page ordered by asset code, plus the full match count."""
-    return page(with_total(assets_enriched), [F.col("asset_id")], page_no, limit)
+# A page is taken from the base rows, before joins that cannot change which rows it holds;
+# only the page's rows are then enriched.
+def assets_page(assets: DataFrame, page_no: int = 1, limit: int = 100) -> DataFrame:
+    """Asset page ordered by asset code."""
+    return page(assets, [F.col("asset_id").asc_nulls_last()], page_no, limit)
 
 
-def maintenance_page(maint_list: DataFrame, as_of=None, page_no: int = 1, limit: int = 100) -> DataFrame:
+def maintenance_page(schedules: DataFrame, as_of=None, page_no: int = 1, limit: int = 100) -> DataFrame:
     """most urgent first (overdue, due soon, rest), then due date, then id."""
-    order = [S.urgency_rank(as_of=as_of), F.col("next_due_date").asc_nulls_last(), F.col("id")]
-    return page(maint_list, order, page_no, limit)
+    order = [S.urgency_rank(as_of=as_of), F.col("next_due_date").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    return page(schedules, order, page_no, limit)
 
 
 def transfers_page(transfers: DataFrame, page_no: int = 1, limit: int = 50,
                    date_col: str = "request_date", id_col: str = "transfer_id") -> DataFrame:
     """newest request first, then transfer code descending (NULLs first on DESC)."""
-    order = [F.col(date_col).desc_nulls_first(), F.col(id_col).desc_nulls_first()]
-    return page(transfers, order, page_no, limit)
+    return page(transfers, _newest(date_col, id_col), page_no, limit)
+
+
+def transfers_sorted(transfers: DataFrame, date_col: str = "request_date", id_col: str = "transfer_id") -> DataFrame:
+    """The order of ``transfers_page`` for a page that has been enriched."""
+    return transfers.orderBy(*_newest(date_col, id_col))
+
+
+def _newest(date_col: str, id_col: str) -> list[Column]:
+    return [F.col(date_col).desc_nulls_first(), F.col(id_col).desc_nulls_first()]
 
 
 # ------------------------------------------------------------------ per-key feeds

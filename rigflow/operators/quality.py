@@ -60,8 +60,9 @@ def _reasons(named: list[tuple[str, Column]]) -> Column:
 def tag_commands(batch: DataFrame, kind: str, action: str = "create", role_col: str = "role") -> DataFrame:
     """Add ``reasons``: the failed checks of each command, role first (the source's
     middleware runs before the body checks), then the body rules in order."""
-    checks = [("role", F.col(role_col).isin(*PERMISSIONS[action]))] if role_col in batch.columns else []
-    checks += [(name, fn()) for name, fn in COMMAND_RULES[kind].items() if name in batch.columns]
+    no = F.lit(False)       # a field or role that the batch does not carry is a failed rule
+    checks = [("role", F.col(role_col).isin(*PERMISSIONS[action]) if role_col in batch.columns else no)]
+    checks += [(name, fn() if name in batch.columns else no) for name, fn in COMMAND_RULES[kind].items()]
     return batch.withColumn("reasons", _reasons(checks))
 
 
@@ -113,17 +114,22 @@ def orphan_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
 
 
 def table_rules(table: str, columns: list[str]) -> list[tuple[str, Column]]:
-    """The value rules of ``table`` whose columns are present: enumerations and row rules.
-    A rule fails only when it is false (NULL passes, as a CHECK constraint does)."""
+    """The value rules of ``table``: enumerations and row rules; a rule whose column is
+    missing raises. A rule fails only when it is false (NULL passes, as a CHECK constraint
+    does)."""
     rules = []
     for (t, c), values in ENUMS.items():
-        if t == table and c in columns:
+        if t == table:
+            if c not in columns:
+                raise ValueError(f"{table} has no column {c}, which the rule {c}_allowed reads")
             rules.append((f"{c}_allowed", F.col(c).isin(*values)))
     for name, expr in ROW_RULES.get(table, {}).items():
         refs = [w for w in expr.replace("(", " ").replace(")", " ").split() if w.isidentifier()]
         needed = [w for w in refs if w.islower() and w not in ("and", "or", "not", "is", "null", "between")]
-        if all(w in columns for w in needed):
-            rules.append((name, F.expr(expr)))
+        missing = [w for w in needed if w not in columns]
+        if missing:
+            raise ValueError(f"{table} has no column {missing[0]}, which the rule {name} reads")
+        rules.append((name, F.expr(expr)))
     return rules
 
 

@@ -77,7 +77,7 @@ def assets_by_rig(rigs: DataFrame, assets: DataFrame) -> DataFrame:
     return (out.select("rig_id", "rig_name", "rig_status", _z("asset_count"), _z("active"),
                        _z("maintenance"),
                        F.coalesce(F.col("_v"), F.lit(0)).cast("decimal(38,2)").alias("total_value"))
-            .orderBy("rig_id"))
+            .orderBy(F.col("rig_id").asc_nulls_last()))
 
 
 # ------------------------------------------------------------------ rig roll-ups
@@ -201,10 +201,13 @@ def upcoming_maintenance(schedules: DataFrame, assets: DataFrame, rigs: DataFram
                          k: int = 10) -> DataFrame:
     """the k most urgent alerts (top-k: partial TakeOrdered per partition, then merge).
     Ties on the due date are broken by pm_id so the cut is deterministic."""
-    alerts = maintenance_alerts(schedules, assets, rigs, as_of)
+    # the cut is made on the schedules alone; k rows meet the labels
+    order = [F.col("next_due_date").asc_nulls_last(), F.col("pm_id").asc_nulls_last()]
+    first = schedules.where(S.is_alert(as_of=as_of)).orderBy(*order).limit(k)
+    alerts = maintenance_alerts(first, assets, rigs, as_of)
     cols = [c for c in ("pm_id", "task_name", "priority", "next_due_date", "days_until_due",
                         "asset_name", "asset_code", "rig_name", "alert_type") if c in alerts.columns]
-    return alerts.orderBy("next_due_date", "pm_id").limit(k).select(*cols)
+    return alerts.orderBy(*order).select(*cols)
 
 
 def contracts_expiring(contracts: DataFrame, companies: DataFrame, rigs: DataFrame, as_of=None,
@@ -213,7 +216,7 @@ def contracts_expiring(contracts: DataFrame, companies: DataFrame, rigs: DataFra
     c = contracts.where((F.col("status") == "Active") & S.in_window("end_date", as_of, days))
     out = E.enrich_contracts(c, companies, rigs, None, as_of, live_status=False,
                              company_map={"name": "company_name"}, rig_map={"name": "rig_name"})
-    return out.orderBy("end_date", "id")
+    return out.orderBy(F.col("end_date").asc_nulls_last(), F.col("id").asc_nulls_last())
 
 
 def contracts_lapsing(contracts: DataFrame, companies: DataFrame, rigs: DataFrame, as_of=None,
@@ -225,7 +228,7 @@ def contracts_lapsing(contracts: DataFrame, companies: DataFrame, rigs: DataFram
     out = E.enrich_contracts(c, companies, rigs, None, as_of, live_status=False,
                              company_map={"name": "company_name"}, rig_map={"name": "rig_name"})
     return out.select("contract_no", "end_date", "days_until_expiry", "company_name",
-                      "rig_name").orderBy("end_date", "contract_no")
+                      "rig_name").orderBy(F.col("end_date").asc_nulls_last(), F.col("contract_no").asc_nulls_last())
 
 
 # ------------------------------------------------------------------ D12 / D13 BOM
@@ -374,21 +377,21 @@ def dashboard_document(spark: SparkSession, assets, rigs, contracts, schedules,
                        companies, as_of=None, k: int = 10) -> DataFrame:
     """A5 re-aimed: the dashboard's nested reply as rows of one frame, one row per item:
     ``section`` (kpis / byRig / upcomingMaintenance / expiringContracts), ``item_key``,
-    ``ord`` (the section's order) and ``payload`` (the item as JSON). Sections are never
+    ``ord`` (text that sorts as the section is ordered, together with the key) and ``payload`` (the item as JSON). Sections are never
     gathered into one row, so a section of any size stays distributed; ``write.json``
     writes it from the tasks."""
     kpis = dashboard_kpis(spark, assets, rigs, contracts, schedules, transfers, notifs, as_of)
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generated_at")
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generated_at")
     kp = kpis.select(F.lit("kpis").alias("section"), F.lit("all").alias("item_key"),
-                     F.lit(0).cast("bigint").alias("ord"),
+                     F.lit("").alias("ord"),
                      F.to_json(F.struct(*kpis.columns, stamp)).alias("payload"))
     br = dashboard_by_rig(rigs, assets, schedules, as_of)
     by = br.select(F.lit("byRig").alias("section"), F.col("rig_id").alias("item_key"),
-                   F.lit(None).cast("bigint").alias("ord"), F.to_json(F.struct(*br.columns)).alias("payload"))
+                   F.lit("").alias("ord"), F.to_json(F.struct(*br.columns)).alias("payload"))
     up = upcoming_maintenance(schedules, assets, rigs, as_of, k)
     u = up.select(F.lit("upcomingMaintenance").alias("section"), F.col("pm_id").alias("item_key"),
-                  F.lit(None).cast("bigint").alias("ord"), F.to_json(F.struct(*up.columns)).alias("payload"))
+                  F.col("next_due_date").cast("string").alias("ord"), F.to_json(F.struct(*up.columns)).alias("payload"))
     ec = contracts_lapsing(contracts, companies, rigs, as_of)
     c = ec.select(F.lit("expiringContracts").alias("section"), F.col("contract_no").alias("item_key"),
-                  F.lit(None).cast("bigint").alias("ord"), F.to_json(F.struct(*ec.columns)).alias("payload"))
+                  F.col("end_date").cast("string").alias("ord"), F.to_json(F.struct(*ec.columns)).alias("payload"))
     return kp.unionByName(by).unionByName(u).unionByName(c)

@@ -34,6 +34,7 @@ ACTIONS = ("approve", "reject", "hold")
 OPS_RESULT = {"approve": "Ops Approved", "reject": "Rejected", "hold": "On Hold"}
 MGR_RESULT = {"approve": "Completed", "reject": "Rejected", "hold": "On Hold"}
 REMOVED = "Removed"
+RECIPIENTS = 100_000     # users of a role that one task pairs with the messages
 
 
 def _case(col: Column, mapping: dict) -> Column:
@@ -72,11 +73,11 @@ def _transition(state: Column, stage: Column, action: Column) -> Column:
 
 
 def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
-                   status_col: str = "status") -> dict[str, DataFrame]:
+                   status_col: str = "status", code_col: str = "transfer_id") -> dict[str, DataFrame]:
     """Run the approval workflow for a batch of decision events.
 
-    ``transfers``: key + stored status. ``decisions``: seq, transfer_key, stage, action,
-    comment, actor_role (optional actor_id, ts). Returns:
+    ``transfers``: key + stored status (+ code). ``decisions``: seq, transfer_key (id or
+    code), stage, action, comment, actor_role (optional actor_id, ts). Returns:
       ``state``    one row per transfer: final status (``Removed`` when cancelled), the
                    accepted ops / mgr / cancel events (seq, action, comment, role, ts);
       ``events``   every decision with ``accepted`` and, if rejected, ``reason`` and the
@@ -88,10 +89,14 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
     if "ts" not in ev.columns:
         ev = ev.withColumn("ts", F.lit(None).cast("timestamp"))
     known = transfers.select(F.col(key).alias("_tk"), F.col(status_col).alias("s0"))
-    ev = ev.join(known, ev["transfer_key"] == known["_tk"], "left")
+    # a decision names a transfer by its id or by its code
+    names = known.select(F.col("_tk").cast("string").alias("_name"), "_tk")
+    if code_col in transfers.columns:
+        names = names.unionByName(transfers.select(F.col(code_col).alias("_name"), F.col(key).alias("_tk"))).dropDuplicates()
+    ev = ev.join(names, ev["transfer_key"].cast("string") == names["_name"], "left").drop("_name")
     found = F.col("_tk").isNotNull()
     valid = ev.where(found & F.col("pre_reason").isNull()).select(
-        F.col("transfer_key").alias("_t"), "seq", "stage", "action", "comment", "actor_role", "actor_id", "ts")
+        F.col("_tk").alias("_t"), "seq", "stage", "action", "comment", "actor_role", "actor_id", "ts")
     # read by all three rounds: kept once (recomputed from lineage if an executor is lost)
     valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -137,7 +142,7 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
     # ---- per-event classification
     marks = s.select(F.col("_tk").alias("_m"), "s0", "s1", "s2", "s3",
                      F.col("a1.seq").alias("q1"), F.col("a2.seq").alias("q2"), F.col("a3.seq").alias("q3"))
-    e = ev.drop("s0").join(marks, ev["transfer_key"] == marks["_m"], "left").drop("_m")
+    e = ev.join(marks, ev["_tk"] == marks["_m"], "left").drop("_m")
     q = F.col("seq")
     state_at = (F.when(F.col("q1").isNull() | (q < F.col("q1")), F.col("s0"))
                  .when(F.col("q2").isNull() | (q < F.col("q2")), F.col("s1"))
@@ -192,9 +197,10 @@ def apply_transfers(assets: DataFrame, transfers: DataFrame, state: DataFrame,
     """For transfers completed by the fold, relocate the asset (location := destination,
     rig / company := destination's when given), write a history row and a broadcast notice.
     If several completed transfers name one asset, the last by final-approval seq wins."""
-    done = state.where(F.col("status") == "Completed").select(
+    # (a transfer that was stored as Completed has been applied before)
+    done = state.where((F.col("status") == "Completed") & F.col("mgr_seq").isNotNull()).select(
         F.col("transfer_key").alias("_k"), F.col("mgr_seq").alias("_seq"), "mgr_approved_by")
-    t = transfers.join(done, transfers[key] == done["_k"], "inner")
+    t = transfers.drop("mgr_approved_by").join(done, transfers[key] == done["_k"], "inner")
     tcols = [c for c in ("dest_rig_id", "dest_company_id") if c in t.columns]
     last = (t.groupBy(F.col("asset_id").alias("_a"))
             .agg(F.max(F.struct("_seq", "destination", *tcols, F.col(key).alias("_tid"))).alias("x")))
@@ -233,8 +239,8 @@ def cancel_transfers(transfers: DataFrame, requests: DataFrame, key_cols: list[s
     r = resolve_keys(requests, transfers, key_cols)
     st = transfers.select(F.col("id").alias("_sid"), F.col("status").alias("_st"))
     r = r.join(st, r["_id"] == st["_sid"], "left")
-    reason = (F.when(~F.col(role_col).isin(*STAGE_ROLES["cancel"]), "role")
-               .when(F.col("_id").isNull() | ~F.col("_st").isin("Pending", "On Hold"),
+    reason = (F.when(~F.coalesce(F.col(role_col).isin(*STAGE_ROLES["cancel"]), F.lit(False)), "role")
+               .when(F.col("_id").isNull() | ~F.coalesce(F.col("_st").isin("Pending", "On Hold"), F.lit(False)),
                      "not_found_or_not_cancellable"))
     r = r.withColumn("reason", reason)
     gone = r.where(F.col("reason").isNull()).select(F.col("_id").alias("_g")).dropDuplicates()
@@ -250,8 +256,10 @@ def notify_role(messages: DataFrame, users: DataFrame, roles: tuple[str, ...],
     would send every recipient of a role to one task once the users side is too big to
     broadcast. Users are spread over ``salts`` buckets by a hash of their id and every
     message is copied once per bucket; each (message, user) pair still meets exactly once.
+    The number of buckets follows the measured number of recipients (one for every
+    ``RECIPIENTS`` of them), so few recipients mean no copies.
     """
-    n = salts or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = salts or max(1, -(-users.where(F.col("role").isin(*roles)).count() // RECIPIENTS))
     m = (messages.withColumn("_role", F.explode(F.array(*[F.lit(r) for r in roles])))
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
     u = (users.where(F.col("role").isin(*roles))

@@ -31,17 +31,8 @@ _TREE_CTE = """tree AS (
   FROM bom_items b JOIN tree t ON b.parent_id = t.id AND b.asset_id = t.asset_id)"""
 
 
-def _items(d) -> DataFrame:
-    """The BOM items, derived once per query run and read back from a written table
-    (the derivation ranks orders per customer; several hierarchy steps read the items)."""
-    from ..session import materialize
-    if not hasattr(d, "_items_table"):
-        d._items_table = materialize(d.bom_items, "items")[0]
-    return d._items_table
-
-
-def _tree(d) -> DataFrame:
-    return H.bom_tree(_items(d), items_written=True)
+def _tree(d, paths: bool = True) -> DataFrame:
+    return H.bom_tree(d.bom_items, paths=paths)
 
 
 @register_sql("bom_tree", with_views_recursive(_TREE_CTE, "SELECT * FROM tree", ["bom_items"]))
@@ -60,7 +51,7 @@ SELECT b.asset_id, CAST(COUNT(*) AS BIGINT) AS total,
 FROM bom_items b LEFT JOIN tree t ON t.id = b.id
 GROUP BY b.asset_id""", ["bom_items"]))
 def q_bom_tree_summary(spark, d):
-    return H.bom_tree_summary(_items(d), _tree(d))
+    return H.bom_tree_summary(d.bom_items, _tree(d, paths=False))
 
 
 _SUB_CTE = """sub AS (
@@ -73,8 +64,7 @@ _SUB_CTE = """sub AS (
 
 def _subtree(d) -> DataFrame:
     """Delete requests: every Obsolete item, with its whole subtree."""
-    items = _items(d)
-    return H.subtree(items, items.where(F.col("status") == "Obsolete"), items_written=True)
+    return H.subtree(d.bom_items, d.bom_items.where(F.col("status") == "Obsolete"))
 
 
 @register_sql("bom_subtree", with_views_recursive(_SUB_CTE, "SELECT * FROM sub", ["bom_items"]))
@@ -100,7 +90,7 @@ SELECT t.id, t.asset_id, t.depth,
 FROM clos c JOIN bom_items b ON b.id = c.node JOIN tree t ON t.id = c.anc
 GROUP BY t.id, t.asset_id, t.depth""", ["bom_items"]))
 def q_bom_subtree_cost(spark, d):
-    return H.subtree_cost(_items(d), _tree(d))
+    return H.subtree_cost(d.bom_items, _tree(d, paths=False))
 
 
 # ====================================================================== changes
@@ -162,22 +152,36 @@ _CHANGED = ("(COALESCE(f.status, a.status) IS DISTINCT FROM a.status "
 
 
 @register_sql("capture_changes", with_views_and(_PATCH_CTES + f"""
-SELECT a.id AS asset_id, 'Updated' AS action, {_CHANGED} AS changed
+SELECT a.id AS asset_id, 'Updated' AS action, {_CHANGED} AS changed, a.status AS old_status, a.location AS old_location,
+  CAST(a.value_usd AS DOUBLE) AS old_value, COALESCE(f.status, a.status) AS new_status,
+  COALESCE(f.location, a.location) AS new_location, CAST(COALESCE(f.value_usd, a.value_usd) AS DOUBLE) AS new_value,
+  a.name AS new_name
 FROM assets a JOIN f ON f._id = a.id""", ["assets", "asset_patches"]))
 def q_capture_changes(spark, d):
     r = _patched(d)
     new = r["table"].drop("updated_at")
     ch = C.capture_changes(d.assets, new, "id", touched=r["touched"])
+    field = lambda c, n: F.get_json_object(c, f"$.{n}")
     return ch.select("asset_id", "action", (F.coalesce(F.col("old_values") != F.col("new_values"),
-                                                       F.lit(True))).alias("changed"))
+                                                       F.lit(True))).alias("changed"),
+                     field("old_values", "status").alias("old_status"), field("old_values", "location").alias("old_location"),
+                     field("old_values", "value_usd").cast("double").alias("old_value"),
+                     field("new_values", "status").alias("new_status"), field("new_values", "location").alias("new_location"),
+                     field("new_values", "value_usd").cast("double").alias("new_value"),
+                     field("new_values", "name").alias("new_name"))
 
 
 @register_sql("audit_changes", with_views_and(_PATCH_CTES + f"""
-SELECT 'assets' AS table_name, a.id AS record_id, 'UPDATE' AS action
+SELECT 'assets' AS table_name, a.id AS record_id, 'UPDATE' AS action, a.asset_id AS old_code, a.status AS old_status,
+  COALESCE(f.status, a.status) AS new_status, COALESCE(f.location, a.location) AS new_location
 FROM assets a JOIN f ON f._id = a.id WHERE {_CHANGED}""", ["assets", "asset_patches"]))
 def q_audit_changes(spark, d):
     new = _patched(d)["table"].drop("updated_at")
-    return C.audit_changes(d.assets, new, "assets").select("table_name", "record_id", "action")
+    field = lambda c, n: F.get_json_object(c, f"$.{n}")
+    return C.audit_changes(d.assets, new, "assets").select(
+        "table_name", "record_id", "action", field("old_data", "asset_id").alias("old_code"),
+        field("old_data", "status").alias("old_status"), field("new_data", "status").alias("new_status"),
+        field("new_data", "location").alias("new_location"))
 
 
 _ASSET_RULES = (f"p.role IN {WRITE} AND p.asset_id IS NOT NULL AND length(trim(p.asset_id)) > 0 "
@@ -225,7 +229,7 @@ def q_unique_violations(spark, d):
     return Q.unique_violations(d.assets, d.asset_creates, "asset_id")
 
 
-_FK_TABLES = {"companies": "companies", "rigs": "rigs", "contracts": "contracts", "assets": "assets",
+_FK_TABLES = {"maintenance_logs": "log_rows", "companies": "companies", "rigs": "rigs", "contracts": "contracts", "assets": "assets",
               "asset_history": "asset_history", "bom_items": "bom_items", "certificates": "certificates",
               "maintenance_schedules": "schedules", "work_orders": "work_orders",
               "transfers": "transfers", "users": "users", "notifications": "notifications"}
@@ -233,8 +237,9 @@ _FK_TABLES = {"companies": "companies", "rigs": "rigs", "contracts": "contracts"
 _FK_COLS = {"rigs": ["company_id"], "contracts": ["company_id", "rig_id"],
             "assets": ["company_id", "rig_id", "contract_id"], "asset_history": ["asset_id", "changed_by"],
             "bom_items": ["asset_id", "parent_id"], "certificates": ["asset_id", "rig_id"],
-            "maintenance_schedules": ["asset_id"], "work_orders": ["asset_id"],
-            "transfers": ["asset_id", "dest_rig_id"], "notifications": ["user_id"]}
+            "maintenance_schedules": ["asset_id"], "maintenance_logs": ["schedule_id"], "work_orders": ["asset_id"],
+            "transfers": ["asset_id", "dest_rig_id", "dest_company_id", "requested_by", "ops_approved_by", "mgr_approved_by"],
+            "notifications": ["user_id"]}
 
 
 def _orphan_sql() -> str:
@@ -242,7 +247,7 @@ def _orphan_sql() -> str:
     for child, fk, parent, _ in FOREIGN_KEYS:
         if child in _FK_COLS and parent in _FK_TABLES and fk in _FK_COLS[child]:
             parts.append(f"SELECT '{child}' AS child_table, '{fk}' AS fk, '{parent}' AS parent_table, "
-                         f"CAST(c.id AS STRING) AS child_id, CAST(c.{fk} AS STRING) AS missing_key "
+                         f"CAST({'c.schedule_id' if child == 'maintenance_logs' else 'c.id'} AS STRING) AS child_id, CAST(c.{fk} AS STRING) AS missing_key "
                          f"FROM {child} c WHERE c.{fk} IS NOT NULL AND NOT EXISTS "
                          f"(SELECT 1 FROM {parent} p WHERE p.id = c.{fk})")
     views = sorted(set(_FK_TABLES))
@@ -255,10 +260,18 @@ ORACLE_ORPHANS = _orphan_sql()
 
 @register_sql("orphans", ORACLE_ORPHANS)
 def q_orphans(spark, d):
-    tables = {name: getattr(d, attr) for name, attr in _FK_TABLES.items()}
+    tables = {name: getattr(d, attr) for name, attr in _FK_TABLES.items() if name != "maintenance_logs"}
+    tables["maintenance_logs"] = d.logs.withColumn("id", F.col("schedule_id"))      # (logs have no key of their own here)
     return Q.orphan_report(tables)
 
 
+_CHECKED = """SELECT id, asset_id, CASE id % 9 WHEN 0 THEN 'Bogus' WHEN 1 THEN NULL ELSE 'Power Generation' END AS category,
+  CASE WHEN id % 10 = 0 THEN 'Lost' ELSE status END AS status,
+  CASE WHEN id % 12 = 0 THEN CAST(-1 AS DECIMAL(18,2)) ELSE value_usd END AS value_usd,
+  CASE id % 13 WHEN 0 THEN 1949 WHEN 1 THEN 2101 WHEN 2 THEN NULL ELSE 2000 END AS year_manufactured,
+  CASE WHEN id % 17 = 0 THEN -0.5 ELSE 10.0 END AS weight_kg FROM assets"""
+
+
 def _assets_rule_sql() -> str:
     cat = ",".join(f"'{v}'" for v in ENUMS[("assets", "category")])
     st = ",".join(f"'{v}'" for v in ENUMS[("assets", "status")])
@@ -267,13 +280,24 @@ def _assets_rule_sql() -> str:
 SELECT a.*, concat_ws(',',
   CASE WHEN NOT COALESCE(a.category IN ({cat}), true) THEN 'category_allowed' END,
   CASE WHEN NOT COALESCE(a.status IN ({st}), true) THEN 'status_allowed' END,
-  CASE WHEN NOT COALESCE(a.value_usd >= 0, true) THEN 'value_usd_non_negative' END) AS violations
-FROM assets a) x WHERE violations <> ''""", ["assets"])
+  CASE WHEN NOT COALESCE(a.value_usd >= 0, true) THEN 'value_usd_non_negative' END,
+  CASE WHEN a.year_manufactured < 1950 OR a.year_manufactured > 2100 THEN 'year_in_range' END,
+  CASE WHEN a.weight_kg < 0 THEN 'weight_non_negative' END) AS violations
+FROM ({_CHECKED}) a) x WHERE violations <> ''""", ["assets"])
+
+
+_CHECKED_COLUMNS = {
+    "category": "CASE id % 9 WHEN 0 THEN 'Bogus' WHEN 1 THEN NULL ELSE 'Power Generation' END",
+    "status": "CASE WHEN id % 10 = 0 THEN 'Lost' ELSE status END",
+    "value_usd": "CASE WHEN id % 12 = 0 THEN CAST(-1 AS DECIMAL(18,2)) ELSE value_usd END",
+    "year_manufactured": "CASE id % 13 WHEN 0 THEN 1949 WHEN 1 THEN 2101 WHEN 2 THEN NULL ELSE 2000 END",
+    "weight_kg": "CASE WHEN id % 17 = 0 THEN -0.5 ELSE 10.0 END",
+}
 
 
 @register_sql("check_violations", _assets_rule_sql())
 def q_check_violations(spark, d):
-    v = Q.check_violations(d.assets, "assets")
+    v = Q.check_violations(d.assets.select("id", "asset_id", *[F.expr(e).alias(n) for n, e in _CHECKED_COLUMNS.items()]), "assets")
     return v.withColumn("violations", F.array_join("violations", ","))
 
 
@@ -281,21 +305,40 @@ def q_check_violations(spark, d):
 _INACTIVE = "SELECT id FROM assets WHERE status = 'Inactive'"
 
 
-def _cascade(d, with_bom: bool):
-    """Delete the Inactive assets and apply the foreign-key effects. The BOM (whose
-    self-reference needs a subtree walk) is included only when its result is asked for."""
-    tables = {"assets": d.assets, "maintenance_schedules": d.schedules, "certificates": d.certificates,
-              "asset_history": d.asset_history, "transfers": d.transfers, "work_orders": d.work_orders}
-    if with_bom:
-        tables["bom_items"] = _items(d)
-    return C.delete_cascade(tables, "assets", d.assets.where(F.col("status") == "Inactive"))
+def _cascade(d, *only: str):
+    """Delete the Inactive assets and apply the foreign-key effects to the tables whose
+    results are asked for (all of them without ``only``)."""
+    tables = {"maintenance_schedules": d.schedules, "maintenance_logs": d.logs, "certificates": d.certificates,
+              "asset_history": d.asset_history, "transfers": d.transfers, "work_orders": d.work_orders,
+              "bom_items": d.bom_items}
+    given = {"assets": d.assets, **{t: f for t, f in tables.items() if not only or t in only}}
+    return C.delete_cascade(given, "assets", d.assets.where(F.col("status") == "Inactive"), complete=not only)
 
 
 @register_sql("delete_cascade", with_views_and(f"""del AS ({_INACTIVE})
 SELECT * FROM maintenance_schedules WHERE asset_id NOT IN (SELECT id FROM del)""",
                                                 ["assets", "maintenance_schedules"]))
 def q_delete_cascade(spark, d):
-    return _cascade(d, with_bom=False)["maintenance_schedules"]
+    return _cascade(d, "maintenance_schedules")["maintenance_schedules"]
+
+
+@register_sql("delete_cascade_logs", with_views_and(f"""del AS ({_INACTIVE})
+SELECT l.* FROM maintenance_logs l JOIN maintenance_schedules s ON s.id = l.schedule_id
+WHERE s.asset_id NOT IN (SELECT id FROM del)""", ["assets", "maintenance_schedules", "maintenance_logs"]))
+def q_delete_cascade_logs(spark, d):
+    return _cascade(d, "maintenance_schedules", "maintenance_logs")["maintenance_logs"]
+
+
+@register_sql("delete_cascade_certificates", with_views_and(f"""del AS ({_INACTIVE})
+SELECT * FROM certificates WHERE asset_id IS NULL OR asset_id NOT IN (SELECT id FROM del)""", ["assets", "certificates"]))
+def q_delete_cascade_certificates(spark, d):
+    return _cascade(d, "certificates")["certificates"]
+
+
+@register_sql("delete_cascade_work_orders", with_views_and(f"""del AS ({_INACTIVE})
+SELECT * FROM work_orders WHERE asset_id NOT IN (SELECT id FROM del)""", ["assets", "work_orders"]))
+def q_delete_cascade_work_orders(spark, d):
+    return _cascade(d, "work_orders")["work_orders"]
 
 
 @register_sql("delete_cascade_bom", with_views_recursive(f"""gone AS (
@@ -304,7 +347,7 @@ def q_delete_cascade(spark, d):
   SELECT c.id FROM bom_items c JOIN gone g ON c.parent_id = g.id)""",
     "SELECT * FROM bom_items WHERE id NOT IN (SELECT id FROM gone)", ["assets", "bom_items"]))
 def q_delete_cascade_bom(spark, d):
-    return _cascade(d, with_bom=True)["bom_items"]
+    return _cascade(d, "bom_items")["bom_items"]
 
 
 @register_sql("delete_set_null", with_views_and("""del AS (SELECT id FROM contracts WHERE status = 'Terminated')
@@ -314,7 +357,7 @@ SELECT a.id, a.asset_id, a.name, a.category, a.rig_id, a.company_id,
 FROM assets a""", ["assets", "contracts"]))
 def q_delete_set_null(spark, d):
     out = C.delete_cascade({"contracts": d.contracts, "assets": d.assets}, "contracts",
-                           d.contracts.where(F.col("status") == "Terminated"))
+                           d.contracts.where(F.col("status") == "Terminated"), complete=False)
     return out["assets"]
 
 
@@ -325,7 +368,7 @@ _COMPLETE_CTES = """c AS (
 ok AS (
   SELECT *, COALESCE(next_due_date, completion_date + _freq) AS nd FROM c
   WHERE _id IS NOT NULL AND completion_date IS NOT NULL AND completed_by IS NOT NULL
-    AND trim(completed_by) <> ''),
+    AND completed_by <> ''),
 last AS (SELECT _id, arg_max(completion_date, seq) AS done, arg_max(nd, seq) AS due FROM ok GROUP BY _id)"""
 
 
@@ -352,7 +395,7 @@ def q_complete_logs(spark, d):
 
 @register_sql("complete_maintenance_rejected", with_views_and(_COMPLETE_CTES + """
 SELECT seq, schedule_key AS key, CASE WHEN _id IS NULL THEN 'not_found' ELSE 'missing_fields' END AS reason
-FROM c WHERE _id IS NULL OR completion_date IS NULL OR completed_by IS NULL OR trim(completed_by) = ''""",
+FROM c WHERE _id IS NULL OR completion_date IS NULL OR completed_by IS NULL OR completed_by = ''""",
                                                                ["maintenance_schedules", "completions"]))
 def q_complete_rejected(spark, d):
     return _completed(d)["rejected"]
@@ -407,25 +450,26 @@ _NEW_STATE = """CASE WHEN e.pre IS NOT NULL OR s.state = 'Removed' THEN NULL
 # The oracle replays every transfer's events one by one (a recursive step per event):
 # an independent, sequential statement of the state machine.
 _SIM_CTES = f"""ev AS (
-  SELECT d.*, row_number() OVER (PARTITION BY transfer_key ORDER BY seq) AS k,
+  SELECT d.* REPLACE (n.id AS transfer_key), d.transfer_key AS named, row_number() OVER (PARTITION BY n.id ORDER BY seq) AS k,
     CASE WHEN NOT COALESCE(CASE stage WHEN 'ops' THEN actor_role IN ('Admin','Operations Manager')
                                       WHEN 'mgr' THEN actor_role IN ('Admin','Asset Manager')
                                       ELSE actor_role IN {WRITE} END, false) THEN 'role'
          WHEN stage <> 'cancel' AND NOT COALESCE(action IN ('approve','reject','hold'), false) THEN 'action'
          WHEN stage <> 'cancel' AND COALESCE(length(trim(comment)), 0) = 0 THEN 'comment' END AS pre
-  FROM decisions d),
+  FROM decisions d JOIN (SELECT id, CAST(id AS VARCHAR) AS name FROM transfers UNION SELECT id, transfer_id FROM transfers) n
+    ON n.name = d.transfer_key),
 sim AS (
   SELECT t.id AS tid, CAST(0 AS BIGINT) AS k, t.status AS state, CAST(NULL AS BIGINT) AS seq,
          CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS actor_role,
          CAST(NULL AS TIMESTAMP) AS ts, false AS accepted, CAST(NULL AS VARCHAR) AS reason,
-         CAST(NULL AS VARCHAR) AS state_at
+         CAST(NULL AS VARCHAR) AS state_at, CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS VARCHAR) AS named
   FROM transfers t
   UNION ALL
   SELECT s.tid, e.k, COALESCE({_NEW_STATE}, s.state), e.seq, e.stage, e.action, e.actor_role, e.ts,
          ({_NEW_STATE}) IS NOT NULL,
          CASE WHEN ({_NEW_STATE}) IS NOT NULL THEN NULL WHEN e.pre IS NOT NULL THEN e.pre
               WHEN s.state = 'Removed' THEN 'not_found' ELSE 'status' END,
-         CASE WHEN ({_NEW_STATE}) IS NULL THEN s.state END
+         CASE WHEN ({_NEW_STATE}) IS NULL THEN s.state END, e.comment, e.named
   FROM sim s JOIN ev e ON e.transfer_key = s.tid AND e.k = s.k + 1)"""
 
 
@@ -438,8 +482,8 @@ def _fold(d):
 fin AS (SELECT tid, arg_max(state, k) AS status FROM sim GROUP BY tid),
 acc AS (SELECT * FROM sim WHERE accepted)""", """
 SELECT t.id AS transfer_key, t.status AS initial_status, f.status,
-  o.seq AS ops_seq, o.action AS ops_action, o.actor_role AS ops_role, CAST(o.ts AS DATE) AS ops_date,
-  m.seq AS mgr_seq, m.action AS mgr_action, m.actor_role AS mgr_role, CAST(m.ts AS DATE) AS mgr_date,
+  o.seq AS ops_seq, o.action AS ops_action, o.actor_role AS ops_role, CAST(o.ts AS DATE) AS ops_date, o.comment AS ops_comment,
+  m.seq AS mgr_seq, m.action AS mgr_action, m.actor_role AS mgr_role, CAST(m.ts AS DATE) AS mgr_date, m.comment AS mgr_comment,
   c.seq AS cancel_seq
 FROM transfers t JOIN fin f ON f.tid = t.id
 LEFT JOIN acc o ON o.tid = t.id AND o.stage = 'ops'
@@ -447,12 +491,12 @@ LEFT JOIN acc m ON m.tid = t.id AND m.stage = 'mgr'
 LEFT JOIN acc c ON c.tid = t.id AND c.stage = 'cancel'""", ["transfers", "decisions"]))
 def q_transfer_final_state(spark, d):
     st = _fold(d)["state"]
-    return st.select("transfer_key", "initial_status", "status", "ops_seq", "ops_action", "ops_role",
-                     "ops_date", "mgr_seq", "mgr_action", "mgr_role", "mgr_date", "cancel_seq")
+    return st.select("transfer_key", "initial_status", "status", "ops_seq", "ops_action", "ops_role", "ops_date",
+                     "ops_comment", "mgr_seq", "mgr_action", "mgr_role", "mgr_date", "mgr_comment", "cancel_seq")
 
 
 @register_sql("transfer_rejected_commands", with_views_recursive(_SIM_CTES, """
-SELECT seq, tid AS transfer_key, stage, action, reason, state_at FROM sim WHERE k > 0 AND NOT accepted""",
+SELECT seq, named AS transfer_key, stage, action, reason, state_at FROM sim WHERE k > 0 AND NOT accepted""",
                                                                  ["transfers", "decisions"]))
 def q_transfer_rejected(spark, d):
     ev = _fold(d)["events"]
@@ -463,16 +507,39 @@ def q_transfer_rejected(spark, d):
 fin AS (SELECT tid, arg_max(state, k) AS status, max(seq) FILTER (WHERE accepted AND stage = 'mgr') AS mseq
         FROM sim GROUP BY tid),
 mv AS (SELECT t.asset_id, arg_max(t.destination, f.mseq) AS dest, arg_max(t.dest_rig_id, f.mseq) AS drig
-       FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' GROUP BY t.asset_id)""", """
-SELECT a.id, a.asset_id, a.name, a.category, COALESCE(mv.drig, a.rig_id) AS rig_id, a.company_id,
+       FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' AND f.mseq IS NOT NULL GROUP BY t.asset_id),
+mc AS (SELECT t.asset_id, arg_max(t.dest_company_id, f.mseq) AS dcomp
+       FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' AND f.mseq IS NOT NULL GROUP BY t.asset_id)""", """
+SELECT a.id, a.asset_id, a.name, a.category, COALESCE(mv.drig, a.rig_id) AS rig_id, COALESCE(mc.dcomp, a.company_id) AS company_id,
   a.contract_id, CASE WHEN mv.asset_id IS NOT NULL THEN mv.dest ELSE a.location END AS location,
   a.status, a.value_usd
-FROM assets a LEFT JOIN mv ON mv.asset_id = a.id""", ["transfers", "decisions", "assets"]))
+FROM assets a LEFT JOIN mv ON mv.asset_id = a.id LEFT JOIN mc ON mc.asset_id = a.id""", ["transfers", "decisions", "assets"]))
 def q_apply_transfers(spark, d):
     st = _fold(d)["state"]
     return W.apply_transfers(d.assets, d.transfers, st)["assets"]
 
 
+_DONE_CTES = _SIM_CTES + """,
+fin AS (SELECT tid, arg_max(state, k) AS status, max(seq) FILTER (WHERE accepted AND stage = 'mgr') AS mseq
+        FROM sim GROUP BY tid),
+done AS (SELECT t.* FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' AND f.mseq IS NOT NULL)"""
+
+
+@register_sql("transfer_history", with_views_recursive(_DONE_CTES, """
+SELECT asset_id, 'Transfer Completed' AS action, 'Transferred to ' || destination || ' via ' || transfer_id AS notes FROM done""",
+                                                       ["transfers", "decisions"]))
+def q_transfer_history(spark, d):
+    return W.apply_transfers(d.assets, d.transfers, _fold(d)["state"])["history"].drop("changed_by")
+
+
+@register_sql("transfer_notices", with_views_recursive(_DONE_CTES, """
+SELECT CAST(NULL AS VARCHAR) AS user_id, 'success' AS type, 'check-double' AS icon, 'Transfer Completed' AS title,
+  'Transfer ' || transfer_id || ' fully approved – asset relocated' AS description, 'transfer' AS entity_type, id AS entity_id
+FROM done""", ["transfers", "decisions"]))
+def q_transfer_notices(spark, d):
+    return W.apply_transfers(d.assets, d.transfers, _fold(d)["state"])["notices"]
+
+
 @register_sql("ops_approval_notices", with_views_recursive(_SIM_CTES, """
 SELECT 'info' AS type, 'user-tie' AS icon, 'Transfer Awaiting Final Approval' AS title,
   'Transfer ' || t.transfer_id || ' approved by Ops Manager – needs your final decision' AS description,
@@ -486,12 +553,13 @@ def q_ops_approval_notices(spark, d):
 
 @register_sql("cancel_transfers", with_views_and(f"""x AS (SELECT 1)
 SELECT * FROM transfers t WHERE NOT (t.status IN ('Pending', 'On Hold') AND EXISTS (
-  SELECT 1 FROM decisions d WHERE d.stage = 'cancel' AND d.transfer_key = t.id AND d.actor_role IN {WRITE}))""",
+  SELECT 1 FROM decisions d WHERE d.stage = 'cancel' AND d.transfer_key IN (CAST(t.id AS VARCHAR), t.transfer_id)
+    AND d.actor_role IN {WRITE}))""",
                                                   ["transfers", "decisions"]))
 def q_cancel_transfers(spark, d):
     req = d.decisions.where(F.col("stage") == "cancel").select(
-        F.col("transfer_key").cast("string").alias("key"), "actor_role")
-    return W.cancel_transfers(d.transfers, req)["transfers"]
+        F.col("transfer_key").alias("key"), "actor_role")
+    return W.cancel_transfers(d.transfers, req, ["id", "transfer_id"])["transfers"]
 
 
 @register_sql("submit_transfers", with_views_and(f"""v AS (
@@ -513,26 +581,29 @@ def q_submit_transfers(spark, d):
 
 # ====================================================================== stream cores (batch form)
 @register_sql("history_dedup", """
-SELECT DISTINCT user_id AS asset_id, CASE WHEN event_type = 'signup' THEN 'Created' ELSE 'Updated' END AS action,
-  date_trunc('hour', ts) AS changed_at FROM events""")
+SELECT event_id AS change_id, user_id AS asset_id, CASE WHEN event_type = 'signup' THEN 'Created' ELSE 'Updated' END AS action,
+  ts AS changed_at FROM events""")
 def q_history_dedup(spark, d):
-    return K.dedup_changes(K.change_rows(d.t.events))
+    """Every 40th event is delivered a second time; only those repeats go."""
+    again = d.t.events.where(F.col("event_id") % 40 == 0)
+    return K.dedup_changes(K.change_rows(d.t.events.unionByName(again)))
 
 
 _WINDOW_SQL = """
 SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
   time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end,
-  user_id AS client, CAST(COUNT(*) AS BIGINT) AS requests,
-  CAST(COUNT(*) FILTER (WHERE event_type = 'signup') AS BIGINT) AS sign_ins
-FROM events GROUP BY 1, 2, 3"""
+  client, CAST(COUNT(*) AS BIGINT) AS requests,
+  CAST(COUNT(*) FILTER (WHERE path = 'signup') AS BIGINT) AS sign_ins
+FROM access_log GROUP BY 1, 2, 3"""
 
 
-@register_sql("quota_window_counts", _WINDOW_SQL)
+@register_sql("quota_window_counts", with_views_and(f"w AS ({_WINDOW_SQL}) SELECT * FROM w", ["access_log"]))
 def q_quota_window_counts(spark, d):
     return K.window_counts(d.access_log)
 
 
-@register_sql("quota_breaches", f"SELECT * FROM ({_WINDOW_SQL}) w WHERE requests > 200 OR sign_ins > 20")
+@register_sql("quota_breaches", with_views_and(f"w AS ({_WINDOW_SQL}) SELECT * FROM w WHERE requests > 200 OR sign_ins > 20",
+                                              ["access_log"]))
 def q_quota_breaches(spark, d):
     return K.quota_breaches(K.window_counts(d.access_log))
 
@@ -547,7 +618,7 @@ def q_mark_read(spark, d):
 
 
 _DEL_REQ = """SELECT event_id AS id,
-  CASE WHEN event_id % 2 = 0 THEN user_id ELSE (user_id + 1) % 150 END AS user_id
+  CASE WHEN event_id % 2 = 0 THEN user_id ELSE user_id + 1 END AS user_id
 FROM events WHERE event_type = 'error'"""
 
 
@@ -559,7 +630,7 @@ def q_delete_notifications(spark, d):
     e = d.t.events.where(F.col("event_type") == "error")
     req = e.select(F.col("event_id").alias("id"),
                    F.when(F.col("event_id") % 2 == 0, F.col("user_id"))
-                    .otherwise((F.col("user_id") + 1) % 150).alias("user_id"))
+                    .otherwise(F.col("user_id") + 1).alias("user_id"))
     return C.delete_notifications(d.notifications, req)
 
 
@@ -614,6 +685,8 @@ ORACLE_DATE_COLUMNS = {
     "complete_maintenance_schedules": ["next_due_date", "last_done_date"],
     "complete_maintenance_logs": ["completion_date", "next_due_date"],
     "certificate_refresh": ["expiry_date"],
+    "delete_cascade_certificates": ["expiry_date"],
+    "delete_cascade_logs": ["completion_date"],
     "transfer_final_state": ["ops_date", "mgr_date"],
     "cancel_transfers": ["request_date"],
     "submit_transfers": ["request_date"],

@@ -5,6 +5,7 @@ Nothing here creates global state; operators take DataFrames and return DataFram
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -69,8 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder in use, registering ``spark.checkpoint.dir`` if needed.
 
     On a cluster the folder is set by the cluster (a shared file system) through
-    ``spark.checkpoint.dir``, and Spark registers it at start. Only when nothing is set
-    (local tests) is a private scratch folder created.
+    ``spark.checkpoint.dir``; a cluster session without it is an error, since executors would
+    write to disks of their own. Only a local session (tests) gets a scratch folder.
     """
     try:
         sc = spark.sparkContext
@@ -81,27 +82,55 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if current:
             return current
         path = sc.getConf().get("spark.checkpoint.dir", None)
+        if not path and sc.master.split("[")[0] == "local":
+            path = tempfile.mkdtemp(prefix="rigflow-ckpt-")
     else:
         path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="rigflow-ckpt-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc is not None:
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path
     return path
 
 
+_written: list[str] = []      # tables written by ``materialize``, oldest first
+
+
 def materialize(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
     """Write ``df`` as a Parquet table under the checkpoint folder and read it back.
 
     One job: the row count is observed while writing (``Observation``), so no second pass.
     The returned frame's lineage starts at the written files (a lost executor never
-    recomputes what came before), and Spark sizes it from the real file sizes.
+    recomputes what came before), and Spark sizes it from the real file sizes. The table
+    stays until ``release`` (or the end of a ``scratch`` block) removes it.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/rigflow-{name}-{uuid.uuid4().hex}"
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    _written.append(path)
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     rows = int(obs.get["n"])
     return spark.read.parquet(path), rows
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Remove the tables ``materialize`` has written (after the first ``since`` of them), once
+    no frame that reads them is needed any more; their number."""
+    gone = _written[since:]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[since:]
+    return len(gone)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A block whose written tables are removed at its end; its results must be written by then."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)

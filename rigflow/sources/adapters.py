@@ -12,7 +12,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Fixed value: the reference date of every adapter-view test.
 ADAPTER_AS_OF = dt.date(1998, 6, 1)
@@ -150,20 +149,15 @@ class Domain:
 
     @cached_property
     def bom_items(self) -> DataFrame:
-        # Binary tree per customer over its orders: the parent of the n-th order is the
-        # (n // 2)-th; every 97th key points at a missing parent (an orphan).
-        w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-        ranked = self.t.orders.select("o_custkey", "o_orderkey", "o_totalprice",
-                                      F.row_number().over(w).cast("int").alias("rn"))
-        parents = ranked.select(F.col("o_custkey").alias("p_cust"),
-                                F.col("o_orderkey").alias("p_key"), F.col("rn").alias("p_rn"))
-        b = ranked.join(parents, (F.col("o_custkey") == F.col("p_cust"))
-                        & (F.col("p_rn") == F.floor(F.col("rn") / 2).cast("int")), "left")
+        # 64 consecutive keys are one asset's binary tree: item r of it hangs under item
+        # floor(r / 2); every 97th key points at a missing parent (an orphan).
         k = F.col("o_orderkey")
-        return b.select(
+        r = k % 64
+        parent = F.when(k % 97 == 0, F.lit(-1).cast("bigint")).when(r > 0, k - r + F.floor(r / 2))
+        return self.t.orders.select(
             k.alias("id"),
-            F.col("o_custkey").alias("asset_id"),
-            F.when(k % 97 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("p_key")).alias("parent_id"),
+            F.floor(k / 64).cast("bigint").alias("asset_id"),
+            parent.cast("bigint").alias("parent_id"),
             F.concat(F.lit("Item "), k.cast("string")).alias("name"),
             F.when(k % 3 == 0, "Bulk").otherwise("Serialized").alias("item_type"),
             (k % 5 + 1).cast("decimal(12,3)").alias("quantity"),
@@ -176,7 +170,7 @@ class Domain:
         k = F.col("p_partkey")
         return self.t.part.select(
             k.alias("id"),
-            F.when(k % 3 == 0, F.lit(None).cast("bigint")).otherwise(k % 150).alias("asset_id"),
+            F.when(k % 3 == 0, F.lit(None).cast("bigint")).otherwise(k).alias("asset_id"),
             F.when(k % 3 == 0, k % 25).alias("rig_id"),
             F.when(k % 7 == 0, F.lit(None).cast("date"))
              .otherwise(_plus_days("1998-04-02", k % 121)).alias("expiry_date"),
@@ -186,7 +180,7 @@ class Domain:
     @cached_property
     def work_orders(self) -> DataFrame:
         k = F.col("o_orderkey")
-        return self.t.orders.where(k % 3 == 0).select(
+        return self.t.orders.select(
             k.alias("id"),
             F.col("o_custkey").alias("asset_id"),
             _case(k % 5, [(0, "Open"), (1, "In Progress"), (2, "On Hold"), (3, "Completed")],
@@ -195,12 +189,14 @@ class Domain:
 
     @cached_property
     def users(self) -> DataFrame:
+        # every customer is a user; one in 500 has each of the approving roles
         k = F.col("c_custkey")
-        return self.t.customer.where(k < 150).select(
+        return self.t.customer.select(
             k.alias("id"),
             F.col("c_name").alias("full_name"),
-            _case(k % 5, [(0, "Admin"), (1, "Asset Manager"), (2, "Operations Manager"), (3, "Editor")],
-                  "Viewer").alias("role"),
+            _case(k % 500, [(0, "Admin"), (1, "Asset Manager"), (2, "Operations Manager")],
+                  F.when(k % 5 == 3, "Editor").otherwise("Viewer")).alias("role"),
+            F.md5("c_name").alias("password_hash"),
             F.when(k % 13 == 0, "Inactive").otherwise("Active").alias("status"),
         )
 
@@ -224,7 +220,7 @@ class Domain:
             e.alias("id"),
             F.col("user_id").alias("asset_id"),
             F.when(F.col("event_type") == "signup", "Created").otherwise("Updated").alias("action"),
-            F.when(e % 6 == 0, F.lit(None).cast("bigint")).otherwise(e % 150).alias("changed_by"),
+            F.when(e % 6 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id")).alias("changed_by"),
             F.col("ts").alias("created_at"),
         )
 
@@ -236,9 +232,14 @@ class Domain:
             u.alias("asset_id"),
             F.concat(F.lit("Site "), (u % 25).cast("string")).alias("destination"),
             F.when(u % 4 == 0, F.lit(None).cast("bigint")).otherwise(u % 25).alias("dest_rig_id"),
-            F.lit("Pending").alias("status"),
+            _case(u % 10, [(0, "Ops Approved"), (1, "On Hold"), (2, "Completed"), (3, "Rejected")],
+                  "Pending").alias("status"),
             F.concat(F.lit("TR-"), _lpad(u, 6)).alias("transfer_id"),
             _plus_days("1998-05-01", u % 45).alias("request_date"),
+            F.when(u % 3 == 0, u % 5).alias("dest_company_id"),
+            (u + 1).alias("requested_by"),
+            F.when((u % 10).isin(0, 2), u + 2).alias("ops_approved_by"),
+            F.when(u % 10 == 2, u + 3).alias("mgr_approved_by"),
         ))
 
     @cached_property
@@ -247,7 +248,8 @@ class Domain:
         et = F.col("event_type")
         return self.t.events.select(
             e.alias("seq"),
-            F.col("user_id").alias("transfer_key"),
+            F.when(e % 2 == 0, F.col("user_id").cast("string"))
+             .otherwise(F.concat(F.lit("TR-"), _lpad(F.col("user_id"), 6))).alias("transfer_key"),
             F.col("ts"),
             _case(et, [("click", "ops"), ("view", "mgr"), ("signup", "ops"), ("error", "mgr")],
                   "cancel").alias("stage"),
@@ -264,7 +266,7 @@ class Domain:
 
     def _asset_key(self, e: Column, u: Column) -> Column:
         return F.when(e % 2 == 0, u.cast("string")).otherwise(
-            F.concat(F.lit("AST-"), _lpad(u + 1400, 6)))
+            F.concat(F.lit("AST-"), _lpad(u * 11, 6)))
 
     @cached_property
     def asset_patches(self) -> DataFrame:
@@ -292,7 +294,7 @@ class Domain:
         return ev.select(
             e.alias("seq"),
             F.when(e % 2 == 0, u.cast("string"))
-             .otherwise(F.concat(F.lit("PM-"), _lpad(u + 14900, 7))).alias("schedule_key"),
+             .otherwise(F.concat(F.lit("PM-"), _lpad(u * 108, 7))).alias("schedule_key"),
             F.col("ts").cast("date").alias("completion_date"),
             F.when(e % 9 == 0, F.lit(None).cast("string"))
              .otherwise(F.concat(F.lit("tech-"), (e % 13).cast("string"))).alias("completed_by"),
@@ -320,8 +322,11 @@ class Domain:
 
     @cached_property
     def access_log(self) -> DataFrame:
-        return self.t.events.select("ts", F.col("user_id").alias("client"),
-                                    F.col("event_type").alias("path"))
+        # every thousandth event is a storm of 250 requests
+        e = F.col("event_id")
+        times = F.when(e % 1000 == 0, 250).otherwise(1)
+        return self.t.events.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).select(
+            "ts", F.col("user_id").alias("client"), F.col("event_type").alias("path"))
 
 
 # The same views as SQL text (runs in DuckDB and Spark SQL); the oracle puts them in
@@ -353,40 +358,46 @@ ADAPTER_SQL = {
             ELSE CASE WHEN o_orderkey % 7 = 0 THEN 'Cancelled' ELSE 'In Progress' END END AS status FROM orders""",
     "maintenance_logs": """SELECT l_orderkey AS schedule_id, CAST(l_shipdate AS DATE) AS completion_date, CAST(l_suppkey AS STRING) AS completed_by,
        CAST(l_quantity AS DECIMAL(6,2)) AS actual_hours, CAST(l_extendedprice AS DECIMAL(18,2)) AS actual_cost FROM lineitem""",
-    "bom_items": """SELECT b.o_orderkey AS id, b.o_custkey AS asset_id,
-       CASE WHEN b.o_orderkey % 97 = 0 THEN -1 ELSE p.o_orderkey END AS parent_id,
-       concat('Item ', CAST(b.o_orderkey AS STRING)) AS name,
-       CASE WHEN b.o_orderkey % 3 = 0 THEN 'Bulk' ELSE 'Serialized' END AS item_type,
-       CAST(b.o_orderkey % 5 + 1 AS DECIMAL(12,3)) AS quantity, CAST(b.o_totalprice AS DECIMAL(18,2)) AS unit_cost_usd,
-       CASE b.o_orderkey % 8 WHEN 0 THEN 'On Order' WHEN 1 THEN 'Obsolete' ELSE 'Active' END AS status
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS rn FROM orders) b
-LEFT JOIN (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS rn FROM orders) p
-  ON p.o_custkey = b.o_custkey AND p.rn = CAST(floor(b.rn / 2) AS INT)""",
-    "certificates": """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 150 END AS asset_id,
+    "bom_items": """SELECT o_orderkey AS id, CAST(floor(o_orderkey / 64) AS BIGINT) AS asset_id,
+       CASE WHEN o_orderkey % 97 = 0 THEN -1 WHEN o_orderkey % 64 > 0
+            THEN CAST(o_orderkey - o_orderkey % 64 + floor((o_orderkey % 64) / 2) AS BIGINT) END AS parent_id,
+       concat('Item ', CAST(o_orderkey AS STRING)) AS name,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'Bulk' ELSE 'Serialized' END AS item_type,
+       CAST(o_orderkey % 5 + 1 AS DECIMAL(12,3)) AS quantity, CAST(o_totalprice AS DECIMAL(18,2)) AS unit_cost_usd,
+       CASE o_orderkey % 8 WHEN 0 THEN 'On Order' WHEN 1 THEN 'Obsolete' ELSE 'Active' END AS status FROM orders""",
+    "certificates": """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey END AS asset_id,
        CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 25 END AS rig_id,
        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE DATE '1998-04-02' + CAST(p_partkey % 121 AS INT) END AS expiry_date,
        CASE WHEN p_partkey % 9 = 0 THEN 'Revoked' ELSE 'Valid' END AS status FROM part""",
     "work_orders": """SELECT o_orderkey AS id, o_custkey AS asset_id,
        CASE o_orderkey % 5 WHEN 0 THEN 'Open' WHEN 1 THEN 'In Progress' WHEN 2 THEN 'On Hold' WHEN 3 THEN 'Completed' ELSE 'Cancelled' END AS status
-FROM orders WHERE o_orderkey % 3 = 0""",
+FROM orders""",
     "users": """SELECT c_custkey AS id, c_name AS full_name,
-       CASE c_custkey % 5 WHEN 0 THEN 'Admin' WHEN 1 THEN 'Asset Manager' WHEN 2 THEN 'Operations Manager' WHEN 3 THEN 'Editor' ELSE 'Viewer' END AS role,
-       CASE WHEN c_custkey % 13 = 0 THEN 'Inactive' ELSE 'Active' END AS status FROM customer WHERE c_custkey < 150""",
+       CASE c_custkey % 500 WHEN 0 THEN 'Admin' WHEN 1 THEN 'Asset Manager' WHEN 2 THEN 'Operations Manager'
+            ELSE CASE WHEN c_custkey % 5 = 3 THEN 'Editor' ELSE 'Viewer' END END AS role,
+       md5(c_name) AS password_hash,
+       CASE WHEN c_custkey % 13 = 0 THEN 'Inactive' ELSE 'Active' END AS status FROM customer""",
     "notifications": """SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE user_id END AS user_id,
        CASE event_type WHEN 'view' THEN 'asset' WHEN 'click' THEN 'transfer' ELSE 'maintenance' END AS entity_type,
        user_id AS entity_id, value < 50 AS is_read, ts AS created_at FROM events""",
     "asset_history": """SELECT event_id AS id, user_id AS asset_id, CASE WHEN event_type = 'signup' THEN 'Created' ELSE 'Updated' END AS action,
-       CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 150 END AS changed_by, ts AS created_at FROM events""",
+       CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS changed_by, ts AS created_at FROM events""",
     "transfers": """SELECT DISTINCT user_id AS id, user_id AS asset_id, concat('Site ', CAST(user_id % 25 AS STRING)) AS destination,
-       CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 25 END AS dest_rig_id, 'Pending' AS status,
+       CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 25 END AS dest_rig_id,
+       CASE user_id % 10 WHEN 0 THEN 'Ops Approved' WHEN 1 THEN 'On Hold' WHEN 2 THEN 'Completed' WHEN 3 THEN 'Rejected' ELSE 'Pending' END AS status,
        concat('TR-', lpad(CAST(user_id AS STRING), 6, '0')) AS transfer_id,
-       DATE '1998-05-01' + CAST(user_id % 45 AS INT) AS request_date FROM events""",
-    "decisions": """SELECT event_id AS seq, user_id AS transfer_key, ts,
+       DATE '1998-05-01' + CAST(user_id % 45 AS INT) AS request_date,
+       CASE WHEN user_id % 3 = 0 THEN user_id % 5 END AS dest_company_id, user_id + 1 AS requested_by,
+       CASE WHEN user_id % 10 IN (0, 2) THEN user_id + 2 END AS ops_approved_by,
+       CASE WHEN user_id % 10 = 2 THEN user_id + 3 END AS mgr_approved_by FROM events""",
+    "decisions": """SELECT event_id AS seq,
+       CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) ELSE concat('TR-', lpad(CAST(user_id AS STRING), 6, '0')) END AS transfer_key, ts,
        CASE event_type WHEN 'click' THEN 'ops' WHEN 'view' THEN 'mgr' WHEN 'signup' THEN 'ops' WHEN 'error' THEN 'mgr' ELSE 'cancel' END AS stage,
        CASE WHEN event_type IN ('click','view') THEN 'approve' WHEN event_id % 2 = 0 THEN 'reject' ELSE 'hold' END AS action,
        CASE WHEN event_id % 10 = 0 THEN ' ' ELSE 'ok' END AS comment,
        CASE event_id % 4 WHEN 0 THEN 'Admin' WHEN 1 THEN 'Asset Manager' WHEN 2 THEN 'Operations Manager' ELSE 'Viewer' END AS actor_role FROM events""",
-    "access_log": """SELECT ts, user_id AS client, event_type AS path FROM events""",
+    "access_log": """SELECT ts, user_id AS client, event_type AS path
+FROM events, unnest(range(CASE WHEN event_id % 1000 = 0 THEN 250 ELSE 1 END)) AS storm(n)""",
     "sessions": """SELECT event_id AS id, user_id, ts AS created_at, ts + INTERVAL 7 DAYS AS expires_at
 FROM events WHERE event_type = 'signup'""",
 }
@@ -394,7 +405,7 @@ FROM events WHERE event_type = 'signup'""",
 
 _ACTOR = "CASE event_id % 4 WHEN 0 THEN 'Admin' WHEN 1 THEN 'Asset Manager' WHEN 2 THEN 'Editor' ELSE 'Viewer' END"
 _AKEY = ("CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) "
-         "ELSE concat('AST-', lpad(CAST(user_id + 1400 AS STRING), 6, '0')) END")
+         "ELSE concat('AST-', lpad(CAST(user_id * 11 AS STRING), 6, '0')) END")
 ADAPTER_SQL.update({
     "asset_patches": f"""SELECT event_id AS seq, {_AKEY} AS key, {_ACTOR} AS role,
        CASE event_type WHEN 'error' THEN 'Maintenance' WHEN 'purchase' THEN 'Active' END AS status,
@@ -407,7 +418,7 @@ ADAPTER_SQL.update({
        {_ACTOR} AS role FROM events""",
     "completions": """SELECT event_id AS seq,
        CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING)
-            ELSE concat('PM-', lpad(CAST(user_id + 14900 AS STRING), 7, '0')) END AS schedule_key,
+            ELSE concat('PM-', lpad(CAST(user_id * 108 AS STRING), 7, '0')) END AS schedule_key,
        CAST(ts AS DATE) AS completion_date,
        CASE WHEN event_id % 9 = 0 THEN NULL ELSE concat('tech-', CAST(event_id % 13 AS STRING)) END AS completed_by,
        CAST(value AS DECIMAL(6,2)) AS actual_hours,

@@ -16,16 +16,17 @@ QUOTA_SIGN_IN = 20
 
 
 def change_rows(events: DataFrame) -> DataFrame:
-    """Change events as history rows at hour grain (asset, action, hour)."""
+    """Change events as history rows: event, asset, action and the event's own time."""
     return events.select(
+        F.col("event_id").alias("change_id"),
         F.col("user_id").alias("asset_id"),
         F.when(F.col("event_type") == "signup", "Created").otherwise("Updated").alias("action"),
-        F.date_trunc("hour", F.col("ts")).alias("changed_at"))
+        F.col("ts").alias("changed_at"))
 
 
 def dedup_changes(rows: DataFrame) -> DataFrame:
-    """K1 batch form: exact duplicate change rows dropped."""
-    return rows.dropDuplicates(["asset_id", "action", "changed_at"])
+    """K1 batch form: events delivered more than once are kept once."""
+    return rows.dropDuplicates(["change_id", "changed_at"])
 
 
 def window_counts(access: DataFrame, window: str = QUOTA_WINDOW, ts: str = "ts") -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..operators import changes as C
 from ..operators import reports as R
 from ..operators import workflow as W
+from ..session import scratch
 from . import cores as K
 
 
@@ -43,7 +44,7 @@ def history_stream(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
     dropped. Output mode: append."""
     rows = _event_time(K.change_rows(events), "changed_at")
     return rows.withWatermark("changed_at", lateness).dropDuplicatesWithinWatermark(
-        ["asset_id", "action", "changed_at"])
+        ["change_id", "changed_at"])
 
 
 # ------------------------------------------------------------------ K4
@@ -78,12 +79,13 @@ def transfer_batch_handler(spark: SparkSession, state_root: str, out_root: str,
     """``foreachBatch`` function: fold the micro-batch's decisions into the stored
     transfers (version = batch id + 1), append rejected commands per batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        transfers = state_before(spark, state_root, batch_id, initial)
-        res = W.fold_decisions(transfers, batch)
-        new = W.apply_state(transfers, res["state"])
-        write_version(new, state_root, batch_id + 1)
-        rej = res["events"].where(~F.col("accepted"))
-        rej.write.mode("overwrite").parquet(_join(out_root, f"rejected/batch_id={batch_id}"))
+        with scratch(spark):          # the fold's tables go when the batch is written
+            transfers = state_before(spark, state_root, batch_id, initial)
+            res = W.fold_decisions(transfers, batch)
+            new = W.apply_state(transfers, res["state"])
+            write_version(new, state_root, batch_id + 1)
+            rej = res["events"].where(~F.col("accepted"))
+            rej.write.mode("overwrite").parquet(_join(out_root, f"rejected/batch_id={batch_id}"))
     return handle
 
 

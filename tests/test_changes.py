@@ -1,4 +1,6 @@
 import datetime as dt
+
+import pytest
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -39,10 +41,12 @@ def test_delete_cascade_and_set_null(spark):
     bom = spark.createDataFrame([("B1", "A2", None), ("B2", "A1", "B1"), ("B3", "A1", None)],
                                 "id string, asset_id string, parent_id string")
     out = C.delete_cascade({"assets": assets, "rigs": rigs, "maintenance_schedules": sched, "bom_items": bom},
-                           "assets", spark.createDataFrame([("A2",)], "id string"))
+                           "assets", spark.createDataFrame([("A2",)], "id string"), complete=False)
     assert [r.id for r in out["maintenance_schedules"].collect()] == ["S1"]
     assert sorted(r.id for r in out["bom_items"].collect()) == ["B3"]   # B2 goes with its parent B1
-    out2 = C.delete_cascade({"assets": assets, "rigs": rigs}, "rigs", spark.createDataFrame([("R1",)], "id string"))
+    out2 = C.delete_cascade({"assets": assets, "rigs": rigs}, "rigs", spark.createDataFrame([("R1",)], "id string"), complete=False)
+    with pytest.raises(ValueError):           # a referring table that is not given is not passed over
+        C.delete_cascade({"assets": assets, "rigs": rigs}, "rigs", spark.createDataFrame([("R1",)], "id string"))
     assert {r.id: r.rig_id for r in out2["assets"].collect()} == {"A1": None, "A2": "R2"}
 
 
@@ -78,3 +82,30 @@ def test_capture_changes_created_updated_deleted(spark):
     new = spark.createDataFrame([("1", "a2"), ("3", "c")], "id string, v string")
     rows = {r.asset_id: r.action for r in C.capture_changes(old, new).collect()}
     assert rows == {"1": "Updated", "2": "Deleted", "3": "Created"}
+
+
+def test_roles(spark):
+    base = spark.createDataFrame([("A1", "old")], "id string, location string")
+    patches = spark.createDataFrame([(1, "A1", None, "x"), (2, "A1", "Viewer", "y"), (3, "A1", "Editor", "z")], "seq long, key string, role string, location string")
+    r = C.patch_update(base, patches, ["location"], now=None)
+    assert r["table"].first().location == "z"
+    assert {x.seq: x.reason for x in r["rejected"].collect()} == {1: "role", 2: "role"}
+    asked = C.check_delete_role(spark.createDataFrame([("A1", None), ("A1", "Editor"), ("A1", "Admin")], "id string, role string"))
+    assert [x.role for x in asked["accepted"].collect()] == ["Admin"] and asked["rejected"].count() == 2
+
+
+def test_completion_role_and_blank_author(spark):
+    sched = spark.createDataFrame([("S1", "PM-1", 30, None, "Scheduled")], "id string, pm_id string, frequency_days int, next_due_date date, status string")
+    comp = spark.createDataFrame([(1, "S1", dt.date(2025, 1, 5), " ", None, "Editor"), (2, "S1", dt.date(2025, 1, 6), "", None, "Editor"), (3, "S1", dt.date(2025, 1, 7), "t", None, None)],
+                                 "seq long, schedule_key string, completion_date date, completed_by string, next_due_date date, role string")
+    r = C.complete_maintenance(sched, comp, role_col="role")
+    assert [x.seq for x in r["logs"].collect()] == [1]
+    assert {x.seq: x.reason for x in r["rejected"].collect()} == {2: "missing_fields", 3: "role"}
+
+
+def test_capture_only_changed(spark):
+    old = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, v string")
+    assert {r.asset_id for r in C.capture_changes(old, old).collect()} == {"1", "2"}
+    assert C.capture_changes(old, old, only_changed=True).count() == 0
+    one = old.where("id = '1'").select("id")
+    assert [r.asset_id for r in C.capture_changes(old, old, touched=one).collect()] == ["1"]

@@ -2,6 +2,7 @@
 with an oracle matches it (the same compare as tools/oracle_check.py)."""
 
 import os
+import re
 
 import pytest
 
@@ -34,7 +35,7 @@ def test_all_queries_match_oracle_at_smoke_scale(spark):
     bad, bad_types = [], []
     sqls = E.oracle_sql()
     for name, fn in E.queries().items():
-        if name not in sqls:
+        if name not in sqls or re.match(r"op\d+_", name):      # (the text operators have tests of their own)
             continue
         df = fn(spark, SMOKE)
         s_cols, s_rows = frame_rows(df.toPandas())

@@ -73,6 +73,16 @@ def test_subtree_cost_and_summary(items):
     assert s["B"].total == 2 and s["B"].in_tree == 1
 
 
-def test_depth_cap_reports(items):
-    with pytest.raises(H.DepthLimitExceeded):
-        H.bom_tree(items, max_depth=1)
+def test_long_chain_and_ids_with_slashes(spark):
+    rows = [(f"x/{i}", "A", f"x/{i - 1}" if i else None, "n", "Bulk", Decimal("2"), Decimal("1.50"), "Active") for i in range(100)]
+    chain = spark.createDataFrame(rows, "id string, asset_id string, parent_id string, name string, item_type string, "
+                                        "quantity decimal(12,3), unit_cost_usd decimal(18,2), status string")
+    assert H.bom_tree(chain, paths=False).agg({"depth": "max"}).first()[0] == 99
+    cost = {r.id: (r.subtree_cost, r.subtree_size) for r in H.subtree_cost(chain).collect()}
+    assert cost["x/0"] == (Decimal("300.00"), 100) and cost["x/99"] == (Decimal("3.00"), 1)
+    assert H.reachable(chain, chain.where("id IN ('x/90', 'x/95')").select("id")).count() == 10
+
+
+def test_reachable_on_a_cycle(spark):
+    items = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", None)], "id string, parent_id string")
+    assert {r.id for r in H.reachable(items, items.where("id = 'b'").select("id")).collect()} == {"a", "b", "c", "d"}

@@ -20,8 +20,8 @@ def test_field_rules(spark):
 
 
 def test_check_violations_null_passes(spark):
-    df = spark.createDataFrame([("1", "Other", "Active", None), ("2", "Bogus", "Active", -1.0)],
-                               "id string, category string, status string, value_usd double")
+    df = spark.createDataFrame([("1", "Other", "Active", None, None, None), ("2", "Bogus", "Active", -1.0, 2000, 1.0)],
+                               "id string, category string, status string, value_usd double, year_manufactured int, weight_kg double")
     v = Q.check_violations(df, "assets").collect()
     assert len(v) == 1 and v[0].violations == ["category_allowed", "value_usd_non_negative"]
 
@@ -34,3 +34,19 @@ def test_orphans_and_unique(spark):
     batch = spark.createDataFrame([(1, "K1"), (2, "K2"), (3, "K2")], "seq long, code string")
     got = {r.seq: r.reason for r in Q.unique_violations(base, batch, "code").collect()}
     assert got == {1: "exists", 3: "duplicate_in_batch"}
+
+
+def test_absent_fields_and_roles_are_failed_rules(spark):
+    bare = spark.createDataFrame([(1, "A-1")], "seq long, asset_id string")
+    assert Q.tag_commands(bare, "asset_create").first().reasons == ["role", "name", "category"]
+    nums = spark.createDataFrame([("NaN",), ("Infinity",), ("1e400",), ("-1",), ("2.5",), (None,)], "q string")
+    from rigflow.functions.validators import is_date, is_float
+    assert [r.ok for r in nums.select(is_float("q", 0).alias("ok")).na.fill(False).collect()] == [False, False, False, False, True, False]
+    days = spark.createDataFrame([("2025-01-31",), ("2025/01/31",), ("2025-02-30",), ("x",)], "q string")
+    assert [r.ok for r in days.select(is_date("q").alias("ok")).collect()] == [True, True, False, False]
+
+
+def test_value_rules_need_their_columns(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        Q.check_violations(spark.createDataFrame([(1, "Other")], "id long, category string"), "assets")

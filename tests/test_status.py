@@ -65,4 +65,7 @@ def test_days_until_and_window(spark):
 
 def test_null_if_empty(spark):
     df = spark.createDataFrame([("",), ("0",), ("R1",), (None,)], "x string")
-    assert [r.y for r in df.select(S.null_if_empty("x").alias("y")).collect()] == [None, None, "R1", None]
+    assert [r.y for r in df.select(S.null_if_empty("x").alias("y")).collect()] == [None, "0", "R1", None]
+    n = spark.sql("SELECT * FROM VALUES (0, 0.00BD, 0.0D, false), (1, 0.10BD, double('NaN'), true) AS t(i, c, d, b)")
+    out = n.select(*[S.null_if_empty(c).alias(c) for c in n.columns]).collect()
+    assert tuple(out[0]) == (None,) * 4 and out[1].i == 1 and out[1].d is None and out[1].b and float(out[1].c) == 0.1
