@@ -48,6 +48,12 @@ def append_rows(base: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ J1 / J2 / J3
+def touched_at(df: DataFrame, hit: Column, now: Column | None) -> Column:
+    """The ``updated_at`` column of a job's result: ``now`` on the rows it updated, else what it was."""
+    before = F.col("updated_at") if "updated_at" in df.columns else F.lit(None)
+    return F.when(hit, now).otherwise(before).alias("updated_at")
+
+
 def resolve_keys(commands: DataFrame, base: DataFrame, key_cols: list[str], key: str = "key") -> DataFrame:
     """Attach ``_id`` (the base row id) to each command whose ``key`` matches any of
     ``key_cols``; unmatched commands get NULL."""
@@ -110,7 +116,7 @@ def delete_keys(base: DataFrame, keys: DataFrame, col: str = "id", key: str = "i
 
 
 def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame, key: str = "id",
-                   fks=FOREIGN_KEYS, complete: bool = True) -> dict[str, DataFrame]:
+                   fks=FOREIGN_KEYS, complete: bool = True, now: Column | None = None) -> dict[str, DataFrame]:
     """Delete ``keys`` from ``table`` and apply the foreign-key effects to the other
     tables: CASCADE removes child rows (and, recursively, their children), SET NULL
     clears the reference. Walks the FK graph (tables, not rows) breadth first; a
@@ -118,7 +124,8 @@ def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame, ke
 
     Every table that refers to a deleted row must be given; ``complete=False`` says that
     those not given have no such rows. Children without an id of their own (they have no
-    children) are deleted by their foreign key.
+    children) are deleted by their foreign key. With ``now``, rows whose reference is cleared
+    move their ``updated_at``.
 
     Returns the new frames of every table touched; deleted-key frames are semi-joins, so
     nothing is collected.
@@ -155,8 +162,10 @@ def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame, ke
             else:
                 k = dk.select(F.col("id").alias("_dk"))
                 j = cdf.join(k, cdf[fk] == k["_dk"], "left")
-                out[child] = j.withColumn(fk, F.when(F.col("_dk").isNotNull(), F.lit(None))
-                                          .otherwise(F.col(fk))).drop("_dk")
+                hit = F.col("_dk").isNotNull()
+                if now is not None:
+                    j = j.withColumn("updated_at", touched_at(cdf, hit, now))
+                out[child] = j.withColumn(fk, F.when(hit, F.lit(None)).otherwise(F.col(fk))).drop("_dk")
     for t, dk in deleted.items():
         if t in out:
             out[t] = delete_keys(out[t], dk)
@@ -201,7 +210,8 @@ def audit_changes(old: DataFrame, new: DataFrame, table_name: str, key: str = "i
 
 # ------------------------------------------------------------------ J6
 def complete_maintenance(schedules: DataFrame, completions: DataFrame,
-                         key_cols: list[str] | None = None, role_col: str | None = None) -> dict[str, DataFrame]:
+                         key_cols: list[str] | None = None, role_col: str | None = None,
+                         now: Column | None = None) -> dict[str, DataFrame]:
     """Apply maintenance completions.
 
     With ``role_col``, a completion needs a writing role (NULL is none) and is rejected first.
@@ -245,16 +255,20 @@ def complete_maintenance(schedules: DataFrame, completions: DataFrame,
             cols.append(F.col(col))
     if "last_done_date" not in schedules.columns:
         cols.append(F.when(hit, F.col("_done")).alias("last_done_date"))
-    new_sched = j.select(*cols)
+    new_sched = j.select(*cols) if now is None else j.select(
+        *[c for c, n in zip(cols, [*schedules.columns, "last_done_date"]) if n != "updated_at"], touched_at(schedules, hit, now))
     rejected = c.where(F.col("reason").isNotNull()).select("seq", "key", "reason")
     return {"schedules": new_sched, "logs": logs, "rejected": rejected}
 
 
 # ------------------------------------------------------------------ J13
-def refresh_certificate_status(certs: DataFrame, as_of=None) -> DataFrame:
+def refresh_certificate_status(certs: DataFrame, as_of=None, now: Column | None = None) -> DataFrame:
     """Trigger form: status from expiry (Expired / Expiring within 30 days / Valid),
     untouched when expiry is NULL or the certificate is Revoked."""
-    return certs.withColumn("status", S.certificate_refresh_status(as_of=as_of))
+    new = S.certificate_refresh_status(as_of=as_of)
+    if now is not None:
+        certs = certs.withColumn("updated_at", touched_at(certs, ~new.eqNullSafe(F.col("status")), now))
+    return certs.withColumn("status", new)
 
 
 # ------------------------------------------------------------------ J14
@@ -295,11 +309,13 @@ def delete_notifications(notifs: DataFrame, requests: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ J15
 def touch_last_login(users: DataFrame, logins: DataFrame, user_col: str = "user_id",
-                     ts_col: str = "ts") -> DataFrame:
+                     ts_col: str = "ts", now: Column | None = None) -> DataFrame:
     """last_login := latest login per user (kept when newer than the stored one)."""
     last = logins.groupBy(F.col(user_col).alias("_u")).agg(F.max(ts_col).alias("_ts"))
     j = users.join(last, users["id"] == last["_u"], "left")
     cur = F.col("last_login") if "last_login" in users.columns else F.lit(None).cast("timestamp_ntz")
     new = F.greatest(cur, F.col("_ts"))
     out = j.withColumn("last_login", new) if "last_login" in users.columns else j.withColumn("last_login", F.col("_ts"))
+    if now is not None:
+        out = out.withColumn("updated_at", touched_at(users, F.col("_ts").isNotNull(), now))
     return out.drop("_u", "_ts")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .changes import touched_at
 
 # Who may decide at each stage, and the action → status maps.
 STAGE_ROLES = {
@@ -177,7 +178,7 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
     return {"state": out, "events": events}
 
 
-def apply_state(transfers: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:
+def apply_state(transfers: DataFrame, state: DataFrame, key: str = "id", now: Column | None = None) -> DataFrame:
     """New transfers table: cancelled (Removed) rows dropped, status and decision columns
     updated from the fold."""
     s = state.select(F.col("transfer_key").alias("_k"), F.col("status").alias("_status"),
@@ -189,11 +190,14 @@ def apply_state(transfers: DataFrame, state: DataFrame, key: str = "id") -> Data
             for c in base.columns]
     dec = ["ops_action", "ops_comment", "ops_date", "ops_approved_by", "mgr_action", "mgr_comment",
            "mgr_date", "mgr_approved_by"]
+    if now is not None:
+        decided = F.coalesce(F.col("ops_action"), F.col("mgr_action")).isNotNull()
+        cols = [c for c, n in zip(cols, base.columns) if n != "updated_at"] + [touched_at(base, decided, now)]
     return j.select(*cols, *dec)
 
 
 def apply_transfers(assets: DataFrame, transfers: DataFrame, state: DataFrame,
-                    key: str = "id") -> dict[str, DataFrame]:
+                    key: str = "id", now: Column | None = None) -> dict[str, DataFrame]:
     """For transfers completed by the fold, relocate the asset (location := destination,
     rig / company := destination's when given), write a history row and a broadcast notice.
     If several completed transfers name one asset, the last by final-approval seq wins."""
@@ -218,6 +222,8 @@ def apply_transfers(assets: DataFrame, transfers: DataFrame, state: DataFrame,
             cols.append(F.coalesce(F.col("_dest_company_id"), F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
+    if now is not None:
+        cols = [c for c, n in zip(cols, assets.columns) if n != "updated_at"] + [touched_at(assets, hit, now)]
     new_assets = j.select(*cols)
     code = F.col("transfer_id") if "transfer_id" in t.columns else F.col(key).cast("string")
     history = t.select(F.col("asset_id"), F.lit("Transfer Completed").alias("action"),

@@ -353,11 +353,12 @@ def q_delete_cascade_bom(spark, d):
 @register_sql("delete_set_null", with_views_and("""del AS (SELECT id FROM contracts WHERE status = 'Terminated')
 SELECT a.id, a.asset_id, a.name, a.category, a.rig_id, a.company_id,
   CASE WHEN a.contract_id IN (SELECT id FROM del) THEN NULL ELSE a.contract_id END AS contract_id,
-  a.location, a.status, a.value_usd
+  a.location, a.status, a.value_usd,
+  CASE WHEN a.contract_id IN (SELECT id FROM del) THEN TIMESTAMP '1998-06-01 00:00:00' END AS updated_at
 FROM assets a""", ["assets", "contracts"]))
 def q_delete_set_null(spark, d):
     out = C.delete_cascade({"contracts": d.contracts, "assets": d.assets}, "contracts",
-                           d.contracts.where(F.col("status") == "Terminated"), complete=False)
+                           d.contracts.where(F.col("status") == "Terminated"), complete=False, now=F.lit(NOW))
     return out["assets"]
 
 
@@ -373,11 +374,11 @@ last AS (SELECT _id, arg_max(completion_date, seq) AS done, arg_max(nd, seq) AS
 
 
 def _completed(d):
-    return C.complete_maintenance(d.schedules, d.completions)
+    return C.complete_maintenance(d.schedules, d.completions, now=F.lit(NOW))
 
 
-@register_sql("complete_maintenance_schedules", with_views_and(_COMPLETE_CTES + """
-SELECT s.id, s.pm_id, s.asset_id, s.task_type, s.priority, s.frequency_days,
+@register_sql("complete_maintenance_schedules", with_views_and(_COMPLETE_CTES + f"""
+SELECT CASE WHEN l._id IS NOT NULL THEN {TS} END AS updated_at, s.id, s.pm_id, s.asset_id, s.task_type, s.priority, s.frequency_days,
   CASE WHEN l._id IS NOT NULL THEN l.due ELSE s.next_due_date END AS next_due_date, s.alert_days,
   CASE WHEN l._id IS NOT NULL THEN 'Scheduled' ELSE s.status END AS status,
   l.done AS last_done_date
@@ -403,13 +404,14 @@ def q_complete_rejected(spark, d):
 
 # ---------------------------------------------------------------- J13 / J14 / J15
 @register_sql("certificate_refresh", with_views_and(f"""x AS (SELECT 1)
+SELECT *, CASE WHEN status <> (SELECT c.status FROM certificates c WHERE c.id = n.id) THEN {TS} END AS updated_at FROM (
 SELECT id, asset_id, rig_id, expiry_date,
   CASE WHEN expiry_date IS NULL OR status = 'Revoked' THEN status
        WHEN expiry_date < {D} THEN 'Expired'
        WHEN expiry_date <= {D} + 30 THEN 'Expiring' ELSE 'Valid' END AS status
-FROM certificates""", ["certificates"]))
+FROM certificates) n""", ["certificates"]))
 def q_certificate_refresh(spark, d):
-    return C.refresh_certificate_status(d.certificates, AS_OF)
+    return C.refresh_certificate_status(d.certificates, AS_OF, now=F.lit(NOW))
 
 
 @register_sql("mark_read_all", with_views_and("""r AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click')
@@ -431,12 +433,12 @@ def q_clear_read(spark, d):
     return C.clear_read(d.notifications, req)
 
 
-@register_sql("last_login", with_views_and("""l AS (SELECT user_id, max(ts) AS ts FROM events
+@register_sql("last_login", with_views_and(f"""l AS (SELECT user_id, max(ts) AS ts FROM events
                                            WHERE event_type = 'signup' GROUP BY user_id)
-SELECT u.*, l.ts AS last_login FROM users u LEFT JOIN l ON l.user_id = u.id""", ["users"]))
+SELECT u.*, l.ts AS last_login, CASE WHEN l.ts IS NOT NULL THEN {TS} END AS updated_at FROM users u LEFT JOIN l ON l.user_id = u.id""", ["users"]))
 def q_last_login(spark, d):
     logins = d.t.events.where(F.col("event_type") == "signup").select("user_id", "ts")
-    return C.touch_last_login(d.users, logins)
+    return C.touch_last_login(d.users, logins, now=F.lit(NOW))
 
 
 # ====================================================================== workflow
@@ -509,14 +511,14 @@ fin AS (SELECT tid, arg_max(state, k) AS status, max(seq) FILTER (WHERE accepted
 mv AS (SELECT t.asset_id, arg_max(t.destination, f.mseq) AS dest, arg_max(t.dest_rig_id, f.mseq) AS drig
        FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' AND f.mseq IS NOT NULL GROUP BY t.asset_id),
 mc AS (SELECT t.asset_id, arg_max(t.dest_company_id, f.mseq) AS dcomp
-       FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' AND f.mseq IS NOT NULL GROUP BY t.asset_id)""", """
-SELECT a.id, a.asset_id, a.name, a.category, COALESCE(mv.drig, a.rig_id) AS rig_id, COALESCE(mc.dcomp, a.company_id) AS company_id,
+       FROM transfers t JOIN fin f ON f.tid = t.id WHERE f.status = 'Completed' AND f.mseq IS NOT NULL GROUP BY t.asset_id)""", f"""
+SELECT CASE WHEN mv.asset_id IS NOT NULL THEN {TS} END AS updated_at, a.id, a.asset_id, a.name, a.category, COALESCE(mv.drig, a.rig_id) AS rig_id, COALESCE(mc.dcomp, a.company_id) AS company_id,
   a.contract_id, CASE WHEN mv.asset_id IS NOT NULL THEN mv.dest ELSE a.location END AS location,
   a.status, a.value_usd
 FROM assets a LEFT JOIN mv ON mv.asset_id = a.id LEFT JOIN mc ON mc.asset_id = a.id""", ["transfers", "decisions", "assets"]))
 def q_apply_transfers(spark, d):
     st = _fold(d)["state"]
-    return W.apply_transfers(d.assets, d.transfers, st)["assets"]
+    return W.apply_transfers(d.assets, d.transfers, st, now=F.lit(NOW))["assets"]
 
 
 _DONE_CTES = _SIM_CTES + """,
