@@ -35,6 +35,7 @@ ACTIONS = ("approve", "reject", "hold")
 OPS_RESULT = {"approve": "Ops Approved", "reject": "Rejected", "hold": "On Hold"}
 MGR_RESULT = {"approve": "Completed", "reject": "Rejected", "hold": "On Hold"}
 REMOVED = "Removed"
+HEAVY = 4_096            # at most so many transfers hold 1/HEAVY of the events each
 RECIPIENTS = 100_000     # users of a role that one task pairs with the messages
 
 
@@ -100,6 +101,12 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
         F.col("_tk").alias("_t"), "seq", "stage", "action", "comment", "actor_role", "actor_id", "ts")
     # read by all three rounds: kept once (recomputed from lineage if an executor is lost)
     valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
+    # Transfers with at least 1/HEAVY of the events number HEAVY at most, so their states are
+    # broadcast and their events meet only in partial minima; all others join by key.
+    counts, _ = materialize(valid.groupBy("_t").agg(F.count("*").alias("n")), "event-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.broadcast(counts.where(F.col("n") >= max(1000, -(-total // HEAVY))).select("_t"))
+    light_events = valid.join(heavy, "_t", "left_anti")
 
     state = known.select(F.col("_tk").alias("_t"), F.col("s0").alias("state"),
                          F.lit(None).cast("bigint").alias("last_seq"))
@@ -108,7 +115,9 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
     for rnd in (1, 2, 3):
         # only transfers still able to accept an event meet the event stream
         live = state.where(F.col("state").isin("Pending", "Ops Approved", "On Hold"))
-        cand = valid.join(live.select("_t", "state", "last_seq"), "_t", "inner").where(
+        live = live.select("_t", "state", "last_seq")
+        few = F.broadcast(live.join(heavy, "_t", "left_semi"))
+        cand = valid.join(few, "_t").unionByName(light_events.join(live, "_t")).where(
             _allowed(F.col("state")) & (F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))))
         first = cand.groupBy("_t").agg(F.min(F.struct(*ecols)).alias("e"))
         st = state.select("_t", "state", "last_seq").join(first, "_t", "left")

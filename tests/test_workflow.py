@@ -109,3 +109,18 @@ def test_hot_transfer_fold(spark):
                                       "comment string, actor_role string")
     st = {r.transfer_key: (r.status, r.ops_seq, r.mgr_seq) for r in W.fold_decisions(tdf, ddf)["state"].collect()}
     assert st["HOT"] == ("Completed", 1501, 1502) and st["COLD"][0] == W.REMOVED
+
+
+def test_hot_transfer_gives_the_same_states(spark):
+    """One transfer with most of the events takes the broadcast path, by id and by code."""
+    transfers = spark.createDataFrame([(i, f"TR-{i}", "Pending") for i in range(30)], "id long, transfer_id string, status string")
+    rnd = random.Random(3)
+    rows = []
+    for seq in range(4000):
+        t = 7 if rnd.random() < 0.8 else rnd.randrange(30)
+        rows.append((seq, str(t) if seq % 2 else f"TR-{t}", rnd.choice(STAGES), rnd.choice(ACTIONS), "ok", rnd.choice(ROLES[2:])))
+    got = {r.transfer_key: r.status for r in W.fold_decisions(transfers, spark.createDataFrame(
+        rows, "seq long, transfer_key string, stage string, action string, comment string, actor_role string"))["state"].collect()}
+    for t in range(30):
+        own = [(q, s, a, c, r) for q, k, s, a, c, r in rows if k in (str(t), f"TR-{t}")]
+        assert got[t] == simulate("Pending", own)[0]
