@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,18 @@ def text_slices(texts: list, limit: int = 4_000_000):
         yield start, len(texts)
 
 
+def column_slices(column, limit: int = 4_000_000):
+    """(start, end, texts) of runs of an Arrow column of texts of about ``limit`` bytes, so that
+    only one run at a time is held as Python strings."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        before = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+
+
 def sample_rate(rows: int, wanted: int) -> float:
     return min(1.0, wanted / max(rows, 1))
 

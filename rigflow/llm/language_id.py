@@ -34,7 +34,7 @@ SAMPLE = 20_000        # labelled documents learned from
 BUCKETS = 1 << 14      # hashed n-grams
 SWITCH = 9.0           # penalty of a change of language, in nats
 FLOOR = -12.0          # a word counts against a language by no more than this
-CACHE = 200_000        # words whose scores a task keeps
+CACHE = 100_000        # words whose scores a task keeps from one batch to the next
 
 #: First and last code point of the ranges that tell scripts apart.
 SCRIPTS = {
@@ -253,6 +253,8 @@ def label_column(spark, model: Model, text):
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             spans, langs, scores = label_texts(shared.value, texts.tolist())
+            if len(shared.value._scores.get("ids", ())) > CACHE:
+                shared.value._scores.clear()
             yield pd.DataFrame({"lang": langs, "score": scores, "spans": [[{"start": s, "end": e, "lang": x} for s, e, x in own] for own in spans]})
 
     return label(text)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import attach_group, byte_words, components, free_name, text_slices
+from rigflow.llm.common import attach_group, byte_words, column_slices, components, free_name
 from rigflow.session import materialize
 
 WORDS = 5
@@ -42,7 +42,7 @@ BANDS, ROWS = 40, 5
 BITS = 512
 LOOSE = 0.55
 TILE = 512
-CACHE = 300_000
+CACHE = 100_000
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
 _FACTORS = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -173,9 +173,9 @@ def _lists(values: np.ndarray) -> pa.Array:
 def _sketch(batches):
     hashes = _WordHashes()
     for b in batches:
-        ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-        for lo, hi in text_slices(texts, 8_000_000):
-            sets = [shingles(t, hashes) for t in texts[lo:hi]]
+        ids = b.column("doc_id")
+        for lo, hi, texts in column_slices(b.column("text")):
+            sets = [shingles(t, hashes) for t in texts]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
             bands, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), BITS // 64), np.uint64)
@@ -191,9 +191,9 @@ def _sketch(batches):
 def _sets(batches):
     hashes = _WordHashes()
     for b in batches:
-        ids, texts = b.column("id"), b.column("text").to_pylist()
-        for lo, hi in text_slices(texts):
-            sets = [shingles(t, hashes) for t in texts[lo:hi]]
+        ids = b.column("id")
+        for lo, hi, texts in column_slices(b.column("text")):
+            sets = [shingles(t, hashes) for t in texts]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "shingles"])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import text_slices
+from rigflow.llm.common import column_slices
 
 MARK = "▁"
 VARIANTS = 8
@@ -282,10 +282,9 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, dropout: float = D
     def run(batches):
         encoder = Encoder(shared.value, dropout, seed, epoch)
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
+            ids = b.column("doc_id")
             names = [str(i) for i in ids.to_pylist()]
-            for lo, hi in text_slices(texts):
-                part = texts[lo:hi]
+            for lo, hi, part in column_slices(b.column("text")):
                 out = encoder.encode(names[lo:hi], part)
                 null = np.array([t is None for t in part])
                 sizes = np.fromiter(map(len, out), np.int32, len(out))
