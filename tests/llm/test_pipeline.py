@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark):
         assert out.columns == docs.columns
         kept.append([r.doc_id for r in out.collect()])
     _, langs, scores = label_texts(model, [r.text for r in rows.values()])
-    want = [i for i, l, s in zip(rows, langs, scores) if l != "und" and s >= 0.5]
+    want = [i for i, l, s in zip(rows, langs, scores) if l != "und" and s >= corpus_pipeline.LEAST_SHARE]
     assert sorted(kept[0]) == sorted(want)
     first = {}
     for i in sorted(want):
