@@ -11,7 +11,9 @@ little; keys are new.
 
 The identifiers are counted over all documents: tokens that look like identifiers (snake or
 camel case) are rare in text, are summed within each task first, and the ``IDENTIFIERS`` most
-used of at least three documents go into the dictionary.
+used of at least three documents go into the dictionary.  What stands inside a candidate is not
+counted, and a random-looking token that does so in any document is no identifier, so a key in
+many copies stays new.  Nor do other occurrences of a candidate in its surroundings count.
 
 Defined results: null is an empty text without spans; positions are code points, end exclusive;
 a novel span that overlaps a base span is not reported; spans are ordered by start, then by
@@ -95,40 +97,75 @@ def _looks_random(s: str) -> bool:
     return digit or 2.5 * sum(x.islower() != y.islower() for x, y in zip(s, s[1:])) >= len(s)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Random-looking strings in a sensitive context: start and end."""
+    for m in CANDIDATE.finditer(text):
+        if _looks_random(m.group()) and CONTEXT.search(text[max(0, m.start() - 48):m.start()]):
+            yield m.span()
+
+
+def _surroundings(text: str, a: int, b: int) -> tuple[str, str]:
+    """What stands around text[a:b], without its other occurrences, also those that the edge would cut."""
+    own, wide = text[a:b], AROUND + b - a
+    core = own.strip("+/_=.$-")
+    core = core if len(core) >= LEAST else own
+    blank = lambda t: t.replace(core, " ")
+    return blank(text[max(0, a - wide):a])[-AROUND:], blank(text[b:b + wide])[:AROUND]
+
+
 def all_spans(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
     """Base spans and novel ones, in order."""
     if not text:
         return []
     spans = base_spans(text)
     taken = spans[:]
-    for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if not _looks_random(s):
+    for a, b in candidates(text):
+        if any(x < b and a < y for x, _, y in taken):
             continue
-        a, b = m.start(), m.end()
-        if any(x < b and a < y for x, _, y in taken) or not CONTEXT.search(text[max(0, a - 48):a]):
-            continue
-        if novelty.bits(text[max(0, a - AROUND):a], s, text[b:b + AROUND]) >= NOVEL_BITS:
+        before, after = _surroundings(text, a, b)
+        if novelty.bits(before, text[a:b], after) >= NOVEL_BITS:
             spans.append((a, 3, b))
     return sorted(spans)
 
 
+def _names(text: str) -> tuple[set[str], set[str]]:
+    """The identifiers of a text outside of candidates, and the random-looking ones inside."""
+    plain, hidden, spans, k = set(), set(), list(candidates(text)), 0
+    for m in IDENTIFIER.finditer(text):
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if k == len(spans) or m.end() <= spans[k][0]:
+            plain.add(m.group())
+        elif _looks_random(m.group()):
+            hidden.add(m.group())
+    return plain, hidden
+
+
 def _count_identifiers(batches):
     seen: Counter = Counter()
+    secret: set[str] = set()
+
+    def counted():
+        names = [*seen, *secret.difference(seen)]
+        return pd.DataFrame({"name": names, "n": [seen[x] for x in names], "secret": [x in secret for x in names]}).astype({"name": object, "n": "int64", "secret": bool})
+
     for b in batches:
         for text in b["text"]:
             if text and ("_" in text or not text.islower()):
-                seen.update(set(IDENTIFIER.findall(text)))
-        if len(seen) > 500_000:
-            yield pd.DataFrame({"name": list(seen), "n": list(seen.values())})
+                plain, hidden = _names(text)
+                seen.update(plain)
+                secret |= hidden
+        if len(seen) + len(secret) > 500_000:
+            yield counted()
             seen.clear()
-    yield pd.DataFrame({"name": list(seen), "n": list(seen.values())}).astype({"name": object, "n": "int64"})
+            secret.clear()
+    yield counted()
 
 
 def identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> list[str]:
     """The identifiers that most documents use, counted over all of them; the list is bounded."""
-    counts = docs.select("text").mapInPandas(_count_identifiers, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 3 AND length(name) <= 40").orderBy(F.desc("n"), "name").limit(most)
+    counts = docs.select("text").mapInPandas(_count_identifiers, "name string, n long, secret boolean").groupBy("name").agg(F.sum("n").alias("n"), F.max("secret").alias("secret"))
+    top = counts.where("n >= 3 AND length(name) <= 40 AND NOT secret").orderBy(F.desc("n"), "name").limit(most)
     return [r["name"] for r in top.collect()]
 
 

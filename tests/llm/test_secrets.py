@@ -51,6 +51,22 @@ def test_novel_strings():
     assert found("the words before Zx8Kq0pLmN4tRvW2yB7c9") == []                        # no sensitive name
 
 
+def test_copies_of_a_key_stay_new(spark):
+    key = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    rows = [(i, f'load_config_file x "Authorization": "Bearer {key}" end') for i in range(6)] + [(i, f"see {key} there") for i in range(6, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert S.identifiers(docs) == ["load_config_file"]
+    found = S.scan(docs, S.Novelty(S.identifiers(docs))).collect()
+    assert [[s.kind for s in r.spans] for r in found] == [["novel"]] * 6 + [[]] * 4
+
+
+def test_a_key_that_occurs_twice_is_reported_twice():
+    n, key = S.Novelty([]), "Zx8Kq0pLmN4tRvW2yB7cQw"
+    for between in ("\n", " and more words that stand between them " * 4):
+        text = f'"Authorization": "Bearer {key}"{between}"Authorization": "Bearer {key}."'
+        assert [text[a:b].rstrip(".") for a, k, b in S.all_spans(text, n) if k == 3] == [key, key]
+
+
 def test_edge_cases(spark, edge, empty):
     rows = S.scan(edge, S.Novelty(S.identifiers(edge))).select("doc_id", "spans").collect()
     assert len(rows) == len(EDGE) and all(r.spans == [] for r in rows if r.doc_id in (3, 4, 5))
