@@ -98,10 +98,23 @@ def _looks_random(s: str) -> bool:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Random-looking strings in a sensitive context: start and end."""
+    """Random-looking strings in a sensitive context: start and end.
+
+    What is joined by ``=`` is split where a value of full length follows: its name, and what
+    stands before the name, are both its context.  ``=`` at the end is padding.
+    """
+    sensitive = lambda at: CONTEXT.search(text[max(0, at - 48):at])
     for m in CANDIDATE.finditer(text):
-        if _looks_random(m.group()) and CONTEXT.search(text[max(0, m.start() - 48):m.start()]):
-            yield m.span()
+        first, end = m.span()
+        stop, a = first + len(m.group().rstrip("=")), first
+        cuts = []
+        while (cut := text.find("=", a, stop)) >= 0 and end - cut - 1 >= LEAST:
+            if cut - a >= LEAST:
+                cuts.append((a, cut))
+            a = cut + 1
+        for a, b in [*cuts, (a, end)]:
+            if _looks_random(text[a:b]) and (sensitive(a) or a != first and sensitive(first)):
+                yield a, b
 
 
 def _surroundings(text: str, a: int, b: int) -> tuple[str, str]:

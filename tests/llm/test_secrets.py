@@ -67,6 +67,19 @@ def test_a_key_that_occurs_twice_is_reported_twice():
         assert [text[a:b].rstrip(".") for a, k, b in S.all_spans(text, n) if k == 3] == [key, key]
 
 
+def test_unquoted_values_after_their_name():
+    n, key = S.Novelty([]), "wJalr7XUtnFEMIK7MDENGbPxRfiCYzQp"
+    found = lambda t: [t[a:b] for a, k, b in S.all_spans(t, n) if k == 3]
+    for text in (f"AWS_SECRET_ACCESS_KEY={key}", f"client_key={key}", f"https://h.org/?a=1&signing_key={key}&b=2", f"Cookie: sid={key}", f"x=y=private_key={key}", f"client_key=={key}"):
+        assert found(text) == [key], text
+    assert found(f"client_key={key}==") == [key + "=="]                                 # padding
+    assert found("Cookie: sid=aB3dE5fG7h9Q") == ["aB3dE5fG7h9Q"]
+    assert found("Cookie: sid=aB3dE5fG7h") == ["sid=aB3dE5fG7h"]                        # too short on its own
+    assert found(f"colour_name={key}") == []                                            # no sensitive name
+    assert S._names(f"client_key={key}") == ({"client_key"}, {key})
+    S.all_spans("token=" + "a=" * 100_000, n)                                           # in linear time
+
+
 def test_edge_cases(spark, edge, empty):
     rows = S.scan(edge, S.Novelty(S.identifiers(edge))).select("doc_id", "spans").collect()
     assert len(rows) == len(EDGE) and all(r.spans == [] for r in rows if r.doc_id in (3, 4, 5))
