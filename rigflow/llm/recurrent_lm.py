@@ -7,8 +7,8 @@ classes, then one over the words of a class; within a tail class a word has its
 of the class's counts, so every word, unseen ones too, has a probability.
 
 Training is truncated backpropagation in numpy, data-parallel: a start from a bounded sample of
-about ``WARM_TOKENS`` (documented), then every shard of a fixed fraction of the corpus goes on
-from there and the shards' weights are averaged.  Scoring covers every row: the documents of a
+about ``WARM_TOKENS`` (documented), then every shard of the corpus, all its rows, goes on from
+there and the shards' weights are averaged.  Scoring covers every row: the documents of a
 batch go forward together, state carried across windows, whole texts.
 
 The counts of at most ``VOCABULARY`` words (those at or over a count that so many words reach)
@@ -22,6 +22,7 @@ rows that repeat a doc_id are scored one by one.  Other columns are not looked a
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections import Counter
@@ -45,7 +46,7 @@ VOCABULARY = 131_072
 HIDDEN, EMBEDDED = 16, 16
 STREAMS, WINDOW, RATE = 32, 24, 0.004
 WARM_TOKENS, WARM_EPOCHS = 400_000, 2
-FRACTION, SHARD_TOKENS = 1 / 32, 500_000   # of the corpus for the parallel round; tokens of a shard
+SHARD_TOKENS = 500_000                     # tokens of a shard of the parallel round
 LN10 = float(np.log(10))
 
 
@@ -88,9 +89,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def class_of(symbols: np.ndarray) -> np.ndarray:
@@ -133,50 +136,60 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1) -> Weights
             targets = data[lo:lo + WINDOW]
             inputs = np.concatenate([before[None], targets[:-1]])
             before, kept = targets[-1], []
-            for x in inputs:
-                h = h * (x != end)[:, None]                               # a text starts from nothing
-                g, u = w.embed[x] @ w.read + w.bias, h @ w.turn
+            read_in = w.embed[inputs.ravel()]
+            gates, goes_on = (read_in @ w.read + w.bias).reshape(*inputs.shape, -1), (inputs != end).astype(np.float32)[:, :, None]
+            for g, on in zip(gates, goes_on):
+                h = h * on                                                # a text starts from nothing
+                u = h @ w.turn
                 zr = _sigmoid(g[:, :h2] + u[:, :h2])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
                 c = np.tanh(g[:, h2:] + r * u[:, h2:])
-                kept.append((x, h, z, r, c, u[:, h2:]))
+                kept.append((h, z, r, c, u[:, h2:]))
                 h = (1 - z) * c + z * h
-            hidden = np.concatenate([(1 - k[2]) * k[4] + k[2] * k[1] for k in kept])
+            hidden = np.concatenate([(1 - k[1]) * k[3] + k[1] * k[0] for k in kept])
             flat = targets.ravel()
             of = class_of(flat)
             scale = np.float32(1 / len(flat))
-            d = np.exp(_log_softmax(hidden @ w.classes + w.class_bias))
+            d = _softmax(hidden @ w.classes + w.class_bias)
             d[np.arange(len(flat)), of] -= 1
             d *= scale
             g_classes, g_class_bias, d_hidden = hidden.T @ d, d.sum(axis=0), d @ w.classes.T
             g_words, g_word_bias = np.zeros_like(w.words), np.zeros_like(w.word_bias)
             order = np.argsort(of, kind="stable")
             edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-            for k in range(CLASSES):
-                at = order[edges[k]:edges[k + 1]]
-                if len(at):
-                    e = np.exp(_log_softmax(hidden[at] @ w.words[k].T + w.word_bias[k]))
-                    e[np.arange(len(at)), flat[at] - k * CLASS] -= 1
-                    e *= scale
-                    g_words[k], g_word_bias[k] = e.T @ hidden[at], e.sum(axis=0)
-                    d_hidden[at] += e @ w.words[k]
+            own = order[:edges[-1]]
+            states, e, back_own = hidden[own], np.empty((len(own), CLASS), np.float32), np.empty((len(own), HIDDEN), np.float32)
+            runs = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if a < b]
+            for k, at in runs:
+                np.matmul(states[at], w.words[k].T, out=e[at])
+            e = _softmax(e + w.word_bias[of[own]])
+            e[np.arange(len(own)), flat[own] - of[own] * CLASS] -= 1
+            e *= scale
+            for k, at in runs:
+                np.matmul(e[at].T, states[at], out=g_words[k])
+                np.matmul(e[at], w.words[k], out=back_own[at])
+                g_word_bias[k] = e[at].sum(axis=0)
+            d_hidden[own] += back_own
             d_hidden = d_hidden.reshape(len(kept), streams, HIDDEN)
-            g_embed, g_read, g_bias, g_turn = (np.zeros_like(x) for x in (w.embed, w.read, w.bias, w.turn))
+            d_gates, d_turns = np.empty_like(gates), np.empty_like(gates)
             back = np.zeros((streams, HIDDEN), np.float32)
             for t in range(len(kept) - 1, -1, -1):
-                x, h0, z, r, c, uc = kept[t]
+                h0, z, r, c, uc = kept[t]
                 dh = d_hidden[t] + back
                 dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h0 - c) * z * (1 - z)
-                dr = dc * uc * r * (1 - r)
-                dg = np.hstack([dz, dr, dc])
-                du = np.hstack([dz, dr, dc * r])
-                g_turn += h0.T @ du
-                e = w.embed[x]
-                g_read += e.T @ dg
-                g_bias += dg.sum(axis=0)
-                np.add.at(g_embed, x, dg @ w.read.T)
-                back = (dh * z + du @ w.turn.T) * (x != end)[:, None]
+                dg, du = d_gates[t], d_turns[t]
+                dg[:, :HIDDEN] = dh * (h0 - c) * z * (1 - z)
+                dg[:, HIDDEN:h2] = dc * uc * r * (1 - r)
+                dg[:, h2:] = dc
+                du[:, :h2] = dg[:, :h2]
+                du[:, h2:] = dc * r
+                back = (dh * z + du @ w.turn.T) * goes_on[t]
+            d_gates, d_turns = d_gates.reshape(len(flat), -1), d_turns.reshape(len(flat), -1)
+            g_turn = np.concatenate([k[0] for k in kept]).T @ d_turns
+            g_read, g_bias, g_embed = read_in.T @ d_gates, d_gates.sum(axis=0), np.zeros_like(w.embed)
+            by_symbol = np.argsort(inputs.ravel(), kind="stable")
+            symbols_in, first = np.unique(inputs.ravel()[by_symbol], return_index=True)
+            g_embed[symbols_in] = np.add.reduceat((d_gates @ w.read.T)[by_symbol], first)
             step += 1
             for x, g, a, b in zip(w.arrays(), (g_embed, g_read, g_bias, g_turn, g_classes, g_class_bias, g_words, g_word_bias), m, v):
                 np.clip(g, -1, 1, out=g)
@@ -321,13 +334,12 @@ def train(docs: DataFrame, counts: Counts) -> Weights:
     rate = min(1.0, WARM_TOKENS / max(counts.total, 1))
     warm = hash_sample(docs, F.col("doc_id"), rate, 51).select("text").coalesce(32).repartition(1)
     found = warm.mapInArrow(_train_shard(sc.broadcast((weights, own)), WARM_EPOCHS), _SHARD).collect()
-    if not found:
-        return weights
-    weights = Weights(*pickle.loads(found[0]["weights"]))
-    shards = max(1, round(counts.total * FRACTION / SHARD_TOKENS))
-    rows = hash_sample(docs, F.col("doc_id"), FRACTION, 52).select("text", F.xxhash64("doc_id").alias("deal")).repartition(shards, "deal").select("text")
+    if found:
+        weights = Weights(*pickle.loads(found[0]["weights"]))
+    shards = max(1, round(counts.total / SHARD_TOKENS))
+    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("deal")).repartition(shards, "deal").select("text")
     trained = rows.mapInArrow(_train_shard(sc.broadcast((weights, own)), 1), _SHARD)
-    for step in (F.pmod("shard", F.lit(16)), F.lit(0)):      # averaged in two steps, a few at a time
+    for step in (F.pmod("shard", F.lit(math.isqrt(shards))), F.lit(0)):      # averaged in two steps, a few at a time
         trained = trained.groupBy(step.alias("part")).applyInPandas(_mean, "tokens long, weights binary")
         trained = trained.withColumn("shard", F.lit(0))
     found = trained.collect()

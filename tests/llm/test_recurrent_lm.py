@@ -73,6 +73,16 @@ def test_query(spark):
     assert np.mean([x.score > x.base_score for x in held]) > 0.9
 
 
+def test_every_training_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(R, "WARM_TOKENS", 1)                 # as on a table far larger than the start
+    docs = spark.createDataFrame([(i if i % 3 else None, f"own{i} " * 20) for i in range(300)], "doc_id long, text string")
+    _, counts = R.count_words(docs)
+    start = R.Weights.fresh(np.ones(R.SYMBOLS)).embed        # the same at every start
+    moved = (R.train(docs, counts).embed != start).any(axis=1)
+    own = counts.symbols()
+    assert np.mean([moved[own[f"own{i}".encode()]] for i in range(300)]) > 0.9      # the rest of a division by streams is left
+
+
 def test_probabilities_of_words_add_up(spark):
     docs = spark.createDataFrame([(i, f"a b c{i % 7} d{i}") for i in range(50)], "doc_id long, text string")
     words, counts = R.count_words(docs)
