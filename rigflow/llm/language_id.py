@@ -7,7 +7,8 @@ the words, with a penalty for every change of language, labels spans; the docume
 is the one with most letters, and its score their share.
 
 Training: n-gram counts of a hash sample of about ``SAMPLE`` labelled documents (a documented
-bound; every other step covers all rows), summed by Spark into ``BUCKETS`` hashed counts for
+bound; every other step covers all rows), and of ``LEAST_OF_EACH`` of each language at least or
+all it has; summed by Spark into ``BUCKETS`` hashed counts for
 each language, so the model's size does not depend on the corpus.
 
 Defined results: null text, or text without a letter, is "und" with score 0 and no spans; a
@@ -28,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import fold, free_name, hash_sample, sample_rate, text_slices
+from rigflow.llm.common import fold, free_name, sample_rate, text_slices
 
 SAMPLE = 20_000        # labelled documents learned from
+LEAST_OF_EACH = 200    # of a language, so that a rare one is learned on a table of any size
 BUCKETS = 1 << 14      # hashed n-grams
 SWITCH = 9.0           # penalty of a change of language, in nats
 FLOOR = -12.0          # a word counts against a language by no more than this
@@ -195,7 +197,11 @@ def _sum_rows(batches):
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that have a text and a label."""
     rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    picked = hash_sample(rows, F.col("doc_id"), sample_rate(docs.count(), sample), 2).select("text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))                # a row for each language
+    rate = sample_rate(sizes.agg(F.sum("n")).first()[0] or 0, sample)
+    rates = sizes.select("lang", F.when(F.col("n") <= LEAST_OF_EACH, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(rate), 2.0 * LEAST_OF_EACH / F.col("n")))).alias("rate"))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+    picked = rows.join(F.broadcast(rates), "lang").where(drawn).select("text", "lang")
     counts = picked.repartition(12).mapInPandas(_sum_rows, "lang string, what string, key int, n long")
     found = counts.groupBy("lang", "what", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())

@@ -52,3 +52,12 @@ def test_scripts_narrow_the_candidates(edge):
     model = L.train(edge)
     assert L.label_texts(model, ["мирпривет"])[1] == ["ru"]
     assert L.script_of("é") == 0 and L.script_of("日") == list(L.SCRIPTS).index("han")
+
+
+def test_a_rare_language_and_few_labels_are_learned(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(3000)] + [(5000 + i, "der Hund und die Katze", "de") for i in range(3)]
+    rows += [(10_000 + i, "unlabelled words", None) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs, sample=100)
+    assert model.languages == ["de", "en"]
+    assert L.label_texts(model, ["der Hund und die Katze"])[1] == ["de"]
