@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from rigflow.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
 from rigflow.session import materialize
 
-#: A document stays if at least this part of its letters is in one of the learned languages; texts
-#: that mix two or three languages stay.
-LEAST_SHARE = 0.35
+#: Least part of a document's letters in its main language: none, so even mixes of any number of
+#: languages stay.
+LEAST_SHARE = 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go ("und"), and those whose letters are scattered over languages."""
+    """Texts without a letter go ("und")."""
     found = language_id.label_column(spark, language_id.train_fold(docs), F.col("text"))
     return docs.where((found["lang"] != "und") & (found["score"] >= LEAST_SHARE))
 

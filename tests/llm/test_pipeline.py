@@ -37,6 +37,14 @@ def test_stages_against_brute_force(spark):
         assert r.lossless and Encoder(vocabulary).decode(r.pieces) == rows[r.doc_id].text
 
 
+def test_even_mixes_of_languages_stay(spark):
+    parts = {"en": "the cat and the dog ran over the hill", "de": "der Hund und die Katze laufen schnell", "fr": "le chien et le chat sont dans la rue", "es": "el perro y los gatos corren por aquella calle"}
+    rows = [(10 * i + k, text, lang) for k, (lang, text) in enumerate(parts.items()) for i in range(50)]
+    rows += [(1000, " ".join([parts["en"], parts["de"], parts["fr"]]), None), (1001, " ".join(parts.values()), None), (1002, "12 34", None)]
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF).collect()
+    assert {1000, 1001} <= {r.doc_id for r in kept} and 1002 not in {r.doc_id for r in kept}
+
+
 def test_run_and_edge_tables(spark, edge, empty):
     assert corpus_pipeline.run(spark, SF).count() > 100
     for name, stage in corpus_pipeline.STAGES:
