@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigflow.session import materialize
@@ -96,6 +96,26 @@ def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(heavy, key).unionByName(rows.join(F.broadcast(names), key, "left_anti").join(light, key))
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` (a written table, ``group`` without nulls) with each row's place in its group by
+    ``order``, from 0, and ``name``_of, the rows of the group.
+
+    Rows are range-sorted by group and order and written; the place is the row's number in its
+    partition plus the rows of the group in earlier partitions, a sum over one row for each group
+    and partition.  So a group may hold any part of the rows; only rows that ``order`` cannot
+    tell apart stay together.
+    """
+    by = [F.col(group), *order]
+    at, part, first, before = "_at", "_part", "_first", "_before"
+    rows, _ = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    runs = rows.groupBy(group, part).agg(F.min(at).alias(first), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(group).orderBy(part)) - F.col("_n")
+    runs, _ = materialize(runs.select(group, part, first, earlier.alias(before), F.sum("_n").over(Window.partitionBy(group)).alias(f"{name}_of")), "runs")
+    placed = rows.join(runs, [group, part]).withColumn(name, F.col(at) - F.col(first) + F.col(before))
+    return placed.drop(at, part, first, before)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v long): id, component = the smallest id reachable.
 

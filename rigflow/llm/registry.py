@@ -1,9 +1,11 @@
 """Queries of the text operators, and their DuckDB SQL where SQL can express them."""
 
 import corpus_pipeline
+from rigflow.llm.bpe_replay import op12_byte_bpe
 from rigflow.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from rigflow.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from rigflow.llm.language_id import op2_language_id
+from rigflow.llm.merkle_manifest import OP13_SQL, op13_merkle_manifest
 from rigflow.llm.mixing import OP6_SQL, op6_mixing
 from rigflow.llm.near_dedup import op4_near_dedup
 from rigflow.llm.recurrent_lm import op5_lm_score
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -30,4 +34,5 @@ ORACLE = {
     "op3_exact_dedup": OP3_SQL,
     "op6_mixing": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
