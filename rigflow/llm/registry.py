@@ -8,6 +8,7 @@ from rigflow.llm.language_id import op2_language_id
 from rigflow.llm.merkle_manifest import OP13_SQL, op13_merkle_manifest
 from rigflow.llm.mixing import OP6_SQL, op6_mixing
 from rigflow.llm.near_dedup import op4_near_dedup
+from rigflow.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from rigflow.llm.recurrent_lm import op5_lm_score
 from rigflow.llm.secrets import op9_secrets
 from rigflow.llm.sentencepiece_codec import op10_sentencepiece
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
@@ -34,5 +36,6 @@ ORACLE = {
     "op3_exact_dedup": OP3_SQL,
     "op6_mixing": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
