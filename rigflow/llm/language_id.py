@@ -1,6 +1,6 @@
 """Language identification with spans.
 
-Words are runs of letters.  The script of a word (Unicode ranges) narrows the languages to
+Words are runs of letters (Unicode category L, and M after it).  The script of a word (Unicode ranges) narrows the languages to
 those that were learned with that script; each candidate gets the word's log-likelihood from
 character n-grams (1 to 4, and the whole word), relative to the best candidate.  Viterbi over
 the words, with a penalty for every change of language, labels spans; the document's language
@@ -19,24 +19,26 @@ labelled row at all every text is "und".  Other columns are not looked at.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import fold, free_name, sample_rate, text_slices
+from rigflow.llm.common import column_slices, fold, free_name, sample_rate, text_slices
 
 SAMPLE = 20_000        # labelled documents learned from
 LEAST_OF_EACH = 200    # of a language, so that a rare one is learned on a table of any size
 BUCKETS = 1 << 14      # hashed n-grams
 SWITCH = 9.0           # penalty of a change of language, in nats
 FLOOR = -12.0          # a word counts against a language by no more than this
-CACHE = 100_000        # words whose scores a task keeps from one batch to the next
+CACHE = 50_000         # words whose scores a task keeps from one slice to the next
+SLICE = 2_000_000      # bytes of text that a task labels at a time
 
 #: First and last code point of the ranges that tell scripts apart.
 SCRIPTS = {
@@ -55,7 +57,7 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")       # with the marks that belong to a letter; no numerals
 _NAMES = [*SCRIPTS, "other"]
 
 
@@ -217,8 +219,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, log_p, by_script, int(scripts_of.sum(axis=1).argmax()) if languages else 0)
 
 
-def label_texts(model: Model, texts: list) -> tuple[list[list[tuple]], list[str], list[float]]:
-    """For each text: its spans (start, end, language) in code points, its language and score."""
+def label_texts(model: Model, texts: list, with_spans: bool = True) -> tuple[list[list[tuple]], list[str], list[float]]:
+    """For each text: its spans (start, end, language) in code points (if asked for), its language and score."""
     spans, langs, scores = [], [], []
     for a, b in text_slices(texts):
         part = [t or "" for t in texts[a:b]]
@@ -239,6 +241,8 @@ def label_texts(model: Model, texts: list) -> tuple[list[list[tuple]], list[str]
             k = int(share.argmax())
             langs.append(model.languages[k])
             scores.append(float(share[k] / share.sum()))
+            if not with_spans:
+                continue
             cuts = np.flatnonzero(np.diff(own)) + 1
             if not len(cuts):
                 spans.append([(0, len(text), langs[-1])])
@@ -251,17 +255,33 @@ def label_texts(model: Model, texts: list) -> tuple[list[list[tuple]], list[str]
     return spans, langs, scores
 
 
+def _found(spans: list, langs: list, scores: list) -> pa.StructArray:
+    flat = [x for own in spans for x in own]
+    parts = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))], ["start", "end", "lang"])
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))]).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), parts)], ["lang", "score", "spans"])
+
+
 def label_column(spark, model: Model, text):
-    """A column struct(lang, score, spans) for a column of texts."""
+    """A column struct(lang, score, spans) for a column of texts; one slice of a batch at a time."""
     shared = spark.sparkContext.broadcast(model)      # languages x BUCKETS floats
 
-    @F.pandas_udf("lang string, score double, spans array<struct<start:int,end:int,lang:string>>")
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([_found(*label_texts(shared.value, part)) for _, _, part in column_slices(texts, SLICE)] or [_found([], [], [])])
+
+    return label(text)
+
+
+def language_column(spark, model: Model, text):
+    """A column with the language of a column of texts, without spans."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            spans, langs, scores = label_texts(shared.value, texts.tolist())
-            if len(shared.value._scores.get("ids", ())) > CACHE:
-                shared.value._scores.clear()
-            yield pd.DataFrame({"lang": langs, "score": scores, "spans": [[{"start": s, "end": e, "lang": x} for s, e, x in own] for own in spans]})
+            yield pa.array([lang for _, _, part in column_slices(texts, SLICE) for lang in label_texts(shared.value, part, with_spans=False)[1]], pa.string())
 
     return label(text)
 

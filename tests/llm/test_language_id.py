@@ -61,3 +61,9 @@ def test_a_rare_language_and_few_labels_are_learned(spark):
     model = L.train(docs, sample=100)
     assert model.languages == ["de", "en"]
     assert L.label_texts(model, ["der Hund und die Katze"])[1] == ["de"]
+
+
+def test_letters_are_unicode_letters_with_their_marks():
+    assert L.LETTERS.findall("½ ② ٣ _") == []
+    assert L.LETTERS.findall("हिन्दी में") == ["हिन्दी", "में"]
+    assert L.LETTERS.findall("e\u0301t\u00e9 \u0301x") == ["e\u0301t\u00e9", "x"]
