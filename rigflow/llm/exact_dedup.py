@@ -31,17 +31,33 @@ class DigestIndex:
     """One row per distinct text ever added: digest (binary), keep_id, batch.
 
     ``path`` must be in storage that every executor sees; opening an existing path goes on with
-    what it holds.  ``buckets`` is fixed when the index is made.
+    what it holds.  The number of buckets is fixed when the index is made and stored beside it;
+    another one is refused.  ``close`` takes the index out of the session's catalog; its files stay.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/digest-index-{uuid.uuid4().hex}"
         self.table = f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored(buckets)
         spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
+    def _stored(self, buckets: int | None) -> int:
+        beside = f"{self.path.rstrip('/')}-buckets"
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(beside, "_SUCCESS")
+        if place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            held = self.spark.read.parquet(beside).first()["buckets"]
+            if buckets not in (None, held):
+                raise ValueError(f"the index has {held} buckets, not {buckets}")
+            return held
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(beside)
+        return buckets
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -63,6 +79,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     no row of such a text is kept.  group_size counts the rows of this batch.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark)
     rows, total = materialize(docs.select("doc_id", F.unhex(digest(F.col("text"))).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
@@ -71,6 +88,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     mine = index.rows().withColumnRenamed("digest", "d").hint("merge")
     owners, _ = materialize(groups.hint("merge").join(mine, F.col("digest") == F.col("d")).select(
         "digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("first.row")).alias("keep_row")), "owners")
+    if own:
+        index.close()
     return attach_group(rows, owners, "digest", "group_size", total).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

@@ -3,6 +3,8 @@ import itertools
 import random
 import re
 
+import pytest
+
 from rigflow.llm import near_dedup
 from rigflow.llm.exact_dedup import DigestIndex, exact_dedup, keep_one
 from rigflow.llm.near_dedup import keep_one_of_each, near_duplicates
@@ -129,3 +131,15 @@ def test_odd_sketch_estimates():
         bits = sum(int(x).bit_count() for x in k[0] ^ k[1])
         estimate = 1 + near_dedup.BITS / (4 * near_dedup.BANDS * near_dedup.ROWS) * np.log(max(1 - 2 * bits / near_dedup.BITS, 1 / near_dedup.BITS))
         assert abs(estimate - true) < 0.15
+
+
+def test_a_reopened_index_keeps_its_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    exact_dedup(docs, DigestIndex(spark, path, buckets=4)).count()
+    again = DigestIndex(spark, path)
+    assert again.buckets == 4
+    assert exact_dedup(docs, again).where("kept").count() == 0
+    again.close()
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, buckets=5)
