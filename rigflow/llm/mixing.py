@@ -11,23 +11,23 @@ three times the longest document that fits is filled with those that fit, in has
 the times of the gap (again with used ones if their copies can fill it); else the document of the size nearest to a source's gap is taken once
 more; again until none is found.  The mixed stream is the taken copies, range-sorted by time.
 
-Prefix sums are taken in two levels, over about the square root of the rows each (hash buckets
-of a source, rows of a bucket), so a hot source is split over many tasks.
+The order is by a hash of doc_id and text, then by a hash of all columns: rows that this cannot
+tell apart are equal, so reruns and other partitionings give the same result.  Rows are range-
+sorted by source and order; prefix sums are taken in two levels, over the partitions of a source
+and the rows of a partition, so neither a hot source nor a hot id meets in one task.
 
 Defined results: null text has size 0 and is never taken (there is nothing to take); a null
-source is a source of its own, after all others; equal hashes are ordered by doc_id; a table
-without words has target 0 everywhere; rows that repeat a doc_id are separate documents, and
-``mix`` gives each of them all times of their id.  Other columns pass through ``mix`` untouched.
+source is a source of its own, after all others; a table without words has target 0 everywhere;
+rows that repeat a doc_id, or have none, are separate documents.  Other columns pass through
+``mix`` untouched.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import ASCII_SPACE, free_name
+from rigflow.llm.common import ASCII_SPACE, free_name, numbered
 from rigflow.session import materialize
 
 MOST = 3
@@ -53,7 +53,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     Sources are a short list (one row each); the level at which weights are filled up is found
     by sums over them, each round fixing those that are above their limit.
     """
-    ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy("key")) - 1)
+    sources, _ = materialize(sources.withColumn("all", F.lit("")), "sources")
+    ranked = numbered(sources, "all", [F.col("key")], "rank").drop("all", "rank_of")
     listed, _ = materialize(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))), "sources")
     total = listed.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
@@ -87,11 +88,11 @@ def demand_time(q: Column, knots: tuple) -> Column:
 def _fill_wide(timed: DataFrame, gap: DataFrame, fits: Column, bucket: Column, reached) -> DataFrame:
     """``timed`` with the documents that fit into their source's wide gap, least used ones, as far
     as their sums go; in two levels, as in ``plan_mix``."""
-    rows = timed.join(F.broadcast(gap), "key", "left").withColumn("bucket", bucket)
+    rows = timed.join(gap, "key", "left").withColumn("bucket", bucket)
     rows = rows.withColumn("own", F.when(F.col("wide") & fits & (F.size("times") == F.col("level")), F.col("size")).otherwise(0))
     sums = rows.groupBy("key", "bucket").agg(F.sum("own").alias("words"))
     before = sums.select("key", "bucket", (F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).alias("before"))
-    inside = F.sum("own").over(Window.partitionBy("key", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = F.sum("own").over(Window.partitionBy("key", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("inside", inside).join(before, ["key", "bucket"])
     stop = F.col("before") + F.col("inside")
     time = F.least(reached((F.col("target") - F.col("gap") + stop) / F.col("target")), F.lit(1.0))
@@ -99,19 +100,34 @@ def _fill_wide(timed: DataFrame, gap: DataFrame, fits: Column, bucket: Column, r
     return rows.withColumn("times", F.when(taken, F.concat("times", F.array(time))).otherwise(F.col("times"))).select(*timed.columns)
 
 
+def _content(docs: DataFrame) -> dict[str, Column]:
+    """Two hashes of all columns of a row."""
+    one, two = free_name(docs, "content_a"), free_name(docs, "content_b")
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    return {one: F.xxhash64(*columns), two: F.xxhash64(F.lit("b"), *reversed(columns))}
+
+
 def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target,
     times (training time of each copy taken, in order), taken (words)."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized, rows = materialize(docs.select("doc_id", _source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), order.alias("order")), "sizes")
-    parts = max(1, math.isqrt(rows))
-    bucket = F.floor(F.conv(F.substring("order", 1, 12), 16, 10).cast("double") * parts / float(1 << 48)).cast("int")   # in step with the order
+    return _plan(docs, weights, schedules, most).select("doc_id", "size", "source_size", "target", "times", "taken")
+
+
+def _plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
+    """``plan_mix`` with content (a, b), the hashes of the whole row."""
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+    content = F.struct(*[c.alias(n) for n, c in zip("ab", _content(docs).values())]).alias("content")
+    sized, _ = materialize(docs.select("doc_id", _source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), order.alias("order"), content), "sizes")
+    by = ["key", "order", "content", "row"]
+    sized = sized.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    sized, _ = materialize(sized.drop("order", "row").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    bucket = F.shiftright("at", 33)                                                        # the partition
     sized = sized.withColumn("bucket", bucket)
     sums, _ = materialize(sized.groupBy("key", "bucket").agg(F.sum("size").alias("words")), "bucket-sums")
     sources = targets(sums.groupBy("key").agg(F.sum("words").alias("source_size")), weights, most)
     sources, _ = materialize(sources, "targets")
     before = sums.select("key", "bucket", (F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     placed = sized.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, ["key", "bucket"]).join(sources, "key")
     placed, _ = materialize(placed.withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "bucket", "words"), "placed")
 
@@ -131,29 +147,38 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int =
     while True:
         worded = timed.where("size > 0")
         gap = worded.groupBy("key").agg((F.first("target") - F.sum(F.size("times") * F.col("size"))).alias("gap"), F.min(F.size("times")).alias("least"))
-        open_ = worded.join(F.broadcast(gap), "key").where(fits).groupBy("key").agg(F.min(F.size("times")).alias("level"), F.max("size").alias("longest"), F.sum(F.col("size") * (most - F.size("times"))).alias("spare"))
-        gap, _ = materialize(gap.join(F.broadcast(open_), "key", "left").withColumn("wide", F.coalesce((3 * F.col("longest") < F.col("gap")) & ((F.col("level") == F.col("least")) | (F.col("spare") >= F.col("gap"))), F.lit(False))), "gaps")
+        open_ = worded.join(gap, "key").where(fits).groupBy("key").agg(F.min(F.size("times")).alias("level"), F.max("size").alias("longest"), F.sum(F.col("size") * (most - F.size("times"))).alias("spare"))
+        gap, _ = materialize(gap.join(open_, "key", "left").withColumn("wide", F.coalesce((3 * F.col("longest") < F.col("gap")) & ((F.col("level") == F.col("least")) | (F.col("spare") >= F.col("gap"))), F.lit(False))), "gaps")
         if not gap.where("wide").isEmpty():
             timed, _ = materialize(_fill_wide(timed, gap, fits, bucket, reached), "timed")
             continue
         off = F.abs(F.col("size") - F.col("gap"))
         spare = (F.size("times") == F.col("least")) & (F.size("times") < most) & (off < F.col("gap"))
-        fill = worded.join(F.broadcast(gap), "key").where(spare).groupBy("key").agg(F.min(F.struct(off.alias("off"), "order", "doc_id")).alias("pick"))
+        fill = worded.join(gap, "key").where(spare).groupBy("key").agg(F.min(F.struct(off.alias("off"), "at")).alias("pick"))
         fill, found = materialize(fill, "fill")
         if not found:
             break
-        chosen = F.coalesce((F.col("order") == F.col("pick.order")) & F.col("doc_id").eqNullSafe(F.col("pick.doc_id")), F.lit(False))
-        timed = timed.join(F.broadcast(fill), "key", "left").withColumn("times", F.when(chosen, F.concat("times", F.array(F.lit(1.0)))).otherwise(F.col("times"))).drop("pick")
+        chosen = F.coalesce(F.col("at") == F.col("pick.at"), F.lit(False))
+        timed = timed.join(fill, "key", "left").withColumn("times", F.when(chosen, F.concat("times", F.array(F.lit(1.0)))).otherwise(F.col("times"))).drop("pick")
         timed, _ = materialize(timed, "timed")
-    return timed.select("doc_id", "size", "source_size", "target", "times", (F.size("times") * F.col("size")).alias("taken"))
+    return timed.select("doc_id", "size", "source_size", "target", "times", (F.size("times") * F.col("size")).alias("taken"), "content")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed stream: the rows of ``docs``, each as often as it is taken, in training order."""
-    id_, time = free_name(docs, "mixed_id"), free_name(docs, "mixed_time")
-    times = plan_mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias(id_), F.explode("times").alias(time))
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(F.col(id_))).orderBy(time, id_)
-    return rows.select(*docs.columns)
+    """The mixed stream: the rows of ``docs``, each as often as it is taken, in training order.
+
+    Rows meet their times by their content.  Rows that are equal in every column share theirs:
+    one of them stands for all, and each time is emitted once.
+    """
+    plan, content, time = _plan(docs, **options), _content(docs), free_name(docs, "mixed_time")
+    a, b = content
+    named = plan.select(F.col("content.a").alias(a), F.col("content.b").alias(b), "times")
+    repeated, some = materialize(named.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b), "repeated-rows")
+    times, _ = materialize(named.select(a, b, F.explode("times").alias(time)), "times")
+    rows = docs.withColumns(content)
+    if some:
+        rows = rows.join(repeated, [a, b], "left_anti").unionByName(rows.join(repeated, [a, b], "left_semi").dropDuplicates([a, b]))
+    return rows.join(times, [a, b]).orderBy(time, a, b).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir):
@@ -174,7 +199,7 @@ m{k + 1} AS (SELECT {before}.* REPLACE (CASE WHEN {before}.o = p{k}.o THEN n + 1
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, coalesce('=' || source, '~') AS key, md5(doc_id::VARCHAR) AS o,
+  SELECT doc_id, coalesce('=' || source, '~') AS key, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS o,
          len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+'))::BIGINT AS size FROM documents),
 sources AS (SELECT key, sum(size)::BIGINT AS s, 1 + (row_number() OVER (ORDER BY key) - 1) % 3 AS w FROM sized GROUP BY key),

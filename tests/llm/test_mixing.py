@@ -81,3 +81,23 @@ def test_stream_order_and_edge_cases(edge, empty):
     assert 3 not in ids and 6 in ids
     assert ids == [r.doc_id for r in mix(edge).select("doc_id").collect()]
     assert plan_mix(empty).count() == 0 and mix(empty).count() == 0
+
+
+def test_rows_without_ids_and_repeated_ids_are_documents_of_their_own(spark):
+    for ids in ([None] * 100, [7] * 100, [7] * 50 + [None] * 50):
+        rows = [(d, f"text {i} " + "w " * (i % 9), "a") for i, d in enumerate(ids)]
+        assert mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 100
+    same = spark.createDataFrame([(7, "one two three", "a")] * 100, "doc_id long, text string, source string")
+    assert mix(same).count() == 100 and sum(r.taken for r in plan_mix(same).collect()) == 300
+
+
+def test_partitionings_agree(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, 1, 2, i]), "w " * r.randrange(1, 30), r.choice("abc"), i % 4) for i in range(400)]
+    found = set()
+    for n in (1, 3, 7):
+        r.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").repartition(n)
+        plan = sorted(map(str, plan_mix(docs).select("doc_id", "size", "target", "times").collect()))
+        found.add((str(plan), str([tuple(x) for x in mix(docs).collect()])))
+    assert len(found) == 1
