@@ -4,14 +4,15 @@ A text becomes units: a run of spaces with the word after it (no piece of a merg
 vocabulary goes on past a word into the next space; ``Vocabulary`` checks that).  In each unit
 the agenda holds every adjacent pair whose join is a piece; the best pair (by score, then
 leftmost) is joined, its neighbours enter the agenda, until it is empty.  With dropout p, a
-candidate is skipped if a keyed hash of (seed, the document's variant, its place, its two
-halves) falls under p.  So a document's segmentation varies with seed and epoch, is the same
-at every run and on every machine, and always decodes to the text.  Dropout 0 gives the
-library's own segmentation.
+candidate is skipped if a keyed hash of (seed, epoch, document, the unit's place in it, the
+candidate's place in the unit, its two halves) falls under p.  So each occurrence of a word is
+cut in its own way, a document's segmentation varies with seed and epoch, is the same at every
+run and on every machine, and always decodes to the text.  Dropout 0 gives the library's own
+segmentation.
 
 Short units run through the agenda side by side in numpy (one step joins the best pair of every
-unit), long ones through a heap, each n log n; both give the same pieces.  A document takes one
-of ``VARIANTS`` hash keys, so the units of a batch can be encoded once for each key.
+unit of about ``RUN`` symbols of text), long ones through a heap, each n log n; both give the
+same pieces.  No unit is looked up in what was encoded before.
 
 Characters without a piece become byte pieces, as does the space mark itself where a text
 holds it, so decoding is lossless for every text.
@@ -23,24 +24,22 @@ no pieces; a lone surrogate cannot occur in a Spark string.  Other columns are n
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigflow.llm.common import column_slices
 
 MARK = "▁"
-VARIANTS = 8
 DROPOUT = 0.1
 SEED = 20240601
 LONG = 256                  # symbols from which on a unit goes through the heap
-CACHE = 150_000             # units that a task keeps
-UNIT = re.compile(r" *[^ \n]+| +|\n")
+RUN = 500_000               # symbols that go through the agenda together
+SLICE = 2_000_000           # bytes of text that a task holds as strings
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MASK = (1 << 64) - 1
 
@@ -119,8 +118,13 @@ class Vocabulary:
     def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First symbols of all units one after another, and each unit's number of them: a piece
         for each character that has one, else its bytes in UTF-8."""
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        out, sizes = self.spell(_points("".join(units)))
         lengths = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths)])]
+        return out, np.diff(ends)
+
+    def spell(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First symbols of code points, and each one's number of them."""
         piece = self._char_table[points]
         missing = piece < 0
         sizes = np.where(missing, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), 1)
@@ -129,8 +133,20 @@ class Vocabulary:
         out[~in_bytes] = piece[~missing]
         spelled = points[missing].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
         out[in_bytes] = np.array(self.bytes)[np.frombuffer(spelled, np.uint8)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths)])]
-        return out, np.diff(ends)
+        return out, sizes
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def unit_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """True where a unit begins: at a text's start, a line break, after one, and at the first of a run of spaces."""
+    first, space, line = np.zeros(len(points), bool), points == 0x20, points == 0x0A
+    first[starts] = True
+    first |= line
+    first[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    return first
 
 
 def _skip(key: int, place: int, a: int, b: int, below: int) -> bool:
@@ -167,26 +183,27 @@ def agenda(v: Vocabulary, symbols: list[int], key: int, dropout: float) -> list[
     return [x for x in ids if x >= 0]
 
 
-def agendas(v: Vocabulary, ids: np.ndarray, lengths: np.ndarray, key: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Many units side by side, their symbols one after another: their pieces, and each unit's number of pieces."""
+def agendas(v: Vocabulary, ids: np.ndarray, lengths: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """Many units side by side, their symbols one after another, each with its own key: their
+    pieces, and each unit's number of pieces."""
     ids = ids.copy()
     unit = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     below, none = np.uint64(int(dropout * (1 << 32))), np.int64(1 << 40)
 
-    def candidates(a, b, at):
+    def candidates(a, b, at, of):
         """Rank of each pair in the high bits, place below: the least is the agenda's next."""
         joined = v.join(a, b)
         rank = np.where(joined >= 0, (v.rank[joined] << 20) + at, none)
         if below:
-            h = np.uint64(key) + at.astype(np.uint64) * _K1 + a.astype(np.uint64) * _K2 + b.astype(np.uint64) * _K3
+            h = keys[of] + at.astype(np.uint64) * _K1 + a.astype(np.uint64) * _K2 + b.astype(np.uint64) * _K3
             h = (h ^ (h >> np.uint64(31))) * _K2
             rank[((h ^ (h >> np.uint64(29))) >> np.uint64(32)) < below] = none
         return rank, joined
 
     rank, joined = np.full(len(ids), none, np.int64), np.full(len(ids), -1, np.int64)
     if len(ids) > 1:
-        rank[:-1], joined[:-1] = candidates(ids[:-1], ids[1:], place[:-1])
+        rank[:-1], joined[:-1] = candidates(ids[:-1], ids[1:], place[:-1], unit[:-1])
         rank[:-1][unit[:-1] != unit[1:]] = none
     done_ids, done_unit = [], []
     while len(ids):
@@ -212,7 +229,7 @@ def agendas(v: Vocabulary, ids: np.ndarray, lengths: np.ndarray, key: int, dropo
         for left in (new[(new + 1 < n)], new[new > 0] - 1):
             left = left[unit[left] == unit[np.minimum(left + 1, n - 1)]]
             left = left[left + 1 < n]
-            rank[left], joined[left] = candidates(ids[left], ids[left + 1], place[left])
+            rank[left], joined[left] = candidates(ids[left], ids[left + 1], place[left], unit[left])
     if not done_ids:
         return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
     ids, unit = np.concatenate(done_ids), np.concatenate(done_unit)
@@ -221,50 +238,52 @@ def agendas(v: Vocabulary, ids: np.ndarray, lengths: np.ndarray, key: int, dropo
 
 
 class Encoder:
-    """Encodes texts; keeps what it has encoded for each variant."""
+    """Encodes texts, each under its own key."""
 
     def __init__(self, v: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, epoch: int = 0):
         self.v, self.dropout, self.seed, self.epoch = v, dropout, seed, epoch
-        self._known: dict[int, tuple[dict, list]] = {}
-        self._held = 0
 
-    def variant(self, name: str) -> int:
+    def key(self, name: str, epoch: int) -> int:
         """The hash key of a document."""
-        k = xxhash.xxh3_64_intdigest(name.encode(), seed=self.seed) % VARIANTS if self.dropout else 0
-        return xxhash.xxh3_64_intdigest(f"{self.epoch}:{k}".encode(), seed=self.seed)
-
-    def units(self, text: str) -> list[str]:
-        return UNIT.findall(" " + text if self.v.dummy_prefix else text) if text else []
-
-    def _pieces(self, units: list[str], key: int) -> list[bytes]:
-        v, out = self.v, [b""] * len(units)
-        ids, lengths = v.symbols(units)
-        ends = np.cumsum(lengths)
-        long = lengths >= LONG
-        for i in np.flatnonzero(long):
-            out[i] = np.array(agenda(v, ids[ends[i] - lengths[i]:ends[i]].tolist(), key, self.dropout), np.int32).tobytes()
-        flat, counts = agendas(v, ids[np.repeat(~long, lengths)], lengths[~long], key, self.dropout)
-        stop = np.cumsum(counts) * 4
-        packed = flat.astype(np.int32).tobytes()
-        for i, a, b in zip(np.flatnonzero(~long).tolist(), (stop - counts * 4).tolist(), stop.tolist()):
-            out[i] = packed[a:b]
-        return out
+        return xxhash.xxh3_64_intdigest(f"{epoch}:{name}".encode(), seed=self.seed)
 
-    def encode(self, names: list[str], texts: list) -> list[np.ndarray]:
+    def encode(self, names: list[str], texts: list, epochs: list[int] | None = None) -> list[np.ndarray]:
         """The pieces of each text (empty for null)."""
-        keys = [self.variant(n) for n in names]
-        units = [self.units(t or "") for t in texts]
-        wanted: dict[int, set] = {}
-        for k, u in zip(keys, units):
-            wanted.setdefault(k, set()).update(u)
-        if self._held > CACHE:
-            self._known, self._held = {}, 0
-        for k, all_ in wanted.items():
-            known = self._known.setdefault(k, {})
-            new = list(all_.difference(known))
-            known.update(zip(new, self._pieces(new, k)))
-            self._held += len(new)
-        return [np.frombuffer(b"".join(map(self._known[k].__getitem__, u)), np.int32) for k, u in zip(keys, units)]
+        v, prefix = self.v, " " if self.v.dummy_prefix else ""
+        keys = np.array([self.key(n, e) for n, e in zip(names, epochs or [self.epoch] * len(names))], np.uint64)
+        points = _points("".join([prefix + t for t in texts if t]))
+        lengths = np.fromiter((len(t) + len(prefix) if t else 0 for t in texts), np.int64, len(texts))
+        first = unit_starts(points, (np.cumsum(lengths) - lengths)[lengths > 0])
+        symbols, sizes = v.spell(points)
+        of_text = np.repeat(np.arange(len(texts)), lengths)[first]                # of each unit
+        sizes = np.add.reduceat(sizes, np.flatnonzero(first)) if len(points) else np.zeros(0, np.int64)
+        units = np.bincount(of_text, minlength=len(texts))
+        place = np.arange(len(of_text)) - np.repeat(np.cumsum(units) - units, units)
+        h = keys[of_text] ^ (place.astype(np.uint64) * _K2)
+        unit_keys = (h ^ (h >> np.uint64(32))) * _K3
+        pieces, counts = self._pieces(symbols, sizes, unit_keys)
+        ends = np.cumsum(np.bincount(of_text, weights=counts, minlength=len(texts)).astype(np.int64))
+        return np.split(pieces, ends[:-1]) if len(texts) else []
+
+    def _pieces(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of units of ``sizes`` symbols, and each unit's number of them."""
+        ends, out, counts = np.cumsum(sizes), [], np.zeros(len(sizes), np.int64)
+        lo = 0
+        while lo < len(sizes):
+            before = int(ends[lo] - sizes[lo])
+            if sizes[lo] >= LONG:
+                own = agenda(self.v, symbols[before:ends[lo]].tolist(), int(keys[lo]), self.dropout)
+                out.append(np.array(own, np.int32))
+                counts[lo] = len(own)
+                lo += 1
+                continue
+            hi = max(lo + 1, int(np.searchsorted(ends, before + RUN, side="right")))
+            long = np.flatnonzero(sizes[lo:hi] >= LONG)
+            hi = lo + int(long[0]) if len(long) else hi
+            flat, counts[lo:hi] = agendas(self.v, symbols[before:ends[hi - 1]], sizes[lo:hi], keys[lo:hi], self.dropout)
+            out.append(flat.astype(np.int32))
+            lo = hi
+        return np.concatenate(out) if out else np.zeros(0, np.int32), counts
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.v.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
@@ -274,18 +293,19 @@ class Encoder:
 _ENCODED = "doc_id long, n_pieces int, pieces array<int>, lossless boolean"
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, epoch: int = 0) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, epoch: int | Column = 0) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_pieces, pieces, and whether decoding
-    the pieces gave the text again.  Row by row, without a shuffle."""
+    the pieces gave the text again.  Row by row, without a shuffle.  ``epoch``: a number, or a
+    column where rows that repeat a doc_id are to be cut in different ways."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)      # the vocabulary's pieces and joins
 
     def run(batches):
-        encoder = Encoder(shared.value, dropout, seed, epoch)
+        encoder = Encoder(shared.value, dropout, seed)
         for b in batches:
-            ids = b.column("doc_id")
+            ids, epochs = b.column("doc_id"), b.column("epoch").to_pylist()
             names = [str(i) for i in ids.to_pylist()]
-            for lo, hi, part in column_slices(b.column("text")):
-                out = encoder.encode(names[lo:hi], part)
+            for lo, hi, part in column_slices(b.column("text"), SLICE):
+                out = encoder.encode(names[lo:hi], part, epochs[lo:hi])
                 null = np.array([t is None for t in part])
                 sizes = np.fromiter(map(len, out), np.int32, len(out))
                 same = [t is None or encoder.decode(p.tolist()) == t for p, t in zip(out, part)]
@@ -293,7 +313,8 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, dropout: float = D
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes, mask=null), lists, pa.array(same)], ["doc_id", "n_pieces", "pieces", "lossless"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
+    number = epoch if isinstance(epoch, Column) else F.lit(epoch)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.cast("long").alias("epoch")).mapInArrow(run, _ENCODED)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

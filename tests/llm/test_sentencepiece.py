@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rigflow.llm import sentencepiece_codec as S
 
@@ -32,13 +33,14 @@ def test_heap_and_side_by_side_agree():
     units = ["".join(r.choice(" aeinorst日") for _ in range(r.randrange(1, 40))) for _ in range(400)]
     ids, lengths = V.symbols(units)
     for dropout in (0.0, 0.1, 0.5):
-        flat, counts = S.agendas(V, ids, lengths, 987654321, dropout)
+        keys = np.arange(len(units), dtype=np.uint64) * np.uint64(987654321987654321)
+        flat, counts = S.agendas(V, ids, lengths, keys, dropout)
         at, out = 0, []
         for n in counts:
             out.append(flat[at:at + n].tolist())
             at += n
         ends = np.cumsum(lengths)
-        assert out == [S.agenda(V, ids[b - n:b].tolist(), 987654321, dropout) for b, n in zip(ends, lengths)]
+        assert out == [S.agenda(V, ids[b - n:b].tolist(), int(k), dropout) for b, n, k in zip(ends, lengths, keys)]
 
 
 def test_dropout_varies_by_seed_epoch_and_document_but_not_by_run():
@@ -50,6 +52,26 @@ def test_dropout_varies_by_seed_epoch_and_document_but_not_by_run():
     assert len(one(dropout=0.5)) > len(one(dropout=0.0))
 
 
+def test_every_occurrence_of_a_word_is_cut_in_its_own_way(spark):
+    word = "internationalization"
+    e = S.Encoder(V, 0.5)
+    cut = {tuple(x) for x in e.encode([str(i) for i in range(2_000)], [word] * 2_000)}
+    assert len(cut) > 100
+    once = [e.encode(["a"], [word + (" " + word) * n])[0].tolist() for n in (0, 1)]
+    assert once[1][:len(once[0])] == once[0] and once[1] != once[0] * 2
+    copies = S.encode_documents(spark.createDataFrame([(1, word)] * 50, "doc_id long, text string").coalesce(1), V, 0.5, epoch=F.monotonically_increasing_id())
+    assert len({tuple(r.pieces) for r in copies.collect()}) > 10
+
+
+def test_runs_of_units_do_not_change_the_pieces(monkeypatch):
+    texts = TEXTS * 3
+    names = [str(i) for i in range(len(texts))]
+    want = [x.tolist() for x in S.Encoder(V, 0.3).encode(names, texts)]
+    monkeypatch.setattr(S, "RUN", 7)
+    assert [x.tolist() for x in S.Encoder(V, 0.3).encode(names, texts)] == want
+    assert [S.Encoder(V, 0.3).encode([n], [t])[0].tolist() for n, t in zip(names, texts)] == want
+
+
 def test_documents(edge, empty):
     rows = S.encode_documents(edge, V).collect()
     assert len(rows) == len(EDGE) and all(r.lossless for r in rows)
