@@ -13,15 +13,9 @@ from pyspark.sql import functions as F
 from rigflow.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
 from rigflow.session import materialize
 
-#: Least part of a document's letters in its main language: none, so even mixes of any number of
-#: languages stay.
-LEAST_SHARE = 0.0
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go ("und")."""
-    found = language_id.label_column(spark, language_id.train_fold(docs), F.col("text"))
-    return docs.where((found["lang"] != "und") & (found["score"] >= LEAST_SHARE))
+    return docs.where(language_id.language_column(spark, language_id.train_fold(docs), F.col("text")) != "und")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +34,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, pieces and lossless of every row."""
-    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_vocabulary())
+    """doc_id, n_pieces, pieces and lossless of every row; the copies that the mix takes of a
+    document are encoded under their places in training order, so each in its own way."""
+    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_vocabulary(), epoch=F.monotonically_increasing_id())
 
 
 STAGES = [
