@@ -1,14 +1,18 @@
 """Bill-of-material hierarchy: tree levels, outline order, subtrees and cost roll-ups.
 
-The walk is a frontier loop: one equi-join of the current level with the child edges per
-level, until a level is empty (a walk from NULL parents cannot meet a cycle, a subtree walk
-stops at its seed, and a reachability walk at what it has seen, so there is no depth cap).
-The edge table is written once, and every fourth level is written too (Parquet tables in the
-folder of ``spark.checkpoint.dir``, row count observed during the write); levels in between
-are cached and counted. Each level costs one job, and a lost executor recomputes at most four
-level joins. The number of jobs grows with the tree depth, not with the data. Spark chooses
-each level's join from measured sizes; a hot parent is a skewed key that AQE splits. A level
-carries ids only, unless paths are asked for.
+Everything is by pointer doubling: after k rounds every node knows its ancestor 2^k above it
+(or the top, if that is nearer), and the sums over its descendants less than 2^k below it. A
+round is one join on ids, and one grouped sum where sums are asked for, over a written table
+(Parquet in the folder of ``spark.checkpoint.dir``), so a forest of depth d takes log2 d + 1
+rounds, and a lost executor repeats tasks of one round at most. A round in which no node
+reaches its top leaves only nodes on cycles and below them, and ends the loop: there is no
+depth cap. Spark chooses each join from measured sizes; a hot parent is a skewed key that AQE
+splits, and its children are summed in partial sums.
+
+With the sizes known, a node's place in document order (pre-order, siblings by name) is the sum,
+over the nodes from it to the root, of one plus the sizes of the siblings before them: a second
+doubling. A subtree is then the interval of places [place, place + size), so nested seeds share
+one set of places and nothing is walked.
 
 Semantics kept from the source:
 - tree: roots are items with a NULL parent; children are looked up inside the same
@@ -20,14 +24,17 @@ Semantics kept from the source:
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialize
 
-# Every CUT_EVERY-th level is written to the checkpoint folder (lineage cut); the levels
-# between are cached (memory, spilling to disk) and counted in the same single job.
+# Where a seed lies on a cycle its subtree is walked level by level (``_walk``): every
+# CUT_EVERY-th level is written to the checkpoint folder (lineage cut); the levels between are
+# cached (memory, spilling to disk) and counted in the same single job.
 CUT_EVERY = 4
+BLOCK = 4_096            # places of one key of the interval join
 
 
 def _keep(df: DataFrame, depth: int, name: str) -> tuple[DataFrame, int]:
@@ -48,6 +55,55 @@ def _finish(levels: list[DataFrame], name: str) -> DataFrame:
     return result
 
 
+def _double(nodes: DataFrame, down: dict[str, str] | None = None, up: dict[str, str] | None = None) -> tuple[DataFrame, int, int]:
+    """Pointer doubling over ``nodes`` (id, up: the parent's id or NULL, and the columns named).
+
+    ``down``: columns that are put together from the top to the node, "sum" or "concat"; ``up``:
+    columns that are put together over a node's descendants and itself, "sum" or "height" (steps
+    to the deepest one; starts at 0). Returns the nodes with depth and top, the number of those
+    that no top is above (their ``up`` is not NULL), and the number of rounds.
+    """
+    down, up = down or {}, up or {}
+    join_down = {"sum": lambda above, own: above + own, "concat": lambda above, own: F.concat(above, own)}
+    state, _ = materialize(nodes.withColumns({"depth": F.col("up").isNotNull().cast("int"), "top": F.when(F.col("up").isNull(), F.col("id"))}), "doubling")
+    keep = [c for c in nodes.columns if c not in ("id", "up", *down, *up)]
+    left, rounds = state.where("up IS NOT NULL").count(), 0
+    while left:
+        reach = 2 ** rounds
+        if up:
+            parts = [(F.sum(c) if how == "sum" else F.max(F.col(c) + reach)).alias(f"_{c}") for c, how in up.items()]
+            below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("_b")).agg(*parts)
+            total = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) if how == "sum" else F.greatest(c, F.coalesce(f"_{c}", F.lit(0))) for c, how in up.items()}
+            summed = state.join(below, state["id"] == below["_b"], "left").select("id", "up", "depth", "top", *keep, *down, *[v.cast(dict(state.dtypes)[c]).alias(c) for c, v in total.items()])
+        else:
+            summed = state
+        above = state.select(F.col("id").alias("_i"), F.col("up").alias("_u"), F.col("depth").alias("_d"), F.col("top").alias("_t"), *[F.col(c).alias(f"_{c}") for c in down])
+        moved = summed.where("up IS NOT NULL").join(above, F.col("up") == F.col("_i")).select(
+            "id", F.col("_u").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_t").alias("top"), *keep,
+            *[join_down[how](F.col(f"_{c}"), F.col(c)).alias(c) for c, how in down.items()], *up)
+        state, _ = materialize(summed.where("up IS NULL").unionByName(moved), "doubling")
+        before, left, rounds = left, state.where("up IS NOT NULL").count(), rounds + 1
+        if left == before:
+            break
+    return state, left, rounds
+
+
+def _forest(items: DataFrame, own: list[Column], same_asset: bool = True) -> DataFrame:
+    """id, up (the parent's id where the parent is there), rooted (no parent is named) and ``own``."""
+    parents = items.select(F.col("id").alias("_p"), F.col("asset_id").alias("_a"))
+    found = F.col("parent_id") == F.col("_p")
+    if same_asset:
+        found = found & (F.col("asset_id") == F.col("_a"))
+    return items.join(parents, found, "left").select("id", F.col("_p").alias("up"), F.col("parent_id").isNull().alias("rooted"), *own)
+
+
+def _reached(items: DataFrame, state: DataFrame, columns: list) -> DataFrame:
+    """The nodes whose top is a root, with their own columns from ``items``."""
+    roots = state.where("up IS NULL AND rooted AND id = top").select(F.col("id").alias("_r"))
+    there = state.where("up IS NULL").join(roots, F.col("top") == F.col("_r"), "left_semi").withColumnRenamed("id", "_i")
+    return items.join(there.drop("asset_id", "parent_id", "name"), items["id"] == F.col("_i")).select(*columns)
+
+
 def bom_tree(items: DataFrame, items_written: bool = False, paths: bool = True) -> DataFrame:
     """Every node reachable from a root, per asset.
 
@@ -55,39 +111,45 @@ def bom_tree(items: DataFrame, items_written: bool = False, paths: bool = True)
     ('/'-joined ids from the root), path_names (' / '-joined names) and sort_path (array of
     (name, id) from the root: ordering by (asset_id, sort_path) is the nested document's
     order, siblings by name). The item's remaining columns are left out (join back on id).
-    ``items_written``: the items are already a written table (not re-derived per level),
+    ``items_written``: the items are already a written table (not re-derived per round),
     so they are not written again.
     """
-    # the items are read (and derived) once: edges and roots both come from this table
     base = items.select("id", "asset_id", "parent_id", "name")
     if not items_written:
         base, _ = materialize(base, "nodes")
-    edges = base.where(F.col("parent_id").isNotNull())
-    step = F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i")))
-    start = {"depth": F.lit(0), "root_id": F.col("id")}
+    step = [F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i"))).alias("sort_path")] if paths else []
+    state, _, _ = _double(_forest(base, step), {"sort_path": "concat"} if paths else {})
+    more = []
     if paths:
-        start |= {"path_ids": F.col("id").cast("string"), "path_names": F.col("name"), "sort_path": step}
-    more = {"depth": F.col("depth") + 1, "root_id": F.col("root_id")}
-    if paths:
-        more |= {"path_ids": F.concat_ws("/", "path_ids", F.col("id").cast("string")),
-                 "path_names": F.concat_ws(" / ", "path_names", "name"), "sort_path": F.concat(F.col("sort_path"), step)}
-    level, rows = _keep(base.where(F.col("parent_id").isNull()).withColumns(start), 0, "level")
-    levels = [level]
-    while rows:
-        f = level.select(F.col("id").alias("_p"), F.col("asset_id").alias("_a"), *start)
-        nxt = edges.join(f, (edges["parent_id"] == f["_p"]) & (edges["asset_id"] == f["_a"]), "inner")
-        level, rows = _keep(nxt.select("id", "asset_id", "parent_id", "name", *[c.alias(n) for n, c in more.items()]),
-                            len(levels), "level")
-        levels.append(level)
-    return _finish(levels, "tree")
+        more = [F.array_join(F.transform("sort_path", lambda x: x["i"].cast("string")), "/").alias("path_ids"),
+                F.array_join(F.transform("sort_path", lambda x: x["n"]), " / ").alias("path_names"), "sort_path"]
+    out, _ = materialize(_reached(base, state, ["id", "asset_id", "parent_id", "name", "depth", F.col("top").alias("root_id"), *more]), "tree")
+    return out
+
+
+def bom_places(items: DataFrame) -> DataFrame:
+    """Every node reachable from a root with its place in its asset's document order (pre-order,
+    siblings by name, then id; from 0) and its subtree's size, height and cost: a node's subtree
+    is the places from ``place`` to ``place + size - 1`` of its asset.
+
+    Columns: id, asset_id, parent_id, name, depth, root_id, place, size, height, cost.
+    """
+    base, _ = materialize(items.select("id", "asset_id", "parent_id", "name", (F.col("quantity") * F.col("unit_cost_usd")).alias("_own")), "nodes")
+    own = [F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("height"), F.coalesce("_own", F.lit(0)).cast("decimal(38,5)").alias("cost")]
+    state, _, _ = _double(_forest(base, own), up={"size": "sum", "height": "height", "cost": "sum"})
+    tree, _ = materialize(_reached(base, state, ["id", "asset_id", "parent_id", "name", "depth", F.col("top").alias("root_id"), "size", "height", "cost"]), "sized")
+    siblings = Window.partitionBy("asset_id", "parent_id").orderBy("name", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(siblings), F.lit(0)) + F.col("parent_id").isNotNull().cast("bigint")
+    placed, _, _ = _double(tree.select("id", F.col("parent_id").alias("up"), before.alias("place")), {"place": "sum"})
+    place = placed.select(F.col("id").alias("_i"), "place")
+    return tree.join(place, F.col("id") == F.col("_i")).drop("_i")
 
 
 def bom_outline(items: DataFrame) -> DataFrame:
-    """I3 re-aimed: the nested tree document as flat rows in document order (pre-order,
-    siblings by name) with their depth. A range-partitioned sort, no per-asset gathering,
-    so an asset with a huge BOM never has to fit in one row or one task."""
-    t = bom_tree(items)
-    return t.orderBy("asset_id", "sort_path")
+    """I3 re-aimed: the nested tree document as flat rows with their place in it (pre-order,
+    siblings by name) and depth, so an asset with a huge BOM never has to fit in one row or
+    one task; ordering by (asset_id, place) is the document."""
+    return bom_places(items).select("asset_id", "place", "id", "name", "depth", "size")
 
 
 def bom_tree_summary(items: DataFrame, tree: DataFrame | None = None) -> DataFrame:
@@ -106,21 +168,52 @@ def bom_tree_summary(items: DataFrame, tree: DataFrame | None = None) -> DataFra
             .withColumn("in_tree", F.coalesce("in_tree", F.lit(0).cast("bigint"))))
 
 
-def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
-            items_written: bool = False) -> DataFrame:
+def _by_link(items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The forest by parent link alone: nodes (id, top, depth, place, size, height) under a top, and
+    the edges (id, parent_id) of the others (on cycles and below them) with their number."""
+    base, _ = materialize(items.select("id", "asset_id", "parent_id"), "links")
+    one = [F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("height")]
+    state, cyclic, _ = _double(_forest(base, one, same_asset=False), up={"size": "sum", "height": "height"})
+    parents = base.select(F.col("id").alias("_i"), "parent_id")
+    linked = state.where("up IS NULL").join(parents, F.col("id") == F.col("_i")).drop("_i")
+    up = F.when(F.col("id") != F.col("top"), F.col("parent_id"))
+    siblings = Window.partitionBy("_up").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.when(F.col("_up").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum("size").over(siblings), F.lit(0)) + 1)
+    tops, inner = linked.where("id = top"), linked.where("id <> top")
+    start = inner.withColumn("_up", up).withColumn("place", before).unionByName(tops.withColumn("_up", up).withColumn("place", F.lit(0).cast("bigint")))
+    start, _ = materialize(start.select("id", F.col("_up").alias("up"), "size", "height", "place"), "offsets")
+    placed, _, _ = _double(start, {"place": "sum"})
+    rest = base.join(state.where("up IS NOT NULL").select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left_semi").select("id", "parent_id")
+    return placed.select("id", "top", "depth", "place", "size", "height"), rest, cyclic
+
+
+def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id") -> DataFrame:
     """Every descendant of each seed item (the seed itself at depth 0), following
     parent links across the whole table. Columns: seed_id, id, depth.
 
-    Every item has one parent, so a walk can only come back to a node it has seen by
-    returning to its own seed (the seed lies on a cycle); that is the one stop needed.
-    Where only the set of items below is wanted, ``reachable`` does without the seed.
+    A seed's subtree is an interval of places under its top, so pairs come from one join on
+    (top, block of places): an interval is cut into its blocks, and a node lies in one. Seeds on
+    cycles or below them, which no top is above, are walked level by level. Where only the set
+    of items below is wanted, ``reachable`` does without the seed; for counts, ``subtree_sizes``.
     """
-    edges = items.select("id", "parent_id").where(F.col("parent_id").isNotNull())
-    if not items_written:
-        edges, _ = materialize(edges, "edges")
-    level, rows = materialize(seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
-                              .join(items.select("id"), F.col("seed_id") == F.col("id"), "inner")
-                              .select("seed_id", "id", F.lit(0).alias("depth")), "seeds")
+    nodes, rest, cyclic = _by_link(items)
+    wanted = seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
+    cut = F.explode(F.sequence(F.floor(F.col("place") / BLOCK), F.floor((F.col("place") + F.col("size") - 1) / BLOCK)))
+    own = nodes.join(wanted, F.col("id") == F.col("seed_id")).select(
+        "seed_id", F.col("top").alias("_t"), F.col("place").alias("_from"), (F.col("place") + F.col("size")).alias("_to"), F.col("depth").alias("_d"), cut.alias("_b"))
+    inside = (F.col("top") == F.col("_t")) & (F.col("block") == F.col("_b")) & (F.col("place") >= F.col("_from")) & (F.col("place") < F.col("_to"))
+    found = nodes.withColumn("block", F.floor(F.col("place") / BLOCK)).join(own, inside).select("seed_id", "id", (F.col("depth") - F.col("_d")).alias("depth"))
+    return found.unionByName(_walk(rest, wanted)) if cyclic else found
+
+
+def _walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed_id, id, depth) below seeds that no top is above, level by level over their edges alone.
+
+    Every item has one parent, so a walk can only come back to a node it has seen by returning
+    to its own seed (the seed lies on a cycle); that is the one stop needed.
+    """
+    edges, _ = materialize(edges, "edges")
+    level, rows = materialize(seeds.join(edges.select("id"), F.col("seed_id") == F.col("id")).select("seed_id", "id", F.lit(0).alias("depth")), "seeds")
     levels = [level]
     while rows:
         f = level.select("seed_id", F.col("id").alias("_p"), "depth")
@@ -132,6 +225,20 @@ def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id",
     return _finish(levels, "subtree")
 
 
+def subtree_sizes(items: DataFrame, seeds: DataFrame, seed_col: str = "id") -> DataFrame:
+    """Per seed: how many items a delete of the seed removes (itself + descendants) and how deep
+    they go, from the doubled sums; no pair is made but for seeds on cycles or below them."""
+    base, _ = materialize(items.select("id", "asset_id", "parent_id"), "links")
+    one = [F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("height")]
+    state, cyclic, _ = _double(_forest(base, one, same_asset=False), up={"size": "sum", "height": "height"})
+    wanted = seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
+    out = state.where("up IS NULL").join(wanted, F.col("id") == F.col("seed_id")).select("seed_id", F.col("size").alias("delete_count"), F.col("height").alias("max_depth"))
+    if not cyclic:
+        return out
+    rest = base.join(state.where("up IS NOT NULL").select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left_semi").select("id", "parent_id")
+    return out.unionByName(subtree_counts(_walk(rest, wanted)))
+
+
 def reachable(items: DataFrame, seeds: DataFrame) -> DataFrame:
     """The ids of ``seeds`` (id) and of every item below one of them, each once: a frontier of
     ids less what has been seen, so nested seeds are walked once."""
@@ -154,30 +261,10 @@ def subtree_counts(sub: DataFrame) -> DataFrame:
                                       F.max("depth").alias("max_depth"))
 
 
-def subtree_cost(items: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+def subtree_cost(items: DataFrame) -> DataFrame:
     """For every node in the tree, the cost Σ quantity × unit cost of its subtree and the
-    subtree's size: bottom up, one grouped sum of the children per level."""
-    t = tree if tree is not None else bom_tree(items, paths=False)
-    cost = items.select(F.col("id").alias("_i"), (F.col("quantity") * F.col("unit_cost_usd")).alias("_own"))
-    nodes, _ = materialize(t.join(cost, t["id"] == cost["_i"], "inner").select("id", "asset_id", "parent_id", "depth", "_own"), "costed")
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    done, below = [], None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = nodes.where(F.col("depth") == depth)
-        own = F.coalesce("_own", F.lit(0))
-        if below is None:
-            level = level.withColumns({"subtree_cost": own.cast("decimal(38,2)"), "subtree_size": F.lit(1).cast("bigint")})
-        else:
-            sums = below.groupBy(F.col("parent_id").alias("_p"), F.col("asset_id").alias("_a")).agg(
-                F.sum("subtree_cost").alias("_cost"), F.sum("subtree_size").alias("_size"))
-            level = level.join(sums, (level["id"] == sums["_p"]) & (level["asset_id"] == sums["_a"]), "left").withColumns({
-                "subtree_cost": (own + F.coalesce("_cost", F.lit(0))).cast("decimal(38,2)"),
-                "subtree_size": F.lit(1) + F.coalesce("_size", F.lit(0))})
-        below, _ = materialize(level.select("id", "asset_id", "parent_id", "depth", "subtree_cost", "subtree_size"), "level-cost")
-        done.append(below)
-    if not done:
-        return nodes.select("id", "asset_id", "depth", F.lit(0).cast("decimal(38,2)").alias("subtree_cost"), F.lit(0).cast("bigint").alias("subtree_size"))
-    out = done[0]
-    for level in done[1:]:
-        out = out.unionByName(level)
-    return out.select("id", "asset_id", "depth", "subtree_cost", "subtree_size")
+    subtree's size, from the doubled sums."""
+    base, _ = materialize(items.select("id", "asset_id", "parent_id", "name", (F.col("quantity") * F.col("unit_cost_usd")).alias("_own")), "nodes")
+    own = [F.lit(1).cast("bigint").alias("subtree_size"), F.coalesce("_own", F.lit(0)).cast("decimal(38,5)").alias("subtree_cost")]
+    state, _, _ = _double(_forest(base, own), up={"subtree_size": "sum", "subtree_cost": "sum"})
+    return _reached(base, state, ["id", "asset_id", "depth", F.col("subtree_cost").cast("decimal(38,2)").alias("subtree_cost"), "subtree_size"])

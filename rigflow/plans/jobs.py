@@ -76,7 +76,7 @@ def q_bom_subtree(spark, d):
 SELECT seed_id, CAST(COUNT(*) AS BIGINT) AS delete_count, MAX(depth) AS max_depth
 FROM sub GROUP BY seed_id""", ["bom_items"]))
 def q_bom_subtree_counts(spark, d):
-    return H.subtree_counts(_subtree(d))
+    return H.subtree_sizes(d.bom_items, d.bom_items.where(F.col("status") == "Obsolete"))
 
 
 @register_sql("bom_subtree_cost", with_views_recursive(_TREE_CTE + """,
@@ -90,7 +90,19 @@ SELECT t.id, t.asset_id, t.depth,
 FROM clos c JOIN bom_items b ON b.id = c.node JOIN tree t ON t.id = c.anc
 GROUP BY t.id, t.asset_id, t.depth""", ["bom_items"]))
 def q_bom_subtree_cost(spark, d):
-    return H.subtree_cost(d.bom_items, _tree(d, paths=False))
+    return H.subtree_cost(d.bom_items)
+
+
+@register_sql("bom_outline", with_views_recursive("""walk AS (
+  SELECT id, asset_id, name, 0 AS depth, [{'n': name, 'i': id}] AS trail FROM bom_items WHERE parent_id IS NULL
+  UNION ALL
+  SELECT b.id, b.asset_id, b.name, w.depth + 1, list_append(w.trail, {'n': b.name, 'i': b.id})
+  FROM bom_items b JOIN walk w ON b.parent_id = w.id AND b.asset_id = w.asset_id)""", """
+SELECT w.asset_id, w.id, w.name, w.depth, row_number() OVER (PARTITION BY w.asset_id ORDER BY w.trail) - 1 AS place,
+  (SELECT count(*) FROM walk x WHERE x.asset_id = w.asset_id AND x.trail[1:len(w.trail)] = w.trail) AS size
+FROM walk w""", ["bom_items"]))
+def q_bom_outline(spark, d):
+    return H.bom_outline(d.bom_items)
 
 
 # ====================================================================== changes

@@ -1,6 +1,7 @@
 """BOM tree / subtree against brute force on invented items: a 3-level tree, an orphan,
 a two-node cycle, siblings whose names sort against id order, a cross-asset child."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -48,7 +49,7 @@ def test_tree_matches_brute_force(items):
 
 
 def test_outline_order_siblings_by_name(items):
-    order = [r.id for r in H.bom_outline(items).where(F.col("asset_id") == "A").collect()]
+    order = [r.id for r in H.bom_outline(items).where(F.col("asset_id") == "A").orderBy("place").collect()]
     assert order == ["r1", "c1", "g1", "c2"]
 
 
@@ -86,3 +87,57 @@ def test_long_chain_and_ids_with_slashes(spark):
 def test_reachable_on_a_cycle(spark):
     items = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", None)], "id string, parent_id string")
     assert {r.id for r in H.reachable(items, items.where("id = 'b'").select("id")).collect()} == {"a", "b", "c", "d"}
+
+
+def test_doubling_takes_log_rounds_and_ends_on_cycles(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)], "id long, up long")
+    state, left, rounds = H._double(chain)
+    assert left == 0 and rounds <= 8 and state.agg({"depth": "max"}).first()[0] == 99
+    ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 3), (5, None), (6, 5)], "id long, up long")
+    state, left, rounds = H._double(ring)
+    assert left == 4 and rounds <= 3 and {r.id for r in state.where("up IS NULL").collect()} == {5, 6}
+
+
+def test_random_forests_against_brute_force(spark, monkeypatch):
+    """Orphans, cycles, links across assets, nested seeds; intervals over many small blocks."""
+    monkeypatch.setattr(H, "BLOCK", 4)
+    r = random.Random(6)
+    rows = []
+    for i in range(160):
+        parent = None if r.random() < 0.1 else r.choice([r.randrange(max(i, 1)), r.randrange(160), 999 if r.random() < 0.2 else r.randrange(max(i, 1))])
+        rows.append((i, r.randrange(2), parent, r.choice("abc"), Decimal(r.randrange(5)), Decimal(r.randrange(9)), "Bulk", "Active"))
+    items = spark.createDataFrame(rows, "id long, asset_id int, parent_id long, name string, quantity decimal(12,3), unit_cost_usd decimal(18,2), item_type string, status string")
+    by = {x[0]: x for x in rows}
+
+    def walk(seed):
+        out, level, depth = {seed: 0}, [seed], 0
+        while level:
+            depth += 1
+            level = [x[0] for x in rows if x[2] in level and x[0] not in out]
+            out.update(dict.fromkeys(level, depth))
+        return out
+
+    seeds = r.sample(range(160), 40)
+    want = {(s, i, d) for s in seeds for i, d in walk(s).items()}
+    frame = spark.createDataFrame([(s,) for s in seeds + [12345]], "id long")
+    assert {tuple(x) for x in H.subtree(items, frame).select("seed_id", "id", "depth").collect()} == want
+    assert {tuple(x) for x in H.subtree_sizes(items, frame).collect()} == {(s, len(walk(s)), max(walk(s).values())) for s in seeds}
+
+    places, costs = {}, {}
+
+    def visit(i, depth):
+        asset = by[i][1]
+        places[i] = (asset, sum(1 for j in places if by[j][1] == asset), depth)
+        size, cost = 1, by[i][4] * by[i][5]
+        for c in sorted((x for x in rows if x[2] == i and x[1] == asset), key=lambda x: (x[3], x[0])):
+            s, m = visit(c[0], depth + 1)
+            size, cost = size + s, cost + m
+        costs[i] = (size, cost)
+        return size, cost
+
+    for root in sorted((x for x in rows if x[2] is None), key=lambda x: (x[3], x[0])):
+        visit(root[0], 0)
+    got = H.bom_places(items).collect()
+    assert {x.id: (x.asset_id, x.place, x.depth) for x in got} == places
+    assert {x.id: (x.size, x.cost) for x in got} == costs
+    assert {x.id: (x.subtree_size, x.subtree_cost) for x in H.subtree_cost(items).collect()} == costs
