@@ -94,7 +94,9 @@ def fold_decisions(transfers: DataFrame, decisions: DataFrame, key: str = "id",
     # a decision names a transfer by its id or by its code
     names = known.select(F.col("_tk").cast("string").alias("_name"), "_tk")
     if code_col in transfers.columns:
-        names = names.unionByName(transfers.select(F.col(code_col).alias("_name"), F.col(key).alias("_tk"))).dropDuplicates()
+        # (a name that is one transfer's id and another's code means the id)
+        codes = transfers.select(F.col(code_col).alias("_name"), F.col(key).alias("_tk"))
+        names = names.unionByName(codes.join(names.select("_name"), "_name", "left_anti"))
     ev = ev.join(names, ev["transfer_key"].cast("string") == names["_name"], "left").drop("_name")
     found = F.col("_tk").isNotNull()
     valid = ev.where(found & F.col("pre_reason").isNull()).select(
@@ -209,16 +211,17 @@ def apply_transfers(assets: DataFrame, transfers: DataFrame, state: DataFrame,
                     key: str = "id", now: Column | None = None) -> dict[str, DataFrame]:
     """For transfers completed by the fold, relocate the asset (location := destination,
     rig / company := destination's when given), write a history row and a broadcast notice.
-    If several completed transfers name one asset, the last by final-approval seq wins."""
+    Several completed transfers of one asset apply in the order of their final approvals: the
+    last location wins, and for rig and company the last that was given."""
     # (a transfer that was stored as Completed has been applied before)
     done = state.where((F.col("status") == "Completed") & F.col("mgr_seq").isNotNull()).select(
         F.col("transfer_key").alias("_k"), F.col("mgr_seq").alias("_seq"), "mgr_approved_by")
     t = transfers.drop("mgr_approved_by").join(done, transfers[key] == done["_k"], "inner")
     tcols = [c for c in ("dest_rig_id", "dest_company_id") if c in t.columns]
-    last = (t.groupBy(F.col("asset_id").alias("_a"))
-            .agg(F.max(F.struct("_seq", "destination", *tcols, F.col(key).alias("_tid"))).alias("x")))
-    moves = last.select("_a", F.col("x.destination").alias("_dest"),
-                        *[F.col(f"x.{c}").alias(f"_{c}") for c in tcols])
+    order = ("_seq", F.col(key).alias("_tid"))
+    given = [F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("v")))).alias(c) for c in tcols]
+    last = t.groupBy(F.col("asset_id").alias("_a")).agg(F.max(F.struct(*order, F.col("destination").alias("v"))).alias("x"), *given)
+    moves = last.select("_a", F.col("x.v").alias("_dest"), *[F.col(f"{c}.v").alias(f"_{c}") for c in tcols])
     j = assets.join(moves, assets["id"] == moves["_a"], "left")
     hit = F.col("_a").isNotNull()
     cols = []

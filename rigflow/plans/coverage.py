@@ -4,14 +4,17 @@ value rules of further tables, per-user dashboard numbers, declared-schema reads
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
 from ..operators import enrich as E
 from ..operators import filters as B
+from ..operators import paging as P
 from ..operators import quality as Q
 from ..operators import reports as R
+from ..operators.search_index import TrigramIndex
 from ..session import ensure_checkpoint_dir
 from ..sources.adapters import with_views_and
 from ..sources.schemas import ENUMS
@@ -231,3 +234,48 @@ def q_history_appended(spark, d):
     stored = read_table(spark, root, "companies")
     both = C.append_rows(stored, stored.where(F.col("status") == "Active"))
     return both.groupBy("company_code", "name").agg(F.count("*").alias("copies"))
+
+
+# ====================================================================== pages at any depth, search through an index
+_BOM_ORDER = "ORDER BY asset_id NULLS LAST, name NULLS LAST, id NULLS LAST"
+
+
+def _bom_pages(d):
+    rows = d.bom_items.select("id", "asset_id", "name")
+    return P.OrderedPages(rows, [F.col(c).asc_nulls_last() for c in ("asset_id", "name", "id")])
+
+
+@register("bom_deep_page", ["bom_items"], f"SELECT id, asset_id, name FROM bom_items {_BOM_ORDER} LIMIT 100 OFFSET 1100")
+def q_bom_deep_page(spark, d):
+    return _bom_pages(d).page(12, 100)
+
+
+@register("bom_next_page", ["bom_items"], f"SELECT id, asset_id, name FROM bom_items {_BOM_ORDER} LIMIT 100 OFFSET 1200")
+def q_bom_next_page(spark, d):
+    """The page after the last row of page 12, found by that row's key."""
+    pages = _bom_pages(d)
+    return pages.after(pages.page(1200, 1), 100)
+
+
+def _indexed(spark, df, key, cols, term):
+    index = TrigramIndex(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/trigrams-{uuid.uuid4().hex}", key, cols)
+    index.add(df)
+    return index.search(df, term)
+
+
+@register("assets_search_indexed", ["assets"], """
+SELECT id, asset_id, name, location FROM assets
+WHERE contains(lower(asset_id), 'site 1') OR contains(lower(name), 'site 1') OR contains(lower(location), 'site 1')""")
+def q_assets_search_indexed(spark, d):
+    return _indexed(spark, d.assets.select("id", "asset_id", "name", "location"), "id", ["asset_id", "name", "location"], "Site 1")
+
+
+@register("bom_search_indexed", ["bom_items"], "SELECT id, name FROM bom_items WHERE contains(lower(name), 'item 12')")
+def q_bom_search_indexed(spark, d):
+    return _indexed(spark, d.bom_items.select("id", "name"), "id", ["name"], "ITEM 12")
+
+
+@register("transfers_search_indexed", ["transfers"], """
+SELECT id, transfer_id, destination FROM transfers WHERE contains(lower(transfer_id), '00001') OR contains(lower(destination), '00001')""")
+def q_transfers_search_indexed(spark, d):
+    return _indexed(spark, d.transfers.select("id", "transfer_id", "destination"), "id", ["transfer_id", "destination"], "00001")

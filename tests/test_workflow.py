@@ -124,3 +124,23 @@ def test_hot_transfer_gives_the_same_states(spark):
     for t in range(30):
         own = [(q, s, a, c, r) for q, k, s, a, c, r in rows if k in (str(t), f"TR-{t}")]
         assert got[t] == simulate("Pending", own)[0]
+
+
+def test_several_transfers_of_one_asset_apply_in_order(spark):
+    assets = spark.createDataFrame([(1, "yard", 1, 10), (2, "yard", 2, 20)], "id long, location string, rig_id long, company_id long")
+    transfers = spark.createDataFrame(
+        [(101, "T1", 1, "site 7", 7, None, "Ops Approved"), (102, "T2", 1, "dock", None, 30, "Ops Approved"), (103, "T3", 2, "shop", None, None, "Ops Approved")],
+        "id long, transfer_id string, asset_id long, destination string, dest_rig_id long, dest_company_id long, status string")
+    decisions = spark.createDataFrame([(5, "T2", "mgr", "approve", "ok", "Admin"), (3, "101", "mgr", "approve", "ok", "Admin"), (9, "T3", "mgr", "approve", "ok", "Admin")],
+                                      "seq long, transfer_key string, stage string, action string, comment string, actor_role string")
+    out = W.apply_transfers(assets, transfers, W.fold_decisions(transfers, decisions)["state"])
+    assert {tuple(r) for r in out["assets"].collect()} == {(1, "dock", 7, 30), (2, "shop", 2, 20)}
+    assert out["history"].count() == 3
+
+
+def test_a_name_that_is_an_id_and_a_code_means_the_id(spark):
+    transfers = spark.createDataFrame([("A", "B", "Pending"), ("B", "C", "Pending")], "id string, transfer_id string, status string")
+    decisions = spark.createDataFrame([(1, "B", "ops", "approve", "ok", "Admin")], "seq long, transfer_key string, stage string, action string, comment string, actor_role string")
+    res = W.fold_decisions(transfers, decisions)
+    assert res["events"].count() == 1
+    assert {(r.transfer_key, r.status) for r in res["state"].collect()} == {("A", "Pending"), ("B", "Ops Approved")}
