@@ -7,12 +7,11 @@ classes, then one over the words of a class; within a tail class a word has its
 of the class's counts, so every word, unseen ones too, has a probability.
 
 Training is truncated backpropagation in numpy, data-parallel: a start from a bounded sample of
-about ``WARM_TOKENS`` (documented), then every shard of the corpus, all its rows, goes on from
-there and the shards' weights are averaged.  Scoring covers every row: the documents of a
+about ``WARM_TOKENS`` (documented), then the whole corpus, dealt to a fixed number of workers;
+each goes on from there over all its rows, ``SHARD_TOKENS`` at a time, and their weights are averaged.  Scoring covers every row: the documents of a
 batch go forward together, state carried across windows, whole texts.
 
-The counts of at most ``VOCABULARY`` words (those at or over a count that so many words reach)
-go to the tasks; the few tokens beyond them are joined with the full counts.  Such words are
+The counts of the ``VOCABULARY`` most used words (ties by the word) go to the tasks; the few tokens beyond them are joined with the full counts.  Such words are
 rare by construction, so no key of that join is hot.
 
 Defined results: null is an empty text, which has one token, its end; rows without a doc_id are
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import byte_words, fold, hash_sample, text_slices
+from rigflow.llm.common import byte_words, column_slices, fold, hash_sample, text_slices
 from rigflow.session import materialize
 
 END = b""                                  # no word is empty
@@ -45,8 +44,10 @@ SYMBOLS = CLASSES * CLASS + TAILS
 VOCABULARY = 131_072
 HIDDEN, EMBEDDED = 16, 16
 STREAMS, WINDOW, RATE = 32, 24, 0.004
+WIDE = 256                                 # streams of the parallel round: an eighth of the steps, each over eight times the tokens
 WARM_TOKENS, WARM_EPOCHS = 400_000, 2
-SHARD_TOKENS = 500_000                     # tokens of a shard of the parallel round
+SHARD_TOKENS = 500_000                     # tokens that a worker learns from at a time
+WORKERS = 64                               # of the parallel round at most, or two for each core of a larger cluster
 LN10 = float(np.log(10))
 
 
@@ -119,14 +120,21 @@ def log_probability(w: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.n
     return out
 
 
-def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1) -> Weights:
-    """Truncated backpropagation (Adam) over a run of symbols in which every text ends with ``end``."""
+def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1, widest: int = STREAMS) -> Weights:
+    """Truncated backpropagation (Adam) over a run of symbols in which every text ends with ``end``.
+
+    The run is cut into streams of equal length that go forward together, up to ``widest`` where
+    it is long enough for 64 steps; what the last ones lack is filled up with ends that teach nothing.
+    """
     w = Weights(*[x.copy() for x in w.arrays()])
-    streams = max(1, min(STREAMS, len(symbols) // (2 * WINDOW)))
-    length = len(symbols) // streams
-    if length < 2:
+    streams = max(1, min(max(STREAMS, min(widest, len(symbols) // (64 * WINDOW))), len(symbols) // (2 * WINDOW)))
+    length = -(-len(symbols) // streams)
+    if not length:
         return w
-    data = symbols[:streams * length].reshape(streams, length).T          # time x streams
+    full = np.full(streams * length, end)
+    full[:len(symbols)] = symbols
+    data = full.reshape(streams, length).T                                 # time x streams
+    real = (np.arange(streams * length) < len(symbols)).reshape(streams, length).T.astype(np.float32)
     m, v = [np.zeros_like(x) for x in w.arrays()], [np.zeros_like(x) for x in w.arrays()]
     step, h2 = 0, HIDDEN * 2
     for _ in range(epochs):
@@ -149,7 +157,8 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1) -> Weights
             hidden = np.concatenate([(1 - k[1]) * k[3] + k[1] * k[0] for k in kept])
             flat = targets.ravel()
             of = class_of(flat)
-            scale = np.float32(1 / len(flat))
+            counted = real[lo:lo + WINDOW].ravel()
+            scale = (counted / max(counted.sum(), 1))[:, None]
             d = _softmax(hidden @ w.classes + w.class_bias)
             d[np.arange(len(flat)), of] -= 1
             d *= scale
@@ -164,7 +173,7 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1) -> Weights
                 np.matmul(states[at], w.words[k].T, out=e[at])
             e = _softmax(e + w.word_bias[of[own]])
             e[np.arange(len(own)), flat[own] - of[own] * CLASS] -= 1
-            e *= scale
+            e *= scale[own]
             for k, at in runs:
                 np.matmul(e[at].T, states[at], out=g_words[k])
                 np.matmul(e[at], w.words[k], out=back_own[at])
@@ -273,13 +282,19 @@ def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:
     """Counts of all words (word, c) and what the tasks get of them."""
     summed = train.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts, distinct = materialize(summed, "word-counts")
-    by_count = counts.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("tokens")).orderBy(F.desc("c")).collect()
-    floor, held = (1 << 62), 0
-    for r in by_count:
-        if held + r["n"] > VOCABULARY:
+    # counts in steps that grow with them: a bounded list, in the order of the counts
+    step = F.when(F.col("c") < (1 << 16), F.col("c")).otherwise((1 << 16) + F.floor((F.log2("c") - 16) * 4096)).cast("long")
+    held, floor, rest = 0, -1, 0
+    by_step = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("tokens")).orderBy(F.desc("step")).collect()
+    for r in by_step:
+        if held + r["n"] > VOCABULARY + 1:                   # (the end is among them)
+            floor, rest = r["step"], VOCABULARY + 1 - held
             break
-        floor, held = r["c"], held + r["n"]
-    common = counts.where(F.col("c") >= floor).toArrow()
+        held += r["n"]
+    common = counts.where(step > floor)
+    if rest:
+        common = common.unionByName(counts.where(step == floor).orderBy(F.desc("c"), "word").limit(rest))
+    common = common.toArrow()
     words, n = common.column("word").to_pylist(), common.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-int(n[i]), words[i]))
     ends = sum(int(n[i]) for i in order if words[i] == END)
@@ -292,7 +307,7 @@ def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:
         tails[r["k"]] += r["n"]
     for x, k in zip(words[:FREQUENT], n[:FREQUENT]):
         tails[tail_of(x)] -= k + 1
-    return counts, Counts(words, n, ends, int(sum(r["tokens"] for r in by_count)), distinct, tails)
+    return counts, Counts(words, n, ends, int(sum(r["tokens"] for r in by_step)), distinct, tails)
 
 
 def _symbols_of(words: list[bytes], own: dict) -> np.ndarray:
@@ -300,16 +315,23 @@ def _symbols_of(words: list[bytes], own: dict) -> np.ndarray:
     return np.array([s if s >= 0 else CLASSES * CLASS + tail_of(x) for s, x in zip(out, words)] + [own[END]], np.int64)
 
 
-def _train_shard(shared, epochs: int):
+def _train_shard(shared, epochs: int, widest: int):
     def run(batches):
         weights, own = shared.value
-        texts = [t for b in batches for t in b.column("text").to_pylist()]
-        if not texts:
-            return
-        symbols = np.concatenate([_symbols_of(byte_words(t), own) for t in texts])
-        got = learn(weights, symbols, own[END], epochs)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(symbols)], pa.int64()),
-                                          pa.array([pickle.dumps(got.arrays())], pa.binary())], ["shard", "tokens", "weights"])
+        total, held, size = 0, [], 0
+        for b in batches:
+            for _, _, texts in column_slices(b.column("text")):
+                for text in texts:
+                    held.append(_symbols_of(byte_words(text), own))
+                    size += len(held[-1])
+                    if size >= SHARD_TOKENS:
+                        weights = learn(weights, np.concatenate(held), own[END], epochs, widest)
+                        total, held, size = total + size, [], 0
+        if size:
+            weights = learn(weights, np.concatenate(held), own[END], epochs, widest)
+        if total + size:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total + size], pa.int64()),
+                                              pa.array([pickle.dumps(weights.arrays())], pa.binary())], ["shard", "tokens", "weights"])
 
     return run
 
@@ -332,13 +354,13 @@ def train(docs: DataFrame, counts: Counts) -> Weights:
     shares = np.concatenate([[counts.ends], counts.counts[:FREQUENT], np.zeros(max(0, FREQUENT - len(counts.words))), np.maximum(counts.tail_words - 1, 0)])
     weights = Weights.fresh(shares)
     rate = min(1.0, WARM_TOKENS / max(counts.total, 1))
-    warm = hash_sample(docs, F.col("doc_id"), rate, 51).select("text").coalesce(32).repartition(1)
-    found = warm.mapInArrow(_train_shard(sc.broadcast((weights, own)), WARM_EPOCHS), _SHARD).collect()
+    warm = hash_sample(docs, F.col("doc_id"), rate, 51).select("text").repartition(1)
+    found = warm.mapInArrow(_train_shard(sc.broadcast((weights, own)), WARM_EPOCHS, STREAMS), _SHARD).collect()
     if found:
         weights = Weights(*pickle.loads(found[0]["weights"]))
-    shards = max(1, round(counts.total / SHARD_TOKENS))
+    shards = max(1, min(round(counts.total / SHARD_TOKENS), max(WORKERS, 2 * sc.defaultParallelism)))
     rows = docs.select("text", F.xxhash64("doc_id", "text").alias("deal")).repartition(shards, "deal").select("text")
-    trained = rows.mapInArrow(_train_shard(sc.broadcast((weights, own)), 1), _SHARD)
+    trained = rows.mapInArrow(_train_shard(sc.broadcast((weights, own)), 1, WIDE), _SHARD)
     for step in (F.pmod("shard", F.lit(math.isqrt(shards))), F.lit(0)):      # averaged in two steps, a few at a time
         trained = trained.groupBy(step.alias("part")).applyInPandas(_mean, "tokens long, weights binary")
         trained = trained.withColumn("shard", F.lit(0))

@@ -46,12 +46,12 @@ def test_lockstep_is_the_plain_recurrence():
 
 
 def test_gradient_steps_lower_the_loss():
-    r, w = np.random.default_rng(3), _weights()
+    w = _weights()
     text = np.append(np.tile([5, 9, 700, 1030], 12), 0)
     symbols = np.tile(text, 200)
     before = R.score_symbols(w, [text.astype(np.int16)], 0)[0]
     after = R.score_symbols(R.learn(w, symbols, 0, 3), [text.astype(np.int16)], 0)[0]
-    assert after > before / 2 and r is not None
+    assert after > before / 2
 
 
 def test_query(spark):
@@ -80,20 +80,19 @@ def test_every_training_row_is_learned_from(spark, monkeypatch):
     start = R.Weights.fresh(np.ones(R.SYMBOLS)).embed        # the same at every start
     moved = (R.train(docs, counts).embed != start).any(axis=1)
     own = counts.symbols()
-    assert np.mean([moved[own[f"own{i}".encode()]] for i in range(300)]) > 0.9      # the rest of a division by streams is left
+    assert np.mean([moved[own[f"own{i}".encode()]] for i in range(300)]) >= 0.99     # (a worker's streams end in padding, which is not learned)
 
 
 def test_probabilities_of_words_add_up(spark):
     docs = spark.createDataFrame([(i, f"a b c{i % 7} d{i}") for i in range(50)], "doc_id long, text string")
     words, counts = R.count_words(docs)
-    w = R.Weights.fresh(np.ones(R.SYMBOLS))
     assert counts.total == 250 and counts.distinct == 60 and counts.ends == 50
     tails = np.zeros(R.TAILS)
     own = counts.symbols()
     for r in words.collect():
         if r.word not in own:
             tails[R.tail_of(r.word)] += r.c + 1
-    assert np.allclose(tails + 1, counts.tail_words) and w is not None
+    assert np.allclose(tails + 1, counts.tail_words)
 
 
 def test_small_vocabulary_gives_the_same_base(spark, monkeypatch):
@@ -118,4 +117,22 @@ def test_edge_cases(edge, empty):
     assert (zero.total, zero.distinct) == (0, 0)
     again = R.score(edge, none, zero, R.train(empty, zero)).collect()
     assert all(r.n_known == 0 and np.isfinite(r.base_score) for r in again)
-    assert edge.where(F.lit(False)).count() == 0
+
+
+def test_the_vocabulary_is_the_most_used_words_whatever_their_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k:02}" for k in range(60))) for i in range(3)] + [(9, "w59 " * 100_000)], "doc_id long, text string")
+    monkeypatch.setattr(R, "VOCABULARY", 50)
+    _, counts = R.count_words(docs)
+    assert counts.words == [b"w59"] + [f"w{k:02}".encode() for k in range(50 - (counts.ends > 3))][:len(counts.words) - 1] and len(counts.words) in (49, 50)
+    assert counts.total == 3 * 61 + 100_001 and counts.ends == 4
+
+
+def test_no_token_of_a_run_is_left_out():
+    """Symbols only in the last tokens of a run are learned from, with streams of any width."""
+    for widest in (32, 256):
+        n = 64 * R.WINDOW * 40 + 17
+        symbols = np.tile(np.append(np.arange(2, 9), 0), n // 8 + 1)[:n].copy()
+        symbols[-20:-1] = np.arange(900, 919)
+        start = R.Weights.fresh(np.ones(R.SYMBOLS))
+        got = R.learn(start, symbols, 0, widest=widest)
+        assert (got.embed[900:918] != start.embed[900:918]).any(axis=1).all()
