@@ -31,15 +31,17 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def insert_ignore(base: DataFrame, batch: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """INSERT … ON CONFLICT (key) DO NOTHING: the first row per key in the batch (by
-    ``order``) is inserted unless the key already exists. Idempotent on rerun.
+    ``order``) is inserted unless the key already exists. Idempotent on rerun, but for rows with
+    a NULL key: a unique key lets them all in, each time.
 
     First-per-key is ``min(struct(order, row))`` per key: a grouped aggregate, no window."""
     cols = [c for c in batch.columns if c not in (key, order)]
-    first = (batch.groupBy(key)
+    unkeyed = batch.where(F.col(key).isNull()).select(key, *cols)
+    first = (batch.where(F.col(key).isNotNull()).groupBy(key)
              .agg(F.min(F.struct(F.col(order), *[F.col(c) for c in cols])).alias("_f"))
              .select(key, *[F.col(f"_f.{c}").alias(c) for c in cols]))
     new = first.join(base.select(F.col(key).alias("_bk")), F.col(key) == F.col("_bk"), "left_anti")
-    return base.unionByName(new, allowMissingColumns=True)
+    return base.unionByName(new.unionByName(unkeyed), allowMissingColumns=True)
 
 
 def append_rows(base: DataFrame, batch: DataFrame) -> DataFrame:

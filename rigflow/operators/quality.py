@@ -74,6 +74,21 @@ def validate_commands(batch: DataFrame, kind: str, action: str = "create",
             "rejected": tagged.where(F.size("reasons") > 0)}
 
 
+def validate_user_updates(batch: DataFrame, actor: str = "actor_id", role: str = "actor_role", target: str = "user_id",
+                          protected: tuple[str, ...] = ("role", "status")) -> dict[str, DataFrame]:
+    """J9, own-row rule: an account is changed by an Admin or by its owner (``me`` names the
+    asking user); anyone else is refused. Only an Admin's change keeps the protected columns:
+    for others they are emptied, which a patch takes as "keep". Returns ``{"accepted",
+    "rejected"}``, the rejected rows with ``reasons``."""
+    asked = F.col(target).cast("string")
+    named = batch.withColumn(target, F.when(asked == "me", F.col(actor).cast("string")).otherwise(asked))
+    admin = F.coalesce(F.col(role) == "Admin", F.lit(False))
+    own = F.coalesce(F.col(target) == F.col(actor).cast("string"), F.lit(False))
+    kept = {c: F.when(admin, F.col(c)) for c in protected if c in batch.columns}
+    return {"accepted": named.where(admin | own).withColumns(kept),
+            "rejected": named.where(~(admin | own)).withColumn("reasons", F.array(F.lit("access_denied")))}
+
+
 def unique_violations(base: DataFrame, batch: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """Batch rows whose key repeats inside the batch (all but the first by ``order``)
     or already exists in ``base``. Columns: batch columns + ``reason``."""
@@ -95,10 +110,13 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "id"
 def orphan_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
     """Every dangling reference across the given tables: (child_table, fk, parent_table,
     child_id, missing_key). References are grouped by parent table: the union of all
-    references to one parent meets that parent's keys in a single anti join."""
+    references to one parent meets that parent's keys in a single anti join. A reference of a
+    given table whose column or parent table is not there raises."""
     by_parent: dict[str, list[DataFrame]] = {}
     for child, fk, parent, _ in fks:
-        if child in tables and parent in tables and fk in tables[child].columns:
+        if child in tables:
+            if parent not in tables or fk not in tables[child].columns:
+                raise ValueError(f"{child}.{fk} -> {parent}: no such column or table given")
             refs = tables[child].where(F.col(fk).isNotNull()).select(
                 F.lit(child).alias("child_table"), F.lit(fk).alias("fk"), F.lit(parent).alias("parent_table"),
                 F.col("id").cast("string").alias("child_id"), F.col(fk).alias("_ref"))

@@ -279,3 +279,22 @@ def q_bom_search_indexed(spark, d):
 SELECT id, transfer_id, destination FROM transfers WHERE contains(lower(transfer_id), '00001') OR contains(lower(destination), '00001')""")
 def q_transfers_search_indexed(spark, d):
     return _indexed(spark, d.transfers.select("id", "transfer_id", "destination"), "id", ["transfer_id", "destination"], "00001")
+
+
+# ====================================================================== changes of accounts
+# Every user asks for a new name, role and status: a third of them for the next account, a third
+# for their own by number, a third for "me".
+@register("user_updates", ["users"], """, asked AS (
+  SELECT id AS actor_id, role AS actor_role, full_name, CASE id % 3 WHEN 0 THEN id + 1 ELSE id END AS target FROM users)
+SELECT target::VARCHAR AS user_id, actor_id, actor_role, 'New ' || full_name AS full_name,
+  CASE actor_role WHEN 'Admin' THEN 'Viewer' END AS role, CASE actor_role WHEN 'Admin' THEN 'Inactive' END AS status,
+  actor_role = 'Admin' OR target = actor_id AS accepted
+FROM asked""")
+def q_user_updates(spark, d):
+    place = F.pmod("id", F.lit(3))
+    batch = d.users.select(F.when(place == 0, (F.col("id") + 1).cast("string")).when(place == 1, F.col("id").cast("string")).otherwise("me").alias("user_id"),
+                           F.col("id").alias("actor_id"), F.col("role").alias("actor_role"), F.concat(F.lit("New "), "full_name").alias("full_name"),
+                           F.lit("Viewer").alias("role"), F.lit("Inactive").alias("status"))
+    out = Q.validate_user_updates(batch)
+    refused = out["rejected"].drop("reasons").withColumns({c: F.when(F.col("actor_role") == "Admin", F.col(c)) for c in ("role", "status")})
+    return out["accepted"].withColumn("accepted", F.lit(True)).unionByName(refused.withColumn("accepted", F.lit(False)))

@@ -50,3 +50,29 @@ def test_value_rules_need_their_columns(spark):
     import pytest
     with pytest.raises(ValueError):
         Q.check_violations(spark.createDataFrame([(1, "Other")], "id long, category string"), "assets")
+
+
+def test_own_row_rule_and_protected_columns(spark):
+    from rigflow.operators import quality as Q
+    batch = spark.createDataFrame(
+        [(1, "7", 7, "Editor", "A", "Admin", None), (2, "me", 7, "Viewer", "B", "Admin", "Active"), (3, "8", 7, "Editor", "C", None, None),
+         (4, "8", 1, "Admin", "D", "Editor", "Inactive"), (5, None, 7, "Editor", "E", None, None), (6, "7", 7, None, "F", "Admin", None)],
+        "seq int, user_id string, actor_id long, actor_role string, full_name string, role string, status string")
+    out = Q.validate_user_updates(batch)
+    assert {(r.seq, r.user_id, r.role, r.status) for r in out["accepted"].collect()} == {(1, "7", None, None), (2, "7", None, None), (4, "8", "Editor", "Inactive"), (6, "7", None, None)}
+    assert {(r.seq, tuple(r.reasons)) for r in out["rejected"].collect()} == {(3, ("access_denied",)), (5, ("access_denied",))}
+
+
+def test_orphan_report_refuses_absent_tables(spark):
+    import pytest
+
+    from rigflow.operators import quality as Q
+    with pytest.raises(ValueError):
+        Q.orphan_report({"a": spark.createDataFrame([(1, 2)], "id long, b_id long")}, [("a", "b_id", "b", "cascade")])
+
+
+def test_null_keys_are_all_inserted(spark):
+    from rigflow.operators import changes as C
+    base = spark.createDataFrame([("k", 1)], "code string, v int")
+    batch = spark.createDataFrame([(1, "k", 2), (2, None, 3), (3, None, 4), (4, "n", 5), (5, "n", 6)], "seq int, code string, v int")
+    assert sorted((str(r.code), r.v) for r in C.insert_ignore(base, batch, "code").collect()) == [("None", 3), ("None", 4), ("k", 1), ("n", 5)]
