@@ -11,7 +11,7 @@ three times the longest document that fits is filled with those that fit, in has
 the times of the gap (again with used ones if their copies can fill it); else the document of the size nearest to a source's gap is taken once
 more; again until none is found.  The mixed stream is the taken copies, range-sorted by time.
 
-The order is by a hash of doc_id and text, then by a hash of all columns: rows that this cannot
+The order is by a hash of doc_id, then of the text, then of all columns: rows that this cannot
 tell apart are equal, so reruns and other partitionings give the same result.  Rows are range-
 sorted by source and order; prefix sums are taken in two levels, over the partitions of a source
 and the rows of a partition, so neither a hot source nor a hot id meets in one task.
@@ -31,7 +31,7 @@ from rigflow.llm.common import ASCII_SPACE, free_name, numbered
 from rigflow.session import materialize
 
 MOST = 3
-FILLS = 3              # rounds in the SQL below; here there is no limit
+FILLS = 12             # rounds in the SQL below; here there is no limit
 WEIGHTS = (1, 2, 3)
 #: Schedules in turn, by the sources' order: fading out, rising, and with its peak in the middle.
 SCHEDULES = ((3.0, 1.0, 1.0), (1.0, 1.0, 3.0), (1.0, 3.0, 1.0))
@@ -115,7 +115,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int =
 
 def _plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """``plan_mix`` with content (a, b), the hashes of the whole row."""
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+    order = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     content = F.struct(*[c.alias(n) for n, c in zip("ab", _content(docs).values())]).alias("content")
     sized, _ = materialize(docs.select("doc_id", _source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), order.alias("order"), content), "sizes")
     by = ["key", "order", "content", "row"]
@@ -199,7 +199,7 @@ m{k + 1} AS (SELECT {before}.* REPLACE (CASE WHEN {before}.o = p{k}.o THEN n + 1
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, coalesce('=' || source, '~') AS key, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS o,
+  SELECT doc_id, coalesce('=' || source, '~') AS key, md5(coalesce(doc_id::VARCHAR, '')) || md5(coalesce(text, '')) AS o,
          len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+'))::BIGINT AS size FROM documents),
 sources AS (SELECT key, sum(size)::BIGINT AS s, 1 + (row_number() OVER (ORDER BY key) - 1) % 3 AS w FROM sized GROUP BY key),
@@ -220,5 +220,4 @@ placed AS (
 m0 AS (
   SELECT *, CASE WHEN size > 0 THEN (SELECT count(*) FROM range(4) c(c) WHERE (c.c * s + stop)::DOUBLE / target <= 1 + 1e-12) ELSE 0 END AS n FROM placed),
 """ + "".join(map(_fill_sql, range(FILLS))).rstrip(",") + """
-SELECT doc_id, size, s AS source_size, target, CAST(n * size AS BIGINT) AS taken FROM m3
-"""
+SELECT doc_id, size, s AS source_size, target, CAST(n * size AS BIGINT) AS taken FROM m""" + str(FILLS)
