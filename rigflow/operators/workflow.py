@@ -57,7 +57,7 @@ def precheck(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn(
         "pre_reason", F.when(~F.coalesce(role_ok, F.lit(False)), "role")
                        .when(~F.coalesce(action_ok, F.lit(False)), "action")
-                       .when(~comment_ok, "comment"))
+                       .when(~F.coalesce(comment_ok, F.lit(False)), "comment"))
 
 
 def _allowed(state: Column) -> Column:
