@@ -624,6 +624,19 @@ def q_quota_breaches(spark, d):
     return K.quota_breaches(K.window_counts(d.access_log))
 
 
+@register_sql("quota_anchored", with_views_recursive("""req AS MATERIALIZED (
+  SELECT client, ts, count(*) AS n, count(*) FILTER (WHERE path = 'signup') AS s FROM access_log GROUP BY ALL),
+starts AS (
+  SELECT client, min(ts) AS start FROM req GROUP BY client
+  UNION ALL
+  SELECT st.client, min(r.ts) FROM starts st JOIN req r ON r.client = st.client AND r.ts >= st.start + INTERVAL 15 MINUTE GROUP BY st.client)""", """
+SELECT st.client, st.start AS window_start, st.start + INTERVAL 15 MINUTE AS window_end, sum(r.n)::BIGINT AS requests, sum(r.s)::BIGINT AS sign_ins
+FROM starts st JOIN req r ON r.client = st.client AND r.ts >= st.start AND r.ts < st.start + INTERVAL 15 MINUTE GROUP BY ALL""", ["access_log"]))
+def q_quota_anchored(spark, d):
+    """K4 as the source counts: a client's windows start at its own requests."""
+    return K.anchored_windows(d.access_log)
+
+
 @register_sql("mark_read", with_views_and("""r AS (SELECT DISTINCT event_id AS id FROM events WHERE event_type = 'view')
 SELECT n.id, n.user_id, n.entity_type, n.entity_id,
   CASE WHEN n.id IN (SELECT id FROM r) THEN true ELSE n.is_read END AS is_read, n.created_at
