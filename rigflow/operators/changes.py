@@ -7,11 +7,15 @@ partially map-side, so a hot key never gathers its commands in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as S
+from ..session import materialize
 from ..sources.schemas import FOREIGN_KEYS
+from . import digests as D
 from . import filters as B
 
 # Roles allowed to write (any create/update), and to delete.
@@ -44,6 +48,45 @@ def insert_ignore(base: DataFrame, batch: DataFrame, key: str, order: str = "seq
     return base.unionByName(new.unionByName(unkeyed), allowMissingColumns=True)
 
 
+def insert_unique(base: DataFrame, batch: DataFrame, keys: list[str], order: str = "seq") -> dict[str, DataFrame]:
+    """INSERT under several unique keys, command by command in ``order`` (unique): a command is
+    refused when one of its keys is in ``base`` (``exists``) or on a command accepted before it
+    (``duplicate``). A refused command takes no key, so a later one may still use them. NULL
+    keys never meet. Returns ``{"accepted", "rejected"}``, the rejected rows with ``reason``.
+
+    Each round accepts every command that is the first of all its keys, and refuses those that
+    share a key with one; rounds end when none is left (most batches take two: a further round
+    needs a command freed by the refusal of another)."""
+    stored = batch
+    for i, k in enumerate(keys):
+        taken = base.where(F.col(k).isNotNull()).select(F.col(k).alias(f"_b{i}")).distinct()
+        stored = stored.join(taken, F.col(k) == F.col(f"_b{i}"), "left")
+    exists = reduce(lambda a, b: a | b, [F.col(f"_b{i}").isNotNull() for i in range(len(keys))])
+    stored = stored.withColumn("reason", F.when(exists, "exists")).select(*batch.columns, "reason")
+    stored, _ = materialize(stored, "commands")
+    done, left = [stored.where("reason IS NOT NULL")], stored.where("reason IS NULL")
+    while True:
+        left, n = materialize(left, "commands")
+        if n == 0:
+            break
+        named, first = left, F.lit(True)
+        for i, k in enumerate(keys):
+            least = left.where(F.col(k).isNotNull()).groupBy(F.col(k).alias(f"_k{i}")).agg(F.min(order).alias(f"_m{i}"))
+            named = named.join(least, F.col(k) == F.col(f"_k{i}"), "left")
+            first = first & F.coalesce(F.col(order) == F.col(f"_m{i}"), F.lit(True))
+        named, _ = materialize(named.select(*left.columns, first.alias("_ok")), "commands")
+        taken, rest = named.where("_ok").drop("_ok"), named.where("NOT _ok").drop("_ok")
+        for i, k in enumerate(keys):
+            used = taken.where(F.col(k).isNotNull()).select(F.col(k).alias(f"_u{i}"))      # (each key once: its first command)
+            rest = rest.join(used, F.col(k) == F.col(f"_u{i}"), "left")
+        hit = reduce(lambda a, b: a | b, [F.col(f"_u{i}").isNotNull() for i in range(len(keys))])
+        rest = rest.withColumn("reason", F.when(hit, "duplicate")).select(*left.columns)
+        done += [taken, rest.where("reason IS NOT NULL")]
+        left = rest.where("reason IS NULL")
+    out = reduce(lambda a, b: a.unionByName(b), done)
+    return {"accepted": out.where("reason IS NULL").drop("reason"), "rejected": out.where("reason IS NOT NULL")}
+
+
 def append_rows(base: DataFrame, batch: DataFrame) -> DataFrame:
     """INSERT without a conflict key: every row is appended (again on a rerun)."""
     return base.unionByName(batch, allowMissingColumns=True)
@@ -202,8 +245,9 @@ def capture_changes(old: DataFrame, new: DataFrame, key: str = "id", touched: Da
 
 def audit_changes(old: DataFrame, new: DataFrame, table_name: str, key: str = "id") -> DataFrame:
     """Audit-log shape of ``capture_changes``: INSERT / UPDATE / DELETE with old/new data,
-    only where something differs."""
-    ch = capture_changes(old, new, key, only_changed=True)
+    only where something differs. Digests tell which buckets of rows differ; only their rows
+    are written as JSON and meet."""
+    ch = capture_changes(*D.differing_rows(old, new, key), key, only_changed=True)
     return ch.select(F.lit(table_name).alias("table_name"), F.col("asset_id").alias("record_id"),
                      F.when(F.col("action") == "Created", "INSERT")
                       .when(F.col("action") == "Deleted", "DELETE").otherwise("UPDATE").alias("action"),

@@ -138,3 +138,11 @@ def notification_feed(notifs: DataFrame, users: DataFrame, assets: DataFrame, k:
     both = own.select("viewer_id", *cols).unionByName(bc.select("viewer_id", *cols))
     feed = top_k_per_group(both, ["viewer_id"], order, k).drop("rn")
     return E.notifications_with_entity(feed, assets)
+
+
+def unread_in_page(feed: DataFrame, users: DataFrame) -> DataFrame:
+    """Per user the notices of the returned page and the unread ones among them (zero for a
+    user with an empty page); not the unread of the whole table, which ``notification_counts`` gives."""
+    n = feed.groupBy(F.col("viewer_id").alias("_v")).agg(F.count("*").alias("returned"), F.count_if(~F.col("is_read")).cast("bigint").alias("unread"))
+    j = users.select(F.col("id").alias("user_id")).join(n, F.col("user_id") == F.col("_v"), "left")
+    return j.select("user_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("returned", "unread")])

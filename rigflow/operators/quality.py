@@ -10,9 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.status import null_if_empty
 from ..functions.validators import (EMAIL_PATTERN, is_date, is_email, is_float, is_in,  # noqa: F401
                                     is_int, min_length, required)
 from ..sources.schemas import ENUMS, FOREIGN_KEYS, ROW_RULES
+from . import changes as C
 
 # The role × action permission matrix of the source system.
 PERMISSIONS = {
@@ -101,6 +103,22 @@ def unique_violations(base: DataFrame, batch: DataFrame, key: str, order: str =
     return b.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_k", "_first", "_e")
 
 
+def create_rigs(rigs: DataFrame, batch: DataFrame, role_col: str = "role") -> dict[str, DataFrame]:
+    """A6 for rigs: a writing role; empty optional fields become NULL and an empty status
+    ``Active``; code and name given; the table's value rules; code and name not yet taken, in
+    ``seq`` order. ``{"accepted", "rejected"}``, the rejected rows with the first ``reason``."""
+    optional = [c for c in ("company_id", "location", "horsepower", "notes") if c in batch.columns]
+    b = batch.withColumns({c: null_if_empty(c) for c in optional})
+    b = C.with_defaults(b.withColumn("status", null_if_empty("status")), {"status": "Active"})
+    absent = {c: F.lit(None).cast("int") for c in ("depth_capacity_ft", "horsepower", "mast_height_ft", "max_hook_load_ton") if c not in b.columns}
+    broken = [F.when(~F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in table_rules("rigs", [*b.columns, *absent])]
+    role_ok = F.coalesce(F.col(role_col).isin(*PERMISSIONS["create"]), F.lit(False))
+    reason = F.coalesce(F.when(~role_ok, "role"), F.when(F.col("rig_id").isNull() | F.col("name").isNull(), "missing_fields"), *broken)
+    judged = b.withColumns(absent).withColumn("reason", reason).drop(*absent)
+    new = C.insert_unique(rigs, judged.where("reason IS NULL").drop("reason"), ["rig_id", "name"])
+    return {"accepted": new["accepted"], "rejected": judged.where("reason IS NOT NULL").unionByName(new["rejected"])}
+
+
 def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
     """Child rows whose non-NULL ``fk`` matches no parent row (anti join)."""
     p = parent.select(F.col(parent_key).alias("_pk"))
