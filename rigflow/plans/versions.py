@@ -4,6 +4,7 @@ role, and the value rules of the tables that ``coverage`` leaves."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from ..operators import history as V
 from ..operators import paging as P
 from ..operators import quality as Q
 from ..operators import sketches as K
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources.adapters import with_views_and
+from ..sources.layout import KeyedTable
 from .catalog import register
 from .coverage import _quoted, _rules_query
 from .jobs import WRITE, register_sql
@@ -179,3 +182,20 @@ _rules_query("check_work_orders", "work_orders", "work_orders", {
 _rules_query("check_notifications", "notifications", "notifications", {
     "type": "CASE id % 20 WHEN 0 THEN 'shout' WHEN 1 THEN NULL ELSE 'info' END", "entity_type": "CASE WHEN id % 30 = 0 THEN 'rig' ELSE entity_type END"},
     lambda d: d.notifications, {"type_allowed": _one_of("notifications", "type"), "entity_type_allowed": _one_of("notifications", "entity_type")})
+
+
+# ====================================================================== history laid out by asset and month
+@register("history_latest_stored", ["asset_history", "users"], """
+SELECT h.id, h.asset_id, h.action, h.changed_by, h.created_at, u.full_name AS changed_by_name
+FROM (SELECT * FROM asset_history QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY created_at DESC, id DESC) <= 50) h
+LEFT JOIN users u ON u.id = h.changed_by""")
+def q_history_latest_stored(spark, d):
+    """Two appended batches, compacted; the newest rows per asset without a shuffle of history."""
+    table = KeyedTable(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}", "asset_id", "created_at", 8)
+    created = F.col("action") == "Created"
+    for batch in (d.asset_history.where(created), d.asset_history.where(~created)):
+        table.append(batch)
+    table.compact()
+    latest, _ = materialize(P.history_latest(table.read(), d.users, 50), "latest")
+    table.forget()
+    return latest.select("id", "asset_id", "action", "changed_by", "created_at", "changed_by_name")
