@@ -86,14 +86,11 @@ class Weights:
                        np.zeros((CLASSES, CLASS, HIDDEN), np.float32), np.log(own / own.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """Down the columns, in place."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
@@ -101,22 +98,31 @@ def class_of(symbols: np.ndarray) -> np.ndarray:
     return np.where(symbols < CLASSES * CLASS, symbols // CLASS, symbols - CLASSES * CLASS + CLASSES)
 
 
-def log_probability(w: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log of the symbols' probabilities after the states ``hidden``."""
-    x = hidden @ w.classes + w.class_bias
-    x -= x.max(axis=1, keepdims=True)
-    of = class_of(targets)
-    out = x[np.arange(len(x)), of].astype(np.float64)
-    out -= np.log(np.exp(x, out=x).sum(axis=1))
+CLASS_OF = class_of(np.arange(SYMBOLS)).astype(np.uint8)      # (keys of one byte sort by counting)
+
+
+def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places of the targets that are own symbols, in the order of their classes; each class's run."""
     order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[edges[k]:edges[k + 1]]
-        if len(at):
-            y = hidden[at] @ w.words[k].T + w.word_bias[k]
-            y -= y.max(axis=1, keepdims=True)
-            out[at] += y[np.arange(len(at)), targets[at] - k * CLASS]
-            out[at] -= np.log(np.exp(y, out=y).sum(axis=1))
+    edges = np.searchsorted(of[order], np.arange(CLASSES + 1, dtype=np.uint8)).tolist()
+    return order[:edges[-1]], [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+def log_probability(w: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log of the symbols' probabilities after the states ``hidden`` (one a column)."""
+    x = w.classes.T @ hidden + w.class_bias[:, None]
+    x -= x.max(axis=0)
+    of = CLASS_OF[targets]
+    out = x[of, np.arange(len(of))].astype(np.float64)
+    out -= np.log(np.exp(x, out=x).sum(axis=0))
+    own, runs = _by_class(of)
+    states = hidden[:, own]
+    for k, at in runs:
+        y = w.words[k] @ states[:, at] + w.word_bias[k][:, None]
+        y -= y.max(axis=0)
+        places = own[at]
+        out[places] += y[targets[places] - k * CLASS, np.arange(len(places))]
+        out[places] -= np.log(np.exp(y, out=y).sum(axis=0))
     return out
 
 
@@ -125,80 +131,95 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1, widest: in
 
     The run is cut into streams of equal length that go forward together, up to ``widest`` where
     it is long enough for 64 steps; what the last ones lack is filled up with ends that teach nothing.
+    Arrays are units x time x streams, so that each unit's values of a step lie together.
     """
     w = Weights(*[x.copy() for x in w.arrays()])
     streams = max(1, min(max(STREAMS, min(widest, len(symbols) // (64 * WINDOW))), len(symbols) // (2 * WINDOW)))
     length = -(-len(symbols) // streams)
     if not length:
         return w
-    full = np.full(streams * length, end)
+    full = np.full(streams * length, end, np.int16)
     full[:len(symbols)] = symbols
-    data = full.reshape(streams, length).T                                 # time x streams
+    data = np.ascontiguousarray(full.reshape(streams, length).T)           # time x streams
     real = (np.arange(streams * length) < len(symbols)).reshape(streams, length).T.astype(np.float32)
     m, v = [np.zeros_like(x) for x in w.arrays()], [np.zeros_like(x) for x in w.arrays()]
-    step, h2 = 0, HIDDEN * 2
+    step, n, h2 = 0, HIDDEN, HIDDEN * 2
     for _ in range(epochs):
-        h = np.zeros((streams, HIDDEN), np.float32)
-        before = np.full(streams, end)
+        h = np.zeros((n, streams), np.float32)
+        before = np.full(streams, end, np.int16)
         for lo in range(0, length, WINDOW):
             targets = data[lo:lo + WINDOW]
             inputs = np.concatenate([before[None], targets[:-1]])
-            before, kept = targets[-1], []
-            read_in = w.embed[inputs.ravel()]
-            gates, goes_on = (read_in @ w.read + w.bias).reshape(*inputs.shape, -1), (inputs != end).astype(np.float32)[:, :, None]
-            for g, on in zip(gates, goes_on):
-                h = h * on                                                # a text starts from nothing
-                u = h @ w.turn
-                zr = _sigmoid(g[:, :h2] + u[:, :h2])
-                z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                c = np.tanh(g[:, h2:] + r * u[:, h2:])
-                kept.append((h, z, r, c, u[:, h2:]))
-                h = (1 - z) * c + z * h
-            hidden = np.concatenate([(1 - k[1]) * k[3] + k[1] * k[0] for k in kept])
-            flat = targets.ravel()
-            of = class_of(flat)
+            before, steps = targets[-1], len(targets)
+            flat, read = targets.ravel(), inputs.ravel()
+            # a symbol's part of the gates; update and reset halved, as s(x) = (1 + tanh(x / 2)) / 2
+            table = (w.embed @ w.read + w.bias).T
+            table[:h2] *= 0.5
+            turn = np.ascontiguousarray(w.turn.T)
+            turn[:h2] *= 0.5
+            gates, goes_on = np.take(table, read, axis=1).reshape(3 * n, steps, streams), (inputs != end).astype(np.float32)
+            starts, turns = np.empty((n, steps, streams), np.float32), np.empty((n, steps, streams), np.float32)
+            hidden = np.empty((n, steps, streams), np.float32)
+            for t in range(steps):
+                h0 = np.multiply(h, goes_on[t], out=starts[:, t])          # a text starts from nothing
+                u = turn @ h0
+                zr, c = gates[:h2, t], gates[h2:, t]
+                zr += u[:h2]
+                np.tanh(zr, out=zr)
+                zr += 1
+                zr *= 0.5
+                turns[:, t] = u[h2:]
+                c += zr[n:] * u[h2:]
+                np.tanh(c, out=c)
+                h = np.subtract(h0, c, out=hidden[:, t])
+                h *= zr[:n]
+                h += c
+            h = h.copy()
+            z, r, c = gates[:n], gates[n:h2], gates[h2:]
+            of, states_all = CLASS_OF[flat], hidden.reshape(n, -1)
             counted = real[lo:lo + WINDOW].ravel()
-            scale = (counted / max(counted.sum(), 1))[:, None]
-            d = _softmax(hidden @ w.classes + w.class_bias)
-            d[np.arange(len(flat)), of] -= 1
+            scale = counted / max(counted.sum(), 1)
+            d = _softmax(w.classes.T @ states_all + w.class_bias[:, None])
+            d[of, np.arange(len(flat))] -= 1
             d *= scale
-            g_classes, g_class_bias, d_hidden = hidden.T @ d, d.sum(axis=0), d @ w.classes.T
+            g_classes, g_class_bias, d_hidden = states_all @ d.T, d.sum(axis=1), w.classes @ d
             g_words, g_word_bias = np.zeros_like(w.words), np.zeros_like(w.word_bias)
-            order = np.argsort(of, kind="stable")
-            edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-            own = order[:edges[-1]]
-            states, e, back_own = hidden[own], np.empty((len(own), CLASS), np.float32), np.empty((len(own), HIDDEN), np.float32)
-            runs = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if a < b]
+            own, runs = _by_class(of)
+            states, e, back_own = states_all[:, own], np.empty((CLASS, len(own)), np.float32), np.empty((n, len(own)), np.float32)
             for k, at in runs:
-                np.matmul(states[at], w.words[k].T, out=e[at])
-            e = _softmax(e + w.word_bias[of[own]])
-            e[np.arange(len(own)), flat[own] - of[own] * CLASS] -= 1
+                np.add(w.words[k] @ states[:, at], w.word_bias[k][:, None], out=e[:, at])
+            e = _softmax(e)
+            e[flat[own] % CLASS, np.arange(len(own))] -= 1
             e *= scale[own]
             for k, at in runs:
-                np.matmul(e[at].T, states[at], out=g_words[k])
-                np.matmul(e[at], w.words[k], out=back_own[at])
-                g_word_bias[k] = e[at].sum(axis=0)
-            d_hidden[own] += back_own
-            d_hidden = d_hidden.reshape(len(kept), streams, HIDDEN)
+                g_words[k] = e[:, at] @ states[:, at].T
+                back_own[:, at] = w.words[k].T @ e[:, at]
+                g_word_bias[k] = e[:, at].sum(axis=1)
+            d_hidden[:, own] += back_own
+            d_hidden = d_hidden.reshape(n, steps, streams)
+            # what each step's gates pass on, for all steps at once: only ``back`` goes step by step
+            to_c, to_z, to_r = (1 - z) * (1 - c * c), (starts - c) * z * (1 - z), turns * r * (1 - r)
             d_gates, d_turns = np.empty_like(gates), np.empty_like(gates)
-            back = np.zeros((streams, HIDDEN), np.float32)
-            for t in range(len(kept) - 1, -1, -1):
-                h0, z, r, c, uc = kept[t]
-                dh = d_hidden[t] + back
-                dc = dh * (1 - z) * (1 - c * c)
-                dg, du = d_gates[t], d_turns[t]
-                dg[:, :HIDDEN] = dh * (h0 - c) * z * (1 - z)
-                dg[:, HIDDEN:h2] = dc * uc * r * (1 - r)
-                dg[:, h2:] = dc
-                du[:, :h2] = dg[:, :h2]
-                du[:, h2:] = dc * r
-                back = (dh * z + du @ w.turn.T) * goes_on[t]
-            d_gates, d_turns = d_gates.reshape(len(flat), -1), d_turns.reshape(len(flat), -1)
-            g_turn = np.concatenate([k[0] for k in kept]).T @ d_turns
-            g_read, g_bias, g_embed = read_in.T @ d_gates, d_gates.sum(axis=0), np.zeros_like(w.embed)
-            by_symbol = np.argsort(inputs.ravel(), kind="stable")
-            symbols_in, first = np.unique(inputs.ravel()[by_symbol], return_index=True)
-            g_embed[symbols_in] = np.add.reduceat((d_gates @ w.read.T)[by_symbol], first)
+            back = np.zeros((n, streams), np.float32)
+            for t in range(steps - 1, -1, -1):
+                dh = d_hidden[:, t] + back
+                dc = np.multiply(dh, to_c[:, t], out=d_gates[h2:, t])
+                np.multiply(dh, to_z[:, t], out=d_gates[:n, t])
+                np.multiply(dc, to_r[:, t], out=d_gates[n:h2, t])
+                d_turns[:h2, t] = d_gates[:h2, t]
+                np.multiply(dc, r[:, t], out=d_turns[h2:, t])
+                dh *= z[:, t]
+                back = w.turn @ d_turns[:, t]
+                back += dh
+                back *= goes_on[t]
+            d_gates, d_turns = d_gates.reshape(3 * n, -1), d_turns.reshape(3 * n, -1)
+            g_turn = starts.reshape(n, -1) @ d_turns.T
+            by_symbol = np.argsort(read, kind="stable")
+            symbols_in, first = np.unique(read[by_symbol], return_index=True)
+            by_input = np.add.reduceat(d_gates[:, by_symbol], first, axis=1)
+            g_embed = np.zeros_like(w.embed)
+            g_embed[symbols_in] = (w.read @ by_input).T
+            g_read, g_bias = (by_input @ w.embed[symbols_in]).T, by_input.sum(axis=1)
             step += 1
             for x, g, a, b in zip(w.arrays(), (g_embed, g_read, g_bias, g_turn, g_classes, g_class_bias, g_words, g_word_bias), m, v):
                 np.clip(g, -1, 1, out=g)
@@ -208,7 +229,7 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1, widest: in
     return w
 
 
-def score_symbols(w: Weights, texts: list[np.ndarray], end: int, window: int = 32_768) -> np.ndarray:
+def score_symbols(w: Weights, texts: list[np.ndarray], end: int, window: int = 16_384) -> np.ndarray:
     """log10 probability of each text's symbols (each ends with ``end``)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     order = np.argsort(-lengths, kind="stable")
@@ -218,32 +239,30 @@ def score_symbols(w: Weights, texts: list[np.ndarray], end: int, window: int = 3
     steps = np.empty(int(lengths.sum()), np.int16)
     for j, i in enumerate(order):
         steps[offsets[:lengths[i]] + j] = texts[i]
-    table = w.embed @ w.read + w.bias
-    table[:, :2 * HIDDEN] *= -1
-    turn = w.turn.copy()
-    turn[:, :2 * HIDDEN] *= -1                                                               # gates as 1 / (1 + exp(x))
-    total, h, states, first = np.zeros(len(texts)), np.zeros((len(texts), HIDDEN), np.float32), [], 0
+    n = HIDDEN
+    table = np.ascontiguousarray((w.embed @ w.read + w.bias).T)
+    turn = np.ascontiguousarray(w.turn.T)
+    table[:2 * n] *= 0.5                                      # s(x) = (1 + tanh(x / 2)) / 2
+    turn[:2 * n] *= 0.5
+    total, h, states, first = np.zeros(len(texts)), np.zeros((n, len(texts)), np.float32), [], 0
     last = np.full(len(texts), end, np.int16)
     for t in range(len(alive)):
-        n = alive[t]
-        h = h[:n]
-        g, u = table[last[:n]], h @ turn
-        gates = g[:, :2 * HIDDEN]
-        gates += u[:, :2 * HIDDEN]
-        np.clip(gates, -30, 30, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        c = g[:, 2 * HIDDEN:]
-        c += r * u[:, 2 * HIDDEN:]
+        k = alive[t]
+        h = h[:, :k]
+        g, u = np.take(table, last[:k], axis=1), turn @ h
+        zr, c = g[:2 * n], g[2 * n:]
+        zr += u[:2 * n]
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        c += zr[n:] * u[2 * n:]
         np.tanh(c, out=c)
-        h = c + z * (h - c)
+        h = c + zr[:n] * (h - c)
         states.append(h)
         last = steps[offsets[t]:offsets[t + 1]]
         if offsets[t + 1] - offsets[first] >= window or t + 1 == len(alive):
-            got = log_probability(w, np.concatenate(states), steps[offsets[first]:offsets[t + 1]].astype(np.int64))
-            place = np.concatenate([np.arange(k) for k in alive[first:t + 1]])
+            got = log_probability(w, np.concatenate(states, axis=1), steps[offsets[first]:offsets[t + 1]])
+            place = np.concatenate([np.arange(x) for x in alive[first:t + 1]])
             total += np.bincount(place, weights=got, minlength=len(texts))
             states, first = [], t + 1
     out = np.empty(len(texts))
@@ -310,14 +329,24 @@ def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:
     return counts, Counts(words, n, ends, int(sum(r["tokens"] for r in by_step)), distinct, tails)
 
 
-def _symbols_of(words: list[bytes], own: dict) -> np.ndarray:
-    out = [own.get(x, -1) for x in words]
-    return np.array([s if s >= 0 else CLASSES * CLASS + tail_of(x) for s, x in zip(out, words)] + [own[END]], np.int64)
+class _Symbols(dict):
+    """Symbols of words; tail words are looked up once, as long as they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        symbol = CLASSES * CLASS + tail_of(word)
+        if len(self) < 500_000 and len(word) < 100:
+            self[word] = symbol
+        return symbol
+
+
+def _symbols_of(words: list[bytes], own: _Symbols) -> np.ndarray:
+    return np.fromiter(map(own.__getitem__, [*words, END]), np.int16, len(words) + 1)
 
 
 def _train_shard(shared, epochs: int, widest: int):
     def run(batches):
         weights, own = shared.value
+        own = _Symbols(own)
         total, held, size = 0, [], 0
         for b in batches:
             for _, _, texts in column_slices(b.column("text")):

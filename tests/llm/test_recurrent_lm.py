@@ -136,3 +136,29 @@ def test_no_token_of_a_run_is_left_out():
         start = R.Weights.fresh(np.ones(R.SYMBOLS))
         got = R.learn(start, symbols, 0, widest=widest)
         assert (got.embed[900:918] != start.embed[900:918]).any(axis=1).all()
+
+
+def test_first_step_goes_against_the_numeric_gradient():
+    """The first step of Adam moves each weight by the rate against the sign of its gradient."""
+    r, w = np.random.default_rng(4), _weights()
+    w.words[:] *= 2
+    run = r.integers(1, R.SYMBOLS, R.WINDOW)
+    run[[6, 13, 23]] = 0                                     # three texts in one window
+    texts = [x.astype(np.int16) for x in np.split(run, [7, 14])]
+    moved = [b - a for a, b in zip(w.arrays(), R.learn(w, run, 0).arrays())]
+    exact = R.Weights(*[x.astype(np.float64) for x in w.arrays()])
+    loss = lambda: -R.score_symbols(exact, texts, 0).sum() * R.LN10 / len(run)
+    tried = 0
+    for x, step in zip(exact.arrays(), moved):
+        flat, at = x.reshape(-1), np.flatnonzero(np.abs(step.reshape(-1)) > R.RATE / 2)
+        for i in r.choice(at, min(len(at), 40), replace=False):
+            kept, sides = flat[i], []
+            for eps in (1e-5, -1e-5):
+                flat[i] = kept + eps
+                sides.append(loss())
+            flat[i] = kept
+            slope = (sides[0] - sides[1]) / 2e-5
+            if abs(slope) > 1e-4:
+                tried += 1
+                assert np.sign(step.reshape(-1)[i]) == -np.sign(slope)
+    assert tried > 150
