@@ -32,6 +32,7 @@ def _drop_existing(df: DataFrame, names) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C1 assets
+# Columns taken from each joined table, and their names in the result.
 ASSET_RIG_LIST = {"name": "rig_name", "rig_id": "rig_code"}
 ASSET_RIG_VIEW = {"name": "rig_name", "rig_id": "rig_code", "rig_number": "rig_number",
                   "location": "rig_location", "status": "rig_status"}

@@ -82,20 +82,6 @@ def schema(table: str) -> T.StructType:
     return _parse_datatype_string(ddl)
 
 
-# Business keys (UNIQUE columns besides the surrogate id).
-BUSINESS_KEYS = {
-    "users": ["email"],
-    "companies": ["company_code"],
-    "rigs": ["rig_id", "rig_number", "name"],
-    "contracts": ["contract_no"],
-    "assets": ["asset_id"],
-    "bom_items": ["bom_id"],
-    "certificates": ["cert_no"],
-    "maintenance_schedules": ["pm_id"],
-    "work_orders": ["wo_number"],
-    "transfers": ["transfer_id"],
-}
-
 # Foreign keys: (child table, child column, parent table, on delete).
 FOREIGN_KEYS = [
     ("rigs", "company_id", "companies", "SET NULL"),
@@ -217,7 +203,3 @@ ROW_RULES = {
         "required_after_request": "required_date >= request_date",
     },
 }
-
-# Tables whose updated_at moves on every update.
-TOUCHED_TABLES = ["users", "companies", "rigs", "contracts", "assets", "bom_items", "certificates",
-                  "maintenance_schedules", "transfers", "work_orders"]
