@@ -55,3 +55,24 @@ def test_the_rarest_trigram_is_read(spark, table, scratch):
     alpha = table.where("name = 'Rig Alpha'").count()
     assert index.candidates("rig a").count() == alpha < table.where("name ILIKE 'rig%'").count()
     assert index.candidates("rig zeta").count() == 0
+
+
+def test_feed_merges_in_the_users_row(spark):
+    """Users, assets and notices that come twice; no window runs over a row for each user and broadcast notice."""
+    import datetime as dt
+
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)
+    notices = [(i, None if i % 3 == 0 else i % 4, "asset" if i % 2 else "transfer", i % 5, i % 7 == 0, at(i)) for i in range(40)]
+    n = spark.createDataFrame(notices, "id long, user_id long, entity_type string, entity_id long, is_read boolean, created_at timestamp")
+    users = spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "id long")
+    assets = spark.createDataFrame([(1, "A1"), (1, "A1b"), (3, None)], "id long, asset_id string")
+    codes = {1: ["A1", "A1b"], 3: [None]}
+    feed = P.notification_feed(n, users, assets, k=5)
+    want = []
+    for u, times in ((1, 1), (2, 2), (9, 1), (None, 1)):
+        own = [x for x in notices if x[1] == u and u is not None] + times * [x for x in notices if x[1] is None]
+        for x in sorted(own, key=lambda x: x[0], reverse=True)[:5]:
+            want += [(u, x[0], c) for c in (codes.get(x[3], [None]) if x[2] == "asset" else [None])]
+    assert sorted(map(str, ((r.viewer_id, r.id, r.entity_code) for r in feed.collect()))) == sorted(map(str, want))
+    plan = feed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate explode") < plan.index("Window")
