@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.status import null_if_empty
 from ..functions.validators import (EMAIL_PATTERN, is_date, is_email, is_float, is_in,  # noqa: F401
                                     is_int, min_length, required)
+from ..session import materialize, small_tasks
 from ..sources.schemas import ENUMS, FOREIGN_KEYS, ROW_RULES
 from . import changes as C
 
@@ -131,21 +132,25 @@ def orphan_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
     references to one parent meets that parent's keys in a single anti join. A reference of a
     given table whose column or parent table is not there raises."""
     by_parent: dict[str, list[DataFrame]] = {}
+    names = []
     for child, fk, parent, _ in fks:
         if child in tables:
             if parent not in tables or fk not in tables[child].columns:
                 raise ValueError(f"{child}.{fk} -> {parent}: no such column or table given")
+            # (a number stands for the three names until the join is done: narrow rows)
             refs = tables[child].where(F.col(fk).isNotNull()).select(
-                F.lit(child).alias("child_table"), F.lit(fk).alias("fk"), F.lit(parent).alias("parent_table"),
-                F.col("id").cast("string").alias("child_id"), F.col(fk).alias("_ref"))
+                F.lit(len(names)).alias("_n"), F.col("id").cast("string").alias("child_id"), F.col(fk).alias("_ref"))
+            names.append((child, fk, parent))
             by_parent.setdefault(parent, []).append(refs)
+    named = [F.element_at(F.array(*[F.lit(x[i]) for x in names]), F.col("_n") + 1).alias(c) for i, c in enumerate(("child_table", "fk", "parent_table"))]
     parts = []
     for parent, refs in by_parent.items():
         r = reduce(lambda a, b: a.unionByName(b), refs)
         keys = tables[parent].select(F.col("id").alias("_pk"))
-        parts.append(r.join(keys, r["_ref"] == keys["_pk"], "left_anti")
-                     .select("child_table", "fk", "parent_table", "child_id",
-                             F.col("_ref").cast("string").alias("missing_key")))
+        dangling = r.join(keys, r["_ref"] == keys["_pk"], "left_anti")
+        with small_tasks(r.sparkSession, r.count()):
+            dangling, _ = materialize(dangling, "orphans")
+        parts.append(dangling.select(*named, "child_id", F.col("_ref").cast("string").alias("missing_key")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -94,6 +94,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+ROWS_OF_TASK = 200_000     # about as many rows of a shuffle go to one task in ``small_tasks``
+
+
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession, rows: int):
+    """A block whose jobs shuffle about ``rows`` rows in more and smaller partitions.
+
+    Narrow rows compress so well that partitions of AQE's usual size hold many times their bytes
+    once a task sorts them. Here partitions grow in number with the rows, are put together up
+    to a few MB only, and a hot key is split from a few MB on. The settings are put back after."""
+    first = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_OF_TASK))
+    settings = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(first),
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16m"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 _written: list[str] = []      # tables written by ``materialize``, oldest first
 
 

@@ -76,3 +76,14 @@ def test_null_keys_are_all_inserted(spark):
     base = spark.createDataFrame([("k", 1)], "code string, v int")
     batch = spark.createDataFrame([(1, "k", 2), (2, None, 3), (3, None, 4), (4, "n", 5), (5, "n", 6)], "seq int, code string, v int")
     assert sorted((str(r.code), r.v) for r in C.insert_ignore(base, batch, "code").collect()) == [("None", 3), ("None", 4), ("k", 1), ("n", 5)]
+
+
+def test_orphan_report_shuffles_narrow_rows_in_small_tasks(spark, monkeypatch):
+    """The join runs in small tasks; names and keys come out as they are."""
+    sizes, write = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name: sizes.append((spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"), df.columns)) or write(df, name))
+    child = spark.createDataFrame([(1, 7), (2, 8), (2, 8), (None, 9), (3, None)], "id long, asset_id long")
+    parent = spark.createDataFrame([(7,), (7,), (None,)], "id long")
+    out = Q.orphan_report({"certificates": child, "assets": parent}, [("certificates", "asset_id", "assets", "id")])
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [("certificates", "asset_id", "assets", "2", "8")] * 2 + [("certificates", "asset_id", "assets", None, "9")]))
+    assert sizes == [("4m", ["_n", "child_id", "_ref"])]

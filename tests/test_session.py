@@ -39,3 +39,14 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         S.ensure_checkpoint_dir(Session())
+
+
+def test_small_tasks_follow_the_rows_and_put_settings_back(spark):
+    from rigflow.session import small_tasks
+
+    first, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(first, None), spark.conf.get(size, None)
+    with pytest.raises(ValueError), small_tasks(spark, 60_000_000):
+        assert spark.conf.get(first) == "300" and spark.conf.get(size) == "4m"
+        raise ValueError
+    assert (spark.conf.get(first, None), spark.conf.get(size, None)) == before
