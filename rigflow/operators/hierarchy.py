@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialize
+from ..session import materialize, small_tasks
 
 # Where a seed lies on a cycle its subtree is walked level by level (``_walk``): every
 # CUT_EVERY-th level is written to the checkpoint folder (lineage cut); the levels between are
@@ -44,6 +44,12 @@ def _keep(df: DataFrame, depth: int, name: str) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+def _written(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df`` as a written table, its shuffles of about ``rows`` rows in small tasks."""
+    with small_tasks(df.sparkSession, rows):
+        return materialize(df, name)[0]
+
+
 def _finish(levels: list[DataFrame], name: str) -> DataFrame:
     """All levels as one written table; the cached levels are released."""
     out = levels[0]
@@ -55,36 +61,37 @@ def _finish(levels: list[DataFrame], name: str) -> DataFrame:
     return result
 
 
-def _double(nodes: DataFrame, down: dict[str, str] | None = None, up: dict[str, str] | None = None) -> tuple[DataFrame, int, int]:
+def _double(nodes: DataFrame, down: dict[str, str] | None = None, up: dict[str, str] | None = None, rows: int = 0) -> tuple[DataFrame, int, int]:
     """Pointer doubling over ``nodes`` (id, up: the parent's id or NULL, and the columns named).
 
-    ``down``: columns that are put together from the top to the node, "sum" or "concat"; ``up``:
+    ``rows``: about how many there are. ``down``: columns that are put together from the top to the node, "sum" or "concat"; ``up``:
     columns that are put together over a node's descendants and itself, "sum" or "height" (steps
     to the deepest one; starts at 0). Returns the nodes with depth and top, the number of those
     that no top is above (their ``up`` is not NULL), and the number of rounds.
     """
     down, up = down or {}, up or {}
     join_down = {"sum": lambda above, own: above + own, "concat": lambda above, own: F.concat(above, own)}
-    state, _ = materialize(nodes.withColumns({"depth": F.col("up").isNotNull().cast("int"), "top": F.when(F.col("up").isNull(), F.col("id"))}), "doubling")
-    keep = [c for c in nodes.columns if c not in ("id", "up", *down, *up)]
-    left, rounds = state.where("up IS NOT NULL").count(), 0
-    while left:
-        reach = 2 ** rounds
-        if up:
-            parts = [(F.sum(c) if how == "sum" else F.max(F.col(c) + reach)).alias(f"_{c}") for c, how in up.items()]
-            below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("_b")).agg(*parts)
-            total = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) if how == "sum" else F.greatest(c, F.coalesce(f"_{c}", F.lit(0))) for c, how in up.items()}
-            summed = state.join(below, state["id"] == below["_b"], "left").select("id", "up", "depth", "top", *keep, *down, *[v.cast(dict(state.dtypes)[c]).alias(c) for c, v in total.items()])
-        else:
-            summed = state
-        above = state.select(F.col("id").alias("_i"), F.col("up").alias("_u"), F.col("depth").alias("_d"), F.col("top").alias("_t"), *[F.col(c).alias(f"_{c}") for c in down])
-        moved = summed.where("up IS NOT NULL").join(above, F.col("up") == F.col("_i")).select(
-            "id", F.col("_u").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_t").alias("top"), *keep,
-            *[join_down[how](F.col(f"_{c}"), F.col(c)).alias(c) for c, how in down.items()], *up)
-        state, _ = materialize(summed.where("up IS NULL").unionByName(moved), "doubling")
-        before, left, rounds = left, state.where("up IS NOT NULL").count(), rounds + 1
-        if left == before:
-            break
+    with small_tasks(nodes.sparkSession, rows):
+        state, _ = materialize(nodes.withColumns({"depth": F.col("up").isNotNull().cast("int"), "top": F.when(F.col("up").isNull(), F.col("id"))}), "doubling")
+        keep = [c for c in nodes.columns if c not in ("id", "up", *down, *up)]
+        left, rounds = state.where("up IS NOT NULL").count(), 0
+        while left:
+            reach = 2 ** rounds
+            if up:
+                parts = [(F.sum(c) if how == "sum" else F.max(F.col(c) + reach)).alias(f"_{c}") for c, how in up.items()]
+                below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("_b")).agg(*parts)
+                total = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) if how == "sum" else F.greatest(c, F.coalesce(f"_{c}", F.lit(0))) for c, how in up.items()}
+                summed = state.join(below, state["id"] == below["_b"], "left").select("id", "up", "depth", "top", *keep, *down, *[v.cast(dict(state.dtypes)[c]).alias(c) for c, v in total.items()])
+            else:
+                summed = state
+            above = state.select(F.col("id").alias("_i"), F.col("up").alias("_u"), F.col("depth").alias("_d"), F.col("top").alias("_t"), *[F.col(c).alias(f"_{c}") for c in down])
+            moved = summed.where("up IS NOT NULL").join(above, F.col("up") == F.col("_i")).select(
+                "id", F.col("_u").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_t").alias("top"), *keep,
+                *[join_down[how](F.col(f"_{c}"), F.col(c)).alias(c) for c, how in down.items()], *up)
+            state, _ = materialize(summed.where("up IS NULL").unionByName(moved), "doubling")
+            before, left, rounds = left, state.where("up IS NOT NULL").count(), rounds + 1
+            if left == before:
+                break
     return state, left, rounds
 
 
@@ -115,41 +122,46 @@ def bom_tree(items: DataFrame, items_written: bool = False, paths: bool = True)
     so they are not written again.
     """
     base = items.select("id", "asset_id", "parent_id", "name")
-    if not items_written:
-        base, _ = materialize(base, "nodes")
+    base, rows = (base, base.count()) if items_written else materialize(base, "nodes")
     step = [F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i"))).alias("sort_path")] if paths else []
-    state, _, _ = _double(_forest(base, step), {"sort_path": "concat"} if paths else {})
+    state, _, _ = _double(_forest(base, step), {"sort_path": "concat"} if paths else {}, rows=rows)
     more = []
     if paths:
         more = [F.array_join(F.transform("sort_path", lambda x: x["i"].cast("string")), "/").alias("path_ids"),
                 F.array_join(F.transform("sort_path", lambda x: x["n"]), " / ").alias("path_names"), "sort_path"]
-    out, _ = materialize(_reached(base, state, ["id", "asset_id", "parent_id", "name", "depth", F.col("top").alias("root_id"), *more]), "tree")
+    with small_tasks(items.sparkSession, rows):
+        out, _ = materialize(_reached(base, state, ["id", "asset_id", "parent_id", "name", "depth", F.col("top").alias("root_id"), *more]), "tree")
     return out
 
 
-def bom_places(items: DataFrame) -> DataFrame:
+def bom_places(items: DataFrame, sums: bool = True) -> DataFrame:
     """Every node reachable from a root with its place in its asset's document order (pre-order,
-    siblings by name, then id; from 0) and its subtree's size, height and cost: a node's subtree
-    is the places from ``place`` to ``place + size - 1`` of its asset.
+    siblings by name, then id; from 0) and its subtree's size and, with ``sums``, height and cost:
+    a node's subtree is the places from ``place`` to ``place + size - 1`` of its asset.
 
-    Columns: id, asset_id, parent_id, name, depth, root_id, place, size, height, cost.
+    Columns: id, asset_id, parent_id, name, depth, root_id, place, size and, with ``sums``, height, cost.
     """
-    base, _ = materialize(items.select("id", "asset_id", "parent_id", "name", (F.col("quantity") * F.col("unit_cost_usd")).alias("_own")), "nodes")
-    own = [F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("height"), F.coalesce("_own", F.lit(0)).cast("decimal(38,5)").alias("cost")]
-    state, _, _ = _double(_forest(base, own), up={"size": "sum", "height": "height", "cost": "sum"})
-    tree, _ = materialize(_reached(base, state, ["id", "asset_id", "parent_id", "name", "depth", F.col("top").alias("root_id"), "size", "height", "cost"]), "sized")
+    value = [(F.col("quantity") * F.col("unit_cost_usd")).alias("_own")] if sums else []
+    base, rows = materialize(items.select("id", "asset_id", "parent_id", "name", *value), "nodes")
+    own, up = [F.lit(1).cast("bigint").alias("size")], {"size": "sum"}
+    if sums:
+        own += [F.lit(0).alias("height"), F.coalesce("_own", F.lit(0)).cast("decimal(38,5)").alias("cost")]
+        up |= {"height": "height", "cost": "sum"}
+    state, _, _ = _double(_forest(base, own), up=up, rows=rows)
+    with small_tasks(items.sparkSession, rows):
+        tree, _ = materialize(_reached(base, state, ["id", "asset_id", "parent_id", "name", "depth", F.col("top").alias("root_id"), *up]), "sized")
     siblings = Window.partitionBy("asset_id", "parent_id").orderBy("name", "id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(siblings), F.lit(0)) + F.col("parent_id").isNotNull().cast("bigint")
-    placed, _, _ = _double(tree.select("id", F.col("parent_id").alias("up"), before.alias("place")), {"place": "sum"})
+    placed, _, _ = _double(tree.select("id", F.col("parent_id").alias("up"), before.alias("place")), {"place": "sum"}, rows=rows)
     place = placed.select(F.col("id").alias("_i"), "place")
-    return tree.join(place, F.col("id") == F.col("_i")).drop("_i")
+    return _written(tree.join(place, F.col("id") == F.col("_i")).drop("_i"), rows, "places")
 
 
 def bom_outline(items: DataFrame) -> DataFrame:
     """I3 re-aimed: the nested tree document as flat rows with their place in it (pre-order,
     siblings by name) and depth, so an asset with a huge BOM never has to fit in one row or
     one task; ordering by (asset_id, place) is the document."""
-    return bom_places(items).select("asset_id", "place", "id", "name", "depth", "size")
+    return bom_places(items, sums=False).select("asset_id", "place", "id", "name", "depth", "size")
 
 
 def bom_tree_summary(items: DataFrame, tree: DataFrame | None = None) -> DataFrame:
@@ -168,12 +180,12 @@ def bom_tree_summary(items: DataFrame, tree: DataFrame | None = None) -> DataFra
             .withColumn("in_tree", F.coalesce("in_tree", F.lit(0).cast("bigint"))))
 
 
-def _by_link(items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _by_link(items: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """The forest by parent link alone: nodes (id, top, depth, place, size, height) under a top, and
-    the edges (id, parent_id) of the others (on cycles and below them) with their number."""
-    base, _ = materialize(items.select("id", "asset_id", "parent_id"), "links")
+    the edges (id, parent_id) of the others (on cycles and below them) with their number; and the number of items."""
+    base, rows = materialize(items.select("id", "asset_id", "parent_id"), "links")
     one = [F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("height")]
-    state, cyclic, _ = _double(_forest(base, one, same_asset=False), up={"size": "sum", "height": "height"})
+    state, cyclic, _ = _double(_forest(base, one, same_asset=False), up={"size": "sum", "height": "height"}, rows=rows)
     parents = base.select(F.col("id").alias("_i"), "parent_id")
     linked = state.where("up IS NULL").join(parents, F.col("id") == F.col("_i")).drop("_i")
     up = F.when(F.col("id") != F.col("top"), F.col("parent_id"))
@@ -181,10 +193,11 @@ def _by_link(items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     before = F.when(F.col("_up").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum("size").over(siblings), F.lit(0)) + 1)
     tops, inner = linked.where("id = top"), linked.where("id <> top")
     start = inner.withColumn("_up", up).withColumn("place", before).unionByName(tops.withColumn("_up", up).withColumn("place", F.lit(0).cast("bigint")))
-    start, _ = materialize(start.select("id", F.col("_up").alias("up"), "size", "height", "place"), "offsets")
-    placed, _, _ = _double(start, {"place": "sum"})
+    with small_tasks(items.sparkSession, rows):
+        start, _ = materialize(start.select("id", F.col("_up").alias("up"), "size", "height", "place"), "offsets")
+    placed, _, _ = _double(start, {"place": "sum"}, rows=rows)
     rest = base.join(state.where("up IS NOT NULL").select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left_semi").select("id", "parent_id")
-    return placed.select("id", "top", "depth", "place", "size", "height"), rest, cyclic
+    return placed.select("id", "top", "depth", "place", "size", "height"), rest, cyclic, rows
 
 
 def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id") -> DataFrame:
@@ -196,13 +209,14 @@ def subtree(items: DataFrame, seeds: DataFrame, seed_col: str = "id") -> DataFra
     cycles or below them, which no top is above, are walked level by level. Where only the set
     of items below is wanted, ``reachable`` does without the seed; for counts, ``subtree_sizes``.
     """
-    nodes, rest, cyclic = _by_link(items)
+    nodes, rest, cyclic, rows = _by_link(items)
     wanted = seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
     cut = F.explode(F.sequence(F.floor(F.col("place") / BLOCK), F.floor((F.col("place") + F.col("size") - 1) / BLOCK)))
     own = nodes.join(wanted, F.col("id") == F.col("seed_id")).select(
         "seed_id", F.col("top").alias("_t"), F.col("place").alias("_from"), (F.col("place") + F.col("size")).alias("_to"), F.col("depth").alias("_d"), cut.alias("_b"))
     inside = (F.col("top") == F.col("_t")) & (F.col("block") == F.col("_b")) & (F.col("place") >= F.col("_from")) & (F.col("place") < F.col("_to"))
     found = nodes.withColumn("block", F.floor(F.col("place") / BLOCK)).join(own, inside).select("seed_id", "id", (F.col("depth") - F.col("_d")).alias("depth"))
+    found = _written(found, rows, "below")
     return found.unionByName(_walk(rest, wanted)) if cyclic else found
 
 
@@ -228,11 +242,12 @@ def _walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def subtree_sizes(items: DataFrame, seeds: DataFrame, seed_col: str = "id") -> DataFrame:
     """Per seed: how many items a delete of the seed removes (itself + descendants) and how deep
     they go, from the doubled sums; no pair is made but for seeds on cycles or below them."""
-    base, _ = materialize(items.select("id", "asset_id", "parent_id"), "links")
+    base, rows = materialize(items.select("id", "asset_id", "parent_id"), "links")
     one = [F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("height")]
-    state, cyclic, _ = _double(_forest(base, one, same_asset=False), up={"size": "sum", "height": "height"})
+    state, cyclic, _ = _double(_forest(base, one, same_asset=False), up={"size": "sum", "height": "height"}, rows=rows)
     wanted = seeds.select(F.col(seed_col).alias("seed_id")).dropDuplicates()
     out = state.where("up IS NULL").join(wanted, F.col("id") == F.col("seed_id")).select("seed_id", F.col("size").alias("delete_count"), F.col("height").alias("max_depth"))
+    out = _written(out, rows, "sizes")
     if not cyclic:
         return out
     rest = base.join(state.where("up IS NOT NULL").select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left_semi").select("id", "parent_id")
@@ -264,7 +279,7 @@ def subtree_counts(sub: DataFrame) -> DataFrame:
 def subtree_cost(items: DataFrame) -> DataFrame:
     """For every node in the tree, the cost Σ quantity × unit cost of its subtree and the
     subtree's size, from the doubled sums."""
-    base, _ = materialize(items.select("id", "asset_id", "parent_id", "name", (F.col("quantity") * F.col("unit_cost_usd")).alias("_own")), "nodes")
+    base, rows = materialize(items.select("id", "asset_id", "parent_id", "name", (F.col("quantity") * F.col("unit_cost_usd")).alias("_own")), "nodes")
     own = [F.lit(1).cast("bigint").alias("subtree_size"), F.coalesce("_own", F.lit(0)).cast("decimal(38,5)").alias("subtree_cost")]
-    state, _, _ = _double(_forest(base, own), up={"subtree_size": "sum", "subtree_cost": "sum"})
-    return _reached(base, state, ["id", "asset_id", "depth", F.col("subtree_cost").cast("decimal(38,2)").alias("subtree_cost"), "subtree_size"])
+    state, _, _ = _double(_forest(base, own), up={"subtree_size": "sum", "subtree_cost": "sum"}, rows=rows)
+    return _written(_reached(base, state, ["id", "asset_id", "depth", F.col("subtree_cost").cast("decimal(38,2)").alias("subtree_cost"), "subtree_size"]), rows, "costs")

@@ -141,3 +141,14 @@ def test_random_forests_against_brute_force(spark, monkeypatch):
     assert {x.id: (x.asset_id, x.place, x.depth) for x in got} == places
     assert {x.id: (x.size, x.cost) for x in got} == costs
     assert {x.id: (x.subtree_size, x.subtree_cost) for x in H.subtree_cost(items).collect()} == costs
+
+
+def test_rounds_run_in_small_tasks_and_the_outline_carries_no_costs(spark, monkeypatch):
+    seen, write = [], H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df, name: seen.append((name, spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"), df.columns)) or write(df, name))
+    items = spark.createDataFrame([(i, 1, i // 2 if i > 1 else None, f"n{i}", 1, 2) for i in range(1, 8)], "id long, asset_id long, parent_id long, name string, quantity int, unit_cost_usd int")
+    assert [(r.id, r.size) for r in H.bom_outline(items).orderBy("place").collect()] == [(1, 7), (2, 3), (4, 1), (5, 1), (3, 3), (6, 1), (7, 1)]
+    assert {r.seed_id: (r.delete_count, r.max_depth) for r in H.subtree_sizes(items, items.where("id < 3")).collect()} == {1: (7, 2), 2: (3, 1)}
+    assert H.subtree(items, items.where("id < 3")).count() == 10
+    assert {size for name, size, _ in seen if name in ("doubling", "sized", "places", "sizes", "below")} == {"4m"}
+    assert not any("cost" in c for name, _, c in seen if name == "sized")
