@@ -19,6 +19,7 @@ labelled row at all every text is "und".  Other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -58,9 +59,16 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")       # with the marks that belong to a letter; no numerals
+_ASCII = re.compile(r"[a-z]+")                       # the same in lower-case ASCII
 _NAMES = [*SCRIPTS, "other"]
 
 
+def lower_words(text: str) -> list[str]:
+    """The words of the lower-case text."""
+    low = text.lower()
+    return (_ASCII if low.isascii() else LETTERS).findall(low)
+
+
 def script_of(word: str) -> int:
     """Index into SCRIPTS (or "other") by the word's first letter."""
     c = ord(word[0])
@@ -185,7 +193,8 @@ def _sum_rows(batches):
     seen: dict[str, Counter] = {}
     for b in batches:
         for text, lang in zip(b["text"], b["lang"]):
-            seen.setdefault(lang, Counter()).update(w.lower() for w in LETTERS.findall(text))
+            words = lower_words(text) if text.isascii() else [w.lower() for w in LETTERS.findall(text)]
+            seen.setdefault(lang, Counter()).update(words)
     for lang, words in seen.items():
         names, times = list(words), np.fromiter(words.values(), np.float64, len(words))
         hashed, owners = grams(names)
@@ -196,15 +205,22 @@ def _sum_rows(batches):
             yield pd.DataFrame({"lang": lang, "what": what, "key": at.astype(np.int32), "n": counts[at]})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from the rows of ``docs`` (doc_id, text, lang) that have a text and a label."""
+def train(docs: DataFrame, sample: int | None = SAMPLE) -> Model:
+    """Learn from the rows of ``docs`` (doc_id, text, lang) that have a text and a label; from all, where no ``sample`` is given."""
     rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    if sample is None:
+        return _model(rows.select("text", "lang"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))                # a row for each language
     rate = sample_rate(sizes.agg(F.sum("n")).first()[0] or 0, sample)
     rates = sizes.select("lang", F.when(F.col("n") <= LEAST_OF_EACH, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(rate), 2.0 * LEAST_OF_EACH / F.col("n")))).alias("rate"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
     picked = rows.join(F.broadcast(rates), "lang").where(drawn).select("text", "lang")
-    counts = picked.repartition(12).mapInPandas(_sum_rows, "lang string, what string, key int, n long")
+    return _model(picked.repartition(12))
+
+
+def _model(picked: DataFrame) -> Model:
+    """The model of all rows of ``picked`` (text, lang)."""
+    counts = picked.mapInPandas(_sum_rows, "lang string, what string, key int, n long")
     found = counts.groupBy("lang", "what", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     grams_of, scripts_of = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), len(_NAMES)))
@@ -294,8 +310,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return out.withColumns({"lang_pred": F.col(name)["lang"], "score": F.col(name)["score"], "spans": F.col(name)["spans"]}).drop(name)
 
 
-def train_fold(docs: DataFrame) -> Model:
-    return train(docs.where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), 5, 0)))
+def train_fold(docs: DataFrame, sample: int | None = SAMPLE) -> Model:
+    return train(docs.where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), 5, 0)), sample)
 
 
 def op2_language_id(spark, sf_dir):

@@ -2,11 +2,19 @@
 
 A word is the sum of two hashed embeddings (the word, its first four letters).  Filters of
 several widths run over the words, the maximum over the whole text is taken of each, and a
-linear layer gives the logit.  Training is numpy, in one task, on a bounded sample of labelled
-documents (``POSITIVES`` and ``NEGATIVES``, documented bounds; scoring covers every row and
-whole texts): only the place of each maximum gets a gradient, so a step costs little more than
-the forward pass.  A quarter of the sample is kept out to find, for each predicted language,
-the logit that separates best; scores are shifted so that this threshold is 0.5.
+linear layer gives the logit.  Only the place of each maximum gets a gradient, so a training step costs
+little more than the forward pass.
+
+Training learns from every labelled document.  A starting network is learned in one task from
+a slice of them (``POSITIVES`` and ``NEGATIVES``, so that all workers begin near the same place);
+every other labelled document is then learned by the task that reads it, each task going on from
+the starting network, and Spark averages what the tasks have learned: a row of the embeddings
+over the tasks that changed it, all else over all tasks, by the rows they read.  Every
+labelled document is scored by a network that has not learned it yet (those of the starting
+slice by a network of the slice's other half); counts of these logits by language, label and
+step of 1 / ``STEPS`` give, for each predicted language, the logit that separates best; scores
+are shifted so that this threshold is 0.5.  Languages are learned from every row, too.  How
+Spark deals the rows to tasks moves the averages a little.
 
 Scoring projects each distinct word of a slice of texts through all filters once and adds up
 the projections along the text.
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigflow.llm import language_id
-from rigflow.llm.common import fold, free_name, hash_sample, sample_rate, text_slices
+from rigflow.llm.common import fold, free_name, sample_rate, text_slices
 from rigflow.session import materialize
 
 POSITIVES, NEGATIVES = 1_500, 2_500
@@ -37,6 +45,7 @@ WORDS, PREFIXES = 1 << 15, 1 << 13     # hashed embeddings
 DIM, WIDTHS, FILTERS = 12, (1, 2, 3), 16
 EPOCHS, BATCH, RATE = 5, 32, 0.2
 CACHE = 200_000
+STEPS, WIDEST = 256, 30                # logits are counted in steps of 1 / STEPS, up to WIDEST on either side
 
 
 def _buckets(words: list[str]) -> np.ndarray:
@@ -118,60 +127,82 @@ class Network:
         return np.maximum(pooled + self.bias * (lengths > 0)[:, None], 0)
 
 
-def fit(texts: list[list[str]], toxic: np.ndarray, weight: np.ndarray, seed: int = 8) -> Network:
-    """Adagrad over minibatches; gradients flow through the place of each maximum."""
-    net, r = Network.fresh(seed), np.random.default_rng(seed)
+@dataclass
+class Learner:
+    """A network that is being learned, with Adagrad's sums of squares and the embeddings changed."""
+
+    net: Network
+    sums: list[np.ndarray]
+    touched: np.ndarray
+
+    @staticmethod
+    def of(net: Network) -> Learner:
+        return Learner(net, [np.full_like(x, 1e-2) for x in (net.table, net.taps, net.bias, net.out)], np.zeros(len(net.table), bool))
+
+    def step(self, buckets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Learn from a minibatch; its logits before that. Gradients flow through the place of each maximum."""
+        net, sums, logits = self.net, self.sums, np.zeros(len(buckets))
+        g_taps, g_bias, g_out, g_shift = np.zeros_like(net.taps), np.zeros_like(net.bias), np.zeros_like(net.out), 0.0
+        touched, grads, taps = [], [], np.ascontiguousarray(net.taps.T)
+        for d, rows in enumerate(buckets):
+            n = len(rows)
+            pooled, best, vectors = np.zeros(len(net.bias), np.float32), [None] * len(WIDTHS), None
+            if n:
+                vectors = net.table[rows[:, 0]] + net.table[rows[:, 1]]
+                projected = taps @ vectors.T                 # filter taps x words: the maxima lie along rows
+                for w, o, cols in TAPS:
+                    k = WIDTHS.index(w)
+                    if o == 0:
+                        z = projected[cols]
+                    elif o < n:
+                        z[:, :n - o] += projected[cols, o:]
+                    if o == w - 1:
+                        best[k] = z.argmax(axis=1)
+                        pooled[k * FILTERS:(k + 1) * FILTERS] = z[np.arange(FILTERS), best[k]]
+                pooled = np.maximum(pooled + net.bias, 0)
+            logits[d] = pooled @ net.out + net.shift
+            p = 1 / (1 + np.exp(-np.clip(logits[d], -30, 30)))
+            e = np.float32((p - toxic[d]) * weight[d] / len(buckets))
+            g_out += e * pooled
+            g_shift += e
+            if not n:
+                continue
+            g = e * net.out * (pooled > 0)
+            g_bias += g
+            for w, o, cols in TAPS:
+                k = WIDTHS.index(w)
+                own = g[k * FILTERS:(k + 1) * FILTERS]
+                at = best[k] + o
+                here = np.flatnonzero((at < n) & (own != 0))
+                if len(here):
+                    g_taps[:, cols.start + here] += vectors[at[here]].T * own[here]
+                    v = (net.taps[:, cols.start + here] * own[here]).T
+                    touched += [rows[at[here], 0], rows[at[here], 1]]
+                    grads += [v, v]
+        for x, g, s in ((net.taps, g_taps, sums[1]), (net.bias, g_bias, sums[2]), (net.out, g_out, sums[3])):
+            s += g * g
+            x -= RATE * g / np.sqrt(s)
+        net.shift -= RATE * float(g_shift)
+        if touched:
+            rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+            g = np.zeros((len(rows), DIM), np.float32)
+            np.add.at(g, inverse, np.concatenate(grads))
+            sums[0][rows] += g * g
+            net.table[rows] -= RATE * g / np.sqrt(sums[0][rows])
+            self.touched[rows] = True
+        return logits
+
+
+def fit(texts: list[list[str]], toxic: np.ndarray, weight: np.ndarray, seed: int = 8) -> Learner:
+    """Adagrad over minibatches of all texts, ``EPOCHS`` times."""
+    learner, r = Learner.of(Network.fresh(seed)), np.random.default_rng(seed)
     buckets = [_buckets(t) for t in texts]
-    sums = [np.full_like(x, 1e-2) for x in (net.table, net.taps, net.bias, net.out)]
-    for epoch in range(EPOCHS):
+    for _ in range(EPOCHS):
         order = r.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             batch = order[lo:lo + BATCH]
-            g_taps, g_bias, g_out, g_shift = np.zeros_like(net.taps), np.zeros_like(net.bias), np.zeros_like(net.out), 0.0
-            touched, grads = [], []
-            for d in batch:
-                rows, n = buckets[d], len(buckets[d])
-                pooled, best, vectors = np.zeros(len(net.bias), np.float32), [None] * len(WIDTHS), None
-                if n:
-                    vectors = net.table[rows[:, 0]] + net.table[rows[:, 1]]
-                    projected = vectors @ net.taps
-                    for k, width in enumerate(WIDTHS):
-                        z = np.zeros((n, FILTERS), np.float32)
-                        for w, o, cols in TAPS:
-                            if w == width and o < n:
-                                z[:n - o] += projected[o:, cols]
-                        best[k] = z.argmax(axis=0)
-                        pooled[k * FILTERS:(k + 1) * FILTERS] = z[best[k], np.arange(FILTERS)]
-                    pooled = np.maximum(pooled + net.bias, 0)
-                p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.shift, -30, 30)))
-                e = np.float32((p - toxic[d]) * weight[d] / len(batch))
-                g_out += e * pooled
-                g_shift += e
-                if not n:
-                    continue
-                g = e * net.out * (pooled > 0)
-                g_bias += g
-                for w, o, cols in TAPS:
-                    k = WIDTHS.index(w)
-                    own = g[k * FILTERS:(k + 1) * FILTERS]
-                    at = best[k] + o
-                    here = np.flatnonzero((at < n) & (own != 0))
-                    if len(here):
-                        g_taps[:, cols.start + here] += vectors[at[here]].T * own[here]
-                        v = (net.taps[:, cols.start + here] * own[here]).T
-                        touched += [rows[at[here], 0], rows[at[here], 1]]
-                        grads += [v, v]
-            for x, g, s in ((net.taps, g_taps, sums[1]), (net.bias, g_bias, sums[2]), (net.out, g_out, sums[3])):
-                s += g * g
-                x -= RATE * g / np.sqrt(s)
-            net.shift -= RATE * float(g_shift)
-            if touched:
-                rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                g = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(g, inverse, np.concatenate(grads))
-                sums[0][rows] += g * g
-                net.table[rows] -= RATE * g / np.sqrt(sums[0][rows])
-    return net
+            learner.step([buckets[d] for d in batch], toxic[batch], weight[batch])
+    return learner
 
 
 def _threshold(logits: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
@@ -191,7 +222,7 @@ def negative_weight(rates: dict[int, float]) -> float:
 
 
 def words_of(text: str | None) -> list[str]:
-    return language_id.LETTERS.findall(text.lower()) if text else []
+    return language_id.lower_words(text) if text else []
 
 
 def main_language(model: language_id.Model, texts: list[list[str]]) -> list[str]:
@@ -205,49 +236,144 @@ def main_language(model: language_id.Model, texts: list[list[str]]) -> list[str]
     return out.tolist()
 
 
-def _train_task(language: language_id.Model, weight_of_negatives: float):
-    """A task that learns from all of its rows (a bounded sample) and returns the network as bytes."""
+PARTS = [f"x{i}" for i in range(DIM)]
+LEARNED = "lang string, toxic int, at int, n long, " + ", ".join(f"{x} double" for x in PARTS)
+
+
+def _dense(net: Network) -> np.ndarray:
+    """All weights but the embeddings, as rows of DIM."""
+    flat = np.concatenate([net.taps.ravel(), net.bias, net.out, [net.shift]])
+    return np.pad(flat, (0, -len(flat) % DIM)).reshape(-1, DIM)
+
+
+def _with_weights(net: Network, at: np.ndarray, rows: np.ndarray) -> Network:
+    """``net`` with the embeddings and the dense rows ``at`` replaced."""
+    table, dense = net.table.copy(), _dense(net)
+    low = at < len(table)
+    table[at[low]] = rows[low]
+    dense[at[~low] - len(table)] = rows[~low]
+    sizes = [net.taps.size, net.bias.size, net.out.size, 1]
+    taps, bias, out, shift = np.split(dense.ravel()[:sum(sizes)], np.cumsum(sizes)[:-1])
+    return Network(table, taps.reshape(net.taps.shape).astype(np.float32), bias.astype(np.float32), out.astype(np.float32), float(shift[0]))
+
+
+def _steps(langs: list[str], toxic: np.ndarray, logits: np.ndarray) -> pd.DataFrame:
+    """Counts of logits by language, label and step."""
+    at = np.rint(np.clip(logits, -WIDEST, WIDEST) * STEPS).astype(np.int32)
+    return pd.DataFrame({"lang": langs, "toxic": toxic.astype(np.int32), "at": at}).groupby(["lang", "toxic", "at"]).size().rename("n").reset_index()
+
+
+def _start_task(language: language_id.Model):
+    """A task that learns the starting network from all of its rows (a bounded slice); returns it
+    as bytes, and the counts of the rows' logits under a network of the other half."""
     import pickle
 
     def run(batches):
         frame = pd.concat(list(batches), ignore_index=True)
-        if len(frame):
-            frame = frame.sort_values(["doc_id"], kind="stable").reset_index(drop=True)
-        toxic = frame["toxic"].to_numpy(np.float32) if len(frame) else np.zeros(0, np.float32)
-        if len(np.unique(toxic)) < 2:
+        if not len(frame):
             return
+        frame = frame.sort_values(["doc_id"], kind="stable").reset_index(drop=True)
+        toxic = frame["toxic"].to_numpy(np.float32)
         texts = [words_of(t) for t in frame["text"]]
-        keep_out = np.array([zlib.crc32(f"c{i}".encode()) % 4 == 0 for i in frame["doc_id"]])
-        learn = np.flatnonzero(~keep_out)
-        balance = np.where(toxic == 1, (toxic == 0).sum() / max(toxic.sum(), 1), 1.0).astype(np.float32)
-        net = fit([texts[i] for i in learn], toxic[learn], np.minimum(balance[learn], 5))
-        check = np.flatnonzero(keep_out) if len(np.unique(toxic[keep_out])) == 2 else np.arange(len(frame))
-        logits = net.logits([texts[i] for i in check])
-        natural = np.where(toxic[check] == 1, 1.0, weight_of_negatives)
-        langs = np.array(main_language(language, [texts[i] for i in check]), object)
-        net.thresholds = {"": _threshold(logits, toxic[check], natural)}
-        for lang in set(langs):
-            own = langs == lang
-            if toxic[check][own].sum() >= 20 and (toxic[check][own] == 0).sum() >= 20:
-                net.thresholds[lang] = _threshold(logits[own], toxic[check][own], natural[own])
-        net._ids = {}
-        yield pd.DataFrame({"network": [pickle.dumps(net)]})
+        weight = np.where(toxic == 1, np.float32(min((toxic == 0).sum() / max(toxic.sum(), 1), 5)), np.float32(1))
+        half = np.array([zlib.crc32(f"c{i}".encode()) % 2 for i in frame["doc_id"]])
+        logits = np.zeros(len(frame))
+        for h in (0, 1):
+            own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
+            # (a half that lacks one of the labels gives no network to compare with)
+            learn = other if len(np.unique(toxic[other])) == 2 else np.arange(len(frame))
+            logits[own] = fit([texts[i] for i in learn], toxic[learn], weight[learn]).net.logits([texts[i] for i in own])
+        learner = fit(texts, toxic, weight)
+        counts = _steps(main_language(language, texts), toxic, logits)
+        yield counts.assign(learner=None)
+        yield pd.DataFrame({"lang": [None], "toxic": [0], "at": [0], "n": [len(frame)], "learner": [pickle.dumps(learner)]})
 
     return run
 
 
+def _learn_task(shared, positive_weight: float):
+    """A task that goes on from the starting network over all of its rows, a batch at a time; returns the
+    weights it has changed, with the number of its rows, and the counts of the rows' logits."""
+
+    def run(batches):
+        learner, language = shared.value
+        net = learner.net
+        learner = Learner(Network(net.table.copy(), net.taps.copy(), net.bias.copy(), net.out.copy(), net.shift), [s.copy() for s in learner.sums], np.zeros(len(net.table), bool))
+        rows, counts, cache, pairs = 0, [], {}, np.zeros((0, 2), np.int32)
+        for frame in batches:
+            texts, labels = frame["text"].tolist(), frame["toxic"].to_numpy(np.float32)
+            for lo, hi in text_slices(texts, 2_000_000):
+                words, toxic = [words_of(t) for t in texts[lo:hi]], labels[lo:hi]
+                if len(cache) > CACHE:
+                    cache.clear()
+                lengths = [len(t) for t in words]
+                flat = [w for t in words for w in t]
+                new = list(set(flat).difference(cache))
+                cache.update(zip(new, range(len(cache), len(cache) + len(new))))
+                pairs = np.concatenate([pairs[:len(cache) - len(new)], _buckets(new)])
+                buckets = np.split(pairs[np.fromiter(map(cache.__getitem__, flat), np.int64, len(flat))], np.cumsum(lengths)[:-1])
+                weight, logits = np.where(toxic == 1, np.float32(positive_weight), np.float32(1)), np.zeros(len(words))
+                for a in range(0, len(words), BATCH):
+                    logits[a:a + BATCH] = learner.step(buckets[a:a + BATCH], toxic[a:a + BATCH], weight[a:a + BATCH])
+                counts.append(_steps(main_language(language, words), toxic, logits))
+                counts = [pd.concat(counts).groupby(["lang", "toxic", "at"])["n"].sum().reset_index()] if len(counts) > 20 else counts
+                rows += len(words)
+        if not rows:
+            return
+        yield pd.concat(counts).assign(**{x: 0.0 for x in PARTS})
+        at = np.flatnonzero(learner.touched)
+        dense = _dense(learner.net)
+        weights = np.concatenate([learner.net.table[at], dense]).astype(float)
+        at = np.concatenate([at, len(net.table) + np.arange(len(dense))]).astype(np.int32)
+        yield pd.DataFrame({"lang": None, "toxic": 0, "at": at, "n": rows, **{x: weights[:, i] for i, x in enumerate(PARTS)}})
+
+    return run
+
+
+def _thresholds(counts: pd.DataFrame) -> dict[str, float]:
+    """The best logit of all and of each language, from counts of (lang, toxic, at)."""
+    def cut(own: pd.DataFrame) -> float:
+        # of equal logits those without the label come first, so no cut falls between them
+        own = own.groupby(["toxic", "at"])["n"].sum().reset_index().sort_values("toxic", kind="stable")
+        return _threshold(own["at"].to_numpy() / STEPS, own["toxic"].to_numpy(), own["n"].to_numpy())
+
+    out = {"": cut(counts)}
+    for lang, own in counts.groupby("lang"):
+        n = own.groupby("toxic")["n"].sum()
+        if n.get(1, 0) >= 20 and n.get(0, 0) >= 20:
+            out[lang] = cut(own)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, language: language_id.Model) -> Network | None:
-    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    """Learn from every row of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) has a label for."""
     import pickle
 
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known, _ = materialize(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rates = {1: sample_rate(counts.get(1, 0), POSITIVES), 0: sample_rate(counts.get(0, 0), NEGATIVES)}
-    picked = [hash_sample(known.where(F.col("toxic") == t), F.col("doc_id"), rates[t], 8) for t in (0, 1)]
-    picked, _ = materialize(picked[0].unionByName(picked[1]), "label-sample")
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
-    found = rows.repartition(1).mapInPandas(_train_task(language, negative_weight(rates)), "network binary").collect()
-    return pickle.loads(found[0]["network"]) if found else None
+    if len(counts) < 2:
+        return None
+    rates = {1: sample_rate(counts[1], POSITIVES), 0: sample_rate(counts[0], NEGATIVES)}
+    positive_weight = min(counts[0] / counts[1], 5)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
+    starts = place < F.when(F.col("toxic") == 1, int(rates[1] * (1 << 30))).otherwise(int(rates[0] * (1 << 30)))
+    rows = docs.select("doc_id", "text")
+    first = rows.join(known.where(starts), "doc_id").repartition(1).mapInPandas(_start_task(language), "lang string, toxic int, at int, n long, learner binary").toPandas()
+    if not len(first):
+        return None
+    learner, seen = pickle.loads(first["learner"].dropna().iloc[0]), first[first["lang"].notna()]
+    net = learner.net
+    if min(rates.values()) < 1:
+        shared = docs.sparkSession.sparkContext.broadcast((learner, language))          # fixed sizes
+        learned = rows.join(known.where(~starts), "doc_id").select("text", "toxic").mapInPandas(_learn_task(shared, positive_weight), LEARNED)
+        total = learned.groupBy("lang", "toxic", "at").agg(F.sum("n").alias("n"), *[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(x) for x in PARTS]).toPandas()
+        weights = total[total["lang"].isna()]
+        net = _with_weights(net, weights["at"].to_numpy(), weights[PARTS].to_numpy())
+        seen = pd.concat([seen, total[total["lang"].notna()]])
+    net.thresholds = _thresholds(seen[["lang", "toxic", "at", "n"]])
+    net._ids = {}
+    return net
 
 
 def score(docs: DataFrame, network: Network | None, language: language_id.Model) -> DataFrame:
@@ -275,6 +401,6 @@ def score(docs: DataFrame, network: Network | None, language: language_id.Model)
 def op8_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    language = language_id.train_fold(docs)
+    language = language_id.train_fold(docs, sample=None)
     network = train(docs, labels.where(~fold(F.col("doc_id"), 5, 0)), language)
     return score(docs.select("doc_id", "text"), network, language).select("doc_id", fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")

@@ -61,3 +61,30 @@ def test_thresholds_do_not_drift_with_the_number_of_labels():
         toxic = np.concatenate([np.ones(kept[1]), np.zeros(kept[0])])
         cut = X._threshold(logits, toxic, np.where(toxic == 1, 1.0, X.negative_weight(rates)))
         assert 0.5 < cut < 1.6, (labels, cut)
+
+
+def test_every_labelled_row_is_learned_and_counted(spark, monkeypatch):
+    """A word that only rows outside the starting slice hold changes the network, and every labelled row has a say in the thresholds."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    monkeypatch.setattr(T, "POSITIVES", 40)
+    monkeypatch.setattr(T, "NEGATIVES", 40)
+    seen = []
+    cut = T._thresholds
+    monkeypatch.setattr(T, "_thresholds", lambda counts: seen.append(int(counts["n"].sum())) or cut(counts))
+    alone = ["".join(chr(97 + i * k % 26) for k in (1, 3, 5)) + "".join(chr(97 + int(c)) for c in str(i)) for i in range(1200)]
+    rows = [(i, f"{alone[i]} plain words") for i in range(1200)]
+    docs = spark.createDataFrame(rows, StructType([StructField("doc_id", LongType()), StructField("text", StringType())])).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    language = train_language(docs.withColumn("lang", F.lit("en")))
+    net = T.train(docs, labels, language)
+    assert seen == [1200]
+    fresh = T.Network.fresh().table
+    assert (net.table[T._buckets(alone)[:, 0]] != fresh[T._buckets(alone)[:, 0]]).any(axis=1).mean() > 0.9
+
+
+def test_equal_logits_are_cut_together():
+    import pandas as pd
+
+    counts = pd.DataFrame({"lang": "en", "toxic": [1, 0, 1, 0], "at": [512, 512, 1024, 0], "n": [5, 50, 30, 100]})
+    assert 2 < T._thresholds(counts)[""] < 4
