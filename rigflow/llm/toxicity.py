@@ -359,7 +359,8 @@ def train(docs: DataFrame, labels: DataFrame, language: language_id.Model) -> Ne
     place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
     starts = place < F.when(F.col("toxic") == 1, int(rates[1] * (1 << 30))).otherwise(int(rates[0] * (1 << 30)))
     rows = docs.select("doc_id", "text")
-    first = rows.join(known.where(starts), "doc_id").repartition(1).mapInPandas(_start_task(language), "lang string, toxic int, at int, n long, learner binary").toPandas()
+    begin, _ = materialize(known.where(starts), "label-start")          # (written, so Spark sees that it is small and moves no text)
+    first = rows.join(begin, "doc_id").repartition(1).mapInPandas(_start_task(language), "lang string, toxic int, at int, n long, learner binary").toPandas()
     if not len(first):
         return None
     learner, seen = pickle.loads(first["learner"].dropna().iloc[0]), first[first["lang"].notna()]
@@ -402,5 +403,6 @@ def op8_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     language = language_id.train_fold(docs, sample=None)
-    network = train(docs, labels.where(~fold(F.col("doc_id"), 5, 0)), language)
+    learned = ~fold(F.col("doc_id"), 5, 0)
+    network = train(docs.where(learned), labels.where(learned), language)
     return score(docs.select("doc_id", "text"), network, language).select("doc_id", fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
