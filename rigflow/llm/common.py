@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,18 +62,37 @@ def text_slices(texts: list, limit: int = 4_000_000):
         yield start, len(texts)
 
 
-def column_slices(column, limit: int = 4_000_000):
-    """(start, end, texts) of runs of an Arrow column of texts of about ``limit`` bytes, so that
-    only one run at a time is held as Python strings."""
+def arrow_slices(column, limit: int = 4_000_000):
+    """Runs of an Arrow column of texts of about ``limit`` bytes; one long text is its own run."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(sizes):
         before = int(sizes[start - 1]) if start else 0
         end = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
-        yield start, end, column.slice(start, end - start).to_pylist()
+        yield column.slice(start, end - start)
         start = end
 
 
+def column_slices(column, limit: int = 4_000_000):
+    """(start, end, texts) of runs of an Arrow column of texts of about ``limit`` bytes, so that
+    only one run at a time is held as Python strings."""
+    start = 0
+    for part in arrow_slices(column, limit):
+        yield start, start + len(part), part.to_pylist()
+        start += len(part)
+
+
+def arrow_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``byte_words`` of an Arrow column of texts: all words (binary), one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lengths, words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)     # (beside white space at either end)
+    if empty.any():
+        lengths = lengths - np.bincount(np.repeat(np.arange(len(lengths)), lengths)[empty], minlength=len(lengths))
+        words = words.filter(pa.array(~empty))
+    return words.cast(pa.binary()), lengths
+
+
 def sample_rate(rows: int, wanted: int) -> float:
     return min(1.0, wanted / max(rows, 1))
 

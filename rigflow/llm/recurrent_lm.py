@@ -24,17 +24,17 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigflow.llm.common import byte_words, column_slices, fold, hash_sample, text_slices
+from rigflow.llm.common import arrow_slices, arrow_words, fold, hash_sample
 from rigflow.session import materialize
 
 END = b""                                  # no word is empty
@@ -48,6 +48,7 @@ WIDE = 256                                 # streams of the parallel round: an e
 WARM_TOKENS, WARM_EPOCHS = 400_000, 2
 SHARD_TOKENS = 500_000                     # tokens that a worker learns from at a time
 WORKERS = 64                               # of the parallel round at most, or two for each core of a larger cluster
+BLOCK = 1_024                              # tokens whose class outputs are held at a time: they stay in a core's cache
 LN10 = float(np.log(10))
 
 
@@ -56,6 +57,33 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
+def _byte_parts() -> tuple[np.ndarray, np.ndarray]:
+    """crc32 is linear: that of up to three bytes is that of as many zeros, xor a part of each byte
+    by its place from the end. Those parts (with one of nothing for bytes not there), and zeros' crc32."""
+    zeros = np.array([zlib.crc32(bytes(k)) for k in range(4)], np.uint32)
+    parts = np.zeros((3, 257), np.uint32)
+    for place in range(3):
+        parts[place, :256] = [zlib.crc32(bytes([b]) + bytes(place)) for b in range(256)] ^ zeros[place + 1]
+    return parts, zeros
+
+
+_PARTS, _ZEROS = _byte_parts()
+
+
+def tails_of(words: pa.Array) -> np.ndarray:
+    """``tail_of`` of each of an Arrow array of words (none empty)."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_binary())
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data, ends = np.frombuffer(words.buffers()[2], np.uint8), edges[1:]
+    lengths = np.minimum(ends - edges[:-1], 3)
+    crc = _ZEROS[lengths] ^ _PARTS[0][data[ends - 1]]
+    for place in (1, 2):
+        crc ^= _PARTS[place][np.where(lengths > place, data[ends - 1 - place], np.uint16(256))]
+    return (crc % TAILS).astype(np.int64)
+
+
 def _tail_column(word):
     return (F.crc32(F.when(F.length(word) > 3, F.substring(word, F.length(word) - 2, F.lit(3))).otherwise(word)) % TAILS).cast("int")
 
@@ -86,12 +114,24 @@ class Weights:
                        np.zeros((CLASSES, CLASS, HIDDEN), np.float32), np.log(own / own.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Down the columns, in place."""
-    x -= x.max(axis=0)
-    np.exp(x, out=x)
-    x /= x.sum(axis=0)
-    return x
+SAFE = 40.0                                # exp of values within +-SAFE neither overflows nor vanishes in a sum
+
+
+def _with_bias(w: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with their bias as one more input, which is always 1."""
+    return np.concatenate([w, bias[..., None, :]], axis=-2)
+
+
+def _most(w: np.ndarray) -> float:
+    """What no output of these weights exceeds: states are within +-1."""
+    return float(np.abs(w).sum(axis=-2).max())
+
+
+def _exp(x: np.ndarray, most: float) -> np.ndarray:
+    """exp along the rows, in place; less their maximum where they may be large."""
+    if not most < SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
 
 
 def class_of(symbols: np.ndarray) -> np.ndarray:
@@ -109,20 +149,28 @@ def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
 
 
 def log_probability(w: Weights, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log of the symbols' probabilities after the states ``hidden`` (one a column)."""
-    x = w.classes.T @ hidden + w.class_bias[:, None]
-    x -= x.max(axis=0)
-    of = CLASS_OF[targets]
-    out = x[of, np.arange(len(of))].astype(np.float64)
-    out -= np.log(np.exp(x, out=x).sum(axis=0))
+    """Natural log of the symbols' probabilities after the states ``hidden`` (one a row)."""
+    to_class, to_word = _with_bias(w.classes, w.class_bias), _with_bias(w.words.transpose(0, 2, 1), w.word_bias)
+    most, most_word = _most(to_class), _most(to_word)
+    of, rows = CLASS_OF[targets], np.ones((len(hidden), HIDDEN + 1), hidden.dtype)
+    rows[:, :HIDDEN] = hidden
+    out, buffer = np.empty(len(of)), np.empty((BLOCK, CLASSES + TAILS), to_class.dtype)
+    for lo in range(0, len(of), BLOCK):
+        part = of[lo:lo + BLOCK]
+        x = np.matmul(rows[lo:lo + BLOCK], to_class, out=buffer[:len(part)])
+        if not most < SAFE:
+            x -= x.max(axis=1, keepdims=True)
+        out[lo:lo + BLOCK] = x[np.arange(len(part)), part]
+        out[lo:lo + BLOCK] -= np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     own, runs = _by_class(of)
-    states = hidden[:, own]
+    states, place = rows[own], targets[own] % CLASS
+    y = np.empty((len(own), CLASS), to_word.dtype)
     for k, at in runs:
-        y = w.words[k] @ states[:, at] + w.word_bias[k][:, None]
-        y -= y.max(axis=0)
-        places = own[at]
-        out[places] += y[targets[places] - k * CLASS, np.arange(len(places))]
-        out[places] -= np.log(np.exp(y, out=y).sum(axis=0))
+        np.matmul(states[at], to_word[k], out=y[at])
+    if not most_word < SAFE:
+        y -= y.max(axis=1, keepdims=True)
+    chosen = y[np.arange(len(own)), place].astype(np.float64)
+    out[own] += chosen - np.log(np.exp(y, out=y) @ np.ones(CLASS, y.dtype))
     return out
 
 
@@ -131,7 +179,7 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1, widest: in
 
     The run is cut into streams of equal length that go forward together, up to ``widest`` where
     it is long enough for 64 steps; what the last ones lack is filled up with ends that teach nothing.
-    Arrays are units x time x streams, so that each unit's values of a step lie together.
+    Arrays are gates x time x streams x units, so that each step's values lie together.
     """
     w = Weights(*[x.copy() for x in w.arrays()])
     streams = max(1, min(max(STREAMS, min(widest, len(symbols) // (64 * WINDOW))), len(symbols) // (2 * WINDOW)))
@@ -143,9 +191,10 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1, widest: in
     data = np.ascontiguousarray(full.reshape(streams, length).T)           # time x streams
     real = (np.arange(streams * length) < len(symbols)).reshape(streams, length).T.astype(np.float32)
     m, v = [np.zeros_like(x) for x in w.arrays()], [np.zeros_like(x) for x in w.arrays()]
-    step, n, h2 = 0, HIDDEN, HIDDEN * 2
+    buffer, ones = np.empty((BLOCK, CLASSES + TAILS), np.float32), np.ones(CLASSES + TAILS, np.float32)
+    step, n = 0, HIDDEN
     for _ in range(epochs):
-        h = np.zeros((n, streams), np.float32)
+        h = np.zeros((streams, n), np.float32)
         before = np.full(streams, end, np.int16)
         for lo in range(0, length, WINDOW):
             targets = data[lo:lo + WINDOW]
@@ -153,73 +202,93 @@ def learn(w: Weights, symbols: np.ndarray, end: int, epochs: int = 1, widest: in
             before, steps = targets[-1], len(targets)
             flat, read = targets.ravel(), inputs.ravel()
             # a symbol's part of the gates; update and reset halved, as s(x) = (1 + tanh(x / 2)) / 2
-            table = (w.embed @ w.read + w.bias).T
-            table[:h2] *= 0.5
-            turn = np.ascontiguousarray(w.turn.T)
-            turn[:h2] *= 0.5
-            gates, goes_on = np.take(table, read, axis=1).reshape(3 * n, steps, streams), (inputs != end).astype(np.float32)
-            starts, turns = np.empty((n, steps, streams), np.float32), np.empty((n, steps, streams), np.float32)
-            hidden = np.empty((n, steps, streams), np.float32)
+            turn = np.ascontiguousarray(w.turn.reshape(n, 3, n).transpose(1, 0, 2))
+            back_turn = np.ascontiguousarray(turn.transpose(0, 2, 1))
+            table = np.ascontiguousarray((w.embed @ w.read + w.bias).reshape(SYMBOLS, 3, n).transpose(1, 0, 2))
+            table[:2] *= 0.5
+            turn[:2] *= 0.5
+            gates, goes_on = np.empty((3, steps, streams, n), np.float32), (inputs != end).astype(np.float32)[:, :, None]
+            for k in range(3):
+                np.take(table[k], inputs, axis=0, out=gates[k], mode="clip")
+            starts, turns = np.empty((steps, streams, n), np.float32), np.empty((3, steps, streams, n), np.float32)
+            hidden = np.empty((steps, streams, n), np.float32)
             for t in range(steps):
-                h0 = np.multiply(h, goes_on[t], out=starts[:, t])          # a text starts from nothing
-                u = turn @ h0
-                zr, c = gates[:h2, t], gates[h2:, t]
-                zr += u[:h2]
+                h0 = np.multiply(h, goes_on[t], out=starts[t])             # a text starts from nothing
+                u = np.matmul(h0, turn, out=turns[:, t])
+                zr, c = gates[:2, t], gates[2, t]
+                zr += u[:2]
                 np.tanh(zr, out=zr)
                 zr += 1
                 zr *= 0.5
-                turns[:, t] = u[h2:]
-                c += zr[n:] * u[h2:]
+                c += zr[1] * u[2]
                 np.tanh(c, out=c)
-                h = np.subtract(h0, c, out=hidden[:, t])
-                h *= zr[:n]
+                h = np.subtract(h0, c, out=hidden[t])
+                h *= zr[0]
                 h += c
             h = h.copy()
-            z, r, c = gates[:n], gates[n:h2], gates[h2:]
-            of, states_all = CLASS_OF[flat], hidden.reshape(n, -1)
+            z, r, c = gates
+            of, rows = CLASS_OF[flat], np.ones((len(flat), n + 1), np.float32)
+            rows[:, :n] = hidden.reshape(-1, n)
             counted = real[lo:lo + WINDOW].ravel()
             scale = counted / max(counted.sum(), 1)
-            d = _softmax(w.classes.T @ states_all + w.class_bias[:, None])
-            d[of, np.arange(len(flat))] -= 1
-            d *= scale
-            g_classes, g_class_bias, d_hidden = states_all @ d.T, d.sum(axis=1), w.classes @ d
-            g_words, g_word_bias = np.zeros_like(w.words), np.zeros_like(w.word_bias)
+            to_class, to_word = _with_bias(w.classes, w.class_bias), _with_bias(w.words.transpose(0, 2, 1), w.word_bias)
+            most, back_class = _most(to_class), np.ascontiguousarray(w.classes.T)
+            g_class, d_hidden = np.zeros_like(to_class), np.empty((len(flat), n), np.float32)
+            for a in range(0, len(flat), BLOCK):
+                part, weight = slice(a, a + BLOCK), scale[a:a + BLOCK]
+                d = _exp(np.matmul(rows[part], to_class, out=buffer[:len(weight)]), most)
+                d *= (weight / (d @ ones))[:, None]
+                d[np.arange(len(weight)), of[part]] -= weight
+                g_class += rows[part].T @ d
+                np.matmul(d, back_class, out=d_hidden[part])
             own, runs = _by_class(of)
-            states, e, back_own = states_all[:, own], np.empty((CLASS, len(own)), np.float32), np.empty((n, len(own)), np.float32)
+            states, weight, g_word = rows[own], scale[own], np.zeros_like(to_word)
+            e, back_own = np.empty((len(own), CLASS), np.float32), np.empty((len(own), n), np.float32)
             for k, at in runs:
-                np.add(w.words[k] @ states[:, at], w.word_bias[k][:, None], out=e[:, at])
-            e = _softmax(e)
-            e[flat[own] % CLASS, np.arange(len(own))] -= 1
-            e *= scale[own]
+                np.matmul(states[at], to_word[k], out=e[at])
+            e = _exp(e, _most(to_word))
+            e *= (weight / (e @ ones[:CLASS]))[:, None]
+            e[np.arange(len(own)), flat[own] % CLASS] -= weight
             for k, at in runs:
-                g_words[k] = e[:, at] @ states[:, at].T
-                back_own[:, at] = w.words[k].T @ e[:, at]
-                g_word_bias[k] = e[:, at].sum(axis=1)
-            d_hidden[:, own] += back_own
-            d_hidden = d_hidden.reshape(n, steps, streams)
+                g_word[k] = states[at].T @ e[at]
+                np.matmul(e[at], w.words[k], out=back_own[at])
+            d_hidden[own] += back_own
+            d_hidden = d_hidden.reshape(steps, streams, n)
             # what each step's gates pass on, for all steps at once: only ``back`` goes step by step
-            to_c, to_z, to_r = (1 - z) * (1 - c * c), (starts - c) * z * (1 - z), turns * r * (1 - r)
-            d_gates, d_turns = np.empty_like(gates), np.empty_like(gates)
-            back = np.zeros((n, streams), np.float32)
+            keep = 1 - z
+            to_c = c * c
+            np.subtract(1, to_c, out=to_c)
+            to_c *= keep
+            to_z = np.subtract(starts, c)
+            to_z *= z
+            to_z *= keep
+            to_r = np.subtract(1, r, out=keep)
+            to_r *= r
+            to_r *= turns[2]
+            d_gates, d_turns = turns, np.empty_like(turns)                 # (``turns`` is done with)
+            back = np.zeros((streams, n), np.float32)
             for t in range(steps - 1, -1, -1):
-                dh = d_hidden[:, t] + back
-                dc = np.multiply(dh, to_c[:, t], out=d_gates[h2:, t])
-                np.multiply(dh, to_z[:, t], out=d_gates[:n, t])
-                np.multiply(dc, to_r[:, t], out=d_gates[n:h2, t])
-                d_turns[:h2, t] = d_gates[:h2, t]
-                np.multiply(dc, r[:, t], out=d_turns[h2:, t])
-                dh *= z[:, t]
-                back = w.turn @ d_turns[:, t]
+                dh = np.add(d_hidden[t], back, out=d_hidden[t])
+                dc = np.multiply(dh, to_c[t], out=d_gates[2, t])
+                np.multiply(dh, to_z[t], out=d_turns[0, t])
+                np.multiply(dc, to_r[t], out=d_turns[1, t])
+                np.multiply(dc, r[t], out=d_turns[2, t])
+                back = np.matmul(d_turns[:, t], back_turn).sum(axis=0)
+                dh *= z[t]
                 back += dh
                 back *= goes_on[t]
-            d_gates, d_turns = d_gates.reshape(3 * n, -1), d_turns.reshape(3 * n, -1)
-            g_turn = starts.reshape(n, -1) @ d_turns.T
-            by_symbol = np.argsort(read, kind="stable")
-            symbols_in, first = np.unique(read[by_symbol], return_index=True)
-            by_input = np.add.reduceat(d_gates[:, by_symbol], first, axis=1)
-            g_embed = np.zeros_like(w.embed)
-            g_embed[symbols_in] = (w.read @ by_input).T
-            g_read, g_bias = (by_input @ w.embed[symbols_in]).T, by_input.sum(axis=1)
+            d_gates[:2] = d_turns[:2]
+            d_gates, d_turns = d_gates.reshape(3, -1, n), d_turns.reshape(3, -1, n)
+            g_turn = (starts.reshape(-1, n).T @ d_turns).transpose(1, 0, 2).reshape(n, 3 * n)
+            into = np.matmul(d_gates, np.ascontiguousarray(w.read.reshape(EMBEDDED, 3, n).transpose(1, 2, 0)))
+            into[0] += into[1]
+            into[0] += into[2]
+            into = np.ascontiguousarray(into[0].T)
+            g_embed = np.stack([np.bincount(read, weights=x, minlength=SYMBOLS) for x in into], axis=1).astype(np.float32)
+            g_read = (w.embed[read].T @ d_gates).transpose(1, 0, 2).reshape(EMBEDDED, 3 * n)
+            g_bias = (np.ones(len(flat), np.float32) @ d_gates).ravel()
+            g_classes, g_class_bias = g_class[:n], g_class[n]
+            g_words, g_word_bias = g_word[:, :n].transpose(0, 2, 1), g_word[:, n]
             step += 1
             for x, g, a, b in zip(w.arrays(), (g_embed, g_read, g_bias, g_turn, g_classes, g_class_bias, g_words, g_word_bias), m, v):
                 np.clip(g, -1, 1, out=g)
@@ -240,28 +309,31 @@ def score_symbols(w: Weights, texts: list[np.ndarray], end: int, window: int = 1
     for j, i in enumerate(order):
         steps[offsets[:lengths[i]] + j] = texts[i]
     n = HIDDEN
-    table = np.ascontiguousarray((w.embed @ w.read + w.bias).T)
-    turn = np.ascontiguousarray(w.turn.T)
-    table[:2 * n] *= 0.5                                      # s(x) = (1 + tanh(x / 2)) / 2
-    turn[:2 * n] *= 0.5
-    total, h, states, first = np.zeros(len(texts)), np.zeros((n, len(texts)), np.float32), [], 0
+    table = np.ascontiguousarray((w.embed @ w.read + w.bias).reshape(SYMBOLS, 3, n).transpose(1, 0, 2))
+    turn = np.ascontiguousarray(w.turn.reshape(n, 3, n).transpose(1, 0, 2))
+    table[:2] *= 0.5                                          # s(x) = (1 + tanh(x / 2)) / 2
+    turn[:2] *= 0.5
+    total, h, states, first = np.zeros(len(texts)), np.zeros((len(texts), n), table.dtype), [], 0
     last = np.full(len(texts), end, np.int16)
     for t in range(len(alive)):
         k = alive[t]
-        h = h[:, :k]
-        g, u = np.take(table, last[:k], axis=1), turn @ h
-        zr, c = g[:2 * n], g[2 * n:]
-        zr += u[:2 * n]
+        h = h[:k]
+        g, u = np.take(table, last[:k], axis=1), np.matmul(h, turn)
+        zr, c = g[:2], g[2]
+        zr += u[:2]
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        c += zr[n:] * u[2 * n:]
+        u[2] *= zr[1]
+        c += u[2]
         np.tanh(c, out=c)
-        h = c + zr[:n] * (h - c)
+        h = h - c
+        h *= zr[0]
+        h += c
         states.append(h)
         last = steps[offsets[t]:offsets[t + 1]]
         if offsets[t + 1] - offsets[first] >= window or t + 1 == len(alive):
-            got = log_probability(w, np.concatenate(states, axis=1), steps[offsets[first]:offsets[t + 1]])
+            got = log_probability(w, np.concatenate(states), steps[offsets[first]:offsets[t + 1]])
             place = np.concatenate([np.arange(x) for x in alive[first:t + 1]])
             total += np.bincount(place, weights=got, minlength=len(texts))
             states, first = [], t + 1
@@ -285,16 +357,26 @@ class Counts:
         return {END: 0, **{x: i + 1 for i, x in enumerate(self.words[:FREQUENT])}}
 
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def _count(batches):
-    seen: Counter = Counter()
+    held, size, names = [], 0, ["word", "n"]
     for b in batches:
-        for text in b.column("text").to_pylist():
-            seen[END] += 1
-            seen.update(byte_words(text))
-            if len(seen) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-                seen.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for texts in arrow_slices(b.column("text"), 24_000_000):
+            words, _ = arrow_words(texts)
+            seen = words.value_counts()
+            held += [pa.table([seen.field(0), seen.field(1)], names), pa.table([pa.array([END], pa.binary()), pa.array([len(texts)], pa.int64())], names)]
+            size += len(seen) + 1
+            if size > 1_000_000:
+                held = [_summed(held)]
+                size = held[0].num_rows
+                if size > 500_000:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+    if held:
+        yield from _summed(held).to_batches()
 
 
 def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:
@@ -329,35 +411,49 @@ def count_words(train: DataFrame) -> tuple[DataFrame, Counts]:
     return counts, Counts(words, n, ends, int(sum(r["tokens"] for r in by_step)), distinct, tails)
 
 
-class _Symbols(dict):
-    """Symbols of words; tail words are looked up once, as long as they are few."""
+def places_of(words: pa.Array, listed: pa.Array) -> np.ndarray:
+    """Place of each word in ``listed``, -1 where it is not there."""
+    return pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
-    def __missing__(self, word: bytes) -> int:
-        symbol = CLASSES * CLASS + tail_of(word)
-        if len(self) < 500_000 and len(word) < 100:
-            self[word] = symbol
-        return symbol
+def _ends(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts of so many words lie once each text has its end, and where the ends do."""
+    words = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)
+    return words, np.cumsum(lengths + 1) - 1
 
 
-def _symbols_of(words: list[bytes], own: _Symbols) -> np.ndarray:
-    return np.fromiter(map(own.__getitem__, [*words, END]), np.int16, len(words) + 1)
+def _symbols_of(texts: pa.Array, own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a column of texts, one after another, each with its end; where each text's end lies."""
+    words, lengths = arrow_words(texts)
+    symbols = places_of(words, own) + 1
+    tail = np.flatnonzero(symbols == 0)
+    symbols[tail] = CLASSES * CLASS + tails_of(words.take(pa.array(tail)))
+    at, ends = _ends(lengths)
+    out = np.zeros(len(symbols) + len(lengths), np.int16)     # (the end is symbol 0)
+    out[at] = symbols
+    return out, ends
 
 
 def _train_shard(shared, epochs: int, widest: int):
     def run(batches):
         weights, own = shared.value
-        own = _Symbols(own)
+        own = pa.array(own, pa.binary())
         total, held, size = 0, [], 0
         for b in batches:
-            for _, _, texts in column_slices(b.column("text")):
-                for text in texts:
-                    held.append(_symbols_of(byte_words(text), own))
-                    size += len(held[-1])
+            for texts in arrow_slices(b.column("text")):
+                symbols, ends = _symbols_of(texts, own)
+                start = 0
+                while start < len(symbols):
+                    # up to the end of the text that fills the shard
+                    k = np.searchsorted(ends, start + SHARD_TOKENS - size - 1)
+                    stop = int(ends[min(k, len(ends) - 1)]) + 1
+                    held.append(symbols[start:stop])
+                    size, start = size + stop - start, stop
                     if size >= SHARD_TOKENS:
-                        weights = learn(weights, np.concatenate(held), own[END], epochs, widest)
+                        weights = learn(weights, np.concatenate(held), 0, epochs, widest)
                         total, held, size = total + size, [], 0
         if size:
-            weights = learn(weights, np.concatenate(held), own[END], epochs, widest)
+            weights = learn(weights, np.concatenate(held), 0, epochs, widest)
         if total + size:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total + size], pa.int64()),
                                               pa.array([pickle.dumps(weights.arrays())], pa.binary())], ["shard", "tokens", "weights"])
@@ -379,7 +475,7 @@ _SHARD = "shard int, tokens long, weights binary"
 
 def train(docs: DataFrame, counts: Counts) -> Weights:
     """Train on ``docs`` (doc_id, text), the training rows."""
-    sc, own = docs.sparkSession.sparkContext, counts.symbols()
+    sc, own = docs.sparkSession.sparkContext, counts.words[:FREQUENT]
     shares = np.concatenate([[counts.ends], counts.counts[:FREQUENT], np.zeros(max(0, FREQUENT - len(counts.words))), np.maximum(counts.tail_words - 1, 0)])
     weights = Weights.fresh(shares)
     rate = min(1.0, WARM_TOKENS / max(counts.total, 1))
@@ -403,48 +499,44 @@ _SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, scor
 def _score(shared):
     def run(batches):
         weights, counts = shared.value
-        own = counts.symbols()
-        place = {x: i for i, x in enumerate(counts.words)}
-        place[END] = len(counts.words)
-        symbol = np.array([own.get(x, -1) if i < FREQUENT else CLASSES * CLASS + tail_of(x) for i, x in enumerate(counts.words)] + [0], np.int64)
+        listed, most = pa.array(counts.words, pa.binary()), len(counts.words)
+        symbol = np.append(np.arange(1, most + 1), 0)                        # of each listed word, then the end
+        symbol[FREQUENT:most] = CLASSES * CLASS + tails_of(listed[FREQUENT:])
         log_count = np.log10(np.concatenate([counts.counts, [counts.ends]]) + 1.0)
         log_tail = np.log10(counts.tail_words)
         all_tokens = np.log10(counts.total + counts.distinct + 1.0)
         end_known = counts.ends > 0
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for lo, hi in text_slices(texts, 24_000_000):
-                symbols, n_tokens, n_known, base, tail_part, words, times = [], [], [], [], [], [], []
-                for text in texts[lo:hi]:
-                    own_words = byte_words(text)
-                    own_words.append(END)
-                    at = np.fromiter([place.get(x, -1) for x in own_words], np.int64, len(own_words))
-                    s = symbol[at]
-                    missing = np.flatnonzero(at < 0)
-                    if len(missing):
-                        rare = [own_words[i] for i in missing]
-                        s[missing] = [CLASSES * CLASS + tail_of(x) for x in rare]
-                        listed = Counter(rare)
-                        words.append(list(listed))
-                        times.append(list(listed.values()))
-                    else:
-                        words.append([])
-                        times.append([])
-                    logs = log_count[at]
-                    logs[missing] = 0
-                    in_tail = s >= CLASSES * CLASS
-                    base.append(logs.sum() - len(at) * all_tokens)
-                    tail_part.append(logs[in_tail].sum() - log_tail[s[in_tail] - CLASSES * CLASS].sum())
-                    n_tokens.append(len(at))
-                    n_known.append(len(at) - len(missing) - (not end_known))
-                    symbols.append(s.astype(np.int16))
-                score = score_symbols(weights, symbols, 0) + np.array(tail_part)
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), ids.slice(lo, n), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                                                  pa.array(score), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
+            first = 0
+            for texts in arrow_slices(b.column("text"), 24_000_000):
+                n, (words, lengths) = len(texts), arrow_words(texts)
+                found = places_of(words, listed)
+                in_words, ends = _ends(lengths)
+                at = np.full(len(found) + n, most, np.int64)
+                at[in_words] = found
+                s, logs = symbol[at], log_count[at]
+                # words that are not listed: each text's, with how often it has them
+                missing = np.flatnonzero(found < 0)
+                rare = words.take(pa.array(missing))
+                s[in_words[missing]] = CLASSES * CLASS + tails_of(rare)
+                logs[in_words[missing]] = 0
+                rare, owner = rare.dictionary_encode(), np.repeat(np.arange(n), lengths)[missing]
+                kinds = max(len(rare.dictionary), 1)
+                pairs, times = np.unique(owner * kinds + rare.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                edges = pa.array(np.searchsorted(pairs, np.arange(n + 1) * kinds), pa.int32())
+                starts, n_tokens = ends - lengths, lengths + 1
+                tail = np.flatnonzero(s >= CLASSES * CLASS)
+                of_tail = np.zeros(len(s))
+                of_tail[tail] = logs[tail] - log_tail[s[tail] - CLASSES * CLASS]
+                base = np.add.reduceat(logs, starts) - n_tokens * all_tokens
+                score = score_symbols(weights, np.split(s.astype(np.int16), ends[:-1] + 1), 0) + np.add.reduceat(of_tail, starts)
+                n_known = n_tokens - np.bincount(owner, minlength=n) - (not end_known)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), b.column("doc_id").slice(first, n), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                                                  pa.array(base, pa.float64()), pa.array(score), pa.ListArray.from_arrays(edges, rare.dictionary.take(pa.array(pairs % kinds))),
+                                                  pa.ListArray.from_arrays(edges, pa.array(times, pa.int32()))],
                                                  ["row", "doc_id", "n_tokens", "n_known", "base", "score", "words", "times"])
-                row += n
+                row, first = row + n, first + n
 
     return run
 

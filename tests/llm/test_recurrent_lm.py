@@ -3,9 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rigflow.llm import recurrent_lm as R
+from rigflow.llm.common import arrow_words, byte_words
 
 from .conftest import EDGE
 
@@ -138,6 +140,41 @@ def test_no_token_of_a_run_is_left_out():
         assert (got.embed[900:918] != start.embed[900:918]).any(axis=1).all()
 
 
+def test_arrow_words_and_tails_are_those_of_single_words():
+    texts = [None, "", " \t\n", "  One two\x0bTHREE\x0c", "É\x1cÀ x\u00a0Y z\x85 日本語 ab a", "last"]
+    column = pa.array(["dropped", *texts]).slice(1)
+    words, lengths = arrow_words(column)
+    want = [byte_words(t) for t in texts]
+    assert words.to_pylist() == [x for own in want for x in own] and lengths.tolist() == [len(x) for x in want]
+    assert R.tails_of(words[2:]).tolist() == [R.tail_of(x) for x in words.to_pylist()[2:]] and not len(R.tails_of(words[:0]))
+    listed = [b"two", "é\x1cÀ".encode(), b"ab"]
+    symbols, ends = R._symbols_of(column, pa.array(listed))
+    own = {R.END: 0, **{x: i + 1 for i, x in enumerate(listed)}}
+    assert symbols.tolist() == [own.get(x, R.CLASSES * R.CLASS + R.tail_of(x)) for t in want for x in [*t, R.END]]
+    assert ends.tolist() == (np.cumsum([len(x) + 1 for x in want]) - 1).tolist()
+
+
+def test_large_outputs_take_the_safe_softmax():
+    """Weights beyond what exp takes as it is give the plain recurrence, too, and finite steps."""
+    r, w = np.random.default_rng(6), _weights()
+    w.classes *= 200
+    w.words *= 200
+    texts = [np.append(r.integers(1, R.SYMBOLS, n), 0).astype(np.int16) for n in (5, 30)]
+    assert R._most(w.classes) > R.SAFE
+    assert np.allclose(R.score_symbols(w, texts, 0), [plain_score(R.Weights(*[x.astype(float) for x in w.arrays()]), t.astype(int), 0) for t in texts], rtol=1e-3)
+    assert all(np.isfinite(x).all() for x in R.learn(w, np.concatenate(texts), 0).arrays())
+
+
+def test_counts_of_a_task_are_summed(monkeypatch):
+    monkeypatch.setattr(R, "arrow_slices", lambda column, limit: [column.slice(i, 1) for i in range(len(column))])
+    texts = ["a b a", None, "B c", "a"]
+    got = Counter()
+    parts = list(R._count([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    for x in parts:
+        got.update(dict(zip(x.column("word").to_pylist(), x.column("n").to_pylist())))
+    assert got == {b"a": 3, b"b": 2, b"c": 1, b"": 4} and sum(x.num_rows for x in parts) == 4
+
+
 def test_first_step_goes_against_the_numeric_gradient():
     """The first step of Adam moves each weight by the rate against the sign of its gradient."""
     r, w = np.random.default_rng(4), _weights()
