@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,7 +72,12 @@ def lower_words(text: str) -> list[str]:
 
 def script_of(word: str) -> int:
     """Index into SCRIPTS (or "other") by the word's first letter."""
-    c = ord(word[0])
+    return _script_at(word[0])
+
+
+@lru_cache(maxsize=1 << 16)
+def _script_at(letter: str) -> int:
+    c = ord(letter)
     for k, ranges in enumerate(SCRIPTS.values()):
         for a, b in ranges:
             if a <= c <= b:

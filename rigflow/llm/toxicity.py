@@ -16,8 +16,9 @@ step of 1 / ``STEPS`` give, for each predicted language, the logit that separate
 are shifted so that this threshold is 0.5.  Languages are learned from every row, too.  How
 Spark deals the rows to tasks moves the averages a little.
 
-Scoring projects each distinct word of a slice of texts through all filters once and adds up
-the projections along the text.
+A task finds hashed rows and language scores of a word once, for learning, scoring and language
+alike, as long as it keeps the word (``CACHE``).  Scoring projects a text's words through all
+filters ``RUN`` words at a time and adds up the projections along the text.
 
 Defined results: null or empty text, or one without letters, is scored by the bias alone, at the
 overall threshold; documents with several labels count as toxic if any says so; null labels are
@@ -44,17 +45,17 @@ POSITIVES, NEGATIVES = 1_500, 2_500
 WORDS, PREFIXES = 1 << 15, 1 << 13     # hashed embeddings
 DIM, WIDTHS, FILTERS = 12, (1, 2, 3), 16
 EPOCHS, BATCH, RATE = 5, 32, 0.2
-CACHE = 200_000
+CACHE = 200_000                        # words that a task keeps from one slice to the next
+RUN = 8_192
 STEPS, WIDEST = 256, 30                # logits are counted in steps of 1 / STEPS, up to WIDEST on either side
 
 
 def _buckets(words: list[str]) -> np.ndarray:
     """Words x 2: the rows of the embedding table of each word."""
-    out = np.empty((len(words), 2), np.int32)
-    for i, w in enumerate(words):
-        out[i, 0] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
-        out[i, 1] = WORDS + zlib.crc32(w[:4].encode("utf-8", "surrogatepass")) % PREFIXES
-    return out
+    crc = lambda texts: np.fromiter([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in texts], np.int64, len(texts))
+    firsts: dict[str, int] = {}
+    first = np.fromiter([firsts.setdefault(w[:4], len(firsts)) for w in words], np.int64, len(words))
+    return np.stack([crc(words) % WORDS, WORDS + crc(list(firsts))[first] % PREFIXES], axis=1).astype(np.int32)
 
 
 def _spans() -> list[tuple[int, int, slice]]:
@@ -78,7 +79,6 @@ class Network:
     out: np.ndarray
     shift: float = 0.0
     thresholds: dict = field(default_factory=dict)
-    _ids: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
     def fresh(seed: int = 8) -> Network:
@@ -87,44 +87,35 @@ class Network:
         return Network(r.normal(0, 0.02, (WORDS + PREFIXES, DIM)).astype(np.float32), r.normal(0, 0.3, (DIM, len(TAPS) * FILTERS)).astype(np.float32),
                        np.zeros(len(WIDTHS) * FILTERS, np.float32), r.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32))
 
-    def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each word among the distinct ones, and the distinct words' embeddings."""
-        distinct = list(set(words))
-        if len(self._ids) > CACHE:
-            self._ids.clear()
-        new = [w for w in distinct if w not in self._ids]
-        self._ids.update(zip(new, map(tuple, _buckets(new).tolist())))
-        rows = np.array([self._ids[w] for w in distinct], np.int64).reshape(-1, 2)
-        place = dict(zip(distinct, range(len(distinct))))
-        return np.fromiter(map(place.__getitem__, words), np.int64, len(words)), self.table[rows[:, 0]] + self.table[rows[:, 1]]
-
     def logits(self, texts: list[list[str]]) -> np.ndarray:
         """One logit for each list of words."""
         return self.pooled(texts) @ self.out + self.shift
 
     def pooled(self, texts: list[list[str]]) -> np.ndarray:
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        pooled = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
-        some = np.flatnonzero(lengths)
-        if not len(some):
-            return pooled
-        at, vectors = self._rows([w for t in texts for w in t])
-        projected = np.concatenate([vectors @ self.taps, np.zeros((1, self.taps.shape[1]), np.float32)])
-        pad = max(WIDTHS) - 1                                # a text is followed by rows of nothing
-        padded = np.full(int((lengths[some] + pad).sum()), len(vectors), np.int64)
-        starts = np.cumsum(lengths[some] + pad) - lengths[some] - pad
-        padded[np.arange(len(at)) + np.repeat(np.arange(len(some)) * pad, lengths[some])] = at
-        for k, width in enumerate(WIDTHS):
-            z = None
-            for w, o, cols in TAPS:
-                if w == width:
-                    part = np.ascontiguousarray(projected[:, cols])[padded[o:len(padded) - pad + o]]
-                    z = part if z is None else z + part
-            # the rows between texts start in one text's padding: their words are missing, not another text's
-            edge = np.repeat(starts[1:], pad) - np.tile(np.arange(pad, 0, -1), len(starts) - 1) if len(starts) > 1 else np.zeros(0, np.int64)
-            z[edge] = -np.inf
-            pooled[some, k * FILTERS:(k + 1) * FILTERS] = np.maximum.reduceat(z, starts)
-        return np.maximum(pooled + self.bias * (lengths > 0)[:, None], 0)
+        place: dict[str, int] = {}
+        at = [np.array([place.setdefault(w, len(place)) for w in t], np.int64) for t in texts]
+        return self.pooled_rows(_buckets(list(place)), at)
+
+    def pooled_rows(self, buckets: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+        """The maxima of texts given by the places of their words in ``buckets``."""
+        pooled, taps, pad = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32), np.ascontiguousarray(self.taps.T), max(WIDTHS) - 1
+        table = self.table[buckets[:, 0]] + self.table[buckets[:, 1]]
+        for out, at in zip(pooled, texts):
+            for lo in range(0, len(at), RUN):
+                n = min(RUN, len(at) - lo)                   # places where a filter starts; the words after them count, too
+                projected = taps @ np.take(table, at[lo:lo + n + pad], axis=0, mode="clip").T
+                for k, width in enumerate(WIDTHS):
+                    z = None
+                    for w, o, cols in TAPS:
+                        if w == width:
+                            part = projected[cols, o:n + o]
+                            if z is None:
+                                z = part
+                            else:
+                                z[:, :part.shape[1]] += part  # (past the text's end words are missing)
+                    most, own = z.max(axis=1), out[k * FILTERS:(k + 1) * FILTERS]
+                    own[:] = np.maximum(own, most) if lo else most
+        return np.maximum(pooled + self.bias * np.fromiter(map(len, texts), np.int64, len(texts)).astype(bool)[:, None], 0)
 
 
 @dataclass
@@ -148,7 +139,8 @@ class Learner:
             n = len(rows)
             pooled, best, vectors = np.zeros(len(net.bias), np.float32), [None] * len(WIDTHS), None
             if n:
-                vectors = net.table[rows[:, 0]] + net.table[rows[:, 1]]
+                vectors = np.take(net.table, rows[:, 0], axis=0)
+                vectors += np.take(net.table, rows[:, 1], axis=0)
                 projected = taps @ vectors.T                 # filter taps x words: the maxima lie along rows
                 for w, o, cols in TAPS:
                     k = WIDTHS.index(w)
@@ -225,15 +217,45 @@ def words_of(text: str | None) -> list[str]:
     return language_id.lower_words(text) if text else []
 
 
+class Vocabulary:
+    """Rows of the embedding table and language scores of the words that a task has met."""
+
+    def __init__(self, language: language_id.Model):
+        self.language = language
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.buckets, self.scores = np.zeros((0, 2), np.int32), np.zeros((0, len(self.language.languages)), np.float32)
+
+    def places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Where the words of each text are; holds until the next call."""
+        if len(self.ids) > CACHE:
+            self._clear()
+        words = [w for t in texts for w in t]
+        new = list(set(words).difference(self.ids))
+        self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        self.buckets = np.concatenate([self.buckets, _buckets(new)])
+        if self.language.languages:
+            self.scores = np.concatenate([self.scores, self.language.word_scores(new)])
+        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return np.split(at, np.cumsum([len(t) for t in texts])[:-1])
+
+    def languages(self, texts: list[np.ndarray]) -> list[str]:
+        """The language in which the words of each text are likeliest; "und" without words."""
+        names, out = self.language.languages, np.full(len(texts), "und", object)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        some = np.flatnonzero(lengths)
+        if len(some) and names:
+            sums = np.add.reduceat(np.take(self.scores, np.concatenate(texts), axis=0), np.cumsum(lengths[some]) - lengths[some])
+            out[some] = np.array(names, object)[sums.argmax(axis=1)]
+        return out.tolist()
+
+
 def main_language(model: language_id.Model, texts: list[list[str]]) -> list[str]:
-    """The language in which the words of each text are likeliest; "und" without words."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    out = np.full(len(texts), "und", object)
-    some = np.flatnonzero(lengths)
-    if len(some) and model.languages:
-        sums = np.add.reduceat(model.scores([w for t in texts for w in t]), np.cumsum(lengths[some]) - lengths[some])
-        out[some] = np.array(model.languages, object)[sums.argmax(axis=1)]
-    return out.tolist()
+    """The language of each list of words (``Vocabulary.languages``)."""
+    words = Vocabulary(model)
+    return words.languages(words.places(texts))
 
 
 PARTS = [f"x{i}" for i in range(DIM)]
@@ -299,23 +321,17 @@ def _learn_task(shared, positive_weight: float):
         learner, language = shared.value
         net = learner.net
         learner = Learner(Network(net.table.copy(), net.taps.copy(), net.bias.copy(), net.out.copy(), net.shift), [s.copy() for s in learner.sums], np.zeros(len(net.table), bool))
-        rows, counts, cache, pairs = 0, [], {}, np.zeros((0, 2), np.int32)
+        rows, counts, known = 0, [], Vocabulary(language)
         for frame in batches:
             texts, labels = frame["text"].tolist(), frame["toxic"].to_numpy(np.float32)
             for lo, hi in text_slices(texts, 2_000_000):
                 words, toxic = [words_of(t) for t in texts[lo:hi]], labels[lo:hi]
-                if len(cache) > CACHE:
-                    cache.clear()
-                lengths = [len(t) for t in words]
-                flat = [w for t in words for w in t]
-                new = list(set(flat).difference(cache))
-                cache.update(zip(new, range(len(cache), len(cache) + len(new))))
-                pairs = np.concatenate([pairs[:len(cache) - len(new)], _buckets(new)])
-                buckets = np.split(pairs[np.fromiter(map(cache.__getitem__, flat), np.int64, len(flat))], np.cumsum(lengths)[:-1])
+                at = known.places(words)
+                buckets = [known.buckets[x] for x in at]
                 weight, logits = np.where(toxic == 1, np.float32(positive_weight), np.float32(1)), np.zeros(len(words))
                 for a in range(0, len(words), BATCH):
                     logits[a:a + BATCH] = learner.step(buckets[a:a + BATCH], toxic[a:a + BATCH], weight[a:a + BATCH])
-                counts.append(_steps(main_language(language, words), toxic, logits))
+                counts.append(_steps(known.languages(at), toxic, logits))
                 counts = [pd.concat(counts).groupby(["lang", "toxic", "at"])["n"].sum().reset_index()] if len(counts) > 20 else counts
                 rows += len(words)
         if not rows:
@@ -345,6 +361,14 @@ def _thresholds(counts: pd.DataFrame) -> dict[str, float]:
     return out
 
 
+def with_labels(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """text and toxic of the rows of ``docs`` that ``known`` (a row for each doc_id) has a label for.
+
+    The labels grow with the corpus, so they are never broadcast: texts meet them by one shuffle
+    at any size (a join that Spark would begin to shuffle from some size on)."""
+    return docs.join(known.hint("merge"), "doc_id").select("text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, language: language_id.Model) -> Network | None:
     """Learn from every row of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) has a label for."""
     import pickle
@@ -367,13 +391,12 @@ def train(docs: DataFrame, labels: DataFrame, language: language_id.Model) -> Ne
     net = learner.net
     if min(rates.values()) < 1:
         shared = docs.sparkSession.sparkContext.broadcast((learner, language))          # fixed sizes
-        learned = rows.join(known.where(~starts), "doc_id").select("text", "toxic").mapInPandas(_learn_task(shared, positive_weight), LEARNED)
+        learned = with_labels(rows, known.where(~starts)).mapInPandas(_learn_task(shared, positive_weight), LEARNED)
         total = learned.groupBy("lang", "toxic", "at").agg(F.sum("n").alias("n"), *[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(x) for x in PARTS]).toPandas()
         weights = total[total["lang"].isna()]
         net = _with_weights(net, weights["at"].to_numpy(), weights[PARTS].to_numpy())
         seen = pd.concat([seen, total[total["lang"].notna()]])
     net.thresholds = _thresholds(seen[["lang", "toxic", "at", "n"]])
-    net._ids = {}
     return net
 
 
@@ -386,12 +409,14 @@ def score(docs: DataFrame, network: Network | None, language: language_id.Model)
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net, model = shared.value
+        known = Vocabulary(model)
         for batch in batches:
             texts, out = batch.tolist(), []
             for lo, hi in text_slices(texts, 2_000_000):
-                words = [words_of(t) for t in texts[lo:hi]]
-                cut = [net.thresholds.get(x, net.thresholds[""]) for x in main_language(model, words)]
-                out.append(1 / (1 + np.exp(-np.clip(net.logits(words) - np.array(cut), -50, 50))))
+                at = known.places([words_of(t) for t in texts[lo:hi]])
+                cut = [net.thresholds.get(x, net.thresholds[""]) for x in known.languages(at)]
+                logits = net.pooled_rows(known.buckets, at) @ net.out + net.shift
+                out.append(1 / (1 + np.exp(-np.clip(logits - np.array(cut), -50, 50))))
             yield pd.Series(np.concatenate(out).astype(float) if out else np.zeros(0))
 
     name = free_name(docs, "toxic_score")

@@ -83,6 +83,44 @@ def test_every_labelled_row_is_learned_and_counted(spark, monkeypatch):
     assert (net.table[T._buckets(alone)[:, 0]] != fresh[T._buckets(alone)[:, 0]]).any(axis=1).mean() > 0.9
 
 
+def test_labels_are_never_broadcast(spark):
+    """Few labels take the way of many: one shuffle of the texts, no broadcast that ends at some size."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (9, 1)], "doc_id long, toxic int")
+    out = T.with_labels(docs, known)
+    assert sorted(out.collect(), key=str) == sorted([("a", 1), ("b", 0), ("c", 0), (None, 1)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_long_texts_are_pooled_in_runs(monkeypatch):
+    r = np.random.default_rng(2)
+    net = T.Network.fresh(4)
+    net.table *= 20
+    texts = [[f"w{i}" for i in r.integers(0, 60, n)] for n in (1, 2, 3, 4, 5, 8, 9, 50, 0)]
+    want = net.pooled(texts)
+    for run in (1, 2, 4, 5):
+        monkeypatch.setattr(T, "RUN", run)
+        assert np.allclose(net.pooled(texts), want, atol=1e-5)
+
+
+def test_words_that_come_up_again_after_the_cache_was_cleared(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat sat here", "en"), (2, "der Hund und die Katze", "de")], "doc_id long, text string, lang string")
+    model = train_language(docs)
+    texts = [["the", "cat"], [], ["der", "hund"], ["katze", "und", "the"]]
+    want = T.main_language(model, texts)
+    assert want[:3] == ["en", "und", "de"]
+    net = T.Network.fresh(4)
+    for size in (0, 3, 100):
+        monkeypatch.setattr(T, "CACHE", size)
+        known = T.Vocabulary(model)
+        for _ in range(3):
+            at = known.places(texts)
+            assert known.languages(at) == want and np.allclose(net.pooled_rows(known.buckets, at), net.pooled(texts))
+    nothing = train_language(docs.where(F.lit(False)))
+    assert T.main_language(nothing, texts) == ["und"] * 4
+
+
 def test_equal_logits_are_cut_together():
     import pandas as pd
 
